@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, pii, piece_codec, quality
+from . import embedding_dedup, exact_dedup, packing, pii, piece_codec, quality, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,12 +31,22 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_table(spark, sf_dir, "documents"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(_table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_packing": op3_packing,
     "op4_sentencepiece_codec": op4_sentencepiece_codec,
     "op7_quality_classifier": op7_quality_classifier,
     "op2_pii": op2_pii,
+    "op8_embedding_dedup": op8_embedding_dedup,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 
 ORACLE_SQL = {
