@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import embedding_dedup, exact_dedup, packing, pii, piece_codec, quality, substring
+from . import embedding_dedup, exact_dedup, ngram_jaccard, packing, pii, piece_codec, quality, sharding, substring
+from .common import scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,12 +41,27 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(_table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.join(_table(spark, sf_dir, "documents"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents in eight arrivals, compacted and read back: doc_id, text_sha256, shard, shard_bytes."""
+    docs = _table(spark, sf_dir, "documents")
+    store = sharding.ShardStore.create(spark, scratch(spark), docs.schema)
+    store.append_arrivals(docs, F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 8), 8)
+    store.compact()
+    return store.read().select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "shard", "shard_bytes")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_packing": op3_packing,
     "op4_sentencepiece_codec": op4_sentencepiece_codec,
     "op7_quality_classifier": op7_quality_classifier,
     "op2_pii": op2_pii,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op10_sharding": op10_sharding,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_substring_dedup": op9_substring_dedup,
 }
