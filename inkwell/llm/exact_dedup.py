@@ -99,9 +99,17 @@ def verdicts(docs: DataFrame) -> DataFrame:
 
 
 def dedupe(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns; rows that repeat a kept doc_id and its text stay once."""
-    dropped = verdicts(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(written(dropped), "doc_id", "left_anti")
+    """The rows of docs that stay, with all their columns; of rows that repeat a kept doc_id and its text one stays."""
+    told = written(verdicts(docs))
+    dropped = told.filter("not kept").select(F.col("doc_id").alias("of"), F.col("text_sha256").alias("sha")).distinct()
+    twins = written(told.filter("kept").groupBy(F.col("doc_id").alias("of"), F.col("text_sha256").alias("sha")).count().filter("count > 1").select("of", "sha"))
+    marked = docs.withColumn("__sha", F.sha2(normalised(), 256))
+    at = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("__sha") == F.col("sha"))
+    kept = marked.join(written(dropped), at, "left_anti")
+    if twins.isEmpty():
+        return kept.drop("__sha")
+    again = kept.join(twins, at, "left_semi").dropDuplicates(["doc_id", "__sha"])
+    return kept.join(twins, at, "left_anti").unionByName(again).drop("__sha")
 
 
 SQL = r"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, exact_dedup, ngram_jaccard, packing, pii, piece_codec, quality, sharding, substring
+from . import embedding_dedup, exact_dedup, line_dedup, ngram_jaccard, packing, pii, piece_codec, quality, sharding, substring
 from .common import scratch
 
 
@@ -45,6 +45,10 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.join(_table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.summary(_table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents in eight arrivals, compacted and read back: doc_id, text_sha256, shard, shard_bytes."""
     docs = _table(spark, sf_dir, "documents")
@@ -61,6 +65,7 @@ QUERIES = {
     "op7_quality_classifier": op7_quality_classifier,
     "op2_pii": op2_pii,
     "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op6_line_dedup": op6_line_dedup,
     "op10_sharding": op10_sharding,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_substring_dedup": op9_substring_dedup,
