@@ -6,7 +6,7 @@ lower case. Sets link where 100 * intersection >= percent * union. Equal sets ar
 1. Order. A sketch of fixed size (2**SLOT_BITS counters) says roughly how common a shingle is; shingles are ordered by
    that, then by hash. Any order gives the same links; this one keeps common passages out of the next step.
 2. Deal. Linked sets share one of their first n - ceil(percent * n / 100) + 1 shingles. Those that stand in more than one
-   set (by merged counting filters) are the cells within which sets are compared.
+   set (chunks of documents ask the blocks of the hash space) are the cells within which sets are compared.
 3. Points. A set is a point of `GROUPS` coordinates: how many of its shingles hash to each group. The summed minima of
    two points bound their overlap, as do their sizes and the shared shingle's place in the order.
 4. Stars. In each cell all sets are tried against four pivots; pairs whose bounds allow it are verified by their texts.
@@ -30,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import blocks
 from .common import shipped, slices, written
 from .components import components
-from .exact_dedup import repeated_fingerprints
 from .hashing import Runs, Words, mixed, raw
 
 N = 5
@@ -41,6 +41,8 @@ GROUPS = 8
 SLOT_BITS = 22
 BLOCK = 1024
 LEAF = 16
+#: In cells of so many sets the pivots meet all others.
+COVERED = 3
 
 
 def shingles(text: pa.Array, n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -70,10 +72,15 @@ def set_ids(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mixed(_sums(mixed(hashes), ends) + np.diff(ends).astype(np.uint64)).view(np.int64)
 
 
+def _unit(size: np.ndarray) -> np.ndarray:
+    """A coordinate's unit for sets of a size, so that it fits in a byte."""
+    return np.int64(1) << np.maximum(np.frexp(size.astype(np.float64))[1] - 8, 0).astype(np.int64)
+
+
 def points(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A long of GROUPS bytes for each row: counts in units of 2**shift(n), rounded up."""
+    """A long of GROUPS bytes for each row: counts in units of _unit(n), rounded up."""
     size = np.diff(ends)
-    unit = np.int64(1) << np.maximum(np.frexp(size.astype(np.float64))[1] - 8, 0).astype(np.int64)
+    unit = _unit(size)
     out = np.zeros(len(size), np.uint64)
     for g in range(GROUPS):
         count = _sums((hashes % np.uint64(GROUPS) == g).astype(np.int64), ends)
@@ -82,8 +89,7 @@ def points(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def _coordinates(point: np.ndarray, size: np.ndarray) -> np.ndarray:
-    unit = np.int64(1) << np.maximum(np.frexp(size.astype(np.float64))[1] - 8, 0).astype(np.int64)
-    return ((point.view(np.uint64)[:, None] >> (np.arange(GROUPS, dtype=np.uint64) * np.uint64(8))) & np.uint64(255)).astype(np.int64) * unit[:, None]
+    return ((point.view(np.uint64)[:, None] >> (np.arange(GROUPS, dtype=np.uint64) * np.uint64(8))) & np.uint64(255)).astype(np.int64) * _unit(size)[:, None]
 
 
 def _survey(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -101,40 +107,66 @@ def _survey(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
     yield pa.RecordBatch.from_arrays([none, none, none, pa.array(at), pa.array(slots[at])], names=names)
 
 
-def _signatures(docs: DataFrame, n: int, percent: int, classes) -> DataFrame:
-    """token, sid, n, place, point for each shingle by which a set may be found."""
+SIGNED = "chunk long, tokens binary, sids binary, sizes binary, points binary"
+CELLS = "token long, sid long, n int, place int, unit long, point long"
+
+
+def _prefix(size: np.ndarray, percent: int) -> np.ndarray:
+    return np.where(size > 0, size - -(-percent * size // 100) + 1, 0)
+
+
+def _signed(docs: DataFrame, n: int, percent: int, classes) -> DataFrame:
+    """Chunks of documents: for each distinct set its id, size and point, and the shingles by which it may be found, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         rank = classes.value
+        chunk = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
         for part in slices(batches):
             hashes, ends = shingles(part.column(0), n)
             size, sid, point = np.diff(ends), set_ids(hashes, ends), points(hashes, ends)
             _, once = np.unique(sid, return_index=True)
+            once = once[size[once] > 0]
             order = (rank[(hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (hashes >> np.uint64(6))
-            out, rows = [], []
-            for i in once[size[once] > 0].tolist():
+            take = _prefix(size, percent).tolist()
+            out = [np.zeros(0, np.uint64)]
+            for i in once.tolist():
                 a, b = ends[i], ends[i + 1]
-                take = size[i] - -(-percent * size[i] // 100) + 1
-                out.append(hashes[a:b][np.argsort(order[a:b], kind="stable")[:take]])
-                rows.append(i)
-            if not out:
-                continue
-            count = [len(x) for x in out]
-            at = np.repeat(rows, count)
-            place = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(sid[at]), pa.array(size[at].astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(point[at])], names=["token", "sid", "n", "place", "point"])
+                out.append(hashes[a:b][np.argsort(order[a:b], kind="stable")[: take[i]]])
+            columns = [np.concatenate(out), sid[once], size[once].astype(np.int32), point[once]]
+            yield pa.RecordBatch.from_arrays([pa.array([chunk]), *(pa.array([c.tobytes()], pa.binary()) for c in columns)], names=["chunk", "tokens", "sids", "sizes", "points"])
+            chunk += 1
+
+    return docs.select("text").mapInArrow(run, SIGNED)
 
-    return docs.select("text").mapInArrow(run, "token long, sid long, n int, place int, point long")
+
+def _send(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            yield blocks.sent(row["chunk"], np.unique(np.frombuffer(row["tokens"], np.uint64)), bits)
+
+
+def _cells(batches: Iterator[pa.RecordBatch], bits: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """The chunks' shingles that stand in another set too."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            tokens, sid, size, point = (np.frombuffer(row[k], t) for k, t in (("tokens", np.uint64), ("sids", np.int64), ("sizes", np.int32), ("points", np.int64)))
+            distinct, back, count = np.unique(tokens, return_inverse=True, return_counts=True)
+            some = ((count > 1) | blocks.shared(distinct, row["answers"], bits))[back]
+            take = _prefix(size.astype(np.int64), percent)
+            of = np.repeat(np.arange(len(sid)), take)[some]
+            place = (np.arange(len(tokens)) - np.repeat(np.cumsum(take) - take, take))[some]
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[some].view(np.int64)), pa.array(sid[of]), pa.array(size[of]), pa.array(place.astype(np.int32)), pa.array(_unit(size)[of]), pa.array(point[of])], names=["token", "sid", "n", "place", "unit", "point"])
 
 
-def _texts(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
-        text = part.column(1)
-        hashes, ends = shingles(text, n)
+        text = part.column(0)
         data, rows = raw(text)
         whole, rows = data.tobytes(), rows.tolist()
         packed = [pa.compress(whole[a:b], codec="zstd", asbytes=True) if b > a else b"" for a, b in zip(rows[:-1], rows[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(set_ids(hashes, ends)), pa.array(np.diff(rows)), pa.array(packed, pa.binary())], names=["doc_id", "sid", "size", "packed"])
+        yield pa.RecordBatch.from_arrays([pa.array(set_ids(*shingles(text, n))), part.column(1), pa.array(np.diff(rows)), pa.array(packed, pa.binary())], names=["sid", "of", "size", "packed"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -167,9 +199,7 @@ def _plausible(x: str, y: str, percent: int) -> Column:
     need = percent * (x["n"] + y["n"])
     least = lambda f: F.least(f(x), f(y))
     places = least(lambda s: s["place"]) + 1 + least(lambda s: s["n"] - s["place"] - 1)
-    bits = lambda s: F.length(F.bin(s["n"]))
-    unit = lambda s: F.pow(F.lit(2), F.greatest(bits(s) - 8, F.lit(0))).cast("long")
-    count = lambda s, g: F.shiftrightunsigned(s["point"], 8 * g).bitwiseAND(255) * unit(s)
+    count = lambda s, g: F.shiftrightunsigned(s["point"], 8 * g).bitwiseAND(255) * s["unit"]
     minima = reduce(lambda a, b: a + b, [F.least(count(x, g), count(y, g)) for g in range(GROUPS)])
     sizes = 100 * least(lambda s: s["n"]) >= percent * F.greatest(x["n"], y["n"])
     return sizes & ((100 + percent) * places >= need) & ((100 + percent) * minima >= need)
@@ -220,6 +250,7 @@ def _open_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
     """Pairs of different components that the bounds allow, cell by cell; rows: token, left, right, block, sid, n, place, point, label."""
 
     def cell(t: pa.Table) -> pa.RecordBatch:
+        """Few sets are a single leaf and need no tree."""
         block, sid, size, place, point, label = (t.column(c).to_numpy() for c in ("block", "sid", "n", "place", "point", "label"))
         size, place = size.astype(np.int64), place.astype(np.int64)
         one = t.column("left")[0].as_py() == t.column("right")[0].as_py()
@@ -227,13 +258,15 @@ def _open_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
         asking = inside if one else np.flatnonzero(block != t.column("left")[0].as_py())
         counts, found = _coordinates(point, size), []
         if len(inside) and len(asking):
-            tree = RTree(counts[inside], size[inside])
+            tree = RTree(counts[inside], size[inside]) if len(inside) > LEAF else None
             for q in asking.tolist():
-                hit = inside[tree.search(counts[q], int(size[q]), percent)]
+                hit = inside[tree.search(counts[q], int(size[q]), percent)] if tree else inside
                 hit = hit[(label[hit] != label[q]) & ((sid[hit] < sid[q]) | (not one))]
                 places = np.minimum(place[hit], place[q]) + 1 + np.minimum(size[hit] - place[hit], size[q] - place[q]) - 1
                 hit = hit[(100 + percent) * places >= percent * (size[hit] + size[q])]
-                found.append(np.stack([np.minimum(sid[hit], sid[q]), np.maximum(sid[hit], sid[q])], 1))
+                hit = hit if tree else hit[(100 + percent) * np.minimum(counts[hit], counts[q]).sum(axis=1) >= percent * (size[hit] + size[q])]
+                if len(hit):
+                    found.append(np.stack([np.minimum(sid[hit], sid[q]), np.maximum(sid[hit], sid[q])], 1))
         pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
@@ -268,10 +301,11 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     surveyed = written(rows.mapInArrow(lambda b: _survey(b, n), "doc_id long, n long, sid long, slot int, hits int"))
     narrow = surveyed.filter("slot IS NULL").select("doc_id", "n", "sid")
     classes = docs.sparkSession.sparkContext.broadcast(_classes(surveyed))  # 4 MB for any input
-    signed = _signatures(rows, n, percent, classes)
-    repeated = written(repeated_fingerprints(signed.select(F.col("token").alias("fp"))).select(F.col("fp").alias("token")))
-    cells = written(signed.join(repeated, "token"))
-    me = F.struct("sid", "n", "place", "point")
+    signed = written(_signed(rows, n, percent, classes))
+    bits = blocks.bits_for(signed.count())
+    answers = blocks.answered(signed.mapInArrow(lambda b: _send(b, bits), blocks.SENT))
+    cells = written(signed.join(answers, "chunk", "left").mapInArrow(lambda b: _cells(b, bits, percent), CELLS))
+    me = F.struct("sid", "n", "place", "unit", "point")
     turn = F.struct(F.xxhash64("sid").alias("turn"), me.alias("set"))
     pivots = cells.groupBy("token").agg(F.min(turn)["set"].alias("p1"), F.max(turn)["set"].alias("p2"), F.min(F.struct("n", me.alias("set")))["set"].alias("p3"), F.max(F.struct("n", me.alias("set")))["set"].alias("p4"))
     pivots = written(pivots.filter(~((F.col("p1.sid") == F.col("p2.sid")) & (F.col("p3.sid") == F.col("p4.sid")))))
@@ -282,8 +316,8 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
 
     def verified(pairs: DataFrame) -> DataFrame:
         asked = written(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(first, "sid").select(F.col("doc_id").alias("by"), F.col("sid").alias("of")))
-        packed = rows.mapInArrow(lambda b: _texts(b, n), "doc_id long, sid long, size long, packed binary")
-        packed = packed.join(asked, (F.col("sid") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("by")), "left_semi").dropDuplicates(["sid"])
+        texts = rows.join(asked, F.col("doc_id").eqNullSafe(F.col("by"))).select("text", "of")
+        packed = texts.mapInArrow(lambda b: _packed(b, n), "sid long, of long, size long, packed binary").filter("sid = of").dropDuplicates(["sid"])
         packed = written(packed.select("sid", "size", "packed"))
         side = lambda s: packed.select(F.col("sid").alias(s), F.col("size").alias(f"size_{s}"), F.col("packed").alias(f"packed_{s}"))
         return written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(lambda b: _verify(b, n, percent), "a long, b long"))
@@ -292,10 +326,10 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     labels = components(links)
     told = cells.join(written(labels).withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     told = written(told.select("token", "sid", "n", "place", "point", "label"))
-    mixed_cells = told.groupBy("token").agg(F.count("*").alias("rows"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    mixed_cells = told.groupBy("token").agg(F.count("*").alias("rows"), F.min("label").alias("low"), F.max("label").alias("high")).filter(f"low < high AND rows > {COVERED}")
     open_cells = told.join(written(mixed_cells.select("token", "rows")), "token")
-    blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
-    dealt = open_cells.withColumn("block", F.pmod(F.xxhash64("sid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    parts = F.ceil(F.col("rows") / BLOCK).cast("int")
+    dealt = open_cells.withColumn("block", F.pmod(F.xxhash64("sid"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     dealt = dealt.select("token", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "sid", "n", "place", "point", "label")
     dealt = dealt.repartition("token", "left", "right").sortWithinPartitions("token", "left", "right")
     more = dealt.mapInArrow(lambda b: _open_pairs(b, percent), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")

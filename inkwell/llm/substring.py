@@ -22,8 +22,8 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from . import blocks
 from .common import PASS_BYTES, shipped, slices, written
 from .hashing import Runs, Words, raw, windows
 
@@ -118,10 +118,6 @@ class Chunk:
         self.alive[at] = repeated[place] == self.least[at] if len(repeated) else False
 
 
-def _blocks(distinct: np.ndarray, bits: int) -> np.ndarray:
-    return np.searchsorted(distinct, np.arange((1 << bits), dtype=np.uint64) << np.uint64(64 - bits))
-
-
 def _remove(chunks: DataFrame, length: int, window: int, digest: bool, bits: int) -> DataFrame:
     """The next level's chunks, and (chunk null) the documents that are finished."""
     last = length == window
@@ -131,48 +127,18 @@ def _remove(chunks: DataFrame, length: int, window: int, digest: bool, bits: int
             for row in batch.to_pylist():
                 chunk = Chunk(row, window)
                 chunk.represent(length)
-                at = np.append(_blocks(chunk.distinct, bits), len(chunk.distinct))
-                full = np.flatnonzero(np.diff(at))
-                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), row["chunk"])), pa.array([chunk.distinct[at[b] : at[b + 1]].tobytes() for b in full.tolist()], pa.binary())], names=["block", "chunk", "hashes"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def answer(block: int, rows: list) -> pa.RecordBatch:
-            flat = np.concatenate([np.frombuffer(h, np.uint64) for _, h in rows])
-            _, back, count = np.unique(flat, return_inverse=True, return_counts=True)
-            shared, at, out = count[back] > 1, 0, []
-            for chunk, h in rows:
-                mine = shared[at : at + len(h) // 8]
-                at += len(h) // 8
-                if mine.any():
-                    out.append((chunk, block, np.packbits(mine).tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.binary())], names=["chunk", "block", "bits"])
-
-        now, rows = None, []
-        for batch in batches:
-            for block, chunk, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if block != now and rows:
-                    yield answer(now, rows)
-                    rows = []
-                now = block
-                rows.append((chunk, hashes))
-        if rows:
-            yield answer(now, rows)
+                yield blocks.sent(row["chunk"], chunk.distinct, bits)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 chunk = Chunk(row, window)
                 chunk.represent(length)
-                repeated = chunk.counts > 1
-                at = np.append(_blocks(chunk.distinct, bits), len(chunk.distinct))
-                for answer in row["answers"] or []:
-                    a, b = at[answer["block"]], at[answer["block"] + 1]
-                    repeated[a:b] |= np.unpackbits(np.frombuffer(answer["bits"], np.uint8), count=b - a).astype(bool)
+                repeated = (chunk.counts > 1) | blocks.shared(chunk.distinct, row["answers"], bits)
                 chunk.keep(chunk.distinct[repeated])
                 yield _finished(row["chunk"], chunk, last, digest)
 
-    sent = chunks.mapInArrow(send, "block int, chunk long, hashes binary").repartition("block").sortWithinPartitions("block")
-    answers = written(sent.mapInArrow(meet, "chunk long, block int, bits binary").groupBy("chunk").agg(F.collect_list(F.struct("block", "bits")).alias("answers")))
+    answers = blocks.answered(chunks.mapInArrow(send, blocks.SENT))
     return chunks.join(answers, "chunk", "left").mapInArrow(apply, f"{CHUNK}, doc_id long, n_words long, n_removed long, kept string")
 
 
@@ -207,7 +173,7 @@ def _finished(number: int, chunk: Chunk, last: bool, digest: bool) -> pa.RecordB
 def remove_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept of each row of docs (doc_id, text): the words that stay, joined by a blank, or with `digest` their SHA-256."""
     chunks = written(docs.select("doc_id", "text").mapInArrow(_chunks, CHUNK))
-    bits = min(16, max(4, (chunks.count() - 1).bit_length()))  # the blocks grow with the chunks
+    bits = blocks.bits_for(chunks.count())
     finished = None
     for length in levels(window):
         out = _remove(chunks, length, window, digest, bits)
