@@ -12,7 +12,8 @@ lower case. Sets link where 100 * intersection >= percent * union. Equal sets ar
 4. Stars. In each cell all sets are tried against four pivots; pairs whose bounds allow it are verified by their texts.
    So a group of thousands of near copies is joined by a few pairs for each member.
 5. R-trees. Cells whose sets lie in more than one component by then index their points in an R-tree (blocks of `BLOCK`
-   sets meet two at a time); searches with the bounds give the pairs still open, which are verified too. After that no
+   sets meet two at a time); searches with the bounds give the pairs still open. These are judged by finer points,
+   and what is left is verified too. After that no
    pair that could link two components is left.
 
 An R-tree over all points at once would prune next to nothing, as unrelated texts have much the same counts, hence step 2.
@@ -40,7 +41,9 @@ PERCENT = 75
 GROUPS = 8
 SLOT_BITS = 22
 BLOCK = 1024
-LEAF = 16
+LEAF = 32
+#: Coordinates of the finer points, by which pairs are judged once more before their texts are fetched.
+FINE = 256
 #: In cells of so many sets the pivots meet all others.
 COVERED = 3
 
@@ -88,6 +91,16 @@ def points(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _fine(hashes: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """FINE bytes for each of the rows: counts by other bits of the hash, in units of _unit(n), rounded up."""
+    out = np.empty((len(rows), FINE), np.uint8)
+    unit = _unit(np.diff(ends))
+    for k, i in enumerate(rows.tolist()):
+        count = np.bincount((hashes[ends[i] : ends[i + 1]] >> np.uint64(8)).astype(np.uint8), minlength=FINE)
+        out[k] = -(-count // unit[i])
+    return out
+
+
 def _coordinates(point: np.ndarray, size: np.ndarray) -> np.ndarray:
     return ((point.view(np.uint64)[:, None] >> (np.arange(GROUPS, dtype=np.uint64) * np.uint64(8))) & np.uint64(255)).astype(np.int64) * _unit(size)[:, None]
 
@@ -107,7 +120,7 @@ def _survey(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
     yield pa.RecordBatch.from_arrays([none, none, none, pa.array(at), pa.array(slots[at])], names=names)
 
 
-SIGNED = "chunk long, tokens binary, sids binary, sizes binary, points binary"
+SIGNED = "chunk long, tokens binary, sids binary, sizes binary, points binary, fine binary"
 CELLS = "token long, sid long, n int, place int, unit long, point long"
 
 
@@ -134,8 +147,8 @@ def _signed(docs: DataFrame, n: int, percent: int, classes) -> DataFrame:
             for i in once.tolist():
                 a, b = ends[i], ends[i + 1]
                 out.append(hashes[a:b][np.argsort(order[a:b], kind="stable")[: take[i]]])
-            columns = [np.concatenate(out), sid[once], size[once].astype(np.int32), point[once]]
-            yield pa.RecordBatch.from_arrays([pa.array([chunk]), *(pa.array([c.tobytes()], pa.binary()) for c in columns)], names=["chunk", "tokens", "sids", "sizes", "points"])
+            columns = [np.concatenate(out), sid[once], size[once].astype(np.int32), point[once], _fine(hashes, ends, once)]
+            yield pa.RecordBatch.from_arrays([pa.array([chunk]), *(pa.array([c.tobytes()], pa.binary()) for c in columns)], names=[x.split()[0] for x in SIGNED.split(", ")])
             chunk += 1
 
     return docs.select("text").mapInArrow(run, SIGNED)
@@ -160,6 +173,24 @@ def _cells(batches: Iterator[pa.RecordBatch], bits: int, percent: int) -> Iterat
             yield pa.RecordBatch.from_arrays([pa.array(tokens[some].view(np.int64)), pa.array(sid[of]), pa.array(size[of]), pa.array(place.astype(np.int32)), pa.array(_unit(size)[of]), pa.array(point[of])], names=["token", "sid", "n", "place", "unit", "point"])
 
 
+def _fine_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            sid, size = np.frombuffer(row["sids"], np.int64), np.frombuffer(row["sizes"], np.int32)
+            fine = [row["fine"][k : k + FINE] for k in range(0, len(row["fine"]), FINE)]
+            yield pa.RecordBatch.from_arrays([pa.array(sid), pa.array(size), pa.array(fine, pa.binary())], names=["sid", "n", "fine"])
+
+
+def _close(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """a, b of the pairs whose finer points allow a link."""
+    for batch in batches:
+        size = [batch.column(c).to_numpy().astype(np.int64) for c in (2, 4)]
+        fine = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, FINE) for c in (3, 5)]
+        same = np.minimum(*(f * _unit(n)[:, None] for f, n in zip(fine, size, strict=True))).sum(axis=1)
+        near = pa.array((100 + percent) * same >= percent * (size[0] + size[1]))
+        yield batch.filter(near).select(["a", "b"])
+
+
 def _packed(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
         text = part.column(0)
@@ -254,20 +285,26 @@ def _open_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
         block, sid, size, place, point, label = (t.column(c).to_numpy() for c in ("block", "sid", "n", "place", "point", "label"))
         size, place = size.astype(np.int64), place.astype(np.int64)
         one = t.column("left")[0].as_py() == t.column("right")[0].as_py()
-        inside = np.arange(len(sid)) if one else np.flatnonzero(block == t.column("left")[0].as_py())
-        asking = inside if one else np.flatnonzero(block != t.column("left")[0].as_py())
         counts, found = _coordinates(point, size), []
-        if len(inside) and len(asking):
-            tree = RTree(counts[inside], size[inside]) if len(inside) > LEAF else None
-            for q in asking.tolist():
-                hit = inside[tree.search(counts[q], int(size[q]), percent)] if tree else inside
-                hit = hit[(label[hit] != label[q]) & ((sid[hit] < sid[q]) | (not one))]
-                places = np.minimum(place[hit], place[q]) + 1 + np.minimum(size[hit] - place[hit], size[q] - place[q]) - 1
-                hit = hit[(100 + percent) * places >= percent * (size[hit] + size[q])]
-                hit = hit if tree else hit[(100 + percent) * np.minimum(counts[hit], counts[q]).sum(axis=1) >= percent * (size[hit] + size[q])]
-                if len(hit):
-                    found.append(np.stack([np.minimum(sid[hit], sid[q]), np.maximum(sid[hit], sid[q])], 1))
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+
+        def told(p: np.ndarray, q: np.ndarray) -> None:
+            """Pairs of rows p and q that pass the bounds on counts and places."""
+            p, q = (x[label[p] != label[q]] for x in (p, q))
+            need = percent * (size[p] + size[q])
+            fits = (100 + percent) * np.minimum(counts[p], counts[q]).sum(axis=1) >= need
+            fits &= (100 + percent) * (np.minimum(place[p], place[q]) + np.minimum(size[p] - place[p], size[q] - place[q])) >= need
+            found.append(np.stack([np.minimum(sid[p], sid[q]), np.maximum(sid[p], sid[q])], 1)[fits])
+
+        if one and len(sid) <= LEAF:
+            told(*np.triu_indices(len(sid), 1))
+        else:
+            inside = np.arange(len(sid)) if one else np.flatnonzero(block == t.column("left")[0].as_py())
+            asking = inside if one else np.flatnonzero(block != t.column("left")[0].as_py())
+            tree = RTree(counts[inside], size[inside]) if len(inside) else None
+            for q in asking.tolist() if tree else []:
+                hit = inside[tree.search(counts[q], int(size[q]), percent)]
+                told(hit, np.full(len(hit), q))
+        pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     kept: list[pa.RecordBatch] = []
@@ -334,6 +371,11 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     dealt = dealt.repartition("token", "left", "right").sortWithinPartitions("token", "left", "right")
     more = dealt.mapInArrow(lambda b: _open_pairs(b, percent), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
     more = written(more)
+    asked = more.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    fine = written(signed.select("sids", "sizes", "fine").mapInArrow(_fine_rows, "sid long, n int, fine binary").join(written(asked), "sid", "left_semi").dropDuplicates(["sid"]))
+    end = lambda s: fine.select(F.col("sid").alias(s), F.col("n").alias(f"n_{s}"), F.col("fine").alias(f"fine_{s}"))
+    more = more.join(end("a"), "a").join(end("b"), "b").select("a", "b", "n_a", "fine_a", "n_b", "fine_b")
+    more = written(more.mapInArrow(lambda b: _close(b, percent), "a long, b long"))
     if not more.isEmpty():
         labels = components(links.unionByName(verified(more)))
     known = narrow.filter("n > 0").join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "sid", F.coalesce("label", "sid").alias("label"))
