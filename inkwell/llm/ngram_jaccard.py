@@ -9,11 +9,11 @@ lower case. Sets link where 100 * intersection >= percent * union. Equal sets ar
    set (chunks of documents ask the blocks of the hash space) are the cells within which sets are compared.
 3. Points. A set is a point of `GROUPS` coordinates: how many of its shingles hash to each group. The summed minima of
    two points bound their overlap, as do their sizes and the shared shingle's place in the order.
-4. Stars. In each cell all sets are tried against four pivots; pairs whose bounds allow it are verified by their texts.
-   So a group of thousands of near copies is joined by a few pairs for each member.
+4. Stars. In each cell all sets are tried against two pivots, the least and the greatest by hash. Pairs whose points,
+   here of `FINE` coordinates, allow a link are verified by their texts. So a group of thousands of near copies is joined by a few pairs for each member.
 5. R-trees. Cells whose sets lie in more than one component by then index their points in an R-tree (blocks of `BLOCK`
-   sets meet two at a time); searches with the bounds give the pairs still open. These are judged by finer points,
-   and what is left is verified too. After that no
+   sets meet two at a time); searches with the bounds give the pairs still open. These are judged
+   by the finer points and verified like the stars. After that no
    pair that could link two components is left.
 
 An R-tree over all points at once would prune next to nothing, as unrelated texts have much the same counts, hence step 2.
@@ -24,11 +24,10 @@ known by hashes of 64 bits. Further columns don't take part.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
@@ -42,7 +41,7 @@ GROUPS = 8
 SLOT_BITS = 22
 BLOCK = 1024
 LEAF = 32
-#: Coordinates of the finer points, by which pairs are judged once more before their texts are fetched.
+#: Coordinates of the finer points, by which pairs are judged before their texts are fetched.
 FINE = 256
 #: In cells of so many sets the pivots meet all others.
 COVERED = 3
@@ -121,7 +120,7 @@ def _survey(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
 
 
 SIGNED = "chunk long, tokens binary, sids binary, sizes binary, points binary, fine binary"
-CELLS = "token long, sid long, n int, place int, unit long, point long"
+CELLS = "token long, sid long, n int, place int, point long"
 
 
 def _prefix(size: np.ndarray, percent: int) -> np.ndarray:
@@ -170,7 +169,7 @@ def _cells(batches: Iterator[pa.RecordBatch], bits: int, percent: int) -> Iterat
             take = _prefix(size.astype(np.int64), percent)
             of = np.repeat(np.arange(len(sid)), take)[some]
             place = (np.arange(len(tokens)) - np.repeat(np.cumsum(take) - take, take))[some]
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[some].view(np.int64)), pa.array(sid[of]), pa.array(size[of]), pa.array(place.astype(np.int32)), pa.array(_unit(size)[of]), pa.array(point[of])], names=["token", "sid", "n", "place", "unit", "point"])
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[some].view(np.int64)), pa.array(sid[of]), pa.array(size[of]), pa.array(place.astype(np.int32)), pa.array(point[of])], names=["token", "sid", "n", "place", "point"])
 
 
 def _fine_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,18 +223,6 @@ def _verify(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _plausible(x: str, y: str, percent: int) -> Column:
-    """Whether the bounds on sizes, places and counts let the sets of the structs x and y link."""
-    x, y = F.col(x), F.col(y)
-    need = percent * (x["n"] + y["n"])
-    least = lambda f: F.least(f(x), f(y))
-    places = least(lambda s: s["place"]) + 1 + least(lambda s: s["n"] - s["place"] - 1)
-    count = lambda s, g: F.shiftrightunsigned(s["point"], 8 * g).bitwiseAND(255) * s["unit"]
-    minima = reduce(lambda a, b: a + b, [F.least(count(x, g), count(y, g)) for g in range(GROUPS)])
-    sizes = 100 * least(lambda s: s["n"]) >= percent * F.greatest(x["n"], y["n"])
-    return sizes & ((100 + percent) * places >= need) & ((100 + percent) * minima >= need)
-
-
 class RTree:
     """Sort-tile-recursive packing of points; a node knows its points' greatest counts and least and greatest size."""
 
@@ -342,16 +329,18 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     bits = blocks.bits_for(signed.count())
     answers = blocks.answered(signed.mapInArrow(lambda b: _send(b, bits), blocks.SENT))
     cells = written(signed.join(answers, "chunk", "left").mapInArrow(lambda b: _cells(b, bits, percent), CELLS))
-    me = F.struct("sid", "n", "place", "unit", "point")
-    turn = F.struct(F.xxhash64("sid").alias("turn"), me.alias("set"))
-    pivots = cells.groupBy("token").agg(F.min(turn)["set"].alias("p1"), F.max(turn)["set"].alias("p2"), F.min(F.struct("n", me.alias("set")))["set"].alias("p3"), F.max(F.struct("n", me.alias("set")))["set"].alias("p4"))
-    pivots = written(pivots.filter(~((F.col("p1.sid") == F.col("p2.sid")) & (F.col("p3.sid") == F.col("p4.sid")))))
-    tried = cells.join(pivots, "token").select(me.alias("x"), F.explode(F.array("p1", "p2", "p3", "p4")).alias("y"))
-    tried = tried.filter((F.col("x.sid") != F.col("y.sid")) & _plausible("x", "y", percent))
-    stars = written(tried.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct())
+    pivots = written(cells.groupBy("token").agg(F.min("sid").alias("low"), F.max("sid").alias("high"), F.count("*").alias("rows")).filter("low < high"))
+    tried = cells.select("token", "sid").join(pivots, "token").select("sid", F.explode(F.array("low", "high")).alias("pivot")).filter("sid != pivot")
+    stars = written(tried.select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")).distinct())
     first = narrow.groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
 
     def verified(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+        fine = signed.select("sids", "sizes", "fine").mapInArrow(_fine_rows, "sid long, n int, fine binary")
+        fine = written(fine.join(written(ends), "sid", "left_semi").dropDuplicates(["sid"]))
+        end = lambda s: fine.select(F.col("sid").alias(s), F.col("n").alias(f"n_{s}"), F.col("fine").alias(f"fine_{s}"))
+        both = pairs.join(end("a"), "a").join(end("b"), "b").select("a", "b", "n_a", "fine_a", "n_b", "fine_b")
+        pairs = written(both.mapInArrow(lambda b: _close(b, percent), "a long, b long"))
         asked = written(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(first, "sid").select(F.col("doc_id").alias("by"), F.col("sid").alias("of")))
         texts = rows.join(asked, F.col("doc_id").eqNullSafe(F.col("by"))).select("text", "of")
         packed = texts.mapInArrow(lambda b: _packed(b, n), "sid long, of long, size long, packed binary").filter("sid = of").dropDuplicates(["sid"])
@@ -361,9 +350,10 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
 
     links = verified(stars)
     labels = components(links)
-    told = cells.join(written(labels).withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    wide = cells.join(pivots.filter(f"rows > {COVERED}").select("token"), "token")
+    told = wide.join(written(labels).withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     told = written(told.select("token", "sid", "n", "place", "point", "label"))
-    mixed_cells = told.groupBy("token").agg(F.count("*").alias("rows"), F.min("label").alias("low"), F.max("label").alias("high")).filter(f"low < high AND rows > {COVERED}")
+    mixed_cells = told.groupBy("token").agg(F.count("*").alias("rows"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
     open_cells = told.join(written(mixed_cells.select("token", "rows")), "token")
     parts = F.ceil(F.col("rows") / BLOCK).cast("int")
     dealt = open_cells.withColumn("block", F.pmod(F.xxhash64("sid"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
@@ -371,11 +361,6 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     dealt = dealt.repartition("token", "left", "right").sortWithinPartitions("token", "left", "right")
     more = dealt.mapInArrow(lambda b: _open_pairs(b, percent), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
     more = written(more)
-    asked = more.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    fine = written(signed.select("sids", "sizes", "fine").mapInArrow(_fine_rows, "sid long, n int, fine binary").join(written(asked), "sid", "left_semi").dropDuplicates(["sid"]))
-    end = lambda s: fine.select(F.col("sid").alias(s), F.col("n").alias(f"n_{s}"), F.col("fine").alias(f"fine_{s}"))
-    more = more.join(end("a"), "a").join(end("b"), "b").select("a", "b", "n_a", "fine_a", "n_b", "fine_b")
-    more = written(more.mapInArrow(lambda b: _close(b, percent), "a long, b long"))
     if not more.isEmpty():
         labels = components(links.unionByName(verified(more)))
     known = narrow.filter("n > 0").join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "sid", F.coalesce("label", "sid").alias("label"))
