@@ -33,6 +33,54 @@ def sent(chunk: int, distinct: np.ndarray, bits: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), chunk)), pa.array([distinct[at[b] : at[b + 1]].tobytes() for b in full.tolist()], pa.binary())], names=["block", "chunk", "hashes"])
 
 
+def short(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The upper bits by which counted() knows a hash: its block and 32 more."""
+    return hashes >> np.uint64(32 - bits)
+
+
+def sent_short(chunk: int, distinct: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Ascending distinct short() hashes by block, four bytes each; rows as in SENT."""
+    at = np.append(np.searchsorted(distinct, np.arange(1 << bits, dtype=np.uint64) << np.uint64(32)), len(distinct))
+    full, low = np.flatnonzero(np.diff(at)), distinct.astype(np.uint32)
+    return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), chunk)), pa.array([low[at[b] : at[b + 1]].tobytes() for b in full.tolist()], pa.binary())], names=["block", "chunk", "hashes"])
+
+
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list]]:
+    now, rows = None, []
+    for batch in batches:
+        for block, chunk, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if block != now and rows:
+                yield now, rows
+                rows = []
+            now = block
+            rows.append((chunk, hashes))
+    if rows:
+        yield now, rows
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for block, rows in _by_block(batches):
+        flat = np.concatenate([np.frombuffer(h, np.uint32) for _, h in rows])
+        flat.sort()
+        heads = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+        values, count = flat[heads], np.diff(np.append(heads, len(flat)))
+        level = np.frexp(count.astype(np.float64))[1].astype(np.uint8)
+        out = [pa.compress(level[np.searchsorted(values, np.frombuffer(h, np.uint32))].tobytes(), codec="zstd", asbytes=True) for _, h in rows]
+        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int64()), pa.array([block] * len(rows), pa.int32()), pa.array([len(h) // 4 for _, h in rows], pa.int32()), pa.array(out, pa.binary())], names=["chunk", "block", "size", "levels"])
+
+
+def counted(hashes: DataFrame) -> DataFrame:
+    """chunk, answers for rows of sent_short(): for each hash the binary digits of the number of chunks that have it."""
+    dealt = hashes.repartition("block").sortWithinPartitions("block")
+    return written(dealt.mapInArrow(_count, "chunk long, block int, size int, levels binary").groupBy("chunk").agg(F.collect_list(F.struct("block", "size", "levels")).alias("answers")))
+
+
+def levels(answers: list) -> np.ndarray:
+    """The answers to a chunk, in the order of its hashes."""
+    each = sorted(answers or [], key=lambda a: a["block"])
+    return np.frombuffer(b"".join(pa.decompress(a["levels"], decompressed_size=a["size"], codec="zstd", asbytes=True) for a in each), np.uint8)
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def answer(block: int, rows: list) -> pa.RecordBatch:
         flat = np.concatenate([np.frombuffer(h, np.uint64) for _, h in rows])
@@ -45,16 +93,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out.append((chunk, block, np.packbits(mine).tobytes()))
         return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.binary())], names=["chunk", "block", "bits"])
 
-    now, rows = None, []
-    for batch in batches:
-        for block, chunk, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if block != now and rows:
-                yield answer(now, rows)
-                rows = []
-            now = block
-            rows.append((chunk, hashes))
-    if rows:
-        yield answer(now, rows)
+    for block, rows in _by_block(batches):
+        yield answer(block, rows)
 
 
 def answered(hashes: DataFrame) -> DataFrame:

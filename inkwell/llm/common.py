@@ -29,10 +29,10 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/inkwell-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows as a table in the shared folder: cuts the lineage, survives lost executors, has a known size."""
+def written(df: DataFrame, by: str | None = None) -> DataFrame:
+    """The rows as a table in the shared folder, in a folder for each value of `by`: cuts the lineage, survives lost executors, has a known size."""
     spark, path = df.sparkSession, scratch(df.sparkSession)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -3,14 +3,15 @@
 A document's set holds its distinct shingles of `N` words (fewer words: the whole sequence as one; none: empty), A-Z in
 lower case. Sets link where 100 * intersection >= percent * union. Equal sets are one; the rest goes in these steps.
 
-1. Order. A sketch of fixed size (2**SLOT_BITS counters) says roughly how common a shingle is; shingles are ordered by
-   that, then by hash. Any order gives the same links; this one keeps common passages out of the next step.
-2. Deal. Linked sets share one of their first n - ceil(percent * n / 100) + 1 shingles. Those that stand in more than one
-   set (chunks of documents ask the blocks of the hash space) are the cells within which sets are compared.
+1. Order. Documents travel in chunks, and each chunk asks the blocks of the hash space how many chunks have each of its
+   shingles. Shingles are ordered by that number, then by hash, so that what is common comes last.
+2. Deal. Linked sets share one of their first n - ceil(percent * n / 100) + 1 shingles. Those that stand in another set
+   too are the cells within which sets are compared; a set with enough shingles of its own has none.
 3. Points. A set is a point of `GROUPS` coordinates: how many of its shingles hash to each group. The summed minima of
    two points bound their overlap, as do their sizes and the shared shingle's place in the order.
 4. Stars. In each cell all sets are tried against two pivots, the least and the greatest by hash. Pairs whose points,
-   here of `FINE` coordinates, allow a link are verified by their texts. So a group of thousands of near copies is joined by a few pairs for each member.
+   here of `FINE` coordinates, allow a link are verified by their texts. So a group of thousands of near copies is joined
+   by a few pairs for each member.
 5. R-trees. Cells whose sets lie in more than one component by then index their points in an R-tree (blocks of `BLOCK`
    sets meet two at a time); searches with the bounds give the pairs still open. These are judged
    by the finer points and verified like the stars. After that no
@@ -31,14 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import shipped, slices, written
+from .common import shipped, written
 from .components import components
-from .hashing import Runs, Words, mixed, raw
+from .hashing import Runs, Words, mixed
+from .substring import chunked
 
 N = 5
 PERCENT = 75
 GROUPS = 8
-SLOT_BITS = 22
 BLOCK = 1024
 LEAF = 32
 #: Coordinates of the finer points, by which pairs are judged before their texts are fetched.
@@ -104,80 +105,68 @@ def _coordinates(point: np.ndarray, size: np.ndarray) -> np.ndarray:
     return ((point.view(np.uint64)[:, None] >> (np.arange(GROUPS, dtype=np.uint64) * np.uint64(8))) & np.uint64(255)).astype(np.int64) * _unit(size)[:, None]
 
 
-def _survey(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, n, sid of each row; and, at the end of the task, its crowded counters of the sketch (slot, hits)."""
-    slots, seen = np.zeros(1 << SLOT_BITS, np.int32), 0
-    names = ["doc_id", "n", "sid", "slot", "hits"]
-    for part in slices(batches):
-        hashes, ends = shingles(part.column(1), n)
-        slots += np.bincount((hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(slots)).astype(np.int32)
-        seen += len(hashes)
-        none = pa.nulls(part.num_rows, pa.int32())
-        yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(np.diff(ends)), pa.array(set_ids(hashes, ends)), none, none], names=names)
-    at = np.flatnonzero(slots >= 4 + 4 * seen // len(slots)).astype(np.int32)
-    none = pa.nulls(len(at), pa.int64())
-    yield pa.RecordBatch.from_arrays([none, none, none, pa.array(at), pa.array(slots[at])], names=names)
-
-
-SIGNED = "chunk long, tokens binary, sids binary, sizes binary, points binary, fine binary"
-CELLS = "token long, sid long, n int, place int, point long"
+#: A row for each document (doc_id, n, sid), for each set with cells (near: sid, n, fine, size, packed) and for each of its cells.
+SIGNED = "kind string, doc_id long, sid long, n int, token long, place int, point long, fine binary, size long, packed binary"
 
 
 def _prefix(size: np.ndarray, percent: int) -> np.ndarray:
     return np.where(size > 0, size - -(-percent * size // 100) + 1, 0)
 
 
-def _signed(docs: DataFrame, n: int, percent: int, classes) -> DataFrame:
-    """Chunks of documents: for each distinct set its id, size and point, and the shingles by which it may be found, in order."""
+def _chunk(row: dict, n: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """A chunk's texts with their shingles."""
+    whole = pa.decompress(row["texts"], decompressed_size=row["size"], codec="zstd", asbytes=True) if row["size"] else b""
+    at = np.concatenate([[0], np.frombuffer(row["ends"], np.int64)])
+    texts = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at.tobytes()), pa.py_buffer(whole))
+    return [whole[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], *shingles(texts, n)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        rank = classes.value
-        chunk = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
-        for part in slices(batches):
-            hashes, ends = shingles(part.column(0), n)
-            size, sid, point = np.diff(ends), set_ids(hashes, ends), points(hashes, ends)
-            _, once = np.unique(sid, return_index=True)
-            once = once[size[once] > 0]
-            order = (rank[(hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (hashes >> np.uint64(6))
-            take = _prefix(size, percent).tolist()
-            out = [np.zeros(0, np.uint64)]
-            for i in once.tolist():
-                a, b = ends[i], ends[i + 1]
-                out.append(hashes[a:b][np.argsort(order[a:b], kind="stable")[: take[i]]])
-            columns = [np.concatenate(out), sid[once], size[once].astype(np.int32), point[once], _fine(hashes, ends, once)]
-            yield pa.RecordBatch.from_arrays([pa.array([chunk]), *(pa.array([c.tobytes()], pa.binary()) for c in columns)], names=[x.split()[0] for x in SIGNED.split(", ")])
-            chunk += 1
-
-    return docs.select("text").mapInArrow(run, SIGNED)
-
-
-def _send(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+def _ask(batches: Iterator[pa.RecordBatch], n: int, bits: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            yield blocks.sent(row["chunk"], np.unique(np.frombuffer(row["tokens"], np.uint64)), bits)
+            _, hashes, _ = _chunk(row, n)
+            yield blocks.sent_short(row["chunk"], np.unique(blocks.short(hashes, bits)), bits)
 
 
-def _cells(batches: Iterator[pa.RecordBatch], bits: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """The chunks' shingles that stand in another set too."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            tokens, sid, size, point = (np.frombuffer(row[k], t) for k, t in (("tokens", np.uint64), ("sids", np.int64), ("sizes", np.int32), ("points", np.int64)))
-            distinct, back, count = np.unique(tokens, return_inverse=True, return_counts=True)
-            some = ((count > 1) | blocks.shared(distinct, row["answers"], bits))[back]
-            take = _prefix(size.astype(np.int64), percent)
-            of = np.repeat(np.arange(len(sid)), take)[some]
-            place = (np.arange(len(tokens)) - np.repeat(np.cumsum(take) - take, take))[some]
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[some].view(np.int64)), pa.array(sid[of]), pa.array(size[of]), pa.array(place.astype(np.int32)), pa.array(point[of])], names=["token", "sid", "n", "place", "point"])
+def _sign(batches: Iterator[pa.RecordBatch], n: int, percent: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """Rows as in SIGNED of each chunk; rank: how common a shingle is, by the chunks that have it, or by sets if one has."""
+    kinds = dict(x.split() for x in SIGNED.split(", "))
+    types = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
 
+    def told(kind: str, count: int, **columns) -> pa.RecordBatch:
+        columns["kind"] = [kind] * count
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], types[t]) if c in columns else pa.nulls(count, types[t]) for c, t in kinds.items()], names=list(kinds))
 
-def _fine_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            sid, size = np.frombuffer(row["sids"], np.int64), np.frombuffer(row["sizes"], np.int32)
-            fine = [row["fine"][k : k + FINE] for k in range(0, len(row["fine"]), FINE)]
-            yield pa.RecordBatch.from_arrays([pa.array(sid), pa.array(size), pa.array(fine, pa.binary())], names=["sid", "n", "fine"])
+            texts, hashes, ends = _chunk(row, n)
+            size, sid, point = np.diff(ends), set_ids(hashes, ends), points(hashes, ends)
+            yield told("doc", len(size), doc_id=row["ids"], n=size.astype(np.int32), sid=sid)
+            _, once = np.unique(sid, return_index=True)
+            once = once[size[once] > 0]
+            first = np.zeros(len(size), bool)
+            first[once] = True
+            _, back = np.unique(blocks.short(hashes, bits), return_inverse=True)
+            local = np.bincount(back, weights=np.repeat(first, size)).astype(np.int64) if len(back) else back
+            chunks = blocks.levels(row["answers"]).astype(np.int64)
+            rank = np.where(chunks > 1, 8 + chunks, np.minimum(local, 8))[back].astype(np.uint64)
+            order, take = (rank << np.uint64(58)) | (hashes >> np.uint64(6)), _prefix(size, percent).tolist()
+            tokens, places, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], []
+            for i in once.tolist():
+                a, b = ends[i], ends[i + 1]
+                lead = np.argsort(order[a:b], kind="stable")[: take[i]]
+                some = np.flatnonzero(rank[a:b][lead] > 1)
+                if len(some):
+                    tokens.append(hashes[a:b][lead[some]])
+                    places.append(some.astype(np.int32))
+                    rows.append(i)
+            if rows:
+                rows = np.array(rows)
+                of = np.repeat(rows, [len(t) for t in tokens[1:]])
+                yield told("cell", len(of), sid=sid[of], n=size[of].astype(np.int32), token=np.concatenate(tokens).view(np.int64), place=np.concatenate(places), point=point[of])
+                fine = _fine(hashes, ends, rows)
+                packed = [pa.compress(texts[i], codec="zstd", asbytes=True) for i in rows.tolist()]
+                yield told("near", len(rows), sid=sid[rows], n=size[rows].astype(np.int32), fine=[f.tobytes() for f in fine], size=[len(texts[i]) for i in rows.tolist()], packed=packed)
 
 
 def _close(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -190,15 +179,6 @@ def _close(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
         yield batch.filter(near).select(["a", "b"])
 
 
-def _packed(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches):
-        text = part.column(0)
-        data, rows = raw(text)
-        whole, rows = data.tobytes(), rows.tolist()
-        packed = [pa.compress(whole[a:b], codec="zstd", asbytes=True) if b > a else b"" for a, b in zip(rows[:-1], rows[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(set_ids(*shingles(text, n))), part.column(1), pa.array(np.diff(rows)), pa.array(packed, pa.binary())], names=["sid", "of", "size", "packed"])
-
-
 def _verify(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
     """a, b of the pairs that link; in: a, b and both texts."""
     kept: dict = {}
@@ -311,24 +291,15 @@ def _open_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
         yield cell(pa.Table.from_batches(kept))
 
 
-def _classes(surveyed: DataFrame) -> np.ndarray:
-    """The sketch as one byte for each slot: the logarithm of its hits, 0 where no task found it crowded. At most 2**SLOT_BITS rows come to the driver."""
-    out = np.zeros(1 << SLOT_BITS, np.uint8)
-    for slot, hits in surveyed.filter("slot IS NOT NULL").groupBy("slot").agg(F.sum("hits")).toLocalIterator():
-        out[slot] = min(int(hits).bit_length(), 63)
-    return out
-
-
 def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs (doc_id, text)."""
-    rows = docs.select("doc_id", "text")
-    surveyed = written(rows.mapInArrow(lambda b: _survey(b, n), "doc_id long, n long, sid long, slot int, hits int"))
-    narrow = surveyed.filter("slot IS NULL").select("doc_id", "n", "sid")
-    classes = docs.sparkSession.sparkContext.broadcast(_classes(surveyed))  # 4 MB for any input
-    signed = written(_signed(rows, n, percent, classes))
-    bits = blocks.bits_for(signed.count())
-    answers = blocks.answered(signed.mapInArrow(lambda b: _send(b, bits), blocks.SENT))
-    cells = written(signed.join(answers, "chunk", "left").mapInArrow(lambda b: _cells(b, bits, percent), CELLS))
+    chunks = chunked(docs)
+    bits = blocks.bits_for(chunks.count())
+    answers = blocks.counted(chunks.mapInArrow(lambda b: _ask(b, n, bits), blocks.SENT))
+    signed = written(chunks.join(answers, "chunk", "left").mapInArrow(lambda b: _sign(b, n, percent, bits), SIGNED), by="kind")
+    narrow = signed.filter("kind = 'doc'").select("doc_id", F.col("n").cast("long").alias("n"), "sid")
+    cells = signed.filter("kind = 'cell'").select("token", "sid", "n", "place", "point")
+    near = signed.filter("kind = 'near'").select("sid", "n", "fine", "size", "packed")
     pivots = written(cells.groupBy("token").agg(F.min("sid").alias("low"), F.max("sid").alias("high"), F.count("*").alias("rows")).filter("low < high"))
     tried = cells.select("token", "sid").join(pivots, "token").select("sid", F.explode(F.array("low", "high")).alias("pivot")).filter("sid != pivot")
     stars = written(tried.select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")).distinct())
@@ -336,15 +307,11 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
 
     def verified(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-        fine = signed.select("sids", "sizes", "fine").mapInArrow(_fine_rows, "sid long, n int, fine binary")
-        fine = written(fine.join(written(ends), "sid", "left_semi").dropDuplicates(["sid"]))
-        end = lambda s: fine.select(F.col("sid").alias(s), F.col("n").alias(f"n_{s}"), F.col("fine").alias(f"fine_{s}"))
+        sets = written(near.join(written(ends), "sid", "left_semi").dropDuplicates(["sid"]))
+        end = lambda s: sets.select(F.col("sid").alias(s), F.col("n").alias(f"n_{s}"), F.col("fine").alias(f"fine_{s}"))
         both = pairs.join(end("a"), "a").join(end("b"), "b").select("a", "b", "n_a", "fine_a", "n_b", "fine_b")
         pairs = written(both.mapInArrow(lambda b: _close(b, percent), "a long, b long"))
-        asked = written(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(first, "sid").select(F.col("doc_id").alias("by"), F.col("sid").alias("of")))
-        texts = rows.join(asked, F.col("doc_id").eqNullSafe(F.col("by"))).select("text", "of")
-        packed = texts.mapInArrow(lambda b: _packed(b, n), "sid long, of long, size long, packed binary").filter("sid = of").dropDuplicates(["sid"])
-        packed = written(packed.select("sid", "size", "packed"))
+        packed = sets.select("sid", "size", "packed")
         side = lambda s: packed.select(F.col("sid").alias(s), F.col("size").alias(f"size_{s}"), F.col("packed").alias(f"packed_{s}"))
         return written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(lambda b: _verify(b, n, percent), "a long, b long"))
 

@@ -79,6 +79,11 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch([_packed(number, ids, texts, None)])
 
 
+def chunked(docs: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text) in chunks, as a table."""
+    return written(docs.select("doc_id", "text").mapInArrow(_chunks, CHUNK))
+
+
 class Chunk:
     """A chunk's documents as words, and the hashes that stand for its living windows at a length."""
 
@@ -172,7 +177,7 @@ def _finished(number: int, chunk: Chunk, last: bool, digest: bool) -> pa.RecordB
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept of each row of docs (doc_id, text): the words that stay, joined by a blank, or with `digest` their SHA-256."""
-    chunks = written(docs.select("doc_id", "text").mapInArrow(_chunks, CHUNK))
+    chunks = chunked(docs)
     bits = blocks.bits_for(chunks.count())
     finished = None
     for length in levels(window):
