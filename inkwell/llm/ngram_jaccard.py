@@ -13,9 +13,8 @@ lower case. Sets link where 100 * intersection >= percent * union. Equal sets ar
    here of `FINE` coordinates, allow a link are verified by their texts. So a group of thousands of near copies is joined
    by a few pairs for each member.
 5. R-trees. Cells whose sets lie in more than one component by then index their points in an R-tree (blocks of `BLOCK`
-   sets meet two at a time); searches with the bounds give the pairs still open. These are judged
-   by the finer points and verified like the stars. After that no
-   pair that could link two components is left.
+   sets meet two at a time); searches with the bounds, and the finer points, give the pairs still open,
+   which are verified like the stars. After that no pair that could link two components is left.
 
 An R-tree over all points at once would prune next to nothing, as unrelated texts have much the same counts, hence step 2.
 Null texts count as empty; empty sets link with nothing. Rows that repeat a text, or a doc_id, each get a row. Sets are
@@ -245,7 +244,7 @@ class RTree:
 
 
 def _open_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components that the bounds allow, cell by cell; rows: token, left, right, block, sid, n, place, point, label."""
+    """Pairs of different components that the bounds allow, cell by cell; rows: token, left, right, block, sid, n, place, point, label, fine."""
 
     def cell(t: pa.Table) -> pa.RecordBatch:
         """Few sets are a single leaf and need no tree."""
@@ -253,12 +252,13 @@ def _open_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
         size, place = size.astype(np.int64), place.astype(np.int64)
         one = t.column("left")[0].as_py() == t.column("right")[0].as_py()
         counts, found = _coordinates(point, size), []
+        fine = np.frombuffer(b"".join(t.column("fine").to_pylist()), np.uint8).reshape(-1, FINE) * _unit(size)[:, None].astype(np.int32)
 
         def told(p: np.ndarray, q: np.ndarray) -> None:
             """Pairs of rows p and q that pass the bounds on counts and places."""
             p, q = (x[label[p] != label[q]] for x in (p, q))
             need = percent * (size[p] + size[q])
-            fits = (100 + percent) * np.minimum(counts[p], counts[q]).sum(axis=1) >= need
+            fits = (100 + percent) * np.minimum(fine[p], fine[q]).sum(axis=1) >= need
             fits &= (100 + percent) * (np.minimum(place[p], place[q]) + np.minimum(size[p] - place[p], size[q] - place[q])) >= need
             found.append(np.stack([np.minimum(sid[p], sid[q]), np.maximum(sid[p], sid[q])], 1)[fits])
 
@@ -305,31 +305,35 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     stars = written(tried.select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")).distinct())
     first = narrow.groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame, judged: bool) -> DataFrame:
+        """Those that link; judged: their finer points are known to allow it."""
         ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
         sets = written(near.join(written(ends), "sid", "left_semi").dropDuplicates(["sid"]))
-        end = lambda s: sets.select(F.col("sid").alias(s), F.col("n").alias(f"n_{s}"), F.col("fine").alias(f"fine_{s}"))
-        both = pairs.join(end("a"), "a").join(end("b"), "b").select("a", "b", "n_a", "fine_a", "n_b", "fine_b")
-        pairs = written(both.mapInArrow(lambda b: _close(b, percent), "a long, b long"))
+        if not judged:
+            end = lambda s: sets.select(F.col("sid").alias(s), F.col("n").alias(f"n_{s}"), F.col("fine").alias(f"fine_{s}"))
+            both = pairs.join(end("a"), "a").join(end("b"), "b").select("a", "b", "n_a", "fine_a", "n_b", "fine_b")
+            pairs = written(both.mapInArrow(lambda b: _close(b, percent), "a long, b long"))
         packed = sets.select("sid", "size", "packed")
         side = lambda s: packed.select(F.col("sid").alias(s), F.col("size").alias(f"size_{s}"), F.col("packed").alias(f"packed_{s}"))
         return written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(lambda b: _verify(b, n, percent), "a long, b long"))
 
-    links = verified(stars)
+    links = verified(stars, False)
     labels = components(links)
     wide = cells.join(pivots.filter(f"rows > {COVERED}").select("token"), "token")
     told = wide.join(written(labels).withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     told = written(told.select("token", "sid", "n", "place", "point", "label"))
     mixed_cells = told.groupBy("token").agg(F.count("*").alias("rows"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
     open_cells = told.join(written(mixed_cells.select("token", "rows")), "token")
+    points_of = near.select("sid", "fine").join(written(open_cells.select("sid").distinct()), "sid", "left_semi").dropDuplicates(["sid"])
+    open_cells = open_cells.join(written(points_of), "sid")
     parts = F.ceil(F.col("rows") / BLOCK).cast("int")
     dealt = open_cells.withColumn("block", F.pmod(F.xxhash64("sid"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    dealt = dealt.select("token", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "sid", "n", "place", "point", "label")
+    dealt = dealt.select("token", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "sid", "n", "place", "point", "label", "fine")
     dealt = dealt.repartition("token", "left", "right").sortWithinPartitions("token", "left", "right")
     more = dealt.mapInArrow(lambda b: _open_pairs(b, percent), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
     more = written(more)
     if not more.isEmpty():
-        labels = components(links.unionByName(verified(more)))
+        labels = components(links.unionByName(verified(more, True)))
     known = narrow.filter("n > 0").join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "sid", F.coalesce("label", "sid").alias("label"))
     names = known.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     each = written(labels.withColumnRenamed("node", "sid").join(names, "label").select("sid", "component_id"))
