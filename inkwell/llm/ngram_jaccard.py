@@ -43,6 +43,8 @@ BLOCK = 1024
 LEAF = 32
 #: Coordinates of the finer points, by which pairs are judged before their texts are fetched.
 FINE = 256
+#: A set carries its least cell shingles, so that a pair can be left to the least cell that both are seen to share.
+LOWS = 8
 #: In cells of so many sets the pivots meet all others.
 COVERED = 3
 
@@ -105,7 +107,7 @@ def _coordinates(point: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 #: A row for each document (doc_id, n, sid), for each set with cells (near: sid, n, fine, size, packed) and for each of its cells.
-SIGNED = "kind string, doc_id long, sid long, n int, token long, place int, point long, fine binary, size long, packed binary"
+SIGNED = "kind string, doc_id long, sid long, n int, token long, place int, point long, fine binary, lows binary, size long, packed binary"
 
 
 def _prefix(size: np.ndarray, percent: int) -> np.ndarray:
@@ -165,7 +167,8 @@ def _sign(batches: Iterator[pa.RecordBatch], n: int, percent: int, bits: int) ->
                 yield told("cell", len(of), sid=sid[of], n=size[of].astype(np.int32), token=np.concatenate(tokens).view(np.int64), place=np.concatenate(places), point=point[of])
                 fine = _fine(hashes, ends, rows)
                 packed = [pa.compress(texts[i], codec="zstd", asbytes=True) for i in rows.tolist()]
-                yield told("near", len(rows), sid=sid[rows], n=size[rows].astype(np.int32), fine=[f.tobytes() for f in fine], size=[len(texts[i]) for i in rows.tolist()], packed=packed)
+                lows = [np.pad(np.sort(t)[:LOWS], (0, max(0, LOWS - len(t))), constant_values=~np.uint64(0)).tobytes() for t in tokens[1:]]
+                yield told("near", len(rows), sid=sid[rows], n=size[rows].astype(np.int32), lows=lows, fine=[f.tobytes() for f in fine], size=[len(texts[i]) for i in rows.tolist()], packed=packed)
 
 
 def _close(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -244,7 +247,7 @@ class RTree:
 
 
 def _open_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components that the bounds allow, cell by cell; rows: token, left, right, block, sid, n, place, point, label, fine."""
+    """Pairs of different components that the bounds allow, cell by cell; rows: token, left, right, block, sid, n, place, point, label, fine, lows."""
 
     def cell(t: pa.Table) -> pa.RecordBatch:
         """Few sets are a single leaf and need no tree."""
@@ -254,9 +257,18 @@ def _open_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
         counts, found = _coordinates(point, size), []
         fine = np.frombuffer(b"".join(t.column("fine").to_pylist()), np.uint8).reshape(-1, FINE) * _unit(size)[:, None].astype(np.int32)
 
+        token = np.int64(t.column("token")[0].as_py()).view(np.uint64)
+        lows = np.frombuffer(b"".join(t.column("lows").to_pylist()), np.uint64).reshape(-1, LOWS)
+
+        def elsewhere(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+            """Whether a smaller shingle than this cell's is among the least of both: that one's cell has the pair too."""
+            both = (lows[p][:, :, None] == lows[q][:, None, :]).any(axis=2)
+            return (both & (lows[p] < token)).any(axis=1)
+
         def told(p: np.ndarray, q: np.ndarray) -> None:
             """Pairs of rows p and q that pass the bounds on counts and places."""
             p, q = (x[label[p] != label[q]] for x in (p, q))
+            p, q = (x[~elsewhere(p, q)] for x in (p, q))
             need = percent * (size[p] + size[q])
             fits = (100 + percent) * np.minimum(fine[p], fine[q]).sum(axis=1) >= need
             fits &= (100 + percent) * (np.minimum(place[p], place[q]) + np.minimum(size[p] - place[p], size[q] - place[q])) >= need
@@ -299,7 +311,7 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     signed = written(chunks.join(answers, "chunk", "left").mapInArrow(lambda b: _sign(b, n, percent, bits), SIGNED), by="kind")
     narrow = signed.filter("kind = 'doc'").select("doc_id", F.col("n").cast("long").alias("n"), "sid")
     cells = signed.filter("kind = 'cell'").select("token", "sid", "n", "place", "point")
-    near = signed.filter("kind = 'near'").select("sid", "n", "fine", "size", "packed")
+    near = signed.filter("kind = 'near'").select("sid", "n", "fine", "lows", "size", "packed")
     pivots = written(cells.groupBy("token").agg(F.min("sid").alias("low"), F.max("sid").alias("high"), F.count("*").alias("rows")).filter("low < high"))
     tried = cells.select("token", "sid").join(pivots, "token").select("sid", F.explode(F.array("low", "high")).alias("pivot")).filter("sid != pivot")
     stars = written(tried.select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")).distinct())
@@ -324,11 +336,11 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     told = written(told.select("token", "sid", "n", "place", "point", "label"))
     mixed_cells = told.groupBy("token").agg(F.count("*").alias("rows"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
     open_cells = told.join(written(mixed_cells.select("token", "rows")), "token")
-    points_of = near.select("sid", "fine").join(written(open_cells.select("sid").distinct()), "sid", "left_semi").dropDuplicates(["sid"])
+    points_of = near.select("sid", "fine", "lows").join(written(open_cells.select("sid").distinct()), "sid", "left_semi").dropDuplicates(["sid"])
     open_cells = open_cells.join(written(points_of), "sid")
     parts = F.ceil(F.col("rows") / BLOCK).cast("int")
     dealt = open_cells.withColumn("block", F.pmod(F.xxhash64("sid"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    dealt = dealt.select("token", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "sid", "n", "place", "point", "label", "fine")
+    dealt = dealt.select("token", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "sid", "n", "place", "point", "label", "fine", "lows")
     dealt = dealt.repartition("token", "left", "right").sortWithinPartitions("token", "left", "right")
     more = dealt.mapInArrow(lambda b: _open_pairs(b, percent), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
     more = written(more)
