@@ -2,5 +2,184 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from inkwell.operators import components, layout, raster, regions, report, score
+from inkwell.sources import fixtures as fx
+
+from . import oracle
+from .analysis import Analysis, from_pixels
+from .oracle import GRAY, STEPS, steps
+
+
+def _all(spark: SparkSession, d: str) -> Analysis:
+    return Analysis(fx.blobs(spark, d))
+
+
+def _rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+def _round(names) -> str:
+    return ", ".join(f"round({n}, 6) AS {n}" for n in names)
+
+
+SIGNALS = ["ink_density", "body_ratio", "estimated_lines", "blobs_per_line"]
+VOTES = ["vote_ink", "vote_body", "vote_bpl", "vote_sum"]
+BOX = ["x1", "y1", "x2", "y2"]
+SHAPES = ["fill_ratio", "aspect_ratio", "center_r", "center_c"]
+REGION = ["page_id", "para", "part", *BOX, "width", "height", "blob_count", "density"]
+
+
+def _ui_density(spark: SparkSession, d: str) -> DataFrame:
+    """Density once more, of the blobs left after the line filter, with the font size of all."""
+    a = _all(spark, d)
+    kept = a.lines.filter("reject_reason IS NULL")
+    fs = F.col("font_size")
+    body = F.count_if((F.col("height") >= fs * 0.60) & (F.col("height") <= fs * 1.40))
+    out = kept.groupBy("page_id", "font_size", "img_w", "img_h").agg((F.sum("area") / F.greatest(F.lit(1), F.first("img_w") * F.first("img_h"))).alias("ink_density"), (body / F.count("*")).alias("body_ratio"), (F.count("*") / F.greatest(F.lit(1.0), F.first("img_h") / (F.first("font_size") * 1.5))).alias("blobs_per_line"))
+    votes = layout._vote("ink_density") + layout._vote("body_ratio") + layout._vote("blobs_per_line")
+    return out.select("page_id", F.when(votes == 3, 2).when(votes < 0, 0).otherwise(1).alias("ui_density_class"))
+
+
+def _para_gap(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(regions.para_gap(regions.line_regions(_all(spark, d).members)), "para_gap")
+
+
+def _edge_hist(spark: SparkSession, d: str) -> DataFrame:
+    return report.histogram(spark.read.parquet(f"{d}/events.parquet"), "value", 80)
+
+
+def _crop_pixels(spark: SparkSession, d: str) -> DataFrame:
+    """Crops of 5 pixels' padding around the first boxes of each page, cut from the raster pages."""
+    gray = fx.gray(spark, d)
+    boxes = fx.boxes(spark, d).join(raster.page_sizes(gray).select("page_id", F.col("height").alias("img_h"), F.col("width").alias("img_w")), "page_id")
+    return report.crop_pixels(report.crop_boxes(boxes.withColumn("rank", F.col("det_seq")), 5), gray)
+
+
+QUERIES = {
+    "gray_luma": lambda s, d: raster.luma(fx.rgb(s, d)),
+    "contrast_percentiles": lambda s, d: raster.contrast_limits(fx.gray(s, d)),
+    "contrast_stretch": lambda s, d: raster.stretch(fx.low_contrast(s, d)),
+    "gaussian_blur_r1": lambda s, d: raster.blur(fx.gray(s, d), 1),
+    "gaussian_blur_r2": lambda s, d: raster.blur(fx.gray(s, d), 2),
+    "otsu_global": lambda s, d: raster.otsu_global(fx.gray(s, d)),
+    "otsu_tile": lambda s, d: raster.otsu_tiles(fx.gray(s, d)),
+    "adaptive_binarize": lambda s, d: raster.adaptive_binarize(fx.gray(s, d)),
+    "tile_size_auto": lambda s, d: s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", raster.tile_size(F.col("o_orderkey") % 4000 + 1).alias("tile")),
+    "erode": lambda s, d: raster.erode(fx.ink(s, d)),
+    "dilate": lambda s, d: raster.dilate(fx.ink(s, d)),
+    "opening": lambda s, d: raster.opening(fx.ink(s, d)),
+    "closing": lambda s, d: raster.closing(fx.ink(s, d)),
+    "pixel_runs": lambda s, d: components.pixel_runs(fx.ink(s, d)),
+    "blobs_from_pixels": lambda s, d: _rounded(components.blobs(fx.ink(s, d)), *SHAPES),
+    "pages_from_pixels": lambda s, d: from_pixels(fx.gray(s, d)).density.select("page_id", "total_blobs", "font_size", "density_class"),
+    "font_size": lambda s, d: layout.font_size(fx.blobs(s, d)),
+    "density_signals": lambda s, d: _rounded(_all(s, d).density.select("page_id", "total_blobs", *SIGNALS, *VOTES), *SIGNALS),
+    "density_class": lambda s, d: _all(s, d).density.select("page_id", "font_size", "density_class", "density_confidence"),
+    "density_labels": lambda s, d: layout.labelled(_all(s, d).density).select("page_id", "density_label", "doc_type", "is_sparse", "is_medium", "is_dense"),
+    "ui_density_class": _ui_density,
+    "line_filter": lambda s, d: _all(s, d).lines.select("page_id", "blob_seq", "reject_reason"),
+    "line_filter_summary": lambda s, d: _all(s, d).lines.groupBy(F.coalesce("reject_reason", F.lit("clean")).alias("reason")).agg(F.count("*").alias("n")),
+    "proximity_edges": lambda s, d: regions.proximity_edges(_all(s, d).members.select("page_id", "rank", *BOX, (F.col("font_size") * regions.by_class(regions.LINE_V)).alias("v_gap"), (F.col("font_size") * regions.by_class(regions.H_GAP)).alias("h_gap"))),
+    "line_regions": lambda s, d: _rounded(regions.line_regions(_all(s, d).members).select("page_id", "line", *BOX, "width", "height", "blob_count", "density"), "density"),
+    "para_gap": _para_gap,
+    "para_regions": lambda s, d: _rounded(regions.para_regions(_all(s, d).paras).select("page_id", "para", *BOX, "width", "height", "blob_count", "density"), "density"),
+    "region_splits": lambda s, d: _all(s, d).parts.select("page_id", "blob_seq", "para", "split", "part", "pos"),
+    "final_regions": lambda s, d: _rounded(_all(s, d).regions.select(*REGION, "split"), "density"),
+    "density_config": lambda s, d: score.config(s),
+    "region_features": lambda s, d: _rounded(_all(s, d).rated.select("page_id", "para", "part", "n", "frac_bars", "centered", *score.FEATURES), *score.FEATURES),
+    "region_scores": lambda s, d: _all(s, d).rated.select("page_id", "para", "part", "base_score", "guarded", "score", "tag"),
+    "detections_pre_nms": lambda s, d: _all(s, d).candidates,
+    "nms_boxes": lambda s, d: score.suppress_nested(fx.boxes(s, d), ["det_seq"]),
+    "detections": lambda s, d: _all(s, d).detections,
+    "text_regions": lambda s, d: _all(s, d).texts,
+    "crop_boxes": lambda s, d: _all(s, d).crops,
+    "crop_names": lambda s, d: report.crop_names(_all(s, d).crops),
+    "crop_pixels": _crop_pixels,
+    "gallery_grid": lambda s, d: report.gallery(_all(s, d).crops),
+    "report_rows": lambda s, d: report.report_rows(_all(s, d).detections),
+    "confidence_describe": lambda s, d: report.describe(_all(s, d).detections, "confidence"),
+    "confidence_hist": lambda s, d: report.histogram(_all(s, d).detections, "confidence", 20),
+    "blob_height_hist": lambda s, d: report.histogram(fx.blobs(s, d), "height", 60, "page_id"),
+    "blob_outlier_map": lambda s, d: report.blob_map(_all(s, d).lines),
+    "edge_hist": _edge_hist,
+    "edge_threshold_counts": lambda s, d: report.threshold_counts(s.read.parquet(f"{d}/events.parquet"), "value", 50.0),
+    "overlay_layers": lambda s, d: report.overlays(_all(s, d).texts, _all(s, d).detections),
+    "page_summary": lambda s, d: report.page_summary(_all(s, d).density, _all(s, d).texts, _all(s, d).detections),
+}
+
+
+def _hist(source: str, value: str, bins: int, key: str = "") -> str:
+    by, on = (f"{key}, ", f"USING ({key})") if key else ("", "ON TRUE")
+    return f"""SELECT {by}CAST(least({bins - 1}, floor(({value} - lo) / ((hi - lo) / {bins}))) AS INT) AS bin, count(*) AS n FROM {source} JOIN (
+  SELECT {by}CASE WHEN a = b THEN a - 0.5 ELSE a END AS lo, CASE WHEN a = b THEN b + 0.5 ELSE b END AS hi FROM (SELECT {by}min({value})::DOUBLE AS a, max({value})::DOUBLE AS b FROM {source} {'GROUP BY ' + key if key else ''})) {on}
+  WHERE {value} IS NOT NULL GROUP BY ALL"""
+
+
+NMS_BOX = f"""WITH RECURSIVE fx_box AS MATERIALIZED ({STEPS['fx_box']}), ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY (x2 - x1) * (y2 - y1) DESC, det_seq) AS rk FROM fx_box),
+  nms AS ({STEPS['nms']}) SELECT r.page_id, row_number() OVER (PARTITION BY r.page_id ORDER BY rk) AS rank, det_seq, x1, y1, x2, y2 FROM ranked r
+  JOIN (SELECT page_id, arg_max(kept, at) AS kept FROM nms GROUP BY page_id) n ON r.page_id = n.page_id AND list_contains(kept, rk)"""
+_cols = ", ".join
+
+ORACLE_SQL = {
+    "gray_luma": GRAY + "SELECT page_id, r, c, CAST(trunc(0.299::DOUBLE * gray + 0.587::DOUBLE * ((gray * 7 + c) % 256) + 0.114::DOUBLE * ((gray * 13 + r) % 256)) AS INT) AS gray FROM fx_gray",
+    "contrast_percentiles": GRAY + oracle.limits("fx_gray"),
+    "contrast_stretch": GRAY + f"SELECT g.page_id, r, c, CASE WHEN low_contrast AND hi > lo THEN greatest(0, least(255, CAST(trunc((gray - lo) * (255.0::DOUBLE / (hi - lo))) AS INT))) ELSE gray END AS gray FROM fx_low g JOIN ({oracle.limits('fx_low')}) l ON g.page_id = l.page_id",
+    "gaussian_blur_r1": oracle.blur(1),
+    "gaussian_blur_r2": oracle.blur(2),
+    "otsu_global": GRAY + f"SELECT page_id, threshold, threshold - 5 AS cut FROM ({oracle._otsu('fx_gray', 'page_id')})",
+    "otsu_tile": oracle.TILES + " SELECT page_id, tr, tc, threshold FROM tiles",
+    "adaptive_binarize": oracle.ADAPTIVE,
+    "tile_size_auto": "SELECT o_orderkey, greatest(32, least(128, CAST(trunc((o_orderkey % 4000 + 1) / 74.0::DOUBLE * 3) AS INT))) AS tile FROM orders",
+    "erode": oracle.morph("e"),
+    "dilate": oracle.morph("d"),
+    "opening": oracle.morph("ed"),
+    "closing": oracle.morph("de"),
+    "pixel_runs": oracle.RUNS + " SELECT * FROM runs",
+    "blobs_from_pixels": f"SELECT page_id, blob_seq, img_w, img_h, {_cols(BOX)}, width, height, area, {_round(SHAPES)} FROM ({oracle.BLOBS})",
+    "font_size": steps("font", "SELECT * FROM font"),
+    "density_signals": steps("density", f"SELECT page_id, total_blobs, {_round(SIGNALS)}, {_cols(VOTES)} FROM density"),
+    "density_class": steps("density", "SELECT page_id, font_size, density_class, density_confidence FROM density"),
+    "density_labels": steps("density", "SELECT page_id, ['SPARSE', 'MEDIUM', 'DENSE'][density_class + 1] AS density_label, CASE WHEN density_class = 2 THEN 'dense' ELSE 'sparse' END AS doc_type, density_class = 0 AS is_sparse, density_class = 1 AS is_medium, density_class = 2 AS is_dense FROM density"),
+    "ui_density_class": steps("lines", """SELECT page_id, CASE WHEN v = 3 THEN 2 WHEN v < 0 THEN 0 ELSE 1 END AS ui_density_class FROM (SELECT page_id, (i >= 0.055)::INT - (i < 0.025)::INT + (b >= 0.65)::INT - (b < 0.45)::INT + (p >= 25)::INT - (p < 12)::INT AS v FROM (
+      SELECT page_id, sum(area)::DOUBLE / greatest(1, any_value(img_w) * any_value(img_h)) AS i, count(*) FILTER (height >= font_size * 0.60::DOUBLE AND height <= font_size * 1.40::DOUBLE) / count(*) AS b,
+      count(*) / greatest(1::DOUBLE, any_value(img_h) / (any_value(font_size) * 1.5::DOUBLE)) AS p FROM lines WHERE reject_reason IS NULL GROUP BY page_id))"""),
+    "line_filter": steps("lines", "SELECT page_id, blob_seq, reject_reason FROM lines"),
+    "line_filter_summary": steps("lines", "SELECT coalesce(reject_reason, 'clean') AS reason, count(*) AS n FROM lines GROUP BY ALL"),
+    "proximity_edges": steps("edges", "SELECT * FROM edges"),
+    "line_regions": steps("line", f"SELECT page_id, line, {_cols(BOX)}, width, height, blob_count, round(density, 6) AS density FROM line"),
+    "para_gap": steps("pgap", "SELECT page_id, round(para_gap, 6) AS para_gap FROM pgap"),
+    "para_regions": steps("para", f"SELECT page_id, para, {_cols(BOX)}, width, height, blob_count, round(density, 6) AS density FROM para"),
+    "region_splits": steps("parts", "SELECT page_id, blob_seq, para, split, part, pos FROM parts"),
+    "final_regions": steps("region_", f"SELECT {_cols(REGION[:-1])}, round(density, 6) AS density, split FROM region_"),
+    "density_config": f"SELECT cfg_class AS density_class, * EXCLUDE (cfg_class) FROM ({STEPS['cfg']})",
+    "region_features": steps("feat", f"SELECT page_id, para, part, n, frac_bars, centered, {_round(score.FEATURES)} FROM feat"),
+    "region_scores": steps("rated", "SELECT page_id, para, part, CAST(base_score AS INT) AS base_score, guarded, score, CASE WHEN score >= score_threshold THEN 'EQ' ELSE 'TEXT' END AS tag FROM rated"),
+    "detections_pre_nms": steps("cand", "SELECT * FROM cand"),
+    "nms_boxes": NMS_BOX,
+    "detections": steps("det", "SELECT * FROM det"),
+    "text_regions": steps("texts", "SELECT * FROM texts"),
+    "crop_boxes": steps("crop", "SELECT * FROM crop"),
+    "crop_names": steps("crop", "SELECT page_id, index, printf('eq_%03d_conf%.2f.png', index, confidence) AS name FROM crop"),
+    "crop_pixels": f"""WITH fx_gray AS MATERIALIZED ({STEPS['fx_gray']}), fx_box AS ({STEPS['fx_box']}), size AS (SELECT page_id, max(r) + 1 AS h, max(c) + 1 AS w FROM fx_gray GROUP BY page_id),
+      crop AS (SELECT b.page_id, row_number() OVER (PARTITION BY b.page_id ORDER BY y1, det_seq) AS index, greatest(0, x1 - 5) AS cx1, greatest(0, y1 - 5) AS cy1, least(w, x2 + 5) AS cx2, least(h, y2 + 5) AS cy2 FROM fx_box b JOIN size s ON b.page_id = s.page_id)
+      SELECT g.page_id, index, r - cy1 AS r, c - cx1 AS c, gray FROM crop k JOIN fx_gray g ON g.page_id = k.page_id AND r >= cy1 AND r < cy2 AND c >= cx1 AND c < cx2
+      UNION ALL SELECT page_id, index, 0, 0, 255 FROM crop WHERE cx2 <= cx1 OR cy2 <= cy1""",
+    "gallery_grid": steps("crop", "SELECT page_id, index, CAST((index - 1) // 3 AS INT) AS grid_row, CAST((index - 1) % 3 AS INT) AS grid_col FROM crop"),
+    "report_rows": steps("det", "SELECT page_id, x1, y1, x2, y2, confidence, x2 - x1 AS width_px, y2 - y1 AS height_px FROM det"),
+    "confidence_describe": steps("det", "SELECT count(*) AS count, round(avg(confidence), 3) AS mean, round(stddev_samp(confidence), 3) AS std, round(min(confidence), 3) AS min, round(quantile_cont(confidence, 0.25), 3) AS p25, round(quantile_cont(confidence, 0.5), 3) AS p50, round(quantile_cont(confidence, 0.75), 3) AS p75, round(max(confidence), 3) AS max FROM det"),
+    "confidence_hist": steps("det", _hist("det", "confidence", 20)),
+    "blob_height_hist": steps("fx_blob", _hist("fx_blob", "height", 60, "page_id")),
+    "blob_outlier_map": steps("lines", "SELECT page_id, height > font_size * 1.9::DOUBLE OR (width > font_size * 4 AND height < font_size * 0.5::DOUBLE) AS outlier, count(*) AS n FROM lines GROUP BY ALL"),
+    "edge_hist": _hist("events", "value", 80),
+    "edge_threshold_counts": "SELECT count(*) FILTER (value >= 50) AS above, count(*) FILTER (value < 50) AS below, round(count(*) FILTER (value >= 50) * 100.0::DOUBLE / count(value), 3) AS above_pct FROM events",
+    "overlay_layers": steps("texts", "SELECT page_id, 0 AS z, 'text' AS role, x1, y1, x2, y2, NULL::DOUBLE AS confidence FROM texts UNION ALL SELECT page_id, class + 1, CASE WHEN class = 0 THEN 'standalone' ELSE 'inline' END, x1, y1, x2, y2, confidence FROM det"),
+    "page_summary": steps("texts", "SELECT d.page_id, (SELECT count(*) FROM det x WHERE x.page_id = d.page_id) AS equations, (SELECT count(*) FROM texts x WHERE x.page_id = d.page_id) AS text_regions, density_class, font_size FROM density d"),
+}
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections of every page."""
+    return QUERIES["detections"](spark, sf_dir)
