@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -56,8 +59,11 @@ def blobs(pixels: DataFrame, min_area: int = 5, max_share: float = 0.03) -> Data
     return shaped(kept.withColumnRenamed("component", "blob_seq"))
 
 
-def shaped(found: DataFrame) -> DataFrame:
-    """With fill_ratio, aspect_ratio, center_r, center_c."""
+def shaped(found: DataFrame, *more: str) -> DataFrame:
+    """Blobs (and the columns `more`) with fill_ratio, aspect_ratio, center_r, center_c."""
     w, h = F.col("width"), F.col("height")
     extra = {"fill_ratio": F.col("area") / (w * h), "aspect_ratio": w / h, "center_r": (F.col("y1") + F.col("y2")) / 2.0, "center_c": (F.col("x1") + F.col("x2")) / 2.0}
-    return found.select("page_id", "blob_seq", "img_w", "img_h", "x1", "y1", "x2", "y2", "width", "height", "area", *(e.alias(n) for n, e in extra.items()))
+    return found.select("page_id", "blob_seq", "img_w", "img_h", "x1", "y1", "x2", "y2", "width", "height", "area", *(e.alias(n) for n, e in extra.items()), *more)
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have the package installed

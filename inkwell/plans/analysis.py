@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.operators import components, layout, regions, report, score
+from inkwell.sources.shared import stored
 
 
 @dataclass
@@ -21,7 +22,7 @@ class Analysis:
     @cached_property
     def density(self) -> DataFrame:
         pages = self.pages if self.pages is not None else self.blobs.groupBy("page_id").agg(F.first("img_w").alias("img_w"), F.first("img_h").alias("img_h"))
-        return layout.density(pages, self.blobs)
+        return stored(layout.density(pages, self.blobs))
 
     @cached_property
     def lines(self) -> DataFrame:
@@ -30,27 +31,27 @@ class Analysis:
     @cached_property
     def clean(self) -> DataFrame:
         kept = self.lines.filter("reject_reason IS NULL").join(self.density.select("page_id", "density_class"), "page_id")
-        return kept.select(*components.shaped(kept).columns, "font_size", "density_class") if "aspect_ratio" in kept.columns else components.shaped(kept).join(kept.select("page_id", "blob_seq", "font_size", "density_class"), ["page_id", "blob_seq"])
+        return components.shaped(kept, "font_size", "density_class")
 
     @cached_property
     def members(self) -> DataFrame:
-        return regions.line_members(self.clean)
+        return stored(regions.line_members(self.clean))
 
     @cached_property
     def paras(self) -> DataFrame:
-        return regions.para_members(self.members)
+        return stored(regions.para_members(self.members))
 
     @cached_property
     def parts(self) -> DataFrame:
-        return regions.split_members(self.paras)
+        return stored(regions.split_members(self.paras))
 
     @cached_property
     def regions(self) -> DataFrame:
-        return regions.final_regions(self.parts)
+        return stored(regions.final_regions(self.parts))
 
     @cached_property
     def rated(self) -> DataFrame:
-        return score.scored(score.features(self.parts, self.regions))
+        return stored(score.scored(score.features(self.parts, self.regions)))
 
     @cached_property
     def candidates(self) -> DataFrame:
@@ -59,7 +60,7 @@ class Analysis:
     @cached_property
     def detections(self) -> DataFrame:
         found = score.suppress_nested(self.candidates, ["para", "part"]).drop("para", "part")
-        return found.join(self.density.select("page_id", "img_w", "img_h"), "page_id")
+        return stored(found.join(self.density.select("page_id", "img_w", "img_h"), "page_id"))
 
     @cached_property
     def texts(self) -> DataFrame:
@@ -74,6 +75,6 @@ def from_pixels(gray: DataFrame) -> Analysis:
     """Gray pixels (page_id, r, c, gray) through binarization and components."""
     from inkwell.operators import raster
 
-    ink = raster.preprocess(gray)
+    ink = stored(raster.preprocess(stored(gray)))
     sizes = raster.page_sizes(gray).select("page_id", F.col("width").alias("img_w"), F.col("height").alias("img_h"))
-    return Analysis(components.blobs(ink), sizes)
+    return Analysis(stored(components.blobs(ink)), sizes)

@@ -58,6 +58,16 @@ def _crop_pixels(spark: SparkSession, d: str) -> DataFrame:
     return report.crop_pixels(report.crop_boxes(boxes.withColumn("rank", F.col("det_seq")), 5), gray)
 
 
+def _overlays(spark: SparkSession, d: str) -> DataFrame:
+    a = _all(spark, d)
+    return report.overlays(a.texts, a.detections)
+
+
+def _summary(spark: SparkSession, d: str) -> DataFrame:
+    a = _all(spark, d)
+    return report.page_summary(a.density, a.texts, a.detections)
+
+
 QUERIES = {
     "gray_luma": lambda s, d: raster.luma(fx.rgb(s, d)),
     "contrast_percentiles": lambda s, d: raster.contrast_limits(fx.gray(s, d)),
@@ -106,8 +116,8 @@ QUERIES = {
     "blob_outlier_map": lambda s, d: report.blob_map(_all(s, d).lines),
     "edge_hist": _edge_hist,
     "edge_threshold_counts": lambda s, d: report.threshold_counts(s.read.parquet(f"{d}/events.parquet"), "value", 50.0),
-    "overlay_layers": lambda s, d: report.overlays(_all(s, d).texts, _all(s, d).detections),
-    "page_summary": lambda s, d: report.page_summary(_all(s, d).density, _all(s, d).texts, _all(s, d).detections),
+    "overlay_layers": _overlays,
+    "page_summary": _summary,
 }
 
 
@@ -120,7 +130,7 @@ def _hist(source: str, value: str, bins: int, key: str = "") -> str:
 
 NMS_BOX = f"""WITH RECURSIVE fx_box AS MATERIALIZED ({STEPS['fx_box']}), ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY (x2 - x1) * (y2 - y1) DESC, det_seq) AS rk FROM fx_box),
   nms AS ({STEPS['nms']}) SELECT r.page_id, row_number() OVER (PARTITION BY r.page_id ORDER BY rk) AS rank, det_seq, x1, y1, x2, y2 FROM ranked r
-  JOIN (SELECT page_id, arg_max(kept, at) AS kept FROM nms GROUP BY page_id) n ON r.page_id = n.page_id AND list_contains(kept, rk)"""
+  JOIN (SELECT page_id, arg_max(kept, turn) AS kept FROM nms GROUP BY page_id) n ON r.page_id = n.page_id AND list_contains(kept, rk)"""
 _cols = ", ".join
 
 ORACLE_SQL = {

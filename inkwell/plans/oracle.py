@@ -49,8 +49,8 @@ STEPS: dict[str, str] = {
   l.font_size * [0.8, 0.7, 0.5][density_class + 1]::DOUBLE AS vg, l.font_size * [2.4, 2.2, 1.8][density_class + 1]::DOUBLE AS hg FROM lines l JOIN density d ON l.page_id = d.page_id WHERE reject_reason IS NULL""",
     "edges": """SELECT a.page_id, a.rk AS a, b.rk AS b FROM clean a JOIN clean b ON a.page_id = b.page_id AND a.rk < b.rk
   AND b.y1 - a.y2 <= a.vg AND greatest(0, greatest(a.x1, b.x1) - least(a.x2, b.x2)) <= a.hg""",
-    "both": "SELECT page_id, a, b FROM edges UNION ALL SELECT page_id, b, a FROM edges",
-    "reach": "SELECT page_id, rk AS node, rk AS reach FROM clean UNION SELECT r.page_id, b.b, r.reach FROM reach r JOIN both b ON r.page_id = b.page_id AND r.node = b.a",
+    "ties": "SELECT page_id, a, b FROM edges UNION ALL SELECT page_id, b, a FROM edges",
+    "reach": "SELECT page_id, rk AS node, rk AS reach FROM clean UNION SELECT r.page_id, b.b, r.reach FROM reach r JOIN ties b ON r.page_id = b.page_id AND r.node = b.a",
     "member": "SELECT c.*, line FROM clean c JOIN (SELECT page_id, node, min(reach) AS line FROM reach GROUP BY ALL) t ON c.page_id = t.page_id AND c.rk = t.node",
     "line": """SELECT page_id, line, any_value(font_size) AS font_size, any_value(density_class) AS density_class, any_value(hg) AS hg, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2,
   count(*) AS blob_count, sum(area) AS area, max(x2) - min(x1) + 1 AS width, max(y2) - min(y1) + 1 AS height, sum(area)::DOUBLE / ((max(x2) - min(x1) + 1) * (max(y2) - min(y1) + 1)) AS density FROM member GROUP BY page_id, line""",
@@ -62,8 +62,8 @@ STEPS: dict[str, str] = {
     "super": "SELECT l.*, para_gap AS vg, row_number() OVER (PARTITION BY l.page_id ORDER BY y1, x1, line) AS rk FROM line l JOIN pgap g ON l.page_id = g.page_id",
     "edges2": """SELECT a.page_id, a.rk AS a, b.rk AS b FROM super a JOIN super b ON a.page_id = b.page_id AND a.rk < b.rk
   AND b.y1 - a.y2 <= a.vg AND greatest(0, greatest(a.x1, b.x1) - least(a.x2, b.x2)) <= a.hg""",
-    "both2": "SELECT page_id, a, b FROM edges2 UNION ALL SELECT page_id, b, a FROM edges2",
-    "reach2": "SELECT page_id, rk AS node, rk AS reach FROM super UNION SELECT r.page_id, b.b, r.reach FROM reach2 r JOIN both2 b ON r.page_id = b.page_id AND r.node = b.a",
+    "ties2": "SELECT page_id, a, b FROM edges2 UNION ALL SELECT page_id, b, a FROM edges2",
+    "reach2": "SELECT page_id, rk AS node, rk AS reach FROM super UNION SELECT r.page_id, b.b, r.reach FROM reach2 r JOIN ties2 b ON r.page_id = b.page_id AND r.node = b.a",
     "placed": """SELECT m.*, para, row_number() OVER (PARTITION BY m.page_id, para ORDER BY s.rk, m.rk) AS pos FROM member m JOIN super s ON m.page_id = s.page_id AND m.line = s.line
   JOIN (SELECT page_id, node, min(reach) AS para FROM reach2 GROUP BY ALL) t ON s.page_id = t.page_id AND s.rk = t.node""",
     "para": """SELECT page_id, para, any_value(font_size) AS font_size, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, count(*) AS blob_count, sum(area) AS area,
@@ -112,12 +112,12 @@ STEPS: dict[str, str] = {
     "cand": """SELECT page_id, para, part, rx1 AS x1, ry1 AS y1, rx2 AS x2, ry2 AS y2, round(least(1, greatest(0, score / 20::DOUBLE)), 3) AS confidence, 0 AS class FROM rated
   WHERE score >= score_threshold AND least(1, greatest(0, score / 20::DOUBLE)) > confidence_cutoff""",
     "ranked": "SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY (x2 - x1) * (y2 - y1) DESC, para, part) AS rk FROM cand",
-    "nms": """SELECT page_id, 0::BIGINT AS at, []::BIGINT[] AS kept FROM (SELECT DISTINCT page_id FROM ranked) UNION ALL
-  SELECT n.page_id, n.at + 1, CASE WHEN EXISTS (SELECT 1 FROM ranked k WHERE k.page_id = n.page_id AND list_contains(n.kept, k.rk) AND least(d.x2, k.x2) > greatest(d.x1, k.x1) AND least(d.y2, k.y2) > greatest(d.y1, k.y1)
+    "nms": """SELECT page_id, 0::BIGINT AS turn, []::BIGINT[] AS kept FROM (SELECT DISTINCT page_id FROM ranked) UNION ALL
+  SELECT n.page_id, n.turn + 1, CASE WHEN EXISTS (SELECT 1 FROM ranked k WHERE k.page_id = n.page_id AND list_contains(n.kept, k.rk) AND least(d.x2, k.x2) > greatest(d.x1, k.x1) AND least(d.y2, k.y2) > greatest(d.y1, k.y1)
     AND (least(d.x2, k.x2) - greatest(d.x1, k.x1)) * (least(d.y2, k.y2) - greatest(d.y1, k.y1)) / ((d.x2 - d.x1) * (d.y2 - d.y1)) >= 0.7::DOUBLE) THEN n.kept ELSE list_append(n.kept, d.rk) END
-  FROM nms n JOIN ranked d ON d.page_id = n.page_id AND d.rk = n.at + 1""",
+  FROM nms n JOIN ranked d ON d.page_id = n.page_id AND d.rk = n.turn + 1""",
     "det": """SELECT r.page_id, row_number() OVER (PARTITION BY r.page_id ORDER BY r.rk) AS rank, r.x1, r.y1, r.x2, r.y2, r.confidence, r.class, d.img_w, d.img_h FROM ranked r
-  JOIN (SELECT page_id, arg_max(kept, at) AS kept FROM nms GROUP BY page_id) n ON r.page_id = n.page_id AND list_contains(n.kept, r.rk) JOIN density d ON d.page_id = r.page_id""",
+  JOIN (SELECT page_id, arg_max(kept, turn) AS kept FROM nms GROUP BY page_id) n ON r.page_id = n.page_id AND list_contains(n.kept, r.rk) JOIN density d ON d.page_id = r.page_id""",
     "texts": "SELECT page_id, x1, y1, x2, y2 FROM region_ r WHERE NOT EXISTS (SELECT 1 FROM det d WHERE (d.page_id, d.x1, d.y1, d.x2, d.y2) = (r.page_id, r.x1, r.y1, r.x2, r.y2))",
     "crop": """SELECT page_id, rank, row_number() OVER (PARTITION BY page_id ORDER BY y1, rank) AS index, x1, y1, x2, y2, greatest(0, x1 - 10) AS cx1, greatest(0, y1 - 10) AS cy1,
   least(img_w, x2 + 10) AS cx2, least(img_h, y2 + 10) AS cy2, confidence FROM det""",
@@ -163,8 +163,8 @@ TILES = f"""WITH fx_gray AS MATERIALIZED ({STEPS['fx_gray']}), size AS (SELECT p
   tiled AS (SELECT g.*, tile, r // tile AS tr, c // tile AS tc FROM fx_gray g JOIN size s ON g.page_id = s.page_id), page AS ({_otsu('fx_gray', 'page_id')}),
   tiles AS (SELECT o.page_id, tr, tc, CASE WHEN coalesce(o.dark, 0) < 0.03 THEN least(o.threshold, p.threshold) ELSE o.threshold END AS threshold FROM ({_otsu('tiled', 'page_id, tr, tc')}) o JOIN page p ON o.page_id = p.page_id)"""
 ADAPTIVE = TILES + """, edge AS (SELECT page_id, max(tr) AS ltr, max(tc) AS ltc FROM tiles GROUP BY page_id),
-  at AS (SELECT t.page_id, r, c, gray, ltr, ltc, (r + 0.5::DOUBLE) / tile - 0.5::DOUBLE AS tf, (c + 0.5::DOUBLE) / tile - 0.5::DOUBLE AS cf FROM tiled t JOIN edge e ON t.page_id = e.page_id),
-  low AS (SELECT *, greatest(0, least(ltr - 1, floor(tf)::INT)) AS r0, greatest(0, least(ltc - 1, floor(cf)::INT)) AS c0 FROM at),
+  spot AS (SELECT t.page_id, r, c, gray, ltr, ltc, (r + 0.5::DOUBLE) / tile - 0.5::DOUBLE AS tf, (c + 0.5::DOUBLE) / tile - 0.5::DOUBLE AS cf FROM tiled t JOIN edge e ON t.page_id = e.page_id),
+  low AS (SELECT *, greatest(0, least(ltr - 1, floor(tf)::INT)) AS r0, greatest(0, least(ltc - 1, floor(cf)::INT)) AS c0 FROM spot),
   four AS (SELECT l.*, tf - r0 AS dr, cf - c0 AS dc, a.threshold AS a, b.threshold AS b, d.threshold AS d, e.threshold AS e FROM low l
     JOIN tiles a ON a.page_id = l.page_id AND a.tr = r0 AND a.tc = c0 JOIN tiles b ON b.page_id = l.page_id AND b.tr = r0 AND b.tc = least(c0 + 1, ltc)
     JOIN tiles d ON d.page_id = l.page_id AND d.tr = least(r0 + 1, ltr) AND d.tc = c0 JOIN tiles e ON e.page_id = l.page_id AND e.tr = least(r0 + 1, ltr) AND e.tc = least(c0 + 1, ltc))
