@@ -50,22 +50,34 @@ def max_cells() -> int:
     return math.prod(LEVELS.values())
 
 
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once: inside a lambda an outer expression would be computed for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _placed(text: Column, pattern: str) -> Column:
     """array<struct<start,end,hit,before,after>> of the leftmost non-overlapping matches, by the lengths of what lies between them."""
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    steps = F.transform(hits, lambda h, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), h.alias("hit"), F.substring(F.get(gaps, i), -NEAR, NEAR).alias("before"), F.substring(F.get(gaps, i + 1), 1, NEAR).alias("after")))
     empty = F.array().cast("array<struct<start:int,end:int,hit:string,before:string,after:string>>")
     size = lambda s: s["gap"] + F.length(s["hit"])
 
+    def step(gaps: Column, h: Column, i: Column) -> Column:
+        before, after = F.get(gaps, i), F.get(gaps, i + 1)
+        return F.struct(F.length(before).alias("gap"), h.alias("hit"), F.substring(before, -NEAR, NEAR).alias("before"), F.substring(after, 1, NEAR).alias("after"))
+
     def fold(part: Column, base: Column) -> Column:
         start = F.struct(base.alias("at"), empty.alias("out"))
         one = lambda a, s: F.struct((a["at"] + s["gap"]).alias("start"), (a["at"] + size(s)).alias("end"), s["hit"].alias("hit"), s["before"].alias("before"), s["after"].alias("after"))
         return F.aggregate(part, start, lambda a, s: F.struct((a["at"] + size(s)).alias("at"), F.concat(a["out"], F.array(one(a, s))).alias("out")), lambda a: a["out"])
 
+    def places(chunks: Column) -> Column:
+        sums = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, s: a + size(s)))
+        return _let(sums, lambda n: F.flatten(F.transform(chunks, lambda c, i: fold(c, F.aggregate(F.slice(n, 1, i), F.lit(0), lambda a, x: a + x)))))
+
+    found = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
+    steps = _let(found, lambda p: F.transform(p["hits"], lambda h, i: step(p["gaps"], h, i)))
     # In chunks, since each fold copies what it has: a text with many matches takes time in proportion to them.
-    chunks = F.transform(F.sequence(F.lit(0), F.size(steps), F.lit(CHUNK)), lambda k: F.slice(steps, k + 1, CHUNK))
-    sums = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, s: a + size(s)))
-    return F.flatten(F.transform(chunks, lambda c, i: fold(c, F.aggregate(F.slice(sums, 1, i), F.lit(0), lambda a, x: a + x))))
+    chunks = _let(steps, lambda st: F.transform(F.sequence(F.lit(0), F.size(st), F.lit(CHUNK)), lambda k: F.slice(st, k + 1, CHUNK)))
+    return _let(chunks, places)
 
 
 def _digits(hit: Column) -> Column:
