@@ -45,7 +45,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: The classifier's and the tokenizer's results can't be said in SQL; tests/llm/test_pipeline.py checks each stage.
+#: The classifier's and the tokenizer's results can't be said in SQL. A brute-force test of the whole is still to be written.
 ORACLE_SQL = None
 
 
