@@ -97,14 +97,18 @@ def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(same[at, table], a[at, table], np.iinfo(np.int64).max).min(axis=1)
 
 
-def _cell(bucket: int, left: int, right: int, ids: np.ndarray, weight: np.ndarray, block: np.ndarray, vectors: np.ndarray) -> pa.RecordBatch:
-    """Of the vectors of two blocks of a bucket (or of one): links first met here, and a tie to the component."""
+def _cell(bucket: int, left: int, right: int, ids: np.ndarray, weight: np.ndarray, block: np.ndarray, vectors: np.ndarray) -> pa.RecordBatch | None:
+    """Of the vectors of two blocks of a bucket (or of one): links first met here, and a tie to the component. None without links."""
     unit = vectors / np.abs(vectors).max(axis=1, keepdims=True)
     unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
     near = unit @ unit.T >= COSINE
     np.fill_diagonal(near, False)
     if left != right:
         near &= block[:, None] != block[None, :]
+    some = np.flatnonzero(near.any(axis=1))
+    if not len(some):
+        return None
+    ids, weight, vectors, near = ids[some], weight[some], vectors[some], near[np.ix_(some, some)]
     links = np.zeros(len(ids), np.int64)
     i, j = np.nonzero(np.triu(near))
     own = codes(vectors)
@@ -116,10 +120,9 @@ def _cell(bucket: int, left: int, right: int, ids: np.ndarray, weight: np.ndarra
     label, low = np.arange(len(ids)), None
     while low is None or (low != label).any():
         label = low if low is not None else label
-        low = np.minimum(label, np.where(near, label[None, :], len(ids)).min(axis=1)) if len(ids) else label
+        low = np.minimum(label, np.where(near, label[None, :], len(ids)).min(axis=1))
         low = low[low]
-    some = np.flatnonzero(near.any(axis=1))
-    return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(ids[label[some]])], names=["id", "links", "tie"])
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.array(ids[label])], names=["id", "links", "tie"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +133,9 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush() -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
         if t.num_rows > 1:
-            yield _cell(*now, *(t.column(c).to_numpy(zero_copy_only=False) for c in (3, 4, 5)), _matrix(t.column(6)))
+            found = _cell(*now, *(t.column(c).to_numpy(zero_copy_only=False) for c in (3, 4, 5)), _matrix(t.column(6)))
+            if found is not None:
+                yield found
 
     for batch in batches:
         keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 2)], 1)
