@@ -6,11 +6,14 @@ their later lines go without a join. For the rest:
 
 1. Words are ordered by rarity, counted over all documents in a table of fixed size (2**SLOT_BITS counters), then by hash.
 2. Two similar sets share one of their first n - ceil(percent * n / 100) + 1 words; these prefixes are joined by word.
-3. Pairs must pass the length filter and the positional filter (what is left behind the shared word bounds the overlap).
+3. Pairs must pass the length filter, the positional filter (what is left behind the shared word bounds the overlap) and
+   the bit filter: 64-bit maps of two sets differ in no more bits than the sets differ in words.
 4. In a first turn each set meets only the first set of each of its words, so a crowd of similar lines makes one pair a
    member. Sets that have found none meet all earlier sets of their words in a second turn.
 5. What survives is verified on the words themselves.
 
+Distinct sets are numbered in the order of their first places, so entries of the join carry numbers alone.
+
 Words are `[^\\x20\\x09-\\x0D]+`; lines end at \\n. Lines without words and null texts lose nothing. Rows that repeat a doc_id
 share their places: a line and its like at the same place of such a row stay or go together. Further columns stay as they are.
 """
@@ -23,29 +26,36 @@ from pyspark.sql import functions as F
 from .common import written
 
 PERCENT = 75
-SLOT_BITS = 14
+SLOT_BITS = 18
 
 
 def _words(text: Column) -> Column:
     return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+")
 
 
-def rarity(docs: DataFrame) -> list[int]:
-    """For each slot of word hashes the logarithm of how many words fall there; 2**SLOT_BITS numbers for any corpus."""
+def rarity(docs: DataFrame) -> bytearray:
+    """For each slot of word hashes twice the logarithm of how many words fall there; 2**SLOT_BITS bytes for any corpus."""
     words = docs.select(F.explode(_words(F.col("text"))).alias("w"))
     slot = F.xxhash64("w").bitwiseAND((1 << SLOT_BITS) - 1)
-    out = [0] * (1 << SLOT_BITS)
-    for s, n in words.groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).collect():
-        out[s] = n.bit_length()
+    counted = words.groupBy(slot.alias("slot")).agg(F.least(F.lit(63), F.floor(2 * F.log2(F.count("*")))).cast("int").alias("level"))
+    out = bytearray(1 << SLOT_BITS)
+    for s, level in counted.collect():
+        out[s] = level
     return out
 
 
-def _keys(line: Column, slots: list[int]) -> Column:
+def _keys(line: Column, levels: bytearray) -> Column:
     """A line's distinct words as longs in order of rarity, then hash."""
-    classes = F.lit(slots)
+    table = F.lit(bytes(levels))
     hashes = F.array_distinct(F.transform(F.filter(_words(line), lambda w: w != ""), lambda w: F.xxhash64(w)))
-    rank = lambda h: F.get(classes, h.bitwiseAND((1 << SLOT_BITS) - 1).cast("int")).cast("long")
-    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(rank(h), 57).bitwiseOR(F.shiftrightunsigned(h, 7))))
+    level = lambda h: F.ascii(F.substr(table, (h.bitwiseAND((1 << SLOT_BITS) - 1) + 1).cast("int"), F.lit(1)).cast("string")).cast("long")
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(level(h), 57).bitwiseOR(F.shiftrightunsigned(h, 7))))
+
+
+def _bits(keys: Column) -> Column:
+    """64-bit map of a set."""
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda got, k: got.bitwiseOR(bit(k)))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -59,45 +69,44 @@ def _prefix(n: Column, percent: int) -> Column:
 def marks(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, line, removed for each line with words of docs (doc_id, text); lines count from 0."""
     docs = docs.select("doc_id", "text")
-    slots = rarity(docs)
-    keyed = _lines(docs).select("doc_id", "line", _keys(F.col("content"), slots).alias("keys")).filter("size(keys) > 0")
+    levels = rarity(docs)
+    keyed = _lines(docs).select("doc_id", "line", _keys(F.col("content"), levels).alias("keys")).filter("size(keys) > 0")
     n = F.size("keys")
-    lines = written(keyed.select("doc_id", "line", n.alias("n"), F.xxhash64("keys").alias("set"), F.slice("keys", F.lit(1), _prefix(n, percent)).alias("prefix")))
-    firsts = written(lines.groupBy("set").agg(F.min(F.struct("doc_id", "line")).alias("first")))
-    each = lines.select("set", "n", "doc_id", "line", F.posexplode("prefix").alias("place", "word"))
-    entries = each.groupBy("word", "set", "n", "place").agg(F.min(F.struct("doc_id", "line")).alias("first"))
-    entries = written(entries.select("word", F.struct("first", "set", "n", "place").alias("x")))
-    heads = written(entries.groupBy("word").agg(F.min("x").alias("y"), F.min("x.set").alias("low"), F.max("x.set").alias("high")).filter("low < high").select("word", "y"))
-    shared = entries.join(heads, "word")
-
-    def plausible(pairs: DataFrame) -> DataFrame:
-        x, y = F.col("x"), F.col("y")
-        least = lambda f: F.least(f(x), f(y))
-        lengths = 100 * least(lambda s: s["n"]) >= percent * F.greatest(x["n"], y["n"])
-        overlap = least(lambda s: s["place"]) + least(lambda s: s["n"] - s["place"])
-        fits = (x["set"] != y["set"]) & lengths & ((100 + percent) * overlap >= percent * (x["n"] + y["n"]))
-        return pairs.filter(fits).select(x["set"].alias("a"), y["set"].alias("b"), x["first"].alias("at_a"), y["first"].alias("at_b")).distinct()
+    prefix = F.transform(F.slice("keys", F.lit(1), _prefix(n, percent)), lambda k: (k.bitwiseAND(0xFFFFFFFF) - (1 << 31)).cast("int"))
+    lines = written(keyed.select("doc_id", "line", n.alias("n"), F.xxhash64("keys").alias("set"), _bits(F.col("keys")).alias("bits"), prefix.alias("prefix")))
+    folded = lines.groupBy("set").agg(F.min(F.struct("doc_id", "line")).alias("first"), *(F.first(c).alias(c) for c in ("n", "bits", "prefix")))
+    sets = written(folded.orderBy("first").withColumn("id", F.monotonically_increasing_id()))  # ids grow with the first place
+    entries = sets.select("id", "n", "bits", F.posexplode("prefix").alias("place", "word"))
+    heads = written(entries.groupBy("word").agg(F.min("id").alias("id_y"), F.count("*").alias("c")).filter("c > 1").select("word", "id_y"))
+    of = sets.select(F.col("id").alias("id_y"), F.col("n").alias("n_y"), F.col("bits").alias("bits_y"), "prefix")
+    heads = heads.join(of, "id_y").withColumn("place_y", (F.array_position("prefix", F.col("word")) - 1).cast("int")).drop("prefix")
+
+    def plausible(entries: DataFrame, others: DataFrame) -> DataFrame:
+        """Pairs a, b of sets with b before a that share a word and pass the filters."""
+        n, m, at, at_y = (F.col(c) for c in ("n", "n_y", "place", "place_y"))
+        lengths = 100 * F.least(n, m) >= percent * F.greatest(n, m)
+        overlap = F.least(at, at_y) + F.least(n - at, m - at_y)
+        differ = F.bit_count(F.col("bits").bitwiseXOR(F.col("bits_y")))
+        fits = (F.col("id_y") < F.col("id")) & lengths & ((100 + percent) * overlap >= percent * (n + m)) & ((100 + percent) * differ <= (100 - percent) * (n + m))
+        return entries.join(others, "word").filter(fits).select(F.col("id").alias("a"), F.col("id_y").alias("b")).distinct()
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Sets a that are similar to an earlier set b."""
         pairs = written(pairs)
-        asked = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("set"), F.col("at_a").alias("at")), F.struct(F.col("b").alias("set"), F.col("at_b").alias("at")))).alias("q"))
-        asked = asked.select("q.set", F.col("q.at.doc_id").alias("by"), F.col("q.at.line").alias("line")).distinct()
-        texts = docs.join(written(asked.select("by").distinct()), F.col("doc_id").eqNullSafe(F.col("by")), "left_semi")
-        words = _lines(texts).join(asked.withColumnRenamed("line", "at"), F.col("doc_id").eqNullSafe(F.col("by")) & (F.col("line") == F.col("at")))
-        words = words.select("set", _keys(F.col("content"), slots).alias("keys")).filter(F.xxhash64("keys") == F.col("set"))
-        words = written(words.dropDuplicates(["set"]))
-        both = pairs.select("a", "b").join(words.select(F.col("set").alias("a"), F.col("keys").alias("ka")), "a").join(words.select(F.col("set").alias("b"), F.col("keys").alias("kb")), "b")
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(sets.select("id", "set", "first"), "id")
+        asked = written(asked.select("id", "set", F.col("first.doc_id").alias("by"), F.col("first.line").alias("at")))
+        texts = docs.join(asked.select("by").distinct(), F.col("doc_id").eqNullSafe(F.col("by")), "left_semi")
+        words = _lines(texts).join(asked, F.col("doc_id").eqNullSafe(F.col("by")) & (F.col("line") == F.col("at")))
+        words = words.select("id", "set", _keys(F.col("content"), levels).alias("keys")).filter(F.xxhash64("keys") == F.col("set"))
+        words = written(words.dropDuplicates(["id"]))
+        both = pairs.join(words.select(F.col("id").alias("a"), F.col("keys").alias("ka")), "a").join(words.select(F.col("id").alias("b"), F.col("keys").alias("kb")), "b")
         same = F.size(F.array_intersect("ka", "kb"))
-        return written(both.filter(100 * same >= percent * (F.size("ka") + F.size("kb") - same)).select(F.col("a").alias("set")).distinct())
-
-    gone = verified(plausible(shared))
-    waiting = entries.join(heads.select("word"), "word", "left_semi").select("word", "x", F.col("x.set").alias("set")).join(gone, "set", "left_anti")
-    waiting = waiting.join(heads.withColumnRenamed("y", "head"), "word").filter(F.col("x.set") != F.col("head.set")).select("word", "x")
-    later = waiting.join(entries.select("word", F.col("x").alias("y")), "word").filter(F.col("y.first") < F.col("x.first"))
-    later = plausible(later.join(heads.select("word", F.col("y.set").alias("head")), "word").filter(F.col("y.set") != F.col("head")).drop("head"))
-    gone = gone.unionByName(verified(later))
-    told = firsts.join(gone.withColumn("gone", F.lit(True)), "set", "left")
+        return written(both.filter(100 * same >= percent * (F.size("ka") + F.size("kb") - same)).select(F.col("a").alias("id")).distinct())
+
+    gone = verified(plausible(entries, heads))
+    waiting = sets.join(gone, "id", "left_anti").select("id", "n", "bits", F.posexplode("prefix").alias("place", "word"))
+    gone = gone.unionByName(verified(plausible(waiting, entries.select("word", *(F.col(c).alias(c + "_y") for c in ("id", "n", "bits", "place"))))))
+    told = sets.select("id", "set", "first").join(gone.withColumn("gone", F.lit(True)), "id", "left").drop("id")
     out = lines.select("doc_id", "line", "set").join(written(told), "set", "left")
     return out.select("doc_id", "line", (F.coalesce("gone", F.lit(False)) | (F.struct("doc_id", "line") > F.col("first"))).alias("removed"))
 
