@@ -95,8 +95,7 @@ def marks(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         pairs = written(pairs)
         asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(sets.select("id", "set", "first"), "id")
         asked = written(asked.select("id", "set", F.col("first.doc_id").alias("by"), F.col("first.line").alias("at")))
-        texts = docs.join(asked.select("by").distinct(), F.col("doc_id").eqNullSafe(F.col("by")), "left_semi")
-        words = _lines(texts).join(asked, F.col("doc_id").eqNullSafe(F.col("by")) & (F.col("line") == F.col("at")))
+        words = _lines(docs).join(asked, F.col("doc_id").eqNullSafe(F.col("by")) & (F.col("line") == F.col("at")))
         words = words.select("id", "set", _keys(F.col("content"), levels).alias("keys")).filter(F.xxhash64("keys") == F.col("set"))
         words = written(words.dropDuplicates(["id"]))
         both = pairs.join(words.select(F.col("id").alias("a"), F.col("keys").alias("ka")), "a").join(words.select(F.col("id").alias("b"), F.col("keys").alias("kb")), "b")
