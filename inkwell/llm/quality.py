@@ -2,12 +2,18 @@
 
 Features are indicators of hashed n-grams: words, word pairs, character trigrams of a word's shape (letters to a / A,
 digits to 0, the rest as it stands) and of its ends. Each is scaled by the log ratio of its smoothed document counts in
-the two classes, counted over every training row; a row is brought to unit length. A linear hinge-loss model is then
-fitted by dual coordinate descent on at most `MAX_ROWS` training rows, those with the smallest hash of doc_id, and its
-margins are turned into probabilities by a logistic curve fitted on rows left out of the fit.
+the two classes; a row is brought to unit length. A linear hinge-loss model is then fitted by dual coordinate descent,
+and its margins are turned into probabilities by a logistic curve fitted on rows left out of the fit.
+
+The fit reads a bounded sample of labelled documents: about `TRAIN_ROWS` for the class counts and about `MAX_ROWS` of
+these for the hinge-loss model, those whose hash of doc_id lies lowest. The sample is chosen among numbers alone, so no
+text but the sample's is ever moved. Scoring covers every row.
 
 Null and empty texts have no features and get the score of the intercept. Rows that repeat a doc_id are scored each for
-itself. Labels that are null, or for unknown documents, teach nothing. With one class alone every score is its share.
+itself; the least of their texts teaches. Labels that are null, or for unknown documents, teach nothing; of several
+labels for a document the greatest counts. With one class alone every score is its smoothed share, without any labels
+0.5. An empty table gives an empty result. Texts may have any length: a long one makes a numpy pass of its own. Columns
+other than doc_id, text and quality are never looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,8 +29,12 @@ from .common import shipped, slices, written
 from .hashing import Words, mixed
 
 FEATURE_BITS = 18
-#: Rows that the hinge-loss model is fitted on at most; the class counts cover all training rows.
+#: Labelled documents whose texts the class counts read, about; chosen by hash.
+TRAIN_ROWS = 32768
+#: Of these the rows that the hinge-loss model is fitted on, about.
 MAX_ROWS = 6000
+#: The features are dealt to 2**BLOCK_BITS blocks when the counts of partitions are added up.
+BLOCK_BITS = 4
 #: The fold of a document: crc32(doc_id as text) mod FOLDS; fold 0 is held out.
 FOLDS = 5
 CUT = 0.3
@@ -67,27 +77,63 @@ def features(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return keys & ((1 << FEATURE_BITS) - 1), np.searchsorted(keys >> FEATURE_BITS, np.arange(n_rows + 1))
 
 
+def _lowest(rows: DataFrame, n: int, limit: int, turn: int) -> DataFrame:
+    """Of n rows with distinct doc_id about `limit`, all if there are fewer: those with the lowest hashes of this turn."""
+    if n <= limit:
+        return rows
+    return rows.filter(F.xxhash64("doc_id", F.lit(turn)) < F.lit(int(limit / n * 2.0**64) - 2**63))
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> tuple[DataFrame, int]:
+    """doc_id, text, label (0 or 1) of about `limit` labelled documents outside fold 0 as a table, and their number."""
+    one = labels.filter("quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
+    known = written(docs.filter(fold() != 0).select("doc_id").distinct().join(one, "doc_id"))
+    chosen = F.broadcast(_lowest(known, known.count(), limit, 0))  # `limit` numbers, however many documents are labelled
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id")
+    rows = written(texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")))
+    return rows, rows.count()
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a partition: for each class its rows, and in how many of them each feature stands."""
-    counts, rows = np.zeros((2, 1 << FEATURE_BITS), np.int64), [0, 0]
+    """Of a partition: for each block of features in how many rows of each class they stand; block -1 has the rows."""
+    size, count = 1 << FEATURE_BITS, 1 << BLOCK_BITS
+    counts, rows = np.zeros((2, size), np.int64), np.zeros(2, np.int64)
     for part in slices(batches):
         numbers, ends = features(part.column(0))
         label = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
         of = np.repeat(label, np.diff(ends))
         for k in (0, 1):
-            counts[k] += np.bincount(numbers[of == k], minlength=1 << FEATURE_BITS)
+            counts[k] += np.bincount(numbers[of == k], minlength=size)
             rows[k] += int((label == k).sum())
-    if sum(rows):
-        for k in (0, 1):
-            at = np.flatnonzero(counts[k])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at) + 1, k)), pa.array(np.append(at, -1)), pa.array(np.append(counts[k][at], rows[k]))], names=["label", "feature", "n"])
+    if rows.sum():
+        each = [rows, *(counts[:, b * size // count : (b + 1) * size // count] for b in range(count))]
+        yield pa.RecordBatch.from_arrays([pa.array(range(-1, count), pa.int32()), pa.array([pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in each], pa.binary())], names=["block", "counts"])
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of each block's counts."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            n = 2 if block < 0 else 2 << (FEATURE_BITS - BLOCK_BITS)
+            sums[block] = sums.get(block, 0) + np.frombuffer(pa.decompress(packed, decompressed_size=8 * n, codec="zstd", asbytes=True), np.int64)
+    if sums:
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["block", "counts"])
+
+
+def class_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """In how many rows (text, label) of each class each feature stands, and the rows of each class."""
+    parts = rows.select("text", "label").mapInArrow(_count, "block int, counts binary")
+    found = {r.block: np.frombuffer(r.counts, np.int64).reshape(2, -1) for r in parts.repartition("block").mapInArrow(_add, "block int, counts binary").collect()}  # 17 rows, 4 MB
+    counts = np.concatenate([found.get(b, np.zeros((2, 1 << (FEATURE_BITS - BLOCK_BITS)), np.int64)) for b in range(1 << BLOCK_BITS)], 1)
+    return counts.astype(float), found[-1][:, 0] if -1 in found else np.zeros(2, np.int64)
 
 
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
         numbers, ends = features(part.column(0))
         numbers = numbers.astype(np.int32)
-        yield pa.RecordBatch.from_arrays([part.column(1), pa.array([numbers[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], names=["label", "features"])
+        yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array([numbers[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], names=["label", "doc_id", "features"])
 
 
 def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: np.ndarray, size: int, rounds: int = 12, seed: int = 5) -> tuple[np.ndarray, float]:
@@ -119,25 +165,19 @@ def _logistic(margin: np.ndarray, target: np.ndarray) -> tuple[float, float]:
     return float(theta[0]), float(theta[1])
 
 
-def fit(rows: DataFrame) -> dict:
-    """The model from labelled rows (doc_id, text, label 0 or 1): weights over the features, intercept, logistic curve."""
-    rows = written(rows.filter("label IN (0, 1)").select("doc_id", "text", F.col("label").cast("int").alias("label")))
+def fit(docs: DataFrame, labels: DataFrame) -> dict:
+    """The model that labels (doc_id, quality) teach: weights over the features, intercept, logistic curve."""
+    rows, n = training_rows(docs, labels)
     size = 1 << FEATURE_BITS
-    counted = rows.select("text", "label").mapInArrow(_count, "label long, feature long, n long").groupBy("label", "feature").agg(F.sum("n").alias("n"))
-    counts, of_class = np.zeros((2, size)), [0, 0]
-    for label, feature, n in counted.collect():  # two rows for each of 2**FEATURE_BITS features at most
-        if feature < 0:
-            of_class[label] = n
-        else:
-            counts[label][feature] = n
-    share = of_class[1] / max(sum(of_class), 1) if sum(of_class) else 1.0
-    if not all(of_class):
-        return {"weights": np.zeros(size, np.float32), "intercept": 0.0, "curve": (0.0, float(np.log((share + 1e-3) / (1 - share + 1e-3))))}
+    counts, of_class = class_counts(rows)
+    if not of_class.all():
+        share = (of_class[1] + 1e-3) / (of_class.sum() + 2e-3)
+        return {"weights": np.zeros(size, np.float32), "intercept": 0.0, "curve": (0.0, float(np.log(share / (1 - share))))}
     rate = [(counts[k] + ALPHA) / (of_class[k] + 2 * ALPHA) for k in (0, 1)]
     ratio = np.log(rate[1] / rate[0])
     ratio[counts.sum(0) == 0] = 0
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_ROWS).select("text", "label")
-    got = sample.mapInArrow(_sparse, "label int, features binary").collect()
+    sample = _lowest(rows, n, MAX_ROWS, 1).select("text", "label", "doc_id")
+    got = sorted(sample.mapInArrow(_sparse, "label int, doc_id long, features binary").collect(), key=lambda r: r.doc_id)
     x = [np.frombuffer(r.features, np.int32) for r in got]
     y = np.array([2 * r.label - 1 for r in got], np.float64)
     values = [(v := ratio[i]) / max(float(np.sqrt(v @ v)), 1e-9) for i in x]
@@ -180,9 +220,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row; learns from labels (doc_id, quality) of rows outside fold 0."""
-    one = labels.filter("quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("label"))
-    train = docs.filter(fold() != 0).select("doc_id", "text").join(one, "doc_id")
-    scored = score(docs, fit(train))
+    scored = score(docs, fit(docs, labels))
     return scored.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
@@ -191,8 +229,7 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     The score is made beside the rows rather than joined to them: one pass, whatever doc_id holds.
     """
-    one = labels.filter("quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("label"))
-    model = fit(docs.filter(fold() != 0).select("doc_id", "text").join(one, "doc_id"))
+    model = fit(docs, labels)
     sent, schema = docs.sparkSession.sparkContext.broadcast(model), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
