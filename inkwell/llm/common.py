@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
@@ -54,4 +55,33 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         yield batch.slice(start)
 
 
+#: A table of counts is added up in parts of this many.
+TABLE_PART = 1 << 16
+
+
+def tabled(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One partition's table of counts in parts (block int, counts binary)."""
+    parts = [pa.compress(counts[a : a + TABLE_PART].tobytes(), codec="zstd", asbytes=True) for a in range(0, len(counts), TABLE_PART)]
+    yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["block", "counts"])
+
+
+def totals(parts: DataFrame, size: int) -> np.ndarray:
+    """The sum of all partitions' tables of `size` counts: added up part by part on the executors, so the driver gets `size` numbers."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                n = min(TABLE_PART, size - block * TABLE_PART)
+                sums[block] = sums.get(block, 0) + np.frombuffer(pa.decompress(packed, decompressed_size=8 * n, codec="zstd", asbytes=True), np.int64)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["block", "counts"])
+
+    out = np.zeros(size, np.int64)
+    for r in parts.repartition("block").mapInArrow(add, "block int, counts binary").collect():
+        part = np.frombuffer(r.counts, np.int64)
+        out[r.block * TABLE_PART : r.block * TABLE_PART + len(part)] = part
+    return out
+
+
 shipped(__name__)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shipped, slices, written
+from .common import shipped, slices, tabled, totals, written
 from .hashing import Words, mixed
 
 FEATURE_BITS = 18
@@ -33,8 +33,6 @@ FEATURE_BITS = 18
 TRAIN_ROWS = 32768
 #: Of these the rows that the hinge-loss model is fitted on, about.
 MAX_ROWS = 6000
-#: The features are dealt to 2**BLOCK_BITS blocks when the counts of partitions are added up.
-BLOCK_BITS = 4
 #: The fold of a document: crc32(doc_id as text) mod FOLDS; fold 0 is held out.
 FOLDS = 5
 CUT = 0.3
@@ -95,8 +93,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a partition: for each block of features in how many rows of each class they stand; block -1 has the rows."""
-    size, count = 1 << FEATURE_BITS, 1 << BLOCK_BITS
+    """Of a partition: in how many rows of each class each feature stands, and the rows of each class."""
+    size = 1 << FEATURE_BITS
     counts, rows = np.zeros((2, size), np.int64), np.zeros(2, np.int64)
     for part in slices(batches):
         numbers, ends = features(part.column(0))
@@ -105,28 +103,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in (0, 1):
             counts[k] += np.bincount(numbers[of == k], minlength=size)
             rows[k] += int((label == k).sum())
-    if rows.sum():
-        each = [rows, *(counts[:, b * size // count : (b + 1) * size // count] for b in range(count))]
-        yield pa.RecordBatch.from_arrays([pa.array(range(-1, count), pa.int32()), pa.array([pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in each], pa.binary())], names=["block", "counts"])
-
-
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sums of each block's counts."""
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for block, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            n = 2 if block < 0 else 2 << (FEATURE_BITS - BLOCK_BITS)
-            sums[block] = sums.get(block, 0) + np.frombuffer(pa.decompress(packed, decompressed_size=8 * n, codec="zstd", asbytes=True), np.int64)
-    if sums:
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["block", "counts"])
+    yield from tabled(np.concatenate([*counts, rows]))
 
 
 def class_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """In how many rows (text, label) of each class each feature stands, and the rows of each class."""
-    parts = rows.select("text", "label").mapInArrow(_count, "block int, counts binary")
-    found = {r.block: np.frombuffer(r.counts, np.int64).reshape(2, -1) for r in parts.repartition("block").mapInArrow(_add, "block int, counts binary").collect()}  # 17 rows, 4 MB
-    counts = np.concatenate([found.get(b, np.zeros((2, 1 << (FEATURE_BITS - BLOCK_BITS)), np.int64)) for b in range(1 << BLOCK_BITS)], 1)
-    return counts.astype(float), found[-1][:, 0] if -1 in found else np.zeros(2, np.int64)
+    found = totals(rows.select("text", "label").mapInArrow(_count, "block int, counts binary"), (2 << FEATURE_BITS) + 2)
+    return found[:-2].reshape(2, -1).astype(float), found[-2:]
 
 
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
