@@ -12,25 +12,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shipped, written
+from .common import shipped, tidied, written
 
 SENT = "block int, chunk long, hashes binary"
 
 
 def bits_for(chunks: int) -> int:
     """The blocks grow with the chunks."""
-    return min(16, max(4, (chunks - 1).bit_length()))
+    return min(30, max(4, (chunks - 1).bit_length()))
 
 
-def _cuts(distinct: np.ndarray, bits: int) -> np.ndarray:
-    return np.append(np.searchsorted(distinct, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(distinct))
+def _sent(chunk: int, block: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    """Values by ascending block; rows as in SENT."""
+    at = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else np.zeros(0, np.int64)
+    parts = [values[a:b].tobytes() for a, b in zip(at, np.append(at[1:], len(block)), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(block[at].astype(np.int32)), pa.array(np.full(len(at), chunk)), pa.array(parts, pa.binary())], names=["block", "chunk", "hashes"])
 
 
 def sent(chunk: int, distinct: np.ndarray, bits: int) -> pa.RecordBatch:
     """Ascending distinct hashes by block; rows as in SENT."""
-    at = _cuts(distinct, bits)
-    full = np.flatnonzero(np.diff(at))
-    return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), chunk)), pa.array([distinct[at[b] : at[b + 1]].tobytes() for b in full.tolist()], pa.binary())], names=["block", "chunk", "hashes"])
+    return _sent(chunk, distinct >> np.uint64(64 - bits), distinct)
 
 
 def short(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -40,9 +41,7 @@ def short(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 def sent_short(chunk: int, distinct: np.ndarray, bits: int) -> pa.RecordBatch:
     """Ascending distinct short() hashes by block, four bytes each; rows as in SENT."""
-    at = np.append(np.searchsorted(distinct, np.arange(1 << bits, dtype=np.uint64) << np.uint64(32)), len(distinct))
-    full, low = np.flatnonzero(np.diff(at)), distinct.astype(np.uint32)
-    return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), chunk)), pa.array([low[at[b] : at[b + 1]].tobytes() for b in full.tolist()], pa.binary())], names=["block", "chunk", "hashes"])
+    return _sent(chunk, distinct >> np.uint64(32), distinct.astype(np.uint32))
 
 
 def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list]]:
@@ -72,7 +71,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def counted(hashes: DataFrame) -> DataFrame:
     """chunk, answers for rows of sent_short(): for each hash the binary digits of the number of chunks that have it."""
     dealt = hashes.repartition("block").sortWithinPartitions("block")
-    return written(dealt.mapInArrow(_count, "chunk long, block int, size int, levels binary").groupBy("chunk").agg(F.collect_list(F.struct("block", "size", "levels")).alias("answers")))
+    return written(dealt.mapInArrow(tidied(_count), "chunk long, block int, size int, levels binary").groupBy("chunk").agg(F.collect_list(F.struct("block", "size", "levels")).alias("answers")))
 
 
 def levels(answers: list) -> np.ndarray:
@@ -100,14 +99,14 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def answered(hashes: DataFrame) -> DataFrame:
     """chunk, answers for rows as in SENT, each chunk and block once."""
     dealt = hashes.repartition("block").sortWithinPartitions("block")
-    return written(dealt.mapInArrow(_meet, "chunk long, block int, bits binary").groupBy("chunk").agg(F.collect_list(F.struct("block", "bits")).alias("answers")))
+    return written(dealt.mapInArrow(tidied(_meet), "chunk long, block int, bits binary").groupBy("chunk").agg(F.collect_list(F.struct("block", "bits")).alias("answers")))
 
 
 def shared(distinct: np.ndarray, answers: list | None, bits: int) -> np.ndarray:
     """Of the hashes that a chunk has sent, whether another chunk has them."""
-    out, at = np.zeros(len(distinct), bool), _cuts(distinct, bits)
+    out, block = np.zeros(len(distinct), bool), distinct >> np.uint64(64 - bits)
     for answer in answers or []:
-        a, b = at[answer["block"]], at[answer["block"] + 1]
+        a, b = np.searchsorted(block, answer["block"]), np.searchsorted(block, answer["block"], "right")
         out[a:b] = np.unpackbits(np.frombuffer(answer["bits"], np.uint8), count=b - a).astype(bool)
     return out
 

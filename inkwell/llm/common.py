@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass holds at a time; a longer document makes a pass of its own.
 PASS_BYTES = 2 << 20
@@ -37,6 +39,43 @@ def written(df: DataFrame, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows as dicts, one at a time: rows may be large."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def tidied(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """f, giving back what memory it has freed when a partition ends: Spark keeps the worker for further tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+        if trim:
+            trim(0)
+
+    return run
+
+
+def one_row_each(docs: DataFrame, digest: Column, told: DataFrame) -> DataFrame:
+    """docs without the rows that told names (doc_id, digest, stays): all of those that don't stay, and all but one of those that do.
+
+    Rows are known by doc_id, null for itself, and the digest of their text.
+    """
+    key, mark = (f"inkwell_{uuid.uuid4().hex}" for _ in range(2))
+    marked = docs.withColumn(mark, digest)
+    named = lambda stays: written(told.filter(F.col("stays") == stays).select(F.col("doc_id").alias(key), F.col("digest").alias(f"{mark}_of")).distinct())
+    at = F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(mark) == F.col(f"{mark}_of"))
+    kept = marked.join(named(False), at, "left_anti")
+    twins = named(True)
+    if not twins.isEmpty():
+        again = kept.join(twins, at, "left_semi").dropDuplicates(["doc_id", mark])
+        kept = kept.join(twins, at, "left_anti").unionByName(again)
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = PASS_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each part holds about `limit` bytes of `column`, one row at least. Null counts as empty."""
     for batch in batches:
@@ -78,7 +117,7 @@ def totals(parts: DataFrame, size: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["block", "counts"])
 
     out = np.zeros(size, np.int64)
-    for r in parts.repartition("block").mapInArrow(add, "block int, counts binary").collect():
+    for r in parts.repartition("block").mapInArrow(tidied(add), "block int, counts binary").collect():
         part = np.frombuffer(r.counts, np.int64)
         out[r.block * TABLE_PART : r.block * TABLE_PART + len(part)] = part
     return out

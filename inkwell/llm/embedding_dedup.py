@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shipped, written
+from .common import shipped, tidied, written
 from .components import components
 from .hashing import mixed
 
@@ -160,14 +160,14 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     rows = vectors.select("vec_id", "embedding", F.coalesce(finite, F.lit(False)).alias("good"))
     good = rows.filter("good").select("vec_id", "embedding", F.xxhash64("embedding").alias("id"), F.xxhash64(F.lit(1), "embedding").alias("check"))
     folded = written(good.groupBy("id", "check").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight"), F.first("embedding").alias("embedding")))
-    spread = folded.select("id", "weight", "embedding").mapInArrow(_spread, f"bucket long, id long, weight long, embedding {folded.schema['embedding'].dataType.simpleString()}")
+    spread = folded.select("id", "weight", "embedding").mapInArrow(tidied(_spread), f"bucket long, id long, weight long, embedding {folded.schema['embedding'].dataType.simpleString()}")
     big = written(spread.groupBy("bucket").count().filter(F.col("count") > BLOCK))
     blocks = F.coalesce(F.ceil(F.col("count") / BLOCK), F.lit(1)).cast("int")
     dealt = spread.join(big, "bucket", "left").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     cells = dealt.select("bucket", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "id", "weight", "block", "embedding")
     cells = cells.repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right")
-    found = written(cells.mapInArrow(_verify, "id long, links long, tie long").groupBy("id", "tie").agg(F.sum("links").alias("links")))
+    found = written(cells.mapInArrow(tidied(_verify), "id long, links long, tie long").groupBy("id", "tie").agg(F.sum("links").alias("links")))
     labels = components(found.select(F.col("id").alias("a"), F.col("tie").alias("b")))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     known = folded.select("id", "vec_id", "weight").join(labels.select(F.col("node").alias("id"), "label"), "id", "left").join(links, "id", "left")

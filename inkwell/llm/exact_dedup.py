@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shipped, written
+from .common import one_row_each, shipped, tidied, written
 
-#: The quotient's bits: filters are dealt out in 2**BLOCK_BITS blocks.
-BLOCK_BITS = 12
+#: The quotient's bits: filters are dealt out in 2**bits blocks, of about 2**BLOCK_SIZE_BITS rows each in a large corpus.
+LEAST_BITS, BLOCK_SIZE_BITS = 12, 13
 
 
 def normalised(text: str = "text") -> F.Column:
@@ -36,7 +36,7 @@ def _merge(remainders: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.n
     return remainders[heads], np.add.reduceat(counts, heads) if len(heads) else counts
 
 
-def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _build(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """A partition's filter: block, sorted remainders, counts."""
     runs = []
     for batch in batches:
@@ -48,20 +48,20 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not runs:
         return
     prints, counts = _merge(np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs]))
-    blocks = (prints >> np.uint64(64 - BLOCK_BITS)).astype(np.int32)
+    blocks = (prints >> np.uint64(64 - bits)).astype(np.int32)
     heads = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1]))
     ends = np.append(heads[1:], len(prints))
-    low = prints & np.uint64((1 << (64 - BLOCK_BITS)) - 1)
+    low = prints & np.uint64((1 << (64 - bits)) - 1)
     yield pa.RecordBatch.from_arrays([pa.array(blocks[heads]), pa.array([low[a:b].tobytes() for a, b in zip(heads, ends, strict=True)], pa.binary()), pa.array([counts[a:b].tobytes() for a, b in zip(heads, ends, strict=True)], pa.binary())], names=["block", "remainders", "counts"])
 
 
-def _merge_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merge_blocks(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """Merged filters of whole blocks, whose rows arrive together and in order; gives the fingerprints counted more than once."""
 
     def repeated(block: int, rows: list) -> pa.RecordBatch:
         low = np.concatenate([np.frombuffer(r, np.uint64) for r, _ in rows])
         low, counts = _merge(low, np.concatenate([np.frombuffer(c, np.int64) for _, c in rows]))
-        prints = (low[counts > 1] | np.uint64(block << (64 - BLOCK_BITS))).view(np.int64)
+        prints = (low[counts > 1] | np.uint64(block << (64 - bits))).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(prints), pa.array(counts[counts > 1])], names=["fp", "n"])
 
     now, rows = None, []
@@ -77,9 +77,10 @@ def _merge_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def repeated_fingerprints(prints: DataFrame, column: str = "fp") -> DataFrame:
-    """fp, n of the fingerprints that stand in more than one row, by merged counting quotient filters."""
-    filters = prints.select(column).mapInArrow(_build, "block int, remainders binary, counts binary")
-    return filters.repartition("block").sortWithinPartitions("block").mapInArrow(_merge_blocks, "fp long, n long")
+    """fp, n of the fingerprints that stand in more than one row of a table, by merged counting quotient filters."""
+    bits = min(30, max(LEAST_BITS, prints.count().bit_length() - BLOCK_SIZE_BITS))
+    filters = prints.select(column).mapInArrow(tidied(lambda b: _build(b, bits)), "block int, remainders binary, counts binary")
+    return filters.repartition("block").sortWithinPartitions("block").mapInArrow(tidied(lambda b: _merge_blocks(b, bits)), "fp long, n long")
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
@@ -100,16 +101,10 @@ def verdicts(docs: DataFrame) -> DataFrame:
 
 def dedupe(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns; of rows that repeat a kept doc_id and its text one stays."""
-    told = written(verdicts(docs))
-    dropped = told.filter("not kept").select(F.col("doc_id").alias("of"), F.col("text_sha256").alias("sha")).distinct()
-    twins = written(told.filter("kept").groupBy(F.col("doc_id").alias("of"), F.col("text_sha256").alias("sha")).count().filter("count > 1").select("of", "sha"))
-    marked = docs.withColumn("__sha", F.sha2(normalised(), 256))
-    at = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("__sha") == F.col("sha"))
-    kept = marked.join(written(dropped), at, "left_anti")
-    if twins.isEmpty():
-        return kept.drop("__sha")
-    again = kept.join(twins, at, "left_semi").dropDuplicates(["doc_id", "__sha"])
-    return kept.join(twins, at, "left_anti").unionByName(again).drop("__sha")
+    told = written(verdicts(docs).withColumnRenamed("text_sha256", "digest"))
+    twins = told.filter("kept").groupBy("doc_id", "digest").agg(F.count("*").alias("n")).filter("n > 1")
+    named = told.filter("NOT kept").select("doc_id", "digest", F.lit(False).alias("stays")).unionByName(twins.select("doc_id", "digest", F.lit(True).alias("stays")))
+    return one_row_each(docs, F.sha2(normalised(), 256), named)
 
 
 SQL = r"""

@@ -1,7 +1,8 @@
 """Words and hashes of whole batches of texts in numpy: no Python loop over words.
 
-All hashes are 64 bits of polynomials modulo 2**64 over random byte values, mixed at the end. Equal
-sequences always get equal hashes; n different ones hold a false match with a chance of about n*n / 2**65.
+Words are hashed eight bytes at a time, with a bijective mix after each; spans and runs by polynomials modulo 2**64 over
+random values, mixed at the end. All hashes have 64 bits. Equal sequences always get equal hashes; n different ones hold a
+false match with a chance of about n*n / 2**65.
 """
 
 from __future__ import annotations
@@ -67,12 +68,38 @@ class Words:
         self.row_ends = np.searchsorted(self.starts, self.rows)
 
     def hashes(self) -> np.ndarray:
-        return span_hashes(self.data, self.starts, self.ends)
+        return word_hashes(self.data, self.starts, self.ends)
 
     def row_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.rows) - 1), np.diff(self.row_ends))
 
 
+#: Words up to this many bytes are hashed step by step.
+STEPPED = 512
+_LOW_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each byte span; the spans are in order and don't overlap."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))  # the eight bytes from each place on
+    length = ends - starts
+    out = length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    out = mixed(out + (eight[starts] & _LOW_BYTES[np.minimum(length, 8)]) * np.uint64(0xD6E8FEB86659FD93))
+    more, done = np.flatnonzero((length > 8) & (length <= STEPPED)), 8
+    while len(more):
+        left = length[more] - done
+        out[more] = mixed(out[more] * np.uint64(0x2545F4914F6CDD1D) + (eight[starts[more] + done] & _LOW_BYTES[np.minimum(left, 8)]))
+        more, done = more[left > 8], done + 8
+    long = np.flatnonzero(length > STEPPED)
+    if len(long):
+        out[long] = span_hashes(data, starts[long], ends[long])
+    return out
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A hash of each byte span; the spans are in order and don't overlap."""
     if not len(starts):

@@ -9,12 +9,15 @@ is left, one line a set, is joined:
    these words to the word's block; a block's entries meet word by word.
 3. Pairs must pass the length filter, the positional filter (what stands before and behind the shared word bounds the
    overlap) and the bit filter: 96-bit parity maps of two sets differ in no more bits than the sets differ in words.
-4. In a first turn a set names its `best` likeliest earlier partners of a block, and where more than `crowd` sets share a
-   word, one that meets a likely partner among the `PIVOTS` earliest looks no further: a crowd of similar lines makes one
-   pair a member. Sets that have looked at less than all and found nothing meet all earlier sets of their words in a second
-   turn, so no link is lost.
-5. Pairs are verified on whole sets of 58-bit word hashes, which are made once more for the lines that pairs name. Two words
-   are taken for one with a chance of 2**-58 a pair of words, two sets with one of 2**-64.
+4. In the first turn a set names its likeliest earlier partner of each block, and up to `best` further ones that are looked
+   at if those fail. Where more than `crowd` sets share a word, a set that meets a likely partner among the `PIVOTS` earliest
+   looks no further: a crowd of similar lines makes one pair a member.
+5. Pairs are verified on whole sets of word hashes, which are made once more for the lines that pairs name.
+6. Sets that have looked at less than all, and found nothing, meet all earlier sets of their words in a second turn, to
+   which only their words' entries are sent. So no link is lost.
+
+A word stands for 42 bits of its hash besides its rarity, a line's place and set for 64: a pair of lines is misjudged with a
+chance of about 2**-30.
 
 Style: free. The operator is dealt as native; three native versions, all in DataFrame expressions, took 923 to 1127 CPU
 seconds a GB against 400 allowed, and more disk than allowed (README). So words, hashes and the join of a block are numpy
@@ -36,20 +39,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import bits_for
-from .common import PASS_BYTES, shipped, slices, tabled, totals, written
+from .common import PASS_BYTES, shipped, slices, tabled, tidied, totals, written
 from .hashing import Words, mixed
 
 PERCENT = 75
 SLOT_BITS = 18
-CROWD, PIVOTS, BEST = 1024, 64, 4
+CROWD, PIVOTS, BEST = 1024, 64, 32
 MAP_BITS = 96
+#: Bits of a word's key: 6 of rarity, 42 of its hash.
+KEY_BITS = 48
 #: Pairs that a block compares at a time.
 STEP = 400_000
+#: Words that ask in a second turn are known by so many bits.
+ASKED_BITS = 20
 NO_ID = -(2**63)
 ENTRY = np.dtype([("word", "<u4"), ("n", "<u4"), ("place", "<u4"), ("line", "<u4"), ("probe", "<u4"), ("doc", "<i8"), ("low", "<u8"), ("high", "<u8")])
 ENTRIES = "block int, n int, entries binary"
-SIDES = ("doc", "line", "mark")
-PAIRS = "a_doc long, a_line int, a_mark long, b_doc long, b_line int, b_mark long, differ int, more boolean"
+#: a, b: lines, b earlier, by number(); rest: not the likeliest partner; differ: bits; more: a has looked at less than all.
+PAIRS = "rest boolean, a long, b long, differ int, more boolean"
+
+
+def number(doc: np.ndarray, line: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """One number for a line's place and 32 bits of its set's hash."""
+    return mixed(mixed(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + line.astype(np.uint64)) + mark.astype(np.uint64))
 
 
 class Lines:
@@ -60,31 +72,44 @@ class Lines:
         hashes, row = words.hashes(), words.row_of()
         upto = np.zeros(len(words.data) + 1, np.int64)
         np.cumsum(words.data == 10, out=upto[1:])
-        line = upto[words.starts] - upto[words.rows[row]]
-        of = line + row + upto[words.rows[row]]  # ascends over the whole batch
-        keys = (levels[hashes & np.uint64((1 << SLOT_BITS) - 1)].astype(np.uint64) << np.uint64(58)) | (hashes >> np.uint64(6))
-        order = np.lexsort((keys, of))
-        of, keys = of[order], keys[order]
-        fresh = np.ones(len(of), bool)
-        fresh[1:] = (of[1:] != of[:-1]) | (keys[1:] != keys[:-1])
-        self.keys, of, source = keys[fresh], of[fresh], order[fresh]
-        self.starts = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
-        self.n = np.diff(np.append(self.starts, len(of)))
-        first = source[self.starts]
+        above = upto[words.starts]
+        fresh = np.ones(len(row), bool)
+        fresh[1:] = (row[1:] != row[:-1]) | (above[1:] != above[:-1])
+        first = np.flatnonzero(fresh)
         self.doc = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[row[first]]
-        self.line = line[first].astype(np.uint32)
-        finished = mixed(self.keys)
-        self.set = mixed(np.add.reduceat(finished, self.starts)) if len(of) else np.zeros(0, np.uint64)
-        self.finished = finished
+        self.line = (above[first] - upto[words.rows[row[first]]]).astype(np.uint32)
+        keys = (levels[hashes & np.uint64((1 << SLOT_BITS) - 1)].astype(np.uint64) << np.uint64(KEY_BITS - 6)) | (hashes >> np.uint64(64 - (KEY_BITS - 6)))
+        of, self.keys = self._sorted(np.cumsum(fresh) - 1, keys)
+        self.starts = np.searchsorted(of, np.arange(len(first)))
+        self.n = np.diff(np.append(self.starts, len(of)))
+        self.finished = mixed(self.keys)
+        self.set = mixed(np.add.reduceat(self.finished, self.starts)) if len(of) else np.zeros(0, np.uint64)
+
+    @staticmethod
+    def _sorted(of: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct words of lines in order; a line's number shares 64 bits with the word's key, so lines go in groups."""
+        group, lines, words = 1 << (64 - KEY_BITS), [], []
+        cuts = np.searchsorted(of, np.arange(0, (of[-1] if len(of) else 0) + group + 1, group))
+        for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+            both = np.unique(((of[a:b] - k * group).astype(np.uint64) << np.uint64(KEY_BITS)) | keys[a:b])
+            lines.append((both >> np.uint64(KEY_BITS)).astype(np.int64) + k * group)
+            words.append(both & np.uint64((1 << KEY_BITS) - 1))
+        return np.concatenate(lines), np.concatenate(words)
+
+    def marks(self) -> np.ndarray:
+        return self.set >> np.uint64(32)
+
+    def numbers(self) -> np.ndarray:
+        return number(self.doc, self.line, self.marks())
 
     def maps(self) -> tuple[np.ndarray, np.ndarray]:
         """Of each set the lower 64 bits of its parity map, and the other 32 below 32 bits of its hash."""
         bit = ((self.finished >> np.uint64(40)) * np.uint64(MAP_BITS)) >> np.uint64(24)
         one = np.uint64(1) << (bit & np.uint64(63))
         low, high = (np.bitwise_xor.reduceat(np.where((bit < 64) == side, one, np.uint64(0)), self.starts) for side in (True, False))
-        return low, high | (self.set >> np.uint64(32) << np.uint64(32))
+        return low, high | (self.marks() << np.uint64(32))
 
-    def entries(self, percent: int, probe: int = 0) -> np.ndarray:
+    def entries(self, percent: int) -> np.ndarray:
         """The prefixes of the batch's sets, each at its first place."""
         if not len(self.n):
             return np.zeros(0, ENTRY)
@@ -95,10 +120,10 @@ class Lines:
         prefix = n - -(-percent * n // 100) + 1
         place = np.arange(prefix.sum()) - np.repeat(np.cumsum(prefix) - prefix, prefix)
         low, high = self.maps()
-        out = np.empty(len(place), ENTRY)
+        out = np.zeros(len(place), ENTRY)
         of = np.repeat(chosen, prefix)
-        out["word"] = mixed(self.keys[self.starts[of] + place]) >> np.uint64(32)
-        out["place"], out["probe"] = place, probe
+        out["word"] = self.finished[self.starts[of] + place] >> np.uint64(32)
+        out["place"] = place
         for name, values in (("n", self.n), ("line", self.line), ("doc", self.doc), ("low", low), ("high", high)):
             out[name] = values[of]
         return out
@@ -133,221 +158,255 @@ def rarity(docs: DataFrame) -> tuple[np.ndarray, int]:
             size += len(words.data)
         yield from tabled(np.append(counts, size))
 
-    counts = totals(docs.mapInArrow(run, "block int, counts binary"), (1 << SLOT_BITS) + 1)
+    counts = totals(docs.mapInArrow(tidied(run), "block int, counts binary"), (1 << SLOT_BITS) + 1)
     return np.minimum(63, 2 * np.log2(np.maximum(counts[:-1], 1))).astype(np.uint8), int(counts[-1])
 
 
-def within(e: np.ndarray, percent: int, crowd: int | None, best: int | None) -> list[np.ndarray]:
-    """The columns of PAIRS for the entries of whole words, one at least: likely partners b before a. Without `crowd` and `best`, the second turn: all partners of those that ask."""
-    at = np.lexsort((e["line"], e["doc"]))
-    changed = np.append(False, (e["doc"][at][1:] != e["doc"][at][:-1]) | (e["line"][at][1:] != e["line"][at][:-1]))
-    rank = np.empty(len(e), np.int64)
-    rank[at] = np.cumsum(changed)
-    order = np.lexsort((1 - e["probe"].astype(np.int8), rank, e["low"], e["high"], e["n"], e["word"]))
-    e, rank = e[order], rank[order]
-    if len(e):  # equal sets are folded elsewhere: the first of them is enough
-        same = np.append(False, (e["word"][1:] == e["word"][:-1]) & (e["n"][1:] == e["n"][:-1]) & (e["low"][1:] == e["low"][:-1]) & (e["high"][1:] == e["high"][:-1]))
-        e, rank = e[~same], rank[~same]
-    word, n = e["word"].astype(np.uint64) << np.uint64(32), e["n"].astype(np.int64)
-    key = word | e["n"]
-    begin, end = np.searchsorted(e["word"], e["word"], "left"), np.searchsorted(e["word"], e["word"], "right")
-    from_, to = np.searchsorted(key, word | (-(-percent * n // 100)).astype(np.uint64)), np.searchsorted(key, word | (100 * n // percent).astype(np.uint64), "right")
-    count_high = e["high"] & np.uint64(0xFFFFFFFF)
-    found: list[tuple] = []
-
-    def compare(i: np.ndarray, j: np.ndarray) -> None:
-        """Keeps the pairs that pass; j must be earlier than i."""
-        ok = rank[j] < rank[i]
-        i, j = i[ok], j[ok]
-        at, other, both = e["place"][i].astype(np.int64), e["place"][j].astype(np.int64), n[i] + n[j]
-        overlap = np.minimum(at, other) + np.minimum(n[i] - at, n[j] - other)
-        differ = np.bitwise_count(e["low"][i] ^ e["low"][j]).astype(np.int64) + np.bitwise_count(count_high[i] ^ count_high[j])
-        ok = ((100 + percent) * overlap >= percent * both) & ((100 + percent) * differ <= (100 - percent) * both)
-        found.append((i[ok], j[ok], differ[ok]))
-
-    probes = to - from_ > 1
-    if crowd is None:
-        probes &= e["probe"] == 1
-    deferred = np.zeros(len(e), bool)
-    if crowd:
-        for start in np.unique(begin[(end - begin > crowd) & probes]).tolist():
-            stop = int(end[start])
-            pivots = start + np.argsort(rank[start:stop], kind="stable")[:PIVOTS]
-            before = len(found)
+class Block:
+    """The entries of whole words: each set once, at its first place, and word by word in order of size."""
+
+    def __init__(self, e: np.ndarray, percent: int):
+        sets = mixed(e["high"] + mixed(e["low"] + e["n"]))
+        order = np.lexsort((1 - e["probe"].astype(np.int8), e["line"], e["doc"], sets))
+        head = np.append(True, sets[order][1:] != sets[order][:-1])
+        first = order[np.flatnonzero(head)[np.cumsum(head) - 1]]  # of each entry's set the first place
+        same = (e["doc"][order] == e["doc"][first]) & (e["line"][order] == e["line"][first]) & (e["probe"][order] == e["probe"][first])
+        e = e[order[same]]
+        e = e[np.argsort((e["word"].astype(np.uint64) << np.uint64(32)) | e["n"], kind="stable")]
+        self.percent, self.word, self.n = percent, e["word"], e["n"].astype(np.int64)
+        self.doc, self.line, self.low, self.high, self.probe = (e[c].copy() for c in ("doc", "line", "low", "high", "probe"))
+        self.mark, self.rest = self.high >> np.uint64(32), self.high & np.uint64(0xFFFFFFFF)
+        self.place = e["place"].astype(np.int64)
+        word = self.word.astype(np.uint64) << np.uint64(32)
+        key = word | e["n"]
+        self.begin, self.end = np.searchsorted(self.word, self.word, "left"), np.searchsorted(self.word, self.word, "right")
+        self.least, self.most = np.searchsorted(key, word | (-(-percent * self.n // 100)).astype(np.uint64)), np.searchsorted(key, word | (100 * self.n // percent).astype(np.uint64), "right")
+        self.found: list[tuple] = []
+
+    def earlier(self, j: np.ndarray, i: np.ndarray) -> np.ndarray:
+        return (self.doc[j] < self.doc[i]) | ((self.doc[j] == self.doc[i]) & (self.line[j] < self.line[i]))
+
+    def compare(self, i: np.ndarray, j: np.ndarray, turned: bool) -> None:
+        """Keeps the pairs (later, earlier) that pass; `turned`: i may be the earlier, else such pairs are left out."""
+        both = self.n[i] + self.n[j]
+        differ = np.bitwise_count(self.low[i] ^ self.low[j]) + np.bitwise_count(self.rest[i] ^ self.rest[j])
+        ok = (100 + self.percent) * differ.astype(np.int64) <= (100 - self.percent) * both
+        i, j, differ, both = i[ok], j[ok], differ[ok], both[ok]
+        overlap = np.minimum(self.place[i], self.place[j]) + np.minimum(self.n[i] - self.place[i], self.n[j] - self.place[j])
+        ok = (100 + self.percent) * overlap >= self.percent * both
+        i, j, differ = i[ok], j[ok], differ[ok]
+        late = self.earlier(j, i)
+        if turned:
+            soon = self.earlier(i, j)
+            i, j, differ = np.concatenate([i[late], j[soon]]), np.concatenate([j[late], i[soon]]), np.concatenate([differ[late], differ[soon]])
+        else:
+            i, j, differ = i[late], j[late], differ[late]
+        self.found.append((i, j, differ.astype(np.int64)))
+
+    def ranges(self, asking: np.ndarray, low: np.ndarray, high: np.ndarray, turned: bool) -> None:
+        """Compares each of asking with its places low to high, STEP pairs at a time."""
+        counts = high - low
+        asking, low, counts = asking[counts > 0], low[counts > 0], counts[counts > 0]
+        upto, a = np.cumsum(counts), 0
+        while a < len(asking):
+            b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + STEP, "right")))
+            c = counts[a:b]
+            i = np.repeat(asking[a:b], c)
+            self.compare(i, np.repeat(low[a:b], c) + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c), turned)
+            a = b
+
+    def first_turn(self, crowd: int) -> np.ndarray:
+        """Meets all; returns which entries have met a pivot and looked no further."""
+        deferred, crowded = np.zeros(len(self.n), bool), self.end - self.begin > crowd
+        for start in np.unique(self.begin[crowded]).tolist():
+            stop, before = int(self.end[start]), len(self.found)
+            order = np.lexsort((self.line[start:stop], self.doc[start:stop]))
+            pivots = start + order[:PIVOTS]
             for a in range(start, stop, STEP // PIVOTS):
                 members = np.arange(a, min(a + STEP // PIVOTS, stop))
-                compare(np.repeat(members, len(pivots)), np.tile(pivots, len(members)))
-            for i, _, _ in found[before:]:
+                self.compare(np.repeat(members, len(pivots)), np.tile(pivots, len(members)), False)
+            for i, _, _ in self.found[before:]:
                 deferred[i] = True
-    asking = np.flatnonzero(probes & ~deferred)
-    counts = (to - from_)[asking]
-    upto = np.cumsum(counts)
-    a = 0
-    while a < len(asking):
-        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + STEP, "right")))
-        c = counts[a:b]
-        i = np.repeat(asking[a:b], c)
-        compare(i, np.repeat(from_[asking[a:b]], c) + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c))
-        a = b
-    i, j, differ = (np.concatenate([x[k] for x in found] or [np.zeros(0, np.int64)]) for k in range(3))
-    # One row a pair, whatever words have shown it; the likeliest `best` of each a.
-    order = np.lexsort((e["low"], e["high"], rank))
-    changed = np.append(False, (rank[order][1:] != rank[order][:-1]) | (e["high"][order][1:] != e["high"][order][:-1]) | (e["low"][order][1:] != e["low"][order][:-1]))
-    number = np.empty(len(e), np.int64)
-    number[order] = np.cumsum(changed[: len(e)])
-    key_a, key_b = number[i], number[j]
-    late = deferred[i].astype(np.int64)
-    order = np.lexsort((rank[j], key_b, differ, key_a))
-    i, j, differ, key_a, key_b, late = (x[order] for x in (i, j, differ, key_a, key_b, late))
-    keep = np.append(True, (key_a[1:] != key_a[:-1]) | (key_b[1:] != key_b[:-1])) if len(i) else np.zeros(0, bool)
-    heads = np.flatnonzero(np.append(True, key_a[1:] != key_a[:-1])) if len(i) else np.zeros(0, np.int64)
-    group = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(i))))
-    more = np.maximum.reduceat(late, heads)[group].astype(bool) if len(heads) else late.astype(bool)
-    if best and len(i):
+        alone = np.flatnonzero(~crowded)
+        self.ranges(alone, alone + 1, self.most[alone], True)
+        left = np.flatnonzero(crowded & ~deferred)
+        self.ranges(left, self.least[left], self.most[left], False)
+        return deferred
+
+    def second_turn(self) -> np.ndarray:
+        asking = np.flatnonzero(self.probe == 1)
+        self.ranges(asking, self.least[asking], self.most[asking], False)
+        return np.zeros(len(self.n), bool)
+
+    def pairs(self, deferred: np.ndarray, best: int | None) -> list[np.ndarray]:
+        """The columns of PAIRS: each pair once, whatever words have shown it, and at most `best` of each line."""
+        i, j, differ = (np.concatenate([x[k] for x in self.found] or [np.zeros(0, np.int64)]).astype(np.int64) for k in range(3))
+        names = number(self.doc, self.line, self.mark)
+        a, b = names[i], names[j]
+        order = np.lexsort((b, differ, a))
+        a, b, differ, late = a[order], b[order], differ[order], deferred[i][order]
+        if not len(a):
+            return [np.zeros(0, t) for t in (bool, np.int64, np.int64, np.int32, bool)]
+        keep = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+        heads = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+        group = np.cumsum(np.append(True, a[1:] != a[:-1])) - 1
         turn = np.cumsum(keep) - 1
         turn = turn - turn[heads][group]
-        more |= (np.maximum.reduceat(turn, heads) >= best)[group]
-        keep &= turn < best
-    i, j, differ, more = i[keep], j[keep], differ[keep], more[keep]
-    mark = e["high"] >> np.uint64(32)
-    return [e["doc"][i], e["line"][i].astype(np.int32), mark[i].astype(np.int64), e["doc"][j], e["line"][j].astype(np.int32), mark[j].astype(np.int64), differ.astype(np.int32), more]
+        more = np.logical_or.reduceat(late, heads)
+        if best:
+            more |= np.maximum.reduceat(turn, heads) >= best
+            keep &= turn < best
+        return [turn[keep] > 0, a[keep].view(np.int64), b[keep].view(np.int64), differ[keep].astype(np.int32), more[group][keep]]
 
 
 def _met(sent: DataFrame, percent: int, crowd: int | None, best: int | None) -> DataFrame:
-    """PAIRS of the entries sent, met block by block."""
+    """PAIRS of the entries sent, met block by block; without `crowd` in the second turn."""
     names = [x.split()[0] for x in PAIRS.split(", ")]
 
+    def met(held: list[np.ndarray]) -> pa.RecordBatch:
+        block = Block(np.concatenate(held), percent)
+        found = block.pairs(block.first_turn(crowd) if crowd else block.second_turn(), best)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
             for block, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if block != now and held:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in within(np.concatenate(held), percent, crowd, best)], names=names)
+                    yield met(held)
                     held = []
                 now = block
                 held.append(unpacked(n, data))
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in within(np.concatenate(held), percent, crowd, best)], names=names)
+            yield met(held)
 
-    return written(sent.repartition("block").sortWithinPartitions("block").mapInArrow(run, PAIRS))
+    return written(sent.repartition("block").sortWithinPartitions("block").mapInArrow(tidied(run), PAIRS), by="rest")
 
 
-def _side(pairs: DataFrame, side: str) -> DataFrame:
-    return pairs.select(*(F.col(f"{side}_{c}").alias(c) for c in SIDES))
-
-
-def _sieve(places: DataFrame) -> np.ndarray:
-    """A bit table that has every place of a set: 8 bits a place, 2**26 at most; where it is full, more lines pass than are asked for."""
-    bits = min(26, max(12, (8 * places.count()).bit_length()))
+def _sieve(numbers: DataFrame) -> np.ndarray:
+    """A bit table that has every number of a table: 8 bits a number, 2**26 at most; where it is full, more pass than are asked for."""
+    bits = min(26, max(12, (8 * numbers.count()).bit_length()))
     part = max(0, bits - 20)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[int, np.ndarray] = {}
         for batch in batches:
-            slot = _slots(*(c.to_numpy() for c in batch.columns[1:]), bits)
-            for block, at in zip(batch.column(0).to_pylist(), slot.tolist(), strict=True):
-                tables.setdefault(block, np.zeros(1 << (bits - part), bool))[at & ((1 << (bits - part)) - 1)] = True
+            block, slot = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for k in np.unique(block).tolist():
+                tables.setdefault(k, np.zeros(1 << (bits - part), bool))[slot[block == k] & ((1 << (bits - part)) - 1)] = True
         if tables:
             yield pa.RecordBatch.from_arrays([pa.array(list(tables), pa.int32()), pa.array([np.packbits(t).tobytes() for t in tables.values()], pa.binary())], names=["block", "bits"])
 
-    keyed = places.mapInArrow(_keyed(bits, part), "block int, doc long, line int, mark long").repartition("block")
+    slot = F.shiftrightunsigned(F.col(numbers.columns[0]), 64 - bits)
+    dealt = numbers.select(F.shiftrightunsigned(slot, bits - part).cast("int").alias("block"), slot.alias("slot")).repartition("block")
     out = np.zeros(1 << bits, bool)
-    for r in keyed.mapInArrow(run, "block int, bits binary").collect():  # 64 rows of 128 KB at most
+    for r in dealt.mapInArrow(tidied(run), "block int, bits binary").collect():  # 64 rows of 128 KB at most
         out[r.block << (bits - part) : (r.block + 1) << (bits - part)] = np.unpackbits(np.frombuffer(r.bits, np.uint8)).astype(bool)
     return out
 
 
-def _slots(doc: np.ndarray, line: np.ndarray, mark: np.ndarray, bits: int) -> np.ndarray:
-    whole = mixed(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (line.astype(np.uint64) << np.uint64(32)) + mark.astype(np.uint64))
-    return (whole >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def _keyed(bits: int, part: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slot = _slots(*(c.to_numpy() for c in batch.columns), bits)
-            yield pa.RecordBatch.from_arrays([pa.array((slot >> (bits - part)).astype(np.int32)), *batch.columns], names=["block", *SIDES])
-
-    return run
+def _in(table: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    return table[(numbers >> np.uint64(64 - (len(table).bit_length() - 1))).astype(np.int64)]
 
 
-def _listed(docs: DataFrame, levels, sieve) -> DataFrame:
-    """doc, line, mark, set of each line with words, and its keys where the sieve has it."""
+def _listed(docs: DataFrame, levels, asked) -> DataFrame:
+    """doc, line, name, set of each line with words, and its keys where it may be asked for; without `levels` no keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sieve.value
         for part in slices(batches):
             lines = Lines(part, levels.value)
-            mark = (lines.set >> np.uint64(32)).astype(np.int64)
-            asked = table[_slots(lines.doc, lines.line, mark, len(table).bit_length() - 1)]
-            keys = lines.keys[np.repeat(asked, lines.n)].view(np.int64)
-            ends = np.concatenate([[0], np.cumsum(np.where(asked, lines.n, 0))]).astype(np.int32)
-            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys), mask=pa.array(~asked)) if len(asked) else pa.array([], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(lines.doc), pa.array(lines.line.astype(np.int32)), pa.array(mark), pa.array(lines.set.view(np.int64)), listed], names=[*SIDES, "set", "keys"])
+            names = lines.numbers()
+            some = _in(asked.value, names)
+            keys = lines.keys[np.repeat(some, lines.n)].view(np.int64)
+            ends = np.concatenate([[0], np.cumsum(np.where(some, lines.n, 0))]).astype(np.int32)
+            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys), mask=pa.array(~some)) if len(some) else pa.array([], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(lines.doc), pa.array(lines.line.astype(np.int32)), pa.array(names.view(np.int64)), pa.array(lines.set.view(np.int64)), listed], names=["doc", "line", "name", "set", "keys"])
 
-    return written(docs.mapInArrow(run, "doc long, line int, mark long, set long, keys array<long>"))
+    return written(docs.mapInArrow(tidied(run), "doc long, line int, name long, set long, keys array<long>"))
 
 
 def _similar(pairs: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
-    """The sides a of the pairs that are similar."""
-    named = lambda side: keys.select(*(F.col(c).alias(f"{side}_{c}") for c in SIDES), F.col("keys").alias(f"{side}_keys"))
-    both = pairs.select(*(f"{s}_{c}" for s in "ab" for c in SIDES))
-    for side in "ba":
-        both = both.join(named(side), [f"{side}_{c}" for c in SIDES])
+    """The lines a of the pairs (a, b) that are similar."""
+    named = lambda side: keys.select(F.col("name").alias(side), F.col("keys").alias(f"{side}_keys"))
+    both = pairs.join(named("b"), "b").join(named("a"), "a")
     same = F.size(F.array_intersect("a_keys", "b_keys"))
-    return written(_side(both.filter(100 * same >= percent * (F.size("a_keys") + F.size("b_keys") - same)), "a").distinct())
+    return written(both.filter(100 * same >= percent * (F.size("a_keys") + F.size("b_keys") - same)).select("a").distinct())
+
+
+def _passing(pairs: DataFrame, asked) -> DataFrame:
+    """The pairs whose a is in a sieve."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_in(asked.value, batch.column(0).to_numpy().view(np.uint64))))
 
+    return pairs.mapInArrow(tidied(run), "a long, b long")
 
-def _gone(pairs: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
-    """Places whose sets are similar to an earlier one; each asks its likeliest partner first, and all others if that fails."""
-    sides = [f"a_{c}" for c in SIDES]
-    likeliest = F.min(F.struct("differ", *(f"b_{c}" for c in SIDES))).alias("b")
-    first = _similar(pairs.groupBy(*sides).agg(likeliest).select(*sides, *(f"b.b_{c}" for c in SIDES)), keys, percent)
-    named = first.select(*(F.col(c).alias(f"a_{c}") for c in SIDES))
-    return first.unionByName(_similar(pairs.join(named, sides, "left_anti").distinct(), keys, percent))
+
+def _gone(docs: DataFrame, levels, pairs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The lines that are similar to an earlier one, those whose pairs have all failed, and all lines as by _listed.
+
+    Each line asks its likeliest partners first, the rest if these fail.
+    """
+    share = docs.sparkSession.sparkContext.broadcast
+    likely = written(pairs.filter("NOT rest").select("a", "b").distinct())
+    asking = likely.select("a").distinct()
+    lines = _listed(docs, levels, share(_sieve(likely.select("a").union(likely.select("b")).distinct())))
+    keys = lambda listed: listed.filter("keys IS NOT NULL").select("name", "keys").dropDuplicates(["name"])
+    gone = _similar(likely, keys(lines), percent)
+    waiting = written(asking.join(gone, "a", "left_anti"))
+    rest = written(_passing(pairs.filter("rest").select("a", "b"), share(_sieve(waiting))).join(waiting, "a", "left_semi").distinct())
+    if not rest.isEmpty():
+        more = _listed(docs, levels, share(_sieve(rest.select("a").union(rest.select("b")).distinct())))
+        gone = gone.unionByName(_similar(rest, keys(more), percent))
+        waiting = waiting.join(gone, "a", "left_anti")
+    return gone, waiting, lines
 
 
 def marks(docs: DataFrame, percent: int = PERCENT, crowd: int = CROWD, best: int = BEST) -> DataFrame:
     """doc_id, line, removed for each line with words of docs (doc_id, text); lines count from 0."""
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
-    context = docs.sparkSession.sparkContext
+    share = docs.sparkSession.sparkContext.broadcast
     table, size = rarity(docs)
-    levels, bits = context.broadcast(table), bits_for(size // PASS_BYTES + 1)
+    levels, bits = share(table), bits_for(size // (4 * PASS_BYTES) + 1)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             yield _dealt(Lines(part, levels.value).entries(percent), bits)
 
-    sent = docs.mapInArrow(send, ENTRIES)
-    pairs = _met(sent, percent, crowd, best)
-    asked = _side(pairs, "a").union(_side(pairs, "b")).distinct()
-    lines = _listed(docs, levels, context.broadcast(_sieve(asked)))
-    keys = lines.filter("keys IS NOT NULL").select(*SIDES, "keys").dropDuplicates(list(SIDES))
-    gone = _gone(pairs, keys, percent)
-    waiting = written(_side(pairs.filter("more"), "a").distinct().join(gone, list(SIDES), "left_anti"))
+    pairs = _met(docs.mapInArrow(tidied(send), ENTRIES), percent, crowd, best)
+    gone, waiting, lines = _gone(docs, levels, pairs, percent)
+    waiting = written(waiting.join(pairs.filter("more").select("a").distinct(), "a", "left_semi"))
     if not waiting.isEmpty():
-        ask = context.broadcast(_sieve(waiting))
+        ask = share(_sieve(waiting))
+        asked = lambda e: _in(ask.value, number(e["doc"], e["line"], e["high"] >> np.uint64(32)))
+
+        def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen = np.zeros(1 << ASKED_BITS, np.int64)
+            for part in slices(batches):
+                e = Lines(part, levels.value).entries(percent)
+                seen[e["word"][asked(e)] >> (32 - ASKED_BITS)] = 1
+            yield from tabled(seen)
+
+        wanted = share(totals(docs.mapInArrow(tidied(words), "block int, counts binary"), 1 << ASKED_BITS) > 0)
 
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in slices(batches):
                 e = Lines(part, levels.value).entries(percent)
-                e["probe"] = ask.value[_slots(e["doc"], e["line"], e["high"] >> np.uint64(32), len(ask.value).bit_length() - 1)]
-                yield _dealt(e, bits)
+                e["probe"] = asked(e)
+                yield _dealt(e[wanted.value[e["word"] >> (32 - ASKED_BITS)]], bits)
 
-        rest = _met(docs.mapInArrow(probe, ENTRIES), percent, None, None)
-        again = _listed(docs, levels, context.broadcast(_sieve(_side(rest, "a").union(_side(rest, "b")).distinct())))
-        more = _gone(rest, again.filter("keys IS NOT NULL").select(*SIDES, "keys").dropDuplicates(list(SIDES)), percent)
-        gone = gone.unionByName(more).distinct()
+        met = _met(docs.mapInArrow(tidied(probe), ENTRIES), percent, None, None)
+        gone = gone.unionByName(_gone(docs, levels, met, percent)[0]).distinct()
     return _told(lines, gone)
 
 
 def _told(lines: DataFrame, gone: DataFrame) -> DataFrame:
     """A line goes if it isn't at its set's first place, or if that place is among those gone."""
-    lines = lines.select(*SIDES, "set")
-    firsts = lines.groupBy("set").agg(F.min(F.struct("doc", "line")).alias("first"), F.min(F.struct("doc", "line", "mark")).alias("place"), F.count("*").alias("n"))
-    dropped = gone.select(F.struct(*(F.col(c) for c in SIDES)).alias("place"), F.lit(True).alias("gone"))
-    told = written(firsts.join(dropped, "place", "left").filter("n > 1 OR gone").select("set", "first", F.coalesce("gone", F.lit(False)).alias("gone")))
-    out = lines.join(told, "set", "left")
+    lines = lines.select("doc", "line", "name", "set")
+    firsts = lines.groupBy("set").agg(F.min(F.struct("doc", "line", "name")).alias("first"), F.count("*").alias("n")).select("set", F.struct("first.doc", "first.line").alias("first"), F.col("first.name").alias("name"), "n")
+    told = firsts.join(gone.select(F.col("a").alias("name"), F.lit(True).alias("gone")), "name", "left").filter("n > 1 OR gone")
+    out = lines.join(written(told.select("set", "first", F.coalesce("gone", F.lit(False)).alias("gone"))), "set", "left")
     removed = F.coalesce(F.col("gone") | (F.struct("doc", "line") > F.col("first")), F.lit(False))
     return out.select(_id().alias("doc_id"), "line", removed.alias("removed"))
 

@@ -23,6 +23,7 @@ known by hashes of 64 bits. Further columns don't take part.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import shipped, written
+from .common import one_row_each, rows_of, shipped, tidied, written
 from .components import components
 from .hashing import Runs, Words, mixed
 from .substring import chunked
@@ -106,8 +107,8 @@ def _coordinates(point: np.ndarray, size: np.ndarray) -> np.ndarray:
     return ((point.view(np.uint64)[:, None] >> (np.arange(GROUPS, dtype=np.uint64) * np.uint64(8))) & np.uint64(255)).astype(np.int64) * _unit(size)[:, None]
 
 
-#: A row for each document (doc_id, n, sid), for each set with cells (near: sid, n, fine, size, packed) and for each of its cells.
-SIGNED = "kind string, doc_id long, sid long, n int, token long, place int, point long, fine binary, lows binary, size long, packed binary"
+#: A row for each document (doc_id, digest, n, sid), for each set with cells (near: sid, n, fine, size, packed) and for each of its cells.
+SIGNED = "kind string, doc_id long, digest binary, sid long, n int, token long, place int, point long, fine binary, lows binary, size long, packed binary"
 
 
 def _prefix(size: np.ndarray, percent: int) -> np.ndarray:
@@ -123,10 +124,9 @@ def _chunk(row: dict, n: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
 
 
 def _ask(batches: Iterator[pa.RecordBatch], n: int, bits: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            _, hashes, _ = _chunk(row, n)
-            yield blocks.sent_short(row["chunk"], np.unique(blocks.short(hashes, bits)), bits)
+    for row in rows_of(batches):
+        _, hashes, _ = _chunk(row, n)
+        yield blocks.sent_short(row["chunk"], np.unique(blocks.short(hashes, bits)), bits)
 
 
 def _sign(batches: Iterator[pa.RecordBatch], n: int, percent: int, bits: int) -> Iterator[pa.RecordBatch]:
@@ -138,37 +138,36 @@ def _sign(batches: Iterator[pa.RecordBatch], n: int, percent: int, bits: int) ->
         columns["kind"] = [kind] * count
         return pa.RecordBatch.from_arrays([pa.array(columns[c], types[t]) if c in columns else pa.nulls(count, types[t]) for c, t in kinds.items()], names=list(kinds))
 
-    for batch in batches:
-        for row in batch.to_pylist():
-            texts, hashes, ends = _chunk(row, n)
-            size, sid, point = np.diff(ends), set_ids(hashes, ends), points(hashes, ends)
-            yield told("doc", len(size), doc_id=row["ids"], n=size.astype(np.int32), sid=sid)
-            _, once = np.unique(sid, return_index=True)
-            once = once[size[once] > 0]
-            first = np.zeros(len(size), bool)
-            first[once] = True
-            _, back = np.unique(blocks.short(hashes, bits), return_inverse=True)
-            local = np.bincount(back, weights=np.repeat(first, size)).astype(np.int64) if len(back) else back
-            chunks = blocks.levels(row["answers"]).astype(np.int64)
-            rank = np.where(chunks > 1, 8 + chunks, np.minimum(local, 8))[back].astype(np.uint64)
-            order, take = (rank << np.uint64(58)) | (hashes >> np.uint64(6)), _prefix(size, percent).tolist()
-            tokens, places, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], []
-            for i in once.tolist():
-                a, b = ends[i], ends[i + 1]
-                lead = np.argsort(order[a:b], kind="stable")[: take[i]]
-                some = np.flatnonzero(rank[a:b][lead] > 1)
-                if len(some):
-                    tokens.append(hashes[a:b][lead[some]])
-                    places.append(some.astype(np.int32))
-                    rows.append(i)
-            if rows:
-                rows = np.array(rows)
-                of = np.repeat(rows, [len(t) for t in tokens[1:]])
-                yield told("cell", len(of), sid=sid[of], n=size[of].astype(np.int32), token=np.concatenate(tokens).view(np.int64), place=np.concatenate(places), point=point[of])
-                fine = _fine(hashes, ends, rows)
-                packed = [pa.compress(texts[i], codec="zstd", asbytes=True) for i in rows.tolist()]
-                lows = [np.pad(np.sort(t)[:LOWS], (0, max(0, LOWS - len(t))), constant_values=~np.uint64(0)).tobytes() for t in tokens[1:]]
-                yield told("near", len(rows), sid=sid[rows], n=size[rows].astype(np.int32), lows=lows, fine=[f.tobytes() for f in fine], size=[len(texts[i]) for i in rows.tolist()], packed=packed)
+    for row in rows_of(batches):
+        texts, hashes, ends = _chunk(row, n)
+        size, sid, point = np.diff(ends), set_ids(hashes, ends), points(hashes, ends)
+        yield told("doc", len(size), doc_id=row["ids"], digest=[hashlib.md5(t).digest() for t in texts], n=size.astype(np.int32), sid=sid)
+        _, once = np.unique(sid, return_index=True)
+        once = once[size[once] > 0]
+        first = np.zeros(len(size), bool)
+        first[once] = True
+        _, back = np.unique(blocks.short(hashes, bits), return_inverse=True)
+        local = np.bincount(back, weights=np.repeat(first, size)).astype(np.int64) if len(back) else back
+        chunks = blocks.levels(row["answers"]).astype(np.int64)
+        rank = np.where(chunks > 1, 8 + chunks, np.minimum(local, 8))[back].astype(np.uint64)
+        order, take = (rank << np.uint64(58)) | (hashes >> np.uint64(6)), _prefix(size, percent).tolist()
+        tokens, places, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], []
+        for i in once.tolist():
+            a, b = ends[i], ends[i + 1]
+            lead = np.argsort(order[a:b], kind="stable")[: take[i]]
+            some = np.flatnonzero(rank[a:b][lead] > 1)
+            if len(some):
+                tokens.append(hashes[a:b][lead[some]])
+                places.append(some.astype(np.int32))
+                rows.append(i)
+        if rows:
+            rows = np.array(rows)
+            of = np.repeat(rows, [len(t) for t in tokens[1:]])
+            yield told("cell", len(of), sid=sid[of], n=size[of].astype(np.int32), token=np.concatenate(tokens).view(np.int64), place=np.concatenate(places), point=point[of])
+            fine = _fine(hashes, ends, rows)
+            packed = [pa.compress(texts[i], codec="zstd", asbytes=True) for i in rows.tolist()]
+            lows = [np.pad(np.sort(t)[:LOWS], (0, max(0, LOWS - len(t))), constant_values=~np.uint64(0)).tobytes() for t in tokens[1:]]
+            yield told("near", len(rows), sid=sid[rows], n=size[rows].astype(np.int32), lows=lows, fine=[f.tobytes() for f in fine], size=[len(texts[i]) for i in rows.tolist()], packed=packed)
 
 
 def _close(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -303,13 +302,13 @@ def _open_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
         yield cell(pa.Table.from_batches(kept))
 
 
-def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row of docs (doc_id, text)."""
+def members(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """doc_id, digest (MD5 of the text), n, sid (set) of each row of docs (doc_id, text); sid, label of the sets with links; sid, least doc_id of the sets."""
     chunks = chunked(docs)
     bits = blocks.bits_for(chunks.count())
-    answers = blocks.counted(chunks.mapInArrow(lambda b: _ask(b, n, bits), blocks.SENT))
-    signed = written(chunks.join(answers, "chunk", "left").mapInArrow(lambda b: _sign(b, n, percent, bits), SIGNED), by="kind")
-    narrow = signed.filter("kind = 'doc'").select("doc_id", F.col("n").cast("long").alias("n"), "sid")
+    answers = blocks.counted(chunks.mapInArrow(tidied(lambda b: _ask(b, n, bits)), blocks.SENT))
+    signed = written(chunks.join(answers, "chunk", "left").mapInArrow(tidied(lambda b: _sign(b, n, percent, bits)), SIGNED), by="kind")
+    narrow = signed.filter("kind = 'doc'").select("doc_id", "digest", F.col("n").cast("long").alias("n"), "sid")
     cells = signed.filter("kind = 'cell'").select("token", "sid", "n", "place", "point")
     near = signed.filter("kind = 'near'").select("sid", "n", "fine", "lows", "size", "packed")
     pivots = written(cells.groupBy("token").agg(F.min("sid").alias("low"), F.max("sid").alias("high"), F.count("*").alias("rows")).filter("low < high"))
@@ -324,10 +323,10 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
         if not judged:
             end = lambda s: sets.select(F.col("sid").alias(s), F.col("n").alias(f"n_{s}"), F.col("fine").alias(f"fine_{s}"))
             both = pairs.join(end("a"), "a").join(end("b"), "b").select("a", "b", "n_a", "fine_a", "n_b", "fine_b")
-            pairs = written(both.mapInArrow(lambda b: _close(b, percent), "a long, b long"))
+            pairs = written(both.mapInArrow(tidied(lambda b: _close(b, percent)), "a long, b long"))
         packed = sets.select("sid", "size", "packed")
         side = lambda s: packed.select(F.col("sid").alias(s), F.col("size").alias(f"size_{s}"), F.col("packed").alias(f"packed_{s}"))
-        return written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(lambda b: _verify(b, n, percent), "a long, b long"))
+        return written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(tidied(lambda b: _verify(b, n, percent)), "a long, b long"))
 
     links = verified(stars, False)
     labels = components(links)
@@ -342,23 +341,36 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     dealt = open_cells.withColumn("block", F.pmod(F.xxhash64("sid"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     dealt = dealt.select("token", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "sid", "n", "place", "point", "label", "fine", "lows")
     dealt = dealt.repartition("token", "left", "right").sortWithinPartitions("token", "left", "right")
-    more = dealt.mapInArrow(lambda b: _open_pairs(b, percent), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
+    more = dealt.mapInArrow(tidied(lambda b: _open_pairs(b, percent)), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
     more = written(more)
     if not more.isEmpty():
         labels = components(links.unionByName(verified(more, True)))
-    known = narrow.filter("n > 0").join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "sid", F.coalesce("label", "sid").alias("label"))
-    names = known.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    each = written(labels.withColumnRenamed("node", "sid").join(names, "label").select("sid", "component_id"))
-    own = first.select("sid", F.col("doc_id").alias("own_id"))
-    out = narrow.join(own, "sid", "left").join(each, "sid", "left")
+    return narrow, written(labels.withColumnRenamed("node", "sid")), first
+
+
+def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id of each row of docs (doc_id, text)."""
+    narrow, labels, first = members(docs, n, percent)
+    # Sets first, rows last: a set of many rows is one row of these joins.
+    names = labels.join(first, "sid").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    each = written(labels.join(names, "label").select("sid", "component_id"))
+    out = narrow.join(first.select("sid", F.col("doc_id").alias("own_id")), "sid", "left").join(each, "sid", "left")
     component = F.when(F.col("n") > 0, F.coalesce("component_id", "own_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs that stay, with all their columns: of each component those whose doc_id names it."""
-    dropped = written(join(docs, n, percent).filter("NOT (doc_id <=> component_id)").select("doc_id").distinct())
-    return docs.join(dropped, "doc_id", "left_anti")
+    """The rows of docs that stay, with all their columns: one of each component, that with the least doc_id (null last), then the least digest of its text. Rows without words stay."""
+    narrow, labels, _ = members(docs, n, percent)
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
+    # Two steps, the first within sets, so that a component of many rows is few rows of the second.
+    sets = narrow.filter("n > 0").groupBy("sid").agg(F.min(rank).alias("best"), F.count("*").alias("rows"))
+    sets = written(sets.join(labels, "sid", "left").select("sid", F.coalesce("label", "sid").alias("label"), "best", "rows"))
+    groups = sets.groupBy("label").agg(F.min("best").alias("chosen"), F.sum("rows").alias("rows")).filter("rows > 1")
+    chosen = written(sets.join(groups.select("label", "chosen"), "label").select("sid", "chosen"))
+    told = narrow.join(chosen, "sid").groupBy("doc_id", "digest").agg(F.max(rank == F.col("chosen")).alias("stays"), F.count("*").alias("rows"))
+    told = told.filter("NOT stays OR rows > 1").select("doc_id", "digest", "stays")
+    return one_row_each(docs, F.unhex(F.md5(F.coalesce("text", F.lit("")))), written(told))
 
 
 shipped(__name__)

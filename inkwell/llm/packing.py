@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .chunk_table import ChunkTable, per_process
-from .common import shipped, slices
+from .common import shipped, slices, tidied
 from .hashing import Words, gathered, raw, span_hashes
 
 CAPACITY = 2048
@@ -233,7 +233,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
         if out := rows(True):
             yield out
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), SCHEMA)
 
 
 shipped(__name__)

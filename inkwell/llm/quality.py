@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shipped, slices, tabled, totals, written
+from .common import shipped, slices, tabled, tidied, totals, written
 from .hashing import Words, mixed
 
 FEATURE_BITS = 18
@@ -108,7 +108,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def class_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """In how many rows (text, label) of each class each feature stands, and the rows of each class."""
-    found = totals(rows.select("text", "label").mapInArrow(_count, "block int, counts binary"), (2 << FEATURE_BITS) + 2)
+    found = totals(rows.select("text", "label").mapInArrow(tidied(_count), "block int, counts binary"), (2 << FEATURE_BITS) + 2)
     return found[:-2].reshape(2, -1).astype(float), found[-2:]
 
 
@@ -160,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     ratio = np.log(rate[1] / rate[0])
     ratio[counts.sum(0) == 0] = 0
     sample = _lowest(rows, n, MAX_ROWS, 1).select("text", "label", "doc_id")
-    got = sorted(sample.mapInArrow(_sparse, "label int, doc_id long, features binary").collect(), key=lambda r: r.doc_id)
+    got = sorted(sample.mapInArrow(tidied(_sparse), "label int, doc_id long, features binary").collect(), key=lambda r: r.doc_id)
     x = [np.frombuffer(r.features, np.int32) for r in got]
     y = np.array([2 * r.label - 1 for r in got], np.float64)
     values = [(v := ratio[i]) / max(float(np.sqrt(v @ v)), 1e-9) for i in x]
@@ -198,7 +198,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         for part in slices(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores_of(part.column(1), sent.value))], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -221,7 +221,7 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
             scores = np.concatenate([scores_of(part.column(text), sent.value) for part in slices([batch])] or [np.zeros(0)])
             yield batch.filter(pa.array(scores >= CUT))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)
 
 
 shipped(__name__)

@@ -3,26 +3,34 @@
 Arrivals are appended as small immutable shards, written where they are read, without a shuffle. A tier holds the shards
 whose sizes lie within one factor `fan_in` of each other; a tier with `fan_in` shards or more is merged into files of about
 the target size by one job that reads its shards in order and only joins neighbouring input splits. Shards are never
-changed: each step writes new files and then commits the list of those alive as the next version of the manifest. The
-manifest of a version is one file that Spark's writer moves into place as its last act, so readers see the version before
-or the one after; a version that exists already is an error, which is how a second writer is noticed. Superseded shards
-stay for readers of older versions until someone deletes them.
-
-All is DataFrame reads and writes. Rows are kept as they are, nulls, repeated rows and all columns included; an empty table
-makes no shards. The driver knows the shards' names and sizes, as for any table, and nothing of their rows.
+changed: each step writes new files and then commits the list of those alive as the next version of the manifest.
+
+Commit. The list is written to a folder of its own under a hidden name, then renamed to its version. A rename to a name that
+is free is one atomic step of the file system; where the name is taken, file systems put the folder inside the other one
+(or refuse), where readers don't see it. So a writer holds the version if, and only if, its own file then lies directly under
+it. One that was too late takes the newest version and tries again; a compaction whose inputs are gone gives up its files.
+A writer that dies on the way leaves a hidden folder that nobody reads. Readers see a version whole or not at all.
+Superseded shards stay for readers of older versions until someone deletes them.
+
+All work on rows is DataFrame reads and writes. Rows are kept as they are: nulls, empty and long texts, repeated rows and all
+columns, whatever their names; an empty table makes no shards with rows. `read` names the shard beside a row's own columns,
+under `shard` and `shard_bytes`, or where rows have such columns with underscores before. The driver knows the shards' names
+and sizes, as for any table, and nothing of their rows. Equal sizes are ties that no step breaks: a tier is merged whole.
 """
 
 from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TARGET_BYTES = 64 << 20
 FAN_IN = 4
-MANIFEST = "version long, path string, rows long, bytes long, tier int"
+SHARDS = "path string, rows long, bytes long, tier int"
+MANIFEST = f"version long, {SHARDS}"
 
 
 class ShardStore:
@@ -34,20 +42,45 @@ class ShardStore:
     @classmethod
     def create(cls, spark: SparkSession, root: str, schema: T.StructType, **options) -> ShardStore:
         store = cls(spark, root, schema, **options)
-        store._commit(0, spark.createDataFrame([], MANIFEST))
+        if not store._commit(0, spark.createDataFrame([], SHARDS)):
+            raise FileExistsError(f"{root} is a store already")
         return store
 
-    def _commit(self, version: int, shards: DataFrame) -> None:
-        """The list of living shards as one file; a row without a path marks the version itself."""
+    def _files(self):
+        """Hadoop's file system of the store, and its path type."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        return path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _staged(self, version: int, shards: DataFrame) -> str:
+        """Writes the list of living shards under a hidden name; a row without a path marks the version itself."""
         head = self.spark.range(1).select(F.lit(version).cast("long").alias("version"), *(F.lit(None).cast(k).alias(n) for n, k in (("path", "string"), ("rows", "long"), ("bytes", "long"), ("tier", "int"))))
         listed = shards.select(F.lit(version).cast("long").alias("version"), "path", "rows", "bytes", "tier")
-        head.unionByName(listed).coalesce(1).write.mode("errorifexists").parquet(f"{self.root}/manifest/v={version:010d}")
-
-    def _all(self) -> DataFrame:
-        return self.spark.read.schema(MANIFEST).option("recursiveFileLookup", "true").parquet(f"{self.root}/manifest")
+        name = f"{self.root}/manifest/_staged-{uuid.uuid4().hex}"
+        head.unionByName(listed).coalesce(1).write.parquet(name)
+        return name
+
+    def _publish(self, staged: str, version: int) -> bool:
+        """Gives the staged list its version; False if another writer has it."""
+        files, path = self._files()
+        own = [f.getPath().getName() for f in files.listStatus(path(staged)) if f.getPath().getName().startswith("part-")]
+        place = f"{self.root}/manifest/v={version:010d}"
+        try:
+            files.rename(path(staged), path(place))
+        except Py4JJavaError:  # some file systems refuse instead
+            pass
+        if own and files.exists(path(f"{place}/{own[0]}")):
+            return True
+        for left in (staged, f"{place}/{staged.rsplit('/', 1)[1]}"):
+            files.delete(path(left), True)
+        return False
+
+    def _commit(self, version: int, shards: DataFrame) -> bool:
+        return self._publish(self._staged(version, shards), version)
 
     def version(self) -> int:
-        return self._all().agg(F.max("version")).first()[0]
+        files, path = self._files()
+        names = [f.getPath().getName() for f in files.listStatus(path(f"{self.root}/manifest"))]
+        return max(int(n[2:]) for n in names if n.startswith("v="))
 
     def manifest(self, version: int | None = None) -> DataFrame:
         """path, rows, bytes, tier of each shard alive in a version, the latest if none is named."""
@@ -62,27 +95,34 @@ class ShardStore:
     def _listed(self, run: str, deep: bool = False) -> DataFrame:
         """The files of a run with their rows and sizes."""
         read = self.spark.read.schema(self.schema).option("recursiveFileLookup", str(deep).lower()).parquet(run)
-        files = read.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes")).groupBy("path", "bytes").agg(F.count("*").alias("rows"))
+        meta = read.metadataColumn("_metadata")
+        files = read.select(meta["file_path"].alias("path"), meta["file_size"].alias("bytes")).groupBy("path", "bytes").agg(F.count("*").alias("rows"))
         return files.withColumn("tier", self._tier()).select("path", "rows", "bytes", "tier")
 
+    def _add(self, shards: DataFrame) -> int:
+        """The next free version, with these shards beside those alive."""
+        while True:
+            version = self.version()
+            if self._commit(version + 1, self.manifest(version).unionByName(shards)):
+                return version + 1
+
     def append(self, rows: DataFrame) -> int:
         """The rows as new shards; returns the version that has them."""
         run = f"{self.root}/shards/{uuid.uuid4().hex}"
-        rows.select(*self.schema.names).write.parquet(run)
-        version = self.version()
-        self._commit(version + 1, self.manifest(version).unionByName(self._listed(run)))
-        return version + 1
+        rows.select(*self._own(rows)).write.parquet(run)
+        return self._add(self._listed(run))
+
+    def _own(self, rows: DataFrame) -> list[F.Column]:
+        return [rows[f"`{name}`"] for name in self.schema.names]
 
     def append_arrivals(self, rows: DataFrame, arrival: F.Column, n: int) -> int:
         """Arrivals 0 to n-1 that stand in one table: all are written in one pass, then committed one after the other."""
         run, key = f"{self.root}/shards/{uuid.uuid4().hex}", "arrival_" + uuid.uuid4().hex
-        rows.select(*self.schema.names, arrival.alias(key)).write.partitionBy(key).parquet(run)
+        rows.select(*self._own(rows), arrival.alias(key)).write.partitionBy(key).parquet(run)
         listed = self._listed(run, deep=True).collect()
-        version = self.version()
         for k in range(n):
-            mine = self.spark.createDataFrame([r for r in listed if f"{key}={k}/" in r.path], "path string, rows long, bytes long, tier int")
-            self._commit(version + 1, self.manifest(version).unionByName(mine))
-            version += 1
+            mine = self.spark.createDataFrame([r for r in listed if f"{key}={k}/" in r.path], SHARDS)
+            version = self._add(mine)
         return version
 
     def compact(self) -> int:
@@ -98,11 +138,31 @@ class ShardStore:
             run = f"{self.root}/shards/{uuid.uuid4().hex}"
             files = max(1, round(due.bytes / self.target))
             self.spark.read.schema(self.schema).parquet(*paths).coalesce(files).write.parquet(run)
-            self._commit(version + 1, alive.filter(F.col("tier") != due.tier).unionByName(self._listed(run)))
+            self._replace(paths, self._listed(run))
+
+    def _replace(self, paths: list[str], merged: DataFrame) -> bool:
+        """Puts merged shards in the place of those at paths; False if some of these are gone by now."""
+        names = self.spark.createDataFrame([(p,) for p in paths], "path string")
+        while True:
+            version = self.version()
+            alive = self.manifest(version)
+            if alive.join(names, "path", "left_semi").count() < len(paths):
+                return False
+            if self._commit(version + 1, alive.join(names, "path", "left_anti").unionByName(merged)):
+                return True
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version, with shard (file name) and shard_bytes beside their own columns."""
         paths = [r.path for r in self.manifest(version).orderBy("path").collect()]
+        shard, size = self._free("shard"), self._free("shard_bytes")
         if not paths:
-            return self.spark.createDataFrame([], T.StructType([*self.schema.fields, T.StructField("shard", T.StringType()), T.StructField("shard_bytes", T.LongType())]))
-        return self.spark.read.schema(self.schema).parquet(*paths).select("*", F.col("_metadata.file_name").alias("shard"), F.col("_metadata.file_size").alias("shard_bytes"))
+            return self.spark.createDataFrame([], T.StructType([*self.schema.fields, T.StructField(shard, T.StringType()), T.StructField(size, T.LongType())]))
+        read = self.spark.read.schema(self.schema).parquet(*paths)
+        meta = read.metadataColumn("_metadata")
+        return read.select("*", meta["file_name"].alias(shard), meta["file_size"].alias(size))
+
+    def _free(self, name: str) -> str:
+        taken = {n.lower() for n in self.schema.names}
+        while name in taken:
+            name = "_" + name
+        return name

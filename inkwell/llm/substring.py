@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import blocks
-from .common import PASS_BYTES, shipped, slices, written
+from .common import PASS_BYTES, rows_of, shipped, slices, tidied, written
 from .hashing import Runs, Words, raw, windows
 
 WINDOW = 35
@@ -81,7 +81,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def chunked(docs: DataFrame) -> DataFrame:
     """The rows of docs (doc_id, text) in chunks, as a table."""
-    return written(docs.select("doc_id", "text").mapInArrow(_chunks, CHUNK))
+    return written(docs.select("doc_id", "text").mapInArrow(tidied(_chunks), CHUNK))
 
 
 class Chunk:
@@ -128,23 +128,21 @@ def _remove(chunks: DataFrame, length: int, window: int, digest: bool, bits: int
     last = length == window
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                chunk = Chunk(row, window)
-                chunk.represent(length)
-                yield blocks.sent(row["chunk"], chunk.distinct, bits)
+        for row in rows_of(batches):
+            chunk = Chunk(row, window)
+            chunk.represent(length)
+            yield blocks.sent(row["chunk"], chunk.distinct, bits)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                chunk = Chunk(row, window)
-                chunk.represent(length)
-                repeated = (chunk.counts > 1) | blocks.shared(chunk.distinct, row["answers"], bits)
-                chunk.keep(chunk.distinct[repeated])
-                yield _finished(row["chunk"], chunk, last, digest)
-
-    answers = blocks.answered(chunks.mapInArrow(send, blocks.SENT))
-    return chunks.join(answers, "chunk", "left").mapInArrow(apply, f"{CHUNK}, doc_id long, n_words long, n_removed long, kept string")
+        for row in rows_of(batches):
+            chunk = Chunk(row, window)
+            chunk.represent(length)
+            repeated = (chunk.counts > 1) | blocks.shared(chunk.distinct, row["answers"], bits)
+            chunk.keep(chunk.distinct[repeated])
+            yield _finished(row["chunk"], chunk, last, digest)
+
+    answers = blocks.answered(chunks.mapInArrow(tidied(send), blocks.SENT))
+    return chunks.join(answers, "chunk", "left").mapInArrow(tidied(apply), f"{CHUNK}, doc_id long, n_words long, n_removed long, kept string")
 
 
 def _finished(number: int, chunk: Chunk, last: bool, digest: bool) -> pa.RecordBatch:
