@@ -40,13 +40,13 @@ BASE_GATE = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9]", "p
 #: Wide generators: kind, pattern, and a cheap pattern that any text with a match has.
 WIDE = (
     ("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++\x20?[\[({]\x20?(?i:at)\x20?[\])}]\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?[\[({]\x20?(?i:dot)\x20?[\])}]\x20?)[A-Za-z0-9-]++)++", r"(?i)at\x20?[\])}]"),
-    ("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++\x20(?i:at)\x20[A-Za-z0-9-]++(?:\x20(?i:dot)\x20[A-Za-z0-9-]++)++", r"(?i)\x20at\x20"),
+    ("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++\x20(?i:at)\x20[A-Za-z0-9-]++(?:\x20(?i:dot)\x20[A-Za-z0-9-]++)++", r"(?i)\x20at\x20[a-z0-9-]++\x20dot\x20"),
     ("ip", r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])", r":[0-9A-Fa-f]{0,4}:"),
     ("card", r"(?<![0-9])[0-9]{4}(?:[./][0-9]{4}){2}[./][0-9]{1,7}(?![0-9])", r"[0-9]{4}[./][0-9]{4}"),
     ("phone", r"(?<![0-9+(])\(?[0-9]{2,5}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])", r"[0-9]\)?[\x20.-][0-9]{3}[\x20.-]"),
     ("phone", r"(?<![0-9+])0[0-9]{2,4}[\x20/-][0-9]{5,8}(?![0-9])", r"0[0-9]{2,4}[\x20/-][0-9]"),
-    ("secret", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9])", r"[A-Za-z0-9+/_-]{16}"),
-    ("secret", r"(?<=(?i:token|secret|passwd|password|pwd|key|auth)[\"']{0,1}\x20{0,2}[=:]\x20{0,2}[\"']{0,1})[A-Za-z0-9_!#$%&*+./@^~-]{6,}+", r"(?i)(?:token|secret|passwd|password|pwd|key|auth)[\"']{0,1}\x20{0,2}[=:]"),
+    ("secret", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9])", r"[0-9]"),
+    ("secret", r"(?<=[=:\x20\"'])(?<=(?i:token|secret|passwd|password|pwd|key|auth)[\"']{0,1}\x20{0,2}[=:]\x20{0,2}[\"']{0,1})[A-Za-z0-9_!#$%&*+./@^~-]{6,}+", r"[a-zA-Z\"']\x20{0,2}[=:]\x20{0,2}[\"']{0,1}[A-Za-z0-9]"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}"),
     ("id", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", r"[0-9]{3}-[0-9]{2}-"),
     ("account", r"(?<![0-9A-Za-z.,+_-])[0-9]{8,19}(?![0-9A-Za-z_]|[.,-][0-9])", r"[0-9]{8}"),
