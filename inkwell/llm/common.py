@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import shutil
 import sys
 import tempfile
 import uuid
@@ -24,12 +26,35 @@ def shipped(name: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[name])
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a local one only where that is unset, as in tests."""
+_OWN: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """This application's folder in spark.checkpoint.dir.
+
+    Only where driver and executors are one process, as in tests, it may be unset; then a folder of this machine serves, until
+    Python ends.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="inkwell-")
-    return f"{base.rstrip('/')}/inkwell-{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="inkwell-"))
+            atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+        base = "file://" + _OWN[0]
+    return f"{base.rstrip('/')}/inkwell-{spark.sparkContext.applicationId}"
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new name in the shared folder."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all tables that this application has written to the shared folder; results that read them are void then."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, by: str | None = None) -> DataFrame:

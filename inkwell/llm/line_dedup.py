@@ -8,7 +8,8 @@ is left, one line a set, is joined:
 2. Two similar sets share one of their first n - ceil(percent * n / 100) + 1 words. Each set sends an entry for each of
    these words to the word's block; a block's entries meet word by word.
 3. Pairs must pass the length filter, the positional filter (what stands before and behind the shared word bounds the
-   overlap) and the bit filter: 96-bit parity maps of two sets differ in no more bits than the sets differ in words.
+   overlap) and the bit filter: parity maps of two sets differ in no more bits than the sets differ in words. Maps have 192
+   bits, or folded 64 where one of the sets has few words.
 4. In the first turn a set names its likeliest earlier partner of each block, and up to `best` further ones that are looked
    at if those fail. Where more than `crowd` sets share a word, a set that meets a likely partner among the `PIVOTS` earliest
    looks no further: a crowd of similar lines makes one pair a member.
@@ -45,7 +46,8 @@ from .hashing import Words, mixed
 PERCENT = 75
 SLOT_BITS = 18
 CROWD, PIVOTS, BEST = 1024, 64, 32
-MAP_BITS = 96
+#: Sets of up to this many words have 64-bit maps.
+FEW = 56
 #: Bits of a word's key: 6 of rarity, 42 of its hash.
 KEY_BITS = 48
 #: Pairs that a block compares at a time.
@@ -53,7 +55,7 @@ STEP = 400_000
 #: Words that ask in a second turn are known by so many bits.
 ASKED_BITS = 20
 NO_ID = -(2**63)
-ENTRY = np.dtype([("word", "<u4"), ("n", "<u4"), ("place", "<u4"), ("line", "<u4"), ("probe", "<u4"), ("doc", "<i8"), ("low", "<u8"), ("high", "<u8")])
+ENTRY = np.dtype([("word", "<u4"), ("n", "<u4"), ("place", "<u4"), ("line", "<u4"), ("probe", "<u4"), ("mark", "<u4"), ("doc", "<i8"), ("fold", "<u8"), ("second", "<u8"), ("third", "<u8")])
 ENTRIES = "block int, n int, entries binary"
 #: a, b: lines, b earlier, by number(); rest: not the likeliest partner; differ: bits; more: a has looked at less than all.
 PAIRS = "rest boolean, a long, b long, differ int, more boolean"
@@ -102,12 +104,13 @@ class Lines:
     def numbers(self) -> np.ndarray:
         return number(self.doc, self.line, self.marks())
 
-    def maps(self) -> tuple[np.ndarray, np.ndarray]:
-        """Of each set the lower 64 bits of its parity map, and the other 32 below 32 bits of its hash."""
-        bit = ((self.finished >> np.uint64(40)) * np.uint64(MAP_BITS)) >> np.uint64(24)
+    def maps(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each set the parity map folded to 64 bits, and the second and third 64 of 192 bits (sets of few words: 0)."""
+        bit = ((self.finished >> np.uint64(40)) * np.uint64(192)) >> np.uint64(24)
         one = np.uint64(1) << (bit & np.uint64(63))
-        low, high = (np.bitwise_xor.reduceat(np.where((bit < 64) == side, one, np.uint64(0)), self.starts) for side in (True, False))
-        return low, high | (self.marks() << np.uint64(32))
+        fold = np.bitwise_xor.reduceat(one, self.starts)
+        parts = (np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == k, one, np.uint64(0)), self.starts) for k in (1, 2))
+        return fold, *(np.where(self.n > FEW, part, np.uint64(0)) for part in parts)
 
     def entries(self, percent: int) -> np.ndarray:
         """The prefixes of the batch's sets, each at its first place."""
@@ -119,12 +122,12 @@ class Lines:
         n = self.n[chosen]
         prefix = n - -(-percent * n // 100) + 1
         place = np.arange(prefix.sum()) - np.repeat(np.cumsum(prefix) - prefix, prefix)
-        low, high = self.maps()
+        fold, second, third = self.maps()
         out = np.zeros(len(place), ENTRY)
         of = np.repeat(chosen, prefix)
         out["word"] = self.finished[self.starts[of] + place] >> np.uint64(32)
         out["place"] = place
-        for name, values in (("n", self.n), ("line", self.line), ("doc", self.doc), ("low", low), ("high", high)):
+        for name, values in (("n", self.n), ("line", self.line), ("doc", self.doc), ("mark", self.marks()), ("fold", fold), ("second", second), ("third", third)):
             out[name] = values[of]
         return out
 
@@ -140,8 +143,9 @@ def unpacked(n: int, data: bytes) -> np.ndarray:
 
 
 def _dealt(entries: np.ndarray, bits: int) -> pa.RecordBatch:
-    entries = entries[np.argsort(entries["word"], kind="stable")]
     block = (entries["word"].astype(np.int64) << bits) >> 32
+    order = np.argsort((block << 33) | ((entries["n"] > FEW).astype(np.int64) << 32) | entries["word"], kind="stable")  # like beside like
+    entries, block = entries[order], block[order]
     at = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block)) if len(block) else np.zeros(1, np.int64)
     cuts = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
     return pa.RecordBatch.from_arrays([pa.array(block[at[:-1]], pa.int32()), pa.array([b - a for a, b in cuts], pa.int32()), pa.array([packed(entries[a:b]) for a, b in cuts], pa.binary())], names=["block", "n", "entries"])
@@ -166,7 +170,7 @@ class Block:
     """The entries of whole words: each set once, at its first place, and word by word in order of size."""
 
     def __init__(self, e: np.ndarray, percent: int):
-        sets = mixed(e["high"] + mixed(e["low"] + e["n"]))
+        sets = mixed(e["mark"] + mixed(e["fold"] + mixed(e["second"] + mixed(e["third"] + e["n"]))))
         order = np.lexsort((1 - e["probe"].astype(np.int8), e["line"], e["doc"], sets))
         head = np.append(True, sets[order][1:] != sets[order][:-1])
         first = order[np.flatnonzero(head)[np.cumsum(head) - 1]]  # of each entry's set the first place
@@ -174,8 +178,7 @@ class Block:
         e = e[order[same]]
         e = e[np.argsort((e["word"].astype(np.uint64) << np.uint64(32)) | e["n"], kind="stable")]
         self.percent, self.word, self.n = percent, e["word"], e["n"].astype(np.int64)
-        self.doc, self.line, self.low, self.high, self.probe = (e[c].copy() for c in ("doc", "line", "low", "high", "probe"))
-        self.mark, self.rest = self.high >> np.uint64(32), self.high & np.uint64(0xFFFFFFFF)
+        self.doc, self.line, self.mark, self.probe, self.fold, self.second, self.third = (e[c].copy() for c in ("doc", "line", "mark", "probe", "fold", "second", "third"))
         self.place = e["place"].astype(np.int64)
         word = self.word.astype(np.uint64) << np.uint64(32)
         key = word | e["n"]
@@ -189,8 +192,14 @@ class Block:
     def compare(self, i: np.ndarray, j: np.ndarray, turned: bool) -> None:
         """Keeps the pairs (later, earlier) that pass; `turned`: i may be the earlier, else such pairs are left out."""
         both = self.n[i] + self.n[j]
-        differ = np.bitwise_count(self.low[i] ^ self.low[j]) + np.bitwise_count(self.rest[i] ^ self.rest[j])
-        ok = (100 + self.percent) * differ.astype(np.int64) <= (100 - self.percent) * both
+        fold = self.fold[i] ^ self.fold[j]
+        differ = np.bitwise_count(fold).astype(np.int64)
+        ok = (100 + self.percent) * differ <= (100 - self.percent) * both
+        i, j, differ, both, fold = i[ok], j[ok], differ[ok], both[ok], fold[ok]
+        long = np.flatnonzero((self.n[i] > FEW) & (self.n[j] > FEW))
+        second, third = self.second[i[long]] ^ self.second[j[long]], self.third[i[long]] ^ self.third[j[long]]
+        differ[long] = np.bitwise_count(fold[long] ^ second ^ third).astype(np.int64) + np.bitwise_count(second) + np.bitwise_count(third)
+        ok = (100 + self.percent) * differ <= (100 - self.percent) * both
         i, j, differ, both = i[ok], j[ok], differ[ok], both[ok]
         overlap = np.minimum(self.place[i], self.place[j]) + np.minimum(self.n[i] - self.place[i], self.n[j] - self.place[j])
         ok = (100 + self.percent) * overlap >= self.percent * both
@@ -201,7 +210,7 @@ class Block:
             i, j, differ = np.concatenate([i[late], j[soon]]), np.concatenate([j[late], i[soon]]), np.concatenate([differ[late], differ[soon]])
         else:
             i, j, differ = i[late], j[late], differ[late]
-        self.found.append((i, j, differ.astype(np.int64)))
+        self.found.append((i, j, differ))
 
     def ranges(self, asking: np.ndarray, low: np.ndarray, high: np.ndarray, turned: bool) -> None:
         """Compares each of asking with its places low to high, STEP pairs at a time."""
@@ -379,7 +388,7 @@ def marks(docs: DataFrame, percent: int = PERCENT, crowd: int = CROWD, best: int
     waiting = written(waiting.join(pairs.filter("more").select("a").distinct(), "a", "left_semi"))
     if not waiting.isEmpty():
         ask = share(_sieve(waiting))
-        asked = lambda e: _in(ask.value, number(e["doc"], e["line"], e["high"] >> np.uint64(32)))
+        asked = lambda e: _in(ask.value, number(e["doc"], e["line"], e["mark"]))
 
         def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen = np.zeros(1 << ASKED_BITS, np.int64)
