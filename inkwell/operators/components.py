@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -34,9 +36,10 @@ def _settle(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """page_id, node, component (its least node) from nodes (page_id, node) and edges (page_id, a, b). A page is one group: it is bounded by its pixels."""
-    nodes = nodes.select(F.col("page_id").cast("int").alias("page_id"), F.col("node").cast("long").alias("node"))
-    edges = edges.select(F.col("page_id").cast("int").alias("page_id"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
-    return nodes.groupBy("page_id").cogroup(edges.groupBy("page_id")).applyInPandas(_settle, "page_id int, node long, component long")
+    page = nodes.schema["page_id"].dataType
+    nodes = nodes.select("page_id", F.col("node").cast("long").alias("node"))
+    edges = edges.select(F.col("page_id").cast(page).alias("page_id"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    return nodes.groupBy("page_id").cogroup(edges.groupBy("page_id")).applyInPandas(_settle, f"page_id {page.simpleString()}, node long, component long")
 
 
 def pixel_runs(pixels: DataFrame) -> DataFrame:
@@ -46,10 +49,32 @@ def pixel_runs(pixels: DataFrame) -> DataFrame:
     return runs.agg(F.min("c").alias("c0"), F.max("c").alias("c1")).select("page_id", "r", "c0", "c1")
 
 
+def raster_runs(rasters: DataFrame) -> DataFrame:
+    """page_id, r, c0, c1 of each horizontal run of ink of ink rasters, without a row a pixel."""
+    page = rasters.schema["page_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                ink = np.zeros((row["height"], row["width"] + 2), np.int8)
+                ink[:, 1:-1] = np.frombuffer(row["data"], np.uint8).reshape(row["height"], row["width"])
+                turn = np.diff(ink, axis=1)
+                (r, first), (_, end) = np.nonzero(turn == 1), np.nonzero(turn == -1)
+                yield pa.RecordBatch.from_arrays([pa.array([row["page_id"]] * len(r), batch.schema.field("page_id").type), *(pa.array(x.astype(np.int32)) for x in (r, first, end - 1))], names=["page_id", "r", "c0", "c1"])
+
+    return rasters.select("page_id", "height", "width", "data").mapInArrow(run, f"page_id {page}, r int, c0 int, c1 int")
+
+
 def blobs(pixels: DataFrame, min_area: int = 5, max_share: float = 0.03) -> DataFrame:
     """8-connected blobs with their place in raster order, boxes, areas and shapes; too small or too large ones are left out."""
     sizes = pixels.groupBy("page_id").agg((F.max("r") + 1).alias("img_h"), (F.max("c") + 1).alias("img_w"))
-    runs = pixel_runs(pixels).join(sizes, "page_id").withColumn("node", F.col("r").cast("long") * F.col("img_w") + F.col("c0"))
+    return blobs_of_runs(pixel_runs(pixels), sizes, min_area, max_share)
+
+
+def blobs_of_runs(runs: DataFrame, sizes: DataFrame, min_area: int = 5, max_share: float = 0.03) -> DataFrame:
+    """The same from runs and sizes (page_id, img_h, img_w)."""
+    runs = runs.join(sizes, "page_id").withColumn("node", F.col("r").cast("long") * F.col("img_w") + F.col("c0"))
     lower = runs.select("page_id", (F.col("r") - 1).alias("r"), F.col("c0").alias("d0"), F.col("c1").alias("d1"), F.col("node").alias("b"))
     edges = runs.withColumnRenamed("node", "a").join(lower, ["page_id", "r"]).filter("c0 <= d1 + 1 AND d0 <= c1 + 1").select("page_id", "a", "b")
     grouped = runs.join(components(runs.select("page_id", "node"), edges), ["page_id", "node"]).groupBy("page_id", "component", "img_w", "img_h")

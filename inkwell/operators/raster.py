@@ -1,14 +1,25 @@
-"""Pixel operators on (page_id, r, c, value) tables. Every shuffle is on the page or a part of it."""
+"""Pixel operators.
+
+Statistics (histograms, percentiles, Otsu thresholds) are aggregations over (page_id, gray, n) tables, counted from pixels or
+from rasters. What moves pixels (blur, thresholds by place, morphology) works on rasters, one row a page, without a shuffle;
+for tables of pixels (page_id, r, c, value) these gather a page's pixels once and spread the result again.
+"""
 
 from __future__ import annotations
 
 import math
-from functools import reduce
+import sys
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from inkwell.sources.images import exploded, gathered, mapped
+
 LOW_CONTRAST = 120
 #: Luma weights of BT.601.
 LUMA = (0.299, 0.587, 0.114)
@@ -22,22 +33,54 @@ def luma(pixels: DataFrame) -> DataFrame:
     return pixels.select("page_id", "r", "c", value.alias("gray"))
 
 
-def _histogram(pixels: DataFrame, *keys: str) -> DataFrame:
-    """keys, gray, n, and over the lower values: below_n, below_sum; in all: total, total_sum."""
-    counted = pixels.groupBy(*keys, "gray").agg(F.count("*").alias("n"))
+def _spread(counted: DataFrame, *keys: str) -> DataFrame:
+    """Of keys, gray, n: also over the lower values below_n, below_sum; in all total, total_sum."""
     upto = W.partitionBy(*keys).orderBy("gray").rowsBetween(W.unboundedPreceding, 0)
     whole = W.partitionBy(*keys)
     mass = F.col("n") * F.col("gray")
     return counted.select("*", F.sum("n").over(upto).alias("below_n"), F.sum(mass).over(upto).alias("below_sum"), F.sum("n").over(whole).alias("total"), F.sum(mass).over(whole).alias("total_sum"))
 
 
-def contrast_limits(pixels: DataFrame) -> DataFrame:
-    """page_id, lo, hi (nearest-rank 2nd and 98th percentile), low_contrast."""
+def counted(pixels: DataFrame, *keys: str) -> DataFrame:
+    """keys, gray, n of pixels."""
+    return pixels.groupBy(*keys, "gray").agg(F.count("*").alias("n"))
+
+
+def tile_counts(rasters: DataFrame, tile: int | None = None) -> DataFrame:
+    """page_id, tr, tc, gray, n of gray rasters: at most 256 rows a tile, however many pixels it has."""
+    edge = tile_size(F.col("height")) if tile is None else F.lit(tile)
+    page = rasters.schema["page_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                gray = np.frombuffer(row["data"], np.uint8).astype(np.int64).reshape(row["height"], row["width"])
+                across = -(-row["width"] // row["edge"])
+                of = (np.arange(row["height"]) // row["edge"] * across)[:, None] + np.arange(row["width"]) // row["edge"]
+                counts = np.bincount(((of << 8) | gray).ravel())
+                at = np.flatnonzero(counts)
+                of, gray = at >> 8, at & 255
+                yield pa.RecordBatch.from_arrays([pa.array([row["page_id"]] * len(at), batch.schema.field("page_id").type), *(pa.array(x.astype(np.int32)) for x in (of // across, of % across, gray)), pa.array(counts[at])], names=["page_id", "tr", "tc", "gray", "n"])
+
+    return rasters.filter("height > 0").select("page_id", "height", "width", edge.alias("edge"), "data").mapInArrow(run, f"page_id {page}, tr int, tc int, gray int, n long")
+
+
+def _page_counts(tiles: DataFrame) -> DataFrame:
+    return tiles.groupBy("page_id", "gray").agg(F.sum("n").alias("n"))
+
+
+def _limits(counts: DataFrame) -> DataFrame:
     reach = lambda p: F.min(F.when(F.col("below_n") > F.floor(F.lit(p) * F.col("total")), F.col("gray")))
-    found = _histogram(pixels, "page_id").groupBy("page_id").agg(reach(0.02).alias("lo"), reach(0.98).alias("hi"))
+    found = _spread(counts, "page_id").groupBy("page_id").agg(reach(0.02).alias("lo"), reach(0.98).alias("hi"))
     return found.withColumn("low_contrast", F.col("hi") - F.col("lo") < LOW_CONTRAST)
 
 
+def contrast_limits(pixels: DataFrame) -> DataFrame:
+    """page_id, lo, hi (nearest-rank 2nd and 98th percentile), low_contrast."""
+    return _limits(counted(pixels, "page_id"))
+
+
 def stretch(pixels: DataFrame) -> DataFrame:
     """Pages of low contrast spread over 0 to 255; the others as they are."""
     span = F.col("hi") - F.col("lo")
@@ -46,40 +89,55 @@ def stretch(pixels: DataFrame) -> DataFrame:
     return pixels.join(contrast_limits(pixels), "page_id").select("page_id", "r", "c", value.alias("gray"))
 
 
+def stretched(rasters: DataFrame, counts: DataFrame) -> DataFrame:
+    """Gray rasters, spread where contrast is low, with was_stretched; counts: page_id, gray, n of each page."""
+
+    def spread(page: dict) -> np.ndarray:
+        lo, hi = page["lo"], page["hi"]
+        if not page["was_stretched"] or hi == lo:
+            return page["pixels"]
+        return np.clip(((np.arange(256) - lo) * (255.0 / (hi - lo))).astype(np.int64), 0, 255)[page["pixels"]]
+
+    limits = _limits(counts).select("page_id", F.col("low_contrast").alias("was_stretched"), "lo", "hi")
+    return mapped(rasters.join(limits, "page_id"), spread).drop("lo", "hi")
+
+
 def kernel(radius: int) -> list[float]:
     sigma = max(radius / 2, 0.5)
     weights = [math.exp(-(k * k) / (2 * sigma**2)) for k in range(-radius, radius + 1)]
     return [w / sum(weights) for w in weights]
 
 
-def _convolved(value: str, along: W, weights: list[float]) -> Column:
-    """Weighted sum over a window; places outside take the edge's value."""
-    radius = len(weights) // 2
-    whole = along.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+def _convolved(values: np.ndarray, weights: list[float], axis: int) -> np.ndarray:
+    """Weighted sum along an axis; places outside take the edge's value."""
+    radius, n = len(weights) // 2, values.shape[axis]
+    moved = [np.take(values, np.clip(np.arange(n) + k - radius, 0, n - 1), axis) * w for k, w in enumerate(weights)]
+    return sum(moved[1:], moved[0])
+
+
+def blurred(rasters: DataFrame, radius: Column | int) -> DataFrame:
+    """Gray rasters through a separable Gaussian, rounded half to even; the radius may differ by page."""
 
-    def at(k: int) -> Column:
-        if k < 0:
-            return F.coalesce(F.lag(value, -k).over(along), F.first(value).over(whole))
-        return F.coalesce(F.lead(value, k).over(along), F.last(value).over(whole)) if k else F.col(value)
+    def soft(page: dict) -> np.ndarray:
+        if not page["blur_radius"]:
+            return page["pixels"]
+        weights = kernel(page["blur_radius"])
+        return np.rint(_convolved(_convolved(page["pixels"].astype(np.float64), weights, 1), weights, 0))
 
-    return reduce(lambda a, b: a + b, [at(i - radius) * F.lit(w) for i, w in enumerate(weights)])
+    return mapped(rasters.withColumn("blur_radius", radius if isinstance(radius, Column) else F.lit(radius)), soft).drop("blur_radius")
 
 
 def blur(pixels: DataFrame, radius: int) -> DataFrame:
     """Separable Gaussian, rounded half to even."""
-    if radius == 0:
-        return pixels.select("page_id", "r", "c", "gray")
-    across, down = W.partitionBy("page_id", "r").orderBy("c"), W.partitionBy("page_id", "c").orderBy("r")
-    half = pixels.withColumn("half", _convolved("gray", across, kernel(radius)))
-    return half.select("page_id", "r", "c", F.rint(_convolved("half", down, kernel(radius))).cast("int").alias("gray"))
+    return exploded(blurred(gathered(pixels), radius)) if radius else pixels.select("page_id", "r", "c", "gray")
 
 
-def _otsu(pixels: DataFrame, *keys: str) -> DataFrame:
-    """keys, threshold: the first value that splits with the greatest variance between the sides, 0 if none does."""
+def _otsu(counts: DataFrame, *keys: str) -> DataFrame:
+    """keys, threshold of keys, gray, n: the first value that splits with the greatest variance between the sides, 0 if none does."""
     above = F.col("total") - F.col("below_n")
     gap = F.col("below_sum") / F.col("below_n") - (F.col("total_sum") - F.col("below_sum")) / above
     spread = F.when(above > 0, (F.col("below_n") * above).cast("double") * (gap * gap)).otherwise(0.0)
-    judged = _histogram(pixels, *keys).withColumn("spread", spread)
+    judged = _spread(counts, *keys).withColumn("spread", spread)
     best = F.max(F.struct("spread", (-F.col("gray")).alias("down")))
     dark = F.sum(F.when(F.col("gray") < DARK, F.col("n")).otherwise(0)) / F.max("total")
     return judged.groupBy(*keys).agg(best.alias("best"), dark.alias("dark_share")).select(*keys, F.when(F.col("best.spread") > 0, -F.col("best.down")).otherwise(0).cast("int").alias("threshold"), "dark_share")
@@ -87,7 +145,16 @@ def _otsu(pixels: DataFrame, *keys: str) -> DataFrame:
 
 def otsu_global(pixels: DataFrame) -> DataFrame:
     """page_id, threshold, cut: ink is below the cut."""
-    return _otsu(pixels, "page_id").select("page_id", "threshold", (F.col("threshold") - INK_BIAS).alias("cut"))
+    return _cut(counted(pixels, "page_id"))
+
+
+def _cut(counts: DataFrame) -> DataFrame:
+    return _otsu(counts, "page_id").select("page_id", "threshold", (F.col("threshold") - INK_BIAS).alias("cut"))
+
+
+def otsu_binarize(pixels: DataFrame) -> DataFrame:
+    """page_id, r, c, ink: below the page's own cut."""
+    return pixels.join(otsu_global(pixels), "page_id").select("page_id", "r", "c", (F.col("gray") < F.col("cut")).cast("int").alias("ink"))
 
 
 def tile_size(height: Column) -> Column:
@@ -103,67 +170,97 @@ def page_sizes(pixels: DataFrame) -> DataFrame:
 def otsu_tiles(pixels: DataFrame) -> DataFrame:
     """page_id, tr, tc, threshold of each tile; nearly white tiles don't exceed the page's threshold."""
     tiled = pixels.join(page_sizes(pixels), "page_id").selectExpr("page_id", "gray", "cast(r div tile AS int) AS tr", "cast(c div tile AS int) AS tc")
-    page = _otsu(pixels, "page_id").select("page_id", F.col("threshold").alias("page_threshold"))
-    found = _otsu(tiled, "page_id", "tr", "tc").join(page, "page_id")
+    return _tiles(counted(tiled, "page_id", "tr", "tc"))
+
+
+def _tiles(counts: DataFrame) -> DataFrame:
+    page = _otsu(_page_counts(counts), "page_id").select("page_id", F.col("threshold").alias("page_threshold"))
+    found = _otsu(counts, "page_id", "tr", "tc").join(page, "page_id")
     held = F.when(F.col("dark_share") < DARK_SHARE, F.least("threshold", "page_threshold")).otherwise(F.col("threshold"))
     return found.select("page_id", "tr", "tc", held.alias("threshold"))
 
 
+def binarized(rasters: DataFrame, tile: int | None = None) -> DataFrame:
+    """Gray rasters as ink (0 or 1): below the threshold that tiles give when interpolated, or extrapolated towards the edges."""
+    tiles = _tiles(tile_counts(rasters, tile))
+    grid = tiles.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("tr", "tc", "threshold"))).alias("grid"))
+    edge = tile_size(F.col("height")) if tile is None else F.lit(tile)
+
+    def ink(page: dict) -> np.ndarray:
+        cells, gray = page["grid"], page["pixels"][:, :, 0]
+        last = cells[-1]["tr"], cells[-1]["tc"]
+        cuts = np.array([c["threshold"] for c in cells], np.int64).reshape(last[0] + 1, last[1] + 1)
+
+        def place(n: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            t = (np.arange(n) + 0.5) / page["edge"] - 0.5
+            low = np.maximum(0, np.minimum(most - 1, np.floor(t).astype(np.int64)))
+            return low, np.minimum(low + 1, most), t - low
+
+        r0, r1, dr = place(gray.shape[0], last[0])
+        c0, c1, dc = place(gray.shape[1], last[1])
+        dr, at = dr[:, None], lambda r, c: cuts[r[:, None], c]
+        cut = at(r0, c0) * (1 - dr) * (1 - dc) + at(r0, c1) * (1 - dr) * dc + at(r1, c0) * dr * (1 - dc) + at(r1, c1) * dr * dc
+        return (gray < cut + INK_BIAS)[:, :, None]
+
+    return mapped(rasters.join(grid, "page_id").withColumn("edge", edge), ink).drop("grid", "edge")
+
+
 def adaptive_binarize(pixels: DataFrame) -> DataFrame:
     """page_id, r, c, ink: below the threshold that tiles give when interpolated, or extrapolated towards the edges."""
-    tiles = otsu_tiles(pixels)
-    grid = tiles.groupBy("page_id").agg(F.max("tr").alias("last_tr"), F.max("tc").alias("last_tc"), F.map_from_entries(F.collect_list(F.struct(F.struct("tr", "tc"), "threshold"))).alias("grid"))
-    at = pixels.join(page_sizes(pixels).select("page_id", "tile"), "page_id").join(grid, "page_id")
+    return exploded(binarized(gathered(pixels)), "ink")
 
-    def place(i: str, last: str) -> tuple[Column, Column, Column]:
-        t = (F.col(i) + 0.5) / F.col("tile") - 0.5
-        low = F.greatest(F.lit(0), F.least(F.col(last) - 1, F.floor(t).cast("int")))
-        return low, F.least(low + 1, F.col(last)), t - low
 
-    r0, r1, dr = place("r", "last_tr")
-    c0, c1, dc = place("c", "last_tc")
-    at = at.select("page_id", "r", "c", "gray", "grid", *(x.alias(n) for x, n in ((r0, "r0"), (r1, "r1"), (dr, "dr"), (c0, "c0"), (c1, "c1"), (dc, "dc"))))
-    t = lambda a, b: F.element_at("grid", F.struct(F.col(a).alias("tr"), F.col(b).alias("tc")))
-    dr, dc = F.col("dr"), F.col("dc")
-    cut = t("r0", "c0") * (1 - dr) * (1 - dc) + t("r0", "c1") * (1 - dr) * dc + t("r1", "c0") * dr * (1 - dc) + t("r1", "c1") * dr * dc
-    return at.select("page_id", "r", "c", (F.col("gray") < cut + INK_BIAS).cast("int").alias("ink"))
+def _eroded(ink: np.ndarray, least: int) -> np.ndarray:
+    """Ink where at least `least` of the nine places around have it; the outermost places stay blank."""
+    out = np.zeros_like(ink)
+    if min(ink.shape) > 2:
+        h, w = ink.shape
+        near = sum(ink[i : h - 2 + i, j : w - 2 + j] for i in range(3) for j in range(3))
+        out[1:-1, 1:-1] = near >= least
+    return out
 
 
-def _neighbours(pixels: DataFrame) -> DataFrame:
-    """Interior places with the number of ink pixels among the nine around them."""
-    spread = F.explode(F.array(*[F.struct((F.col("r") + i).alias("r"), (F.col("c") + j).alias("c")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    near = pixels.filter("ink = 1").select("page_id", spread.alias("p")).groupBy("page_id", "p.r", "p.c").agg(F.count("*").alias("n"))
-    sizes = pixels.groupBy("page_id").agg(F.max("r").alias("bottom"), F.max("c").alias("right"))
-    return near.join(sizes, "page_id").filter("r > 0 AND c > 0 AND r < bottom AND c < right").select("page_id", "r", "c", "n")
+def morphed(rasters: DataFrame, steps: str) -> DataFrame:
+    """Ink rasters eroded (e) and dilated (d), one after the other, in one pass."""
 
+    def run(page: dict) -> np.ndarray:
+        ink = page["pixels"][:, :, 0]
+        for step in steps:
+            ink = _eroded(ink, 9 if step == "e" else 1)
+        return ink[:, :, None]
 
-def _marked(pixels: DataFrame, least: int) -> DataFrame:
-    hit = _neighbours(pixels).filter(F.col("n") >= least).select("page_id", "r", "c", F.lit(1).alias("hit"))
-    return pixels.select("page_id", "r", "c").join(hit, ["page_id", "r", "c"], "left").select("page_id", "r", "c", F.coalesce("hit", F.lit(0)).alias("ink"))
+    return mapped(rasters, run) if steps else rasters
 
 
 def erode(pixels: DataFrame) -> DataFrame:
-    return _marked(pixels, 9)
+    return exploded(morphed(gathered(pixels, "ink"), "e"), "ink")
 
 
 def dilate(pixels: DataFrame) -> DataFrame:
     """As erode, leaves the outermost pixels blank."""
-    return _marked(pixels, 1)
+    return exploded(morphed(gathered(pixels, "ink"), "d"), "ink")
 
 
 def opening(pixels: DataFrame) -> DataFrame:
-    return dilate(erode(pixels))
+    return exploded(morphed(gathered(pixels, "ink"), "ed"), "ink")
 
 
 def closing(pixels: DataFrame) -> DataFrame:
-    return erode(dilate(pixels))
+    return exploded(morphed(gathered(pixels, "ink"), "de"), "ink")
+
+
+def preprocess(rasters: DataFrame, noise: bool = False, open_: bool = False, close: bool = False, tile: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Gray rasters to ink: stretched where contrast is low, blurred if noisy (more after a stretch), binarized, opened and closed if asked.
+
+    Returns gray rasters as binarized, ink rasters, and page_id, global_threshold, was_stretched.
+    """
+    gray = stretched(rasters, _page_counts(tile_counts(rasters, tile)))
+    if noise:
+        gray = blurred(gray, F.when(F.col("was_stretched"), 2).otherwise(1))
+    told = gray.select("page_id", "was_stretched").join(_otsu(_page_counts(tile_counts(gray, tile)), "page_id").select("page_id", F.col("threshold").alias("global_threshold")), "page_id")
+    gray = gray.drop("was_stretched")
+    ink = morphed(binarized(gray, tile), ("ed" if open_ else "") + ("de" if close else ""))
+    return gray, ink, told.select("page_id", "global_threshold", "was_stretched")
 
 
-def preprocess(pixels: DataFrame, open_: bool = False, close: bool = False) -> DataFrame:
-    """Gray pixels to ink: stretch where needed, blur (more after a stretch), binarize; opening and closing if asked."""
-    limits = contrast_limits(pixels).filter("low_contrast").select("page_id")
-    flat, rest = stretch(pixels).join(limits, "page_id", "left_semi"), pixels.join(limits, "page_id", "left_anti")
-    smooth = blur(flat, 2).unionByName(blur(rest, 1))
-    out = adaptive_binarize(smooth)
-    out = opening(out) if open_ else out
-    return closing(out) if close else out
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have the package installed

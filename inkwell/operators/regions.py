@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,12 +19,23 @@ def by_class(values: tuple, kind: str = "density_class") -> Column:
     return F.element_at(F.array(*map(F.lit, values)), F.col(kind) + 1)
 
 
+#: Height of the bands by which boxes meet.
+BAND = 64
+
+
 def proximity_edges(boxes: DataFrame) -> DataFrame:
-    """page_id, a, b of pairs of boxes (page_id, rank, x1, y1, x2, y2, v_gap, h_gap) within the gaps; a is the lower rank."""
-    other = boxes.select("page_id", F.col("rank").alias("b"), *(F.col(c).alias(f"o{c}") for c in ("x1", "y1", "x2", "y2")))
+    """page_id, a, b of pairs of boxes (page_id, rank, x1, y1, x2, y2, v_gap, h_gap) within the gaps; a is the lower rank.
+
+    Ranks follow y1. So b's top lies between a's top and a's bottom plus gap: a takes part in the bands of that stretch, b in
+    the band of its top alone, and each pair meets once.
+    """
+    band = lambda y: F.floor(y / F.lit(float(BAND))).cast("int")
+    reach = F.greatest(F.col("y1").cast("double"), F.col("y2") + F.col("v_gap"))
+    spread = boxes.withColumn("band", F.explode(F.sequence(band(F.col("y1")), band(reach))))
+    other = boxes.select("page_id", band(F.col("y1")).alias("band"), F.col("rank").alias("b"), *(F.col(c).alias(f"o{c}") for c in ("x1", "y1", "x2", "y2")))
     near = (F.col("rank") < F.col("b")) & (F.col("oy1") - F.col("y2") <= F.col("v_gap"))
     near &= F.greatest("x1", "ox1") - F.least("x2", "ox2") <= F.col("h_gap")
-    return boxes.join(other, "page_id").filter(near).select("page_id", F.col("rank").alias("a"), "b")
+    return spread.join(other, ["page_id", "band"]).filter(near).select("page_id", F.col("rank").alias("a"), "b")
 
 
 def _bounds() -> list[Column]:
@@ -47,8 +60,10 @@ def line_regions(members: DataFrame) -> DataFrame:
     return _sized(members.groupBy("page_id", "line", "font_size", "density_class").agg(*_bounds()))
 
 
-def para_gap(lines: DataFrame) -> DataFrame:
-    """page_id, para_gap: the vertical gap that still joins lines to a paragraph, from the first jump among the gaps between lines."""
+def para_gap(lines: DataFrame, factor: float | None = None) -> DataFrame:
+    """page_id, para_gap: the vertical gap that still joins lines to a paragraph, from the first jump among the gaps between lines; with `factor` so many font sizes."""
+    if factor is not None:
+        return lines.select("page_id", (F.col("font_size") * F.lit(float(factor))).alias("para_gap")).distinct()
     fs = F.col("font_size")
     order = W.partitionBy("page_id").orderBy("y1", "line")
     gaps = lines.withColumn("gap", F.lead("y1").over(order) - F.col("y2")).filter("gap > 0")
@@ -63,11 +78,11 @@ def para_gap(lines: DataFrame) -> DataFrame:
     return pages.select("page_id", F.least(gap, fs * 4.0).alias("para_gap"))
 
 
-def para_members(members: DataFrame) -> DataFrame:
+def para_members(members: DataFrame, factor: float | None = None) -> DataFrame:
     """Blobs with para (in the order of lines) and pos, their place within it."""
     lines = line_regions(members)
     order = W.partitionBy("page_id").orderBy("y1", "x1", "line")
-    boxes = lines.join(para_gap(lines), "page_id").withColumn("rank", F.row_number().over(order)).withColumn("h_gap", F.col("font_size") * by_class(H_GAP)).withColumnRenamed("para_gap", "v_gap")
+    boxes = lines.join(para_gap(lines, factor), "page_id").withColumn("rank", F.row_number().over(order)).withColumn("h_gap", F.col("font_size") * by_class(H_GAP)).withColumnRenamed("para_gap", "v_gap")
     tied = components(boxes.select("page_id", F.col("rank").alias("node")), proximity_edges(boxes)).select("page_id", F.col("node").cast("int").alias("line_rank"), F.col("component").alias("para"))
     placed = boxes.select("page_id", "line", F.col("rank").alias("line_rank")).join(tied, ["page_id", "line_rank"])
     out = members.join(placed, ["page_id", "line"])
@@ -78,15 +93,26 @@ def _grouped(members: DataFrame, *more: str) -> DataFrame:
     return _sized(members.groupBy("page_id", "para", *more, "font_size", "density_class", "img_w", "img_h").agg(*_bounds()))
 
 
-def para_regions(members: DataFrame) -> DataFrame:
-    return _grouped(members).filter(F.col("density") >= MIN_DENSITY)
+@dataclass(frozen=True)
+class Limits:
+    """What a region may be: fewer blobs or less ink and it goes, wider or taller (in font sizes) and it is split; para_factor: gap of paragraphs in font sizes, else found by page."""
+
+    min_blobs: int = 1
+    max_aspect: float = MAX_ASPECT
+    max_height: float = MAX_HEIGHT
+    min_density: float = MIN_DENSITY
+    para_factor: float | None = None
+
+
+def para_regions(members: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    return _grouped(members).filter((F.col("density") >= limits.min_density) & (F.col("blob_count") >= limits.min_blobs))
 
 
-def split_members(members: DataFrame) -> DataFrame:
+def split_members(members: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Members of the regions that stay, with split (none, column, strip) and part, numbered from 0 within para."""
     fs = F.col("font_size")
-    kind = F.when(F.col("width") / F.col("height") > MAX_ASPECT, "column").when(F.col("height") > fs * MAX_HEIGHT, "strip").otherwise("none")
-    kept = para_regions(members).select("page_id", "para", kind.alias("split"))
+    kind = F.when(F.col("width") / F.col("height") > limits.max_aspect, "column").when(F.col("height") > fs * limits.max_height, "strip").otherwise("none")
+    kept = para_regions(members, limits).select("page_id", "para", kind.alias("split"))
     out = members.join(kept, ["page_id", "para"])
     key = F.when(F.col("split") == "column", F.col("center_c")).when(F.col("split") == "strip", F.col("center_r")).otherwise(0.0)
     order = W.partitionBy("page_id", "para").orderBy("key", "pos")
@@ -97,7 +123,8 @@ def split_members(members: DataFrame) -> DataFrame:
     return out.withColumn("cut", cut.cast("int")).withColumn("part", F.sum("cut").over(order.rowsBetween(W.unboundedPreceding, 0)).cast("int")).drop("key", "cut")
 
 
-def final_regions(parts: DataFrame) -> DataFrame:
+def final_regions(parts: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Regions by (page_id, para, part); strips are measured against their number of lines."""
-    least = F.when(F.col("split") == "strip", MIN_DENSITY / F.sqrt(F.greatest(F.lit(1.0), F.col("height") / F.col("font_size")))).otherwise(MIN_DENSITY)
-    return _grouped(parts, "part", "split").filter(F.col("density") >= least)
+    dense = F.lit(limits.min_density)
+    least = F.when(F.col("split") == "strip", dense / F.sqrt(F.greatest(F.lit(1.0), F.col("height") / F.col("font_size")))).otherwise(dense)
+    return _grouped(parts, "part", "split").filter((F.col("density") >= least) & (F.col("blob_count") >= limits.min_blobs))

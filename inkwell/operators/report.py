@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from inkwell.sources import exports
+from inkwell.sources.images import exploded, gathered
+
 PADDING = 10
 
 
@@ -18,14 +21,17 @@ def crop_boxes(detections: DataFrame, padding: int = PADDING) -> DataFrame:
 
 def crop_pixels(crops: DataFrame, pixels: DataFrame) -> DataFrame:
     """page_id, index, r, c, gray of the pixels in each crop; a crop without extent is one white pixel."""
-    inside = (F.col("r") >= F.col("cy1")) & (F.col("r") < F.col("cy2")) & (F.col("c") >= F.col("cx1")) & (F.col("c") < F.col("cx2"))
-    cut = crops.join(pixels, "page_id").filter(inside).select("page_id", "index", (F.col("r") - F.col("cy1")).alias("r"), (F.col("c") - F.col("cx1")).alias("c"), "gray")
-    blank = crops.filter("cx2 <= cx1 OR cy2 <= cy1").select("page_id", "index", F.lit(0).alias("r"), F.lit(0).alias("c"), F.lit(255).alias("gray"))
-    return cut.unionByName(blank)
+    cut = exports.crop_rasters(crops.select("page_id", "index", "cx1", "cy1", "cx2", "cy2"), gathered(pixels))
+    return exploded(cut, "gray", ("page_id", "index"))
+
+
+def named(crops: DataFrame) -> DataFrame:
+    """crops with the name of each one's file."""
+    return crops.withColumn("name", F.format_string("eq_%03d_conf%.2f.png", "index", "confidence"))
 
 
 def crop_names(crops: DataFrame) -> DataFrame:
-    return crops.select("page_id", "index", F.format_string("eq_%03d_conf%.2f.png", "index", "confidence").alias("name"))
+    return named(crops).select("page_id", "index", "name")
 
 
 def describe(rows: DataFrame, value: str) -> DataFrame:
@@ -46,6 +52,13 @@ def histogram(rows: DataFrame, value: str, bins: int, *keys: str) -> DataFrame:
     return joined.groupBy(*keys, at.alias("bin")).agg(F.count("*").alias("n"))
 
 
+def height_marks(blobs: DataFrame, fonts: DataFrame, tall: float = 1.9, tiny: float = 0.42) -> DataFrame:
+    """page_id, font_size, tall_px, tiny_px, total, tall_count, tiny_count: the marks of the histogram of heights."""
+    h, fs = F.col("height"), F.col("font_size")
+    out = blobs.join(fonts, "page_id").groupBy("page_id", "font_size")
+    return out.agg((F.first("font_size") * tall).alias("tall_px"), (F.first("font_size") * tiny).alias("tiny_px"), F.count("*").alias("total"), F.count_if(h > fs * tall).alias("tall_count"), F.count_if(h < fs * tiny).alias("tiny_count"))
+
+
 def threshold_counts(rows: DataFrame, value: str, cut: float) -> DataFrame:
     above = F.count_if(F.col(value) >= cut)
     return rows.agg(above.alias("above"), F.count_if(F.col(value) < cut).alias("below"), F.round(above * 100.0 / F.count(value), 3).alias("above_pct"))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.operators import components, layout, regions, report, score
-from inkwell.sources.shared import stored
+from inkwell.operators import components, detectors, layout, raster, regions, report, score
+from inkwell.sources import exports, images
+from inkwell.sources.shared import fingerprint, remembered, stored
 
 
 @dataclass
@@ -18,11 +19,13 @@ class Analysis:
 
     blobs: DataFrame
     pages: DataFrame | None = None
+    limits: regions.Limits = regions.Limits()
+    detector: str = "blob"
 
     @cached_property
     def density(self) -> DataFrame:
         pages = self.pages if self.pages is not None else self.blobs.groupBy("page_id").agg(F.first("img_w").alias("img_w"), F.first("img_h").alias("img_h"))
-        return stored(layout.density(pages, self.blobs))
+        return stored(detectors.get(self.detector).detect(pages, self.blobs))
 
     @cached_property
     def lines(self) -> DataFrame:
@@ -39,15 +42,15 @@ class Analysis:
 
     @cached_property
     def paras(self) -> DataFrame:
-        return stored(regions.para_members(self.members))
+        return stored(regions.para_members(self.members, self.limits.para_factor))
 
     @cached_property
     def parts(self) -> DataFrame:
-        return stored(regions.split_members(self.paras))
+        return stored(regions.split_members(self.paras, self.limits))
 
     @cached_property
     def regions(self) -> DataFrame:
-        return stored(regions.final_regions(self.parts))
+        return stored(regions.final_regions(self.parts, self.limits))
 
     @cached_property
     def rated(self) -> DataFrame:
@@ -71,10 +74,43 @@ class Analysis:
         return report.crop_boxes(self.detections).join(self.detections.select("page_id", "rank", "confidence"), ["page_id", "rank"])
 
 
-def from_pixels(gray: DataFrame) -> Analysis:
+@dataclass
+class Pages(Analysis):
+    """An analysis of rasters: gray and ink rasters, and page_id, global_threshold, was_stretched of each page."""
+
+    gray: DataFrame | None = None
+    ink: DataFrame | None = None
+    told: DataFrame | None = None
+
+    @cached_property
+    def crop_images(self) -> DataFrame:
+        """page_id, name, png of each detection, cut from the gray page."""
+        return exports.png_files(exports.crop_rasters(report.named(self.crops), self.gray)).select("page_id", "name", "png")
+
+    @cached_property
+    def zips(self) -> DataFrame:
+        return exports.zip_files(self.crop_images)
+
+
+def from_rasters(rasters: DataFrame, limits: regions.Limits = regions.Limits(), detector: str = "blob", **options) -> Pages:
+    """Gray rasters through binarization and components; options as of raster.preprocess."""
+    gray, ink, told = raster.preprocess(stored(rasters), **options)
+    ink = stored(ink)
+    sizes = ink.select("page_id", F.col("width").alias("img_w"), F.col("height").alias("img_h"))
+    found = components.blobs_of_runs(components.raster_runs(ink), sizes)
+    return Pages(stored(found), sizes, limits, detector, gray, ink, told)
+
+
+def from_pixels(gray: DataFrame, **options) -> Pages:
     """Gray pixels (page_id, r, c, gray) through binarization and components."""
-    from inkwell.operators import raster
+    return from_rasters(images.gathered(gray), **options)
+
+
+def from_files(spark: SparkSession, path: str, max_dim: int | None = images.MAX_DIM, pattern: str = images.PATTERN, **options) -> Pages:
+    """Image files under a path: decoded, downscaled, turned to gray and analysed. Results of the same files and options are kept for the session."""
+
+    def run() -> Pages:
+        rasters = images.to_gray(images.downscale(images.scan(spark, path, pattern), max_dim))
+        return from_rasters(rasters, **options)
 
-    ink = stored(raster.preprocess(stored(gray)))
-    sizes = raster.page_sizes(gray).select("page_id", F.col("width").alias("img_w"), F.col("height").alias("img_h"))
-    return Analysis(stored(components.blobs(ink)), sizes)
+    return remembered(spark, ("files", fingerprint(spark, path), max_dim, pattern, repr(sorted(options.items()))), run)

@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from inkwell.operators import components, layout, raster, regions, report, score
 from inkwell.sources import fixtures as fx
 
+from inkwell.sources.shared import fingerprint, remembered
+
 from . import oracle
 from .analysis import Analysis, from_pixels
 from .oracle import GRAY, STEPS, steps
 
 
 def _all(spark: SparkSession, d: str) -> Analysis:
-    return Analysis(fx.blobs(spark, d))
+    """The analysis of the laid-out pages; its steps are kept for the session as long as the tables don't change."""
+    return remembered(spark, ("blobs", fingerprint(spark, f"{d}/orders.parquet")), lambda: Analysis(fx.blobs(spark, d)))
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -85,6 +88,9 @@ QUERIES = {
     "pixel_runs": lambda s, d: components.pixel_runs(fx.ink(s, d)),
     "blobs_from_pixels": lambda s, d: _rounded(components.blobs(fx.ink(s, d)), *SHAPES),
     "pages_from_pixels": lambda s, d: from_pixels(fx.gray(s, d)).density.select("page_id", "total_blobs", "font_size", "density_class"),
+    "otsu_ink": lambda s, d: raster.otsu_binarize(fx.gray(s, d)),
+    "height_marks": lambda s, d: _rounded(report.height_marks(fx.blobs(s, d), layout.font_size(fx.blobs(s, d))), "tall_px", "tiny_px"),
+    "diagnostic_height_hist": lambda s, d: report.histogram(fx.blobs(s, d), "height", 55, "page_id"),
     "font_size": lambda s, d: layout.font_size(fx.blobs(s, d)),
     "density_signals": lambda s, d: _rounded(_all(s, d).density.select("page_id", "total_blobs", *SIGNALS, *VOTES), *SIGNALS),
     "density_class": lambda s, d: _all(s, d).density.select("page_id", "font_size", "density_class", "density_confidence"),
@@ -140,6 +146,8 @@ ORACLE_SQL = {
     "gaussian_blur_r1": oracle.blur(1),
     "gaussian_blur_r2": oracle.blur(2),
     "otsu_global": GRAY + f"SELECT page_id, threshold, threshold - 5 AS cut FROM ({oracle._otsu('fx_gray', 'page_id')})",
+    "otsu_ink": GRAY + f"SELECT g.page_id, r, c, CAST(gray < threshold - 5 AS INT) AS ink FROM fx_gray g JOIN ({oracle._otsu('fx_gray', 'page_id')}) o ON g.page_id = o.page_id",
+    "pages_from_pixels": oracle.PAGES + " SELECT page_id, coalesce(total_blobs, 0) AS total_blobs, coalesce(font_size, 20) AS font_size, coalesce(density_class, 0) AS density_class FROM (SELECT DISTINCT page_id FROM fx_bin) LEFT JOIN density USING (page_id)",
     "otsu_tile": oracle.TILES + " SELECT page_id, tr, tc, threshold FROM tiles",
     "adaptive_binarize": oracle.ADAPTIVE,
     "tile_size_auto": "SELECT o_orderkey, greatest(32, least(128, CAST(trunc((o_orderkey % 4000 + 1) / 74.0::DOUBLE * 3) AS INT))) AS tile FROM orders",
@@ -181,6 +189,8 @@ ORACLE_SQL = {
     "report_rows": steps("det", "SELECT page_id, x1, y1, x2, y2, confidence, x2 - x1 AS width_px, y2 - y1 AS height_px FROM det"),
     "confidence_describe": steps("det", "SELECT count(*) AS count, round(avg(confidence), 3) AS mean, round(stddev_samp(confidence), 3) AS std, round(min(confidence), 3) AS min, round(quantile_cont(confidence, 0.25), 3) AS p25, round(quantile_cont(confidence, 0.5), 3) AS p50, round(quantile_cont(confidence, 0.75), 3) AS p75, round(max(confidence), 3) AS max FROM det"),
     "confidence_hist": steps("det", _hist("det", "confidence", 20)),
+    "diagnostic_height_hist": steps("fx_blob", _hist("fx_blob", "height", 55, "page_id")),
+    "height_marks": steps("font", "SELECT b.page_id, font_size, round(font_size * 1.9::DOUBLE, 6) AS tall_px, round(font_size * 0.42::DOUBLE, 6) AS tiny_px, count(*) AS total, count(*) FILTER (height > font_size * 1.9::DOUBLE) AS tall_count, count(*) FILTER (height < font_size * 0.42::DOUBLE) AS tiny_count FROM fx_blob b JOIN font f ON b.page_id = f.page_id GROUP BY ALL"),
     "blob_height_hist": steps("fx_blob", _hist("fx_blob", "height", 60, "page_id")),
     "blob_outlier_map": steps("lines", "SELECT page_id, height > font_size * 1.9::DOUBLE OR (width > font_size * 4 AND height < font_size * 0.5::DOUBLE) AS outlier, count(*) AS n FROM lines GROUP BY ALL"),
     "edge_hist": _hist("events", "value", 80),

@@ -191,3 +191,9 @@ BLOBS = RUNS + """, size AS (SELECT page_id, max(r) + 1 AS img_h, max(c) + 1 AS
   found AS (SELECT n.page_id, p.label AS blob_seq, any_value(img_w) AS img_w, any_value(img_h) AS img_h, min(c0) AS x1, min(r) AS y1, max(c1) AS x2, max(r) AS y2, max(c1) - min(c0) + 1 AS width, max(r) - min(r) + 1 AS height, sum(c1 - c0 + 1)::INT AS area
     FROM node n JOIN (SELECT page_id, node, min(reach) AS label FROM reach GROUP BY ALL) p ON n.page_id = p.page_id AND n.k = p.node GROUP BY n.page_id, p.label)
   SELECT *, area / (width * height) AS fill_ratio, width / height AS aspect_ratio, (y1 + y2) / 2.0::DOUBLE AS center_r, (x1 + x2) / 2.0::DOUBLE AS center_c FROM found WHERE area >= 5 AND width * height <= img_w * img_h * 0.03::DOUBLE"""
+
+_RAW = STEPS["fx_gray"]
+_SPREAD = f"SELECT g.page_id, r, c, CASE WHEN low_contrast AND hi > lo THEN greatest(0, least(255, CAST(trunc((gray - lo) * (255.0::DOUBLE / (hi - lo))) AS INT))) ELSE gray END AS gray FROM ({_RAW}) g JOIN ({limits(f'({_RAW})')}) l ON g.page_id = l.page_id"
+_HEAD, _SHAPES = BLOBS.rsplit("\n  SELECT *, area", 1)
+#: From gray pixels, spread where contrast is low, over ink and blobs to density.
+PAGES = _HEAD.replace(STEPS["fx_bin"], ADAPTIVE.replace(_RAW, _SPREAD)) + f", fx_blob AS MATERIALIZED (SELECT *, area{_SHAPES}), " + ", ".join(f"{s} AS MATERIALIZED ({STEPS[s]})" for s in ("font", "den1", "den2", "density"))
