@@ -25,7 +25,7 @@ def bits_for(chunks: int) -> int:
 def _sent(chunk: int, block: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
     """Values by ascending block; rows as in SENT."""
     at = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else np.zeros(0, np.int64)
-    parts = [values[a:b].tobytes() for a, b in zip(at, np.append(at[1:], len(block)), strict=True)]
+    parts = [part.tobytes() for part in np.split(values, at[1:])] if len(at) else []
     return pa.RecordBatch.from_arrays([pa.array(block[at].astype(np.int32)), pa.array(np.full(len(at), chunk)), pa.array(parts, pa.binary())], names=["block", "chunk", "hashes"])
 
 

@@ -8,7 +8,8 @@ to its component, never pairs. Buckets above `BLOCK` vectors are split in blocks
 
 Equal vectors are folded into one with a weight first, so a very common vector is one row. Null and zero vectors and those
 with null or non-finite components link with nothing, nor do vectors of different lengths. Rows that repeat a vec_id
-count each for itself; a null vec_id is never a component's name unless all its members' are null.
+count each for itself; a null vec_id is never a component's name unless all its members' are null. An empty table gives an
+empty result. Columns other than vec_id and embedding don't take part, whatever their names.
 """
 
 from __future__ import annotations

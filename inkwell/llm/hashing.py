@@ -39,6 +39,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Ascending distinct values; by sorting, which for millions of numbers is several times faster than numpy's hash table."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def raw(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a large_string array and the n+1 places where its rows begin and end."""
     offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]

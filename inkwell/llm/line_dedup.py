@@ -10,9 +10,9 @@ is left, one line a set, is joined:
 3. Pairs must pass the length filter, the positional filter (what stands before and behind the shared word bounds the
    overlap) and the bit filter: parity maps of two sets differ in no more bits than the sets differ in words. Maps have 192
    bits, or folded 64 where one of the sets has few words.
-4. In the first turn a set names its likeliest earlier partner of each block, and up to `best` further ones that are looked
-   at if those fail. Where more than `crowd` sets share a word, a set that meets a likely partner among the `PIVOTS` earliest
-   looks no further: a crowd of similar lines makes one pair a member.
+4. In the first turn a set names its likeliest earlier partner of each block, and if that one is no close one, up to `best`
+   further ones that are looked at if it fails. Where more than `crowd` sets share a word, a set that meets a likely partner
+   among the `PIVOTS` earliest looks no further: a crowd of similar lines makes one pair a member.
 5. Pairs are verified on whole sets of word hashes, which are made once more for the lines that pairs name.
 6. Sets that have looked at less than all, and found nothing, meet all earlier sets of their words in a second turn, to
    which only their words' entries are sent. So no link is lost.
@@ -41,11 +41,11 @@ from pyspark.sql import functions as F
 
 from .blocks import bits_for
 from .common import PASS_BYTES, shipped, slices, tabled, tidied, totals, written
-from .hashing import Words, mixed
+from .hashing import Words, distinct, mixed
 
 PERCENT = 75
 SLOT_BITS = 18
-CROWD, PIVOTS, BEST = 1024, 64, 32
+CROWD, PIVOTS, BEST = 1024, 64, 256
 #: Sets of up to this many words have 64-bit maps.
 FEW = 56
 #: Bits of a word's key: 6 of rarity, 42 of its hash.
@@ -93,7 +93,7 @@ class Lines:
         group, lines, words = 1 << (64 - KEY_BITS), [], []
         cuts = np.searchsorted(of, np.arange(0, (of[-1] if len(of) else 0) + group + 1, group))
         for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-            both = np.unique(((of[a:b] - k * group).astype(np.uint64) << np.uint64(KEY_BITS)) | keys[a:b])
+            both = distinct(((of[a:b] - k * group).astype(np.uint64) << np.uint64(KEY_BITS)) | keys[a:b])
             lines.append((both >> np.uint64(KEY_BITS)).astype(np.int64) + k * group)
             words.append(both & np.uint64((1 << KEY_BITS) - 1))
         return np.concatenate(lines), np.concatenate(words)
@@ -253,7 +253,9 @@ class Block:
         names = number(self.doc, self.line, self.mark)
         a, b = names[i], names[j]
         order = np.lexsort((b, differ, a))
-        a, b, differ, late = a[order], b[order], differ[order], deferred[i][order]
+        # Half of what two sets may differ in: such a partner fails next to never, and if it does, there is the second turn.
+        close = 2 * (100 + self.percent) * differ <= (100 - self.percent) * (self.n[i] + self.n[j])
+        a, b, differ, late, close = a[order], b[order], differ[order], deferred[i][order], close[order]
         if not len(a):
             return [np.zeros(0, t) for t in (bool, np.int64, np.int64, np.int32, bool)]
         keep = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
@@ -263,8 +265,9 @@ class Block:
         turn = turn - turn[heads][group]
         more = np.logical_or.reduceat(late, heads)
         if best:
-            more |= np.maximum.reduceat(turn, heads) >= best
-            keep &= turn < best
+            most = np.where(close[heads], 1, best)
+            more |= np.maximum.reduceat(turn, heads) >= most
+            keep &= turn < most[group]
         return [turn[keep] > 0, a[keep].view(np.int64), b[keep].view(np.int64), differ[keep].astype(np.int32), more[group][keep]]
 
 
@@ -293,10 +296,15 @@ def _met(sent: DataFrame, percent: int, crowd: int | None, best: int | None) ->
 
 
 def _sieve(numbers: DataFrame) -> np.ndarray:
-    """A bit table that has every number of a table: 8 bits a number, 2**26 at most; where it is full, more pass than are asked for."""
-    bits = min(26, max(12, (8 * numbers.count()).bit_length()))
+    """A bit table that has every number of a table of one column or more: 8 bits a number, 2**26 at most; where it is full, more pass than are asked for."""
+    bits = min(26, max(12, (8 * len(numbers.columns) * numbers.count()).bit_length()))
     part = max(0, bits - 20)
 
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = distinct(np.concatenate([c.to_numpy().view(np.uint64) for c in batch.columns]) >> np.uint64(64 - bits)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((slot >> (bits - part)).astype(np.int32)), pa.array(slot)], names=["block", "slot"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -306,8 +314,7 @@ def _sieve(numbers: DataFrame) -> np.ndarray:
         if tables:
             yield pa.RecordBatch.from_arrays([pa.array(list(tables), pa.int32()), pa.array([np.packbits(t).tobytes() for t in tables.values()], pa.binary())], names=["block", "bits"])
 
-    slot = F.shiftrightunsigned(F.col(numbers.columns[0]), 64 - bits)
-    dealt = numbers.select(F.shiftrightunsigned(slot, bits - part).cast("int").alias("block"), slot.alias("slot")).repartition("block")
+    dealt = numbers.mapInArrow(tidied(deal), "block int, slot long").repartition("block")
     out = np.zeros(1 << bits, bool)
     for r in dealt.mapInArrow(tidied(run), "block int, bits binary").collect():  # 64 rows of 128 KB at most
         out[r.block << (bits - part) : (r.block + 1) << (bits - part)] = np.unpackbits(np.frombuffer(r.bits, np.uint8)).astype(bool)
@@ -358,16 +365,15 @@ def _gone(docs: DataFrame, levels, pairs: DataFrame, percent: int) -> tuple[Data
     Each line asks its likeliest partners first, the rest if these fail.
     """
     share = docs.sparkSession.sparkContext.broadcast
+    lines = _listed(docs, levels, share(_sieve(pairs.select("a", "b"))))
+    keys = lines.filter("keys IS NOT NULL").select("name", "keys").dropDuplicates(["name"])
     likely = written(pairs.filter("NOT rest").select("a", "b").distinct())
-    asking = likely.select("a").distinct()
-    lines = _listed(docs, levels, share(_sieve(likely.select("a").union(likely.select("b")).distinct())))
-    keys = lambda listed: listed.filter("keys IS NOT NULL").select("name", "keys").dropDuplicates(["name"])
-    gone = _similar(likely, keys(lines), percent)
-    waiting = written(asking.join(gone, "a", "left_anti"))
-    rest = written(_passing(pairs.filter("rest").select("a", "b"), share(_sieve(waiting))).join(waiting, "a", "left_semi").distinct())
+    gone = _similar(likely, keys, percent)
+    waiting = written(likely.select("a").distinct().join(gone, "a", "left_anti"))
+    rest = _passing(pairs.filter("rest").select("a", "b"), share(_sieve(waiting)))
+    rest = written(rest.join(waiting, "a", "left_semi").distinct())
     if not rest.isEmpty():
-        more = _listed(docs, levels, share(_sieve(rest.select("a").union(rest.select("b")).distinct())))
-        gone = gone.unionByName(_similar(rest, keys(more), percent))
+        gone = gone.unionByName(_similar(rest, keys, percent))
         waiting = waiting.join(gone, "a", "left_anti")
     return gone, waiting, lines
 

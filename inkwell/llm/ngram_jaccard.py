@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import blocks
 from .common import one_row_each, rows_of, shipped, tidied, written
 from .components import components
-from .hashing import Runs, Words, mixed
+from .hashing import Runs, Words, distinct, mixed
 from .substring import chunked
 
 N = 5
@@ -126,7 +126,7 @@ def _chunk(row: dict, n: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
 def _ask(batches: Iterator[pa.RecordBatch], n: int, bits: int) -> Iterator[pa.RecordBatch]:
     for row in rows_of(batches):
         _, hashes, _ = _chunk(row, n)
-        yield blocks.sent_short(row["chunk"], np.unique(blocks.short(hashes, bits)), bits)
+        yield blocks.sent_short(row["chunk"], distinct(blocks.short(hashes, bits)), bits)
 
 
 def _sign(batches: Iterator[pa.RecordBatch], n: int, percent: int, bits: int) -> Iterator[pa.RecordBatch]:
@@ -340,7 +340,9 @@ def members(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFr
     parts = F.ceil(F.col("rows") / BLOCK).cast("int")
     dealt = open_cells.withColumn("block", F.pmod(F.xxhash64("sid"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     dealt = dealt.select("token", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "sid", "n", "place", "point", "label", "fine", "lows")
-    dealt = dealt.repartition("token", "left", "right").sortWithinPartitions("token", "left", "right")
+    # A fixed number: by their bytes these rows would be gathered in few tasks, though each is much work.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(tasks, "token", "left", "right").sortWithinPartitions("token", "left", "right")
     more = dealt.mapInArrow(tidied(lambda b: _open_pairs(b, percent)), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
     more = written(more)
     if not more.isEmpty():

@@ -10,7 +10,9 @@ where x is a cut's place in the stream. The minimum runs over a sliding window,
 Only the open end of the stream (under one sequence) is carried from block to block, so the last sequence of a
 partition alone can be short; it is cut at powers of two, which need no padding, where that costs less than padding.
 
-Null texts count as empty: a document then has its end id alone. Repeated rows are packed each for itself.
+Null texts count as empty: a document then has its end id alone. Repeated rows are packed each for itself. Of equally good
+places for the cut before a sequence the latest is taken. Texts may have any length; one longer than a sequence is cut. An empty
+table gives an empty result. Columns other than doc_id and text don't take part, whatever their names.
 """
 
 from __future__ import annotations

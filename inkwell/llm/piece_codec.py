@@ -5,7 +5,8 @@ word (its markers and what follows them) into the next, so each distinct marked
 worker and its ids are put back by position. A model with crossing pieces is applied to whole texts instead.
 
 Null texts count as empty, and give no ids. Repeated rows each get their own result; further columns pass through
-`encode` untouched unless they clash with a result's name, when the result wins.
+`encode` untouched unless they clash with a result's name, when the result wins. Texts may have any length; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations

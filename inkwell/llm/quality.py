@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import shipped, slices, tabled, tidied, totals, written
-from .hashing import Words, mixed
+from .hashing import Words, distinct, mixed
 
 FEATURE_BITS = 18
 #: Labelled documents whose texts the class counts read, about; chosen by hash.
@@ -71,7 +71,7 @@ def features(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     ]
     numbers = np.concatenate([mixed(x) >> np.uint64(64 - FEATURE_BITS) for x, _ in kinds]).astype(np.int64)
     rows = np.concatenate([r for _, r in kinds])
-    keys = np.unique((rows << FEATURE_BITS) | numbers)
+    keys = distinct((rows << FEATURE_BITS) | numbers)
     return keys & ((1 << FEATURE_BITS) - 1), np.searchsorted(keys >> FEATURE_BITS, np.arange(n_rows + 1))
 
 

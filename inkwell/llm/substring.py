@@ -1,9 +1,10 @@
 """Substring deduplication by level-wise doubling.
 
 A window of `window` words is removed where its words stand at another place too. Lengths double up to the window (35
-words: 18, then 35). At each length only windows still alive take part: each is represented by the least hash among its
+words: 9, 18, then 35). At each length only windows still alive take part: each is represented by the least hash among its
 runs of that length (equal windows have equal least runs), and a window whose least run stands at one place alone dies.
-What is alive at the full length stands at two places at least. So the first level sends about a tenth of all places.
+What is alive at the full length stands at two places at least. So the first level sends about one in fourteen of all
+places, later ones only what is alive.
 
 Documents travel in chunks, one row of about `PASS_BYTES` of text each, written once. A chunk sends its distinct hashes
 to the blocks of the hash space, which answer with one bit for each: does another chunk have it? A common passage is
@@ -29,7 +30,7 @@ from .hashing import Runs, Words, raw, windows
 
 WINDOW = 35
 #: Doubling starts from the first length that is not above this.
-FIRST = 24
+FIRST = 12
 CHUNK = "chunk long, ids array<long>, size long, ends binary, texts binary, alive binary"
 
 

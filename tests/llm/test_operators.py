@@ -7,8 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from inkwell.llm import embedding_dedup, exact_dedup, line_dedup, ngram_jaccard, packing, pii, piece_codec, quality, sharding, substring
-from inkwell.llm.common import scratch
+from inkwell.llm import embedding_dedup, exact_dedup, ngram_jaccard, packing, piece_codec, substring
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, label string, hash string"
 WORDS = [f"w{i}" for i in range(400)]
@@ -76,25 +75,6 @@ def test_codec_and_packing(docs):
     assert (pieces.groupby("doc_id").length.sum() >= 1).all() and set(pieces.doc_id) == set(range(1, 13))
 
 
-def test_lines(docs, spark):
-    lines = spark.createDataFrame([(1, "a b c d\nx"), (2, "A b c D\n\ny z"), (3, "a b c e d"), (4, None), (None, "x")], "doc_id long, text string")
-    assert {(r.doc_id, r.removed) for r in line_dedup.summary(lines).collect()} == {(None, ""), (1, "1"), (2, "0"), (3, "0"), (4, "")}
-    assert {r.doc_id: r.text for r in line_dedup.clean(lines).collect()}[2] == "\ny z"
-
-
-def test_pii(docs):
-    r = next(x for x in pii.find(docs).collect() if x.doc_id == 11)
-    assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == (1, 1, 1, 1)
-    assert "[EMAIL]" in next(x.text for x in pii.redact(docs).collect() if x.doc_id == 11)
-
-
-def test_quality(docs, spark):
-    labels = spark.createDataFrame([(1, 1, 0), (4, 1, 0), (8, 0, 0), (9, 0, 0), (99, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
-    got = quality.classify(docs, labels).collect()
-    assert len(got) == 13 and all(0 <= r.score <= 1 for r in got)
-    assert quality.accepted(docs, labels).columns == docs.columns
-
-
 def test_embeddings(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(60, 16))
@@ -109,16 +89,6 @@ def test_embeddings(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in (100, 101, 102, 103))
 
 
-def test_sharding(docs, spark):
-    store = sharding.ShardStore.create(spark, scratch(spark), docs.schema, target_bytes=1 << 20)
-    for _ in range(2):
-        store.append(docs)
-    before = store.manifest().count()
-    store.compact()
-    assert store.manifest().count() < before and store.read().count() == 2 * docs.count()
-    assert store.read(0).count() == 0 and store.read(1).count() == docs.count()
-
-
-@pytest.mark.parametrize("f", [exact_dedup.verdicts, ngram_jaccard.join, substring.remove_repeats, piece_codec.digests, packing.pack, line_dedup.summary, pii.find], ids=lambda f: f.__module__)
+@pytest.mark.parametrize("f", [exact_dedup.verdicts, ngram_jaccard.join, substring.remove_repeats, piece_codec.digests, packing.pack], ids=lambda f: f.__module__)
 def test_empty(spark, f):
     assert f(spark.createDataFrame([], SCHEMA)).count() == 0
