@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; run() writes each stage's rows as
 Parquet in the shared folder and reads them again. All stages but the last return the columns of documents.
+
+A null text counts as empty: it is scored, folded with other empty ones, has no near copies, no spans and one token, its end.
+Null doc_ids are ids like others, which come last where the least is chosen. Of rows that repeat a doc_id and a text one
+stays; with different texts each is judged for itself. Ties go to the least doc_id. Texts may have any length, further
+columns pass through the first four stages whatever their names, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -45,7 +50,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: The classifier's and the tokenizer's results can't be said in SQL. A brute-force test of the whole is still to be written.
+#: The classifier's and the tokenizer's results can't be said in SQL; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
