@@ -84,6 +84,19 @@ def tidied(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     return run
 
 
+#: Rows of an Arrow batch at most: Spark's own 10,000 rows of long texts would be held several times over by each worker.
+BATCH_ROWS = 1000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(docs: DataFrame) -> DataFrame:
+    """docs, with the session's setting for batches lowered to BATCH_ROWS where it is higher."""
+    conf = docs.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH_SETTING)) <= BATCH_ROWS:
+        conf.set(_BATCH_SETTING, BATCH_ROWS)
+    return docs
+
+
 def one_row_each(docs: DataFrame, digest: Column, told: DataFrame) -> DataFrame:
     """docs without the rows that told names (doc_id, digest, stays): all of those that don't stay, and all but one of those that do.
 

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import bits_for
-from .common import PASS_BYTES, shipped, slices, tabled, tidied, totals, written
+from .common import PASS_BYTES, shipped, slices, small_batches, tabled, tidied, totals, written
 from .hashing import Words, distinct, mixed
 
 PERCENT = 75
@@ -162,7 +162,7 @@ def rarity(docs: DataFrame) -> tuple[np.ndarray, int]:
             size += len(words.data)
         yield from tabled(np.append(counts, size))
 
-    counts = totals(docs.mapInArrow(tidied(run), "block int, counts binary"), (1 << SLOT_BITS) + 1)
+    counts = totals(small_batches(docs).mapInArrow(tidied(run), "block int, counts binary"), (1 << SLOT_BITS) + 1)
     return np.minimum(63, 2 * np.log2(np.maximum(counts[:-1], 1))).astype(np.uint8), int(counts[-1])
 
 

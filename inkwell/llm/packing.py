@@ -17,6 +17,7 @@ table gives an empty result. Columns other than doc_id and text don't take part,
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -26,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .chunk_table import ChunkTable, per_process
-from .common import shipped, slices, tidied
+from .common import shipped, slices, small_batches, tidied
 from .hashing import Words, gathered, raw, span_hashes
 
 CAPACITY = 2048
 SENTENCE_PRICE = 1.0
 INNER_PRICE = 4.0
 STRIDE = 32
+#: Words that go to the tokenizer at a time.
+PART = 2048
 #: Tokens that a worker gathers before it packs them.
 BLOCK = 1 << 20
 
@@ -49,6 +52,7 @@ class WordIds:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.clear()
         self.table = ChunkTable(self.segment, self.add, self.clear, bits=21, limit=1_000_000)
@@ -58,7 +62,9 @@ class WordIds:
         self.start, self.length, self.entries = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
 
     def segment(self, words: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        """The ids of each word; in parts, as the tokenizer's results are many times larger than their ids."""
+        parts = (words[a : a + PART] for a in range(0, len(words), PART))
+        return [x.ids for part in parts for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
 
     def add(self, found: list[list[int]]) -> None:
         lengths = np.array([len(x) for x in found], np.int64)
@@ -235,7 +241,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
         if out := rows(True):
             yield out
 
-    return docs.select("doc_id", "text").mapInArrow(tidied(run), SCHEMA)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(tidied(run), SCHEMA)
 
 
 shipped(__name__)

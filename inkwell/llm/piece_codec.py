@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .chunk_table import ChunkTable, per_process
-from .common import shipped, slices, tidied
+from .common import shipped, slices, small_batches, tidied
 from .hashing import raw, span_hashes
 
 MARKER = "▁"
@@ -106,7 +106,7 @@ def encode(docs: DataFrame, text: str = "text", model: str | None = None) -> Dat
             columns = [c.cast(pa.string()) if pa.types.is_large_string(c.type) else c for c in columns]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string())], names=[*keep, "ids", "decoded"])
 
-    return docs.select(*keep).mapInArrow(tidied(run), schema)
+    return small_batches(docs).select(*keep).mapInArrow(tidied(run), schema)
 
 
 def decode(tokens: DataFrame, ids: str = "ids", model: str | None = None) -> DataFrame:
@@ -151,7 +151,7 @@ def digests(docs: DataFrame, model: str | None = None) -> DataFrame:
                     of_text.append(sha(codec.sp.decode(ids)))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(of_ids), pa.array(of_text)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(tidied(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(tidied(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 shipped(__name__)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shipped, slices, tabled, tidied, totals, written
+from .common import shipped, slices, small_batches, tabled, tidied, totals, written
 from .hashing import Words, distinct, mixed
 
 FEATURE_BITS = 18
@@ -198,7 +198,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         for part in slices(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores_of(part.column(1), sent.value))], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(tidied(run), "doc_id long, score double")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(tidied(run), "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -221,7 +221,7 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
             scores = np.concatenate([scores_of(part.column(text), sent.value) for part in slices([batch])] or [np.zeros(0)])
             yield batch.filter(pa.array(scores >= CUT))
 
-    return docs.mapInArrow(tidied(run), schema)
+    return small_batches(docs).mapInArrow(tidied(run), schema)
 
 
 shipped(__name__)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import blocks
-from .common import PASS_BYTES, rows_of, shipped, slices, tidied, written
+from .common import PASS_BYTES, rows_of, shipped, slices, small_batches, tidied, written
 from .hashing import Runs, Words, raw, windows
 
 WINDOW = 35
@@ -82,7 +82,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def chunked(docs: DataFrame) -> DataFrame:
     """The rows of docs (doc_id, text) in chunks, as a table."""
-    return written(docs.select("doc_id", "text").mapInArrow(tidied(_chunks), CHUNK))
+    return written(small_batches(docs).select("doc_id", "text").mapInArrow(tidied(_chunks), CHUNK))
 
 
 class Chunk:
