@@ -87,6 +87,13 @@ class Pages(Analysis):
         """page_id, name, png of each detection, cut from the gray page."""
         return exports.png_files(exports.crop_rasters(report.named(self.crops), self.gray)).select("page_id", "name", "png")
 
+    @cached_property
+    def page_images(self) -> DataFrame:
+        """page_id, kind (gray, ink), png of each page; ink is black."""
+        ink = images.mapped(self.ink, lambda page: 255 * (1 - page["pixels"].astype("int16")))
+        both = self.gray.withColumn("kind", F.lit("gray")).unionByName(ink.withColumn("kind", F.lit("ink")))
+        return exports.png_files(both).select("page_id", "kind", "png")
+
     @cached_property
     def zips(self) -> DataFrame:
         return exports.zip_files(self.crop_images)

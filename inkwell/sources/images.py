@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 PATTERN = "*.{png,jpg,jpeg,PNG,JPG,JPEG}"
 MAX_DIM = 2000
 RASTER = "origin string, page_id long, height int, width int, channels int, data binary"
+#: Rows of Spark's image source.
+FILES = "image struct<origin: string, height: int, width: int, nChannels: int, mode: int, data: binary>"
 #: Luma weights of BT.601.
 LUMA = (0.299, 0.587, 0.114)
 
@@ -44,11 +46,15 @@ def scan(spark: SparkSession, path: str, pattern: str = PATTERN, keep_invalid: b
     read = spark.read.format("image").option("dropInvalid", str(not keep_invalid).lower()).option("pathGlobFilter", pattern)
     if recursive:
         read = read.option("recursiveFileLookup", "true")
+    return decoded(read.load(path), keep_invalid)
+
+
+def decoded(files: DataFrame, keep_invalid: bool = False) -> DataFrame:
+    """The rows of Spark's image source as rasters."""
     i = F.col("image")
-    files = read.load(path).select(i["origin"].alias("origin"), F.xxhash64(i["origin"]).alias("page_id"), i["height"].alias("height"), i["width"].alias("width"), i["nChannels"].alias("channels"), i["data"].alias("data"))
-    broken = files.filter("height <= 0")
-    out = mapped(files.filter("height > 0"), _normalised)
-    return out.unionByName(broken) if keep_invalid else out
+    rows = files.select(i["origin"].alias("origin"), F.xxhash64(i["origin"]).alias("page_id"), i["height"].alias("height"), i["width"].alias("width"), i["nChannels"].alias("channels"), i["data"].alias("data"))
+    out = mapped(rows.filter("height > 0"), _normalised)
+    return out.unionByName(rows.filter("height <= 0")) if keep_invalid else out
 
 
 def _normalised(page: dict) -> np.ndarray:

@@ -12,6 +12,7 @@ import pytest
 from inkwell.operators import detectors, raster, regions
 from inkwell.plans import analysis
 from inkwell.sources import exports, images, shared
+from inkwell.streaming import pages
 
 
 def rgba(pixels: np.ndarray) -> bytes:
@@ -134,6 +135,30 @@ def test_files_to_results(spark, folder, tmp_path):
     assert found.crop_images.columns == ["page_id", "name", "png"] and found.zips.columns == ["page_id", "zip"]
 
 
+def test_page_images(spark, folder, tmp_path):
+    found = analysis.from_files(spark, f"file://{folder[0]}", pattern="gray.png")
+    for r in found.page_images.collect():
+        (tmp_path / f"{r.kind}.png").write_bytes(r.png)
+    got = named(images.scan(spark, f"file://{tmp_path}"))
+    assert got["gray.png"].data == page().tobytes()
+    assert (np.frombuffer(got["ink.png"].data, np.uint8) == np.where(page().ravel() < 128, 0, 255)).all()
+
+
+def test_stream(spark, tmp_path):
+    """Two runs over a folder that grows: each file counts once."""
+    at, out, state = (f"file://{tmp_path}/{n}" for n in ("in", "out", "state"))
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (tmp_path / "in" / f"{k}.png").write_bytes(exports.png(page(120 + 24 * k).tobytes(), 320))
+        if k != 1:
+            pages.watch(spark, at, out, state, once=True, per_batch=2).awaitTermination()
+    density = pages.results(spark, out, "density").collect()
+    assert len(density) == 3 and len({r.page_id for r in density}) == 3 and sorted({r.batch for r in density}) == [0, 1]
+    want = analysis.from_files(spark, at).density.select("page_id", "total_blobs", "density_class").collect()
+    assert sorted(want) == sorted((r.page_id, r.total_blobs, r.density_class) for r in density)
+    assert pages.results(spark, out, "detections").columns[:2] == ["page_id", "rank"]
+
+
 def test_pages_without_ink(spark, tmp_path):
     (tmp_path / "white.png").write_bytes(exports.png(bytes([255]) * 64 * 64, 64))
     found = analysis.from_files(spark, f"file://{tmp_path}")
