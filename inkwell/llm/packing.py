@@ -31,8 +31,8 @@ from .common import shipped, slices, small_batches, tidied
 from .hashing import Words, gathered, raw, span_hashes
 
 CAPACITY = 2048
-SENTENCE_PRICE = 1.0
-INNER_PRICE = 4.0
+SENTENCE_PRICE = 16.0
+INNER_PRICE = 64.0
 STRIDE = 32
 #: Words that go to the tokenizer at a time.
 PART = 2048
