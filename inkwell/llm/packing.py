@@ -33,6 +33,8 @@ from .hashing import Words, gathered, raw, span_hashes
 CAPACITY = 2048
 SENTENCE_PRICE = 16.0
 INNER_PRICE = 64.0
+#: Of a cut at a power of two in the last sequence of a partition.
+TAIL_PRICE = 4.0
 STRIDE = 32
 #: Words that go to the tokenizer at a time.
 PART = 2048
@@ -175,7 +177,7 @@ class Packer:
             begin = ends[-2] if len(ends) > 1 else 0
             rest = ends[-1] - begin
             bits = [1 << k for k in reversed(range(rest.bit_length())) if rest >> k & 1]
-            if rest < capacity and (len(bits) - 1) * INNER_PRICE < capacity - rest:
+            if rest < capacity and (len(bits) - 1) * TAIL_PRICE < capacity - rest:
                 ends[-1:] = (begin + np.cumsum(bits)).tolist()
         return ends
 
