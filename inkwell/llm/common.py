@@ -97,21 +97,65 @@ def small_batches(docs: DataFrame) -> DataFrame:
     return docs
 
 
+def sieve(numbers: DataFrame, per_number: int = 8, most: int = 26) -> np.ndarray:
+    """A bit table that has every 64-bit number of a table of one column or more: so many bits a number, 2**most at most; where it is full, more pass than were asked for."""
+    bits = min(most, max(12, (per_number * len(numbers.columns) * numbers.count()).bit_length()))
+    part = max(0, bits - 20)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = np.sort(np.concatenate([c.to_numpy().view(np.uint64) for c in batch.columns]) >> np.uint64(64 - bits)).astype(np.int64)
+            slot = slot[np.append(True, slot[1:] != slot[:-1])] if len(slot) else slot
+            yield pa.RecordBatch.from_arrays([pa.array((slot >> (bits - part)).astype(np.int32)), pa.array(slot)], names=["block", "slot"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables: dict[int, np.ndarray] = {}
+        for batch in batches:
+            block, slot = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for k in set(block.tolist()):
+                tables.setdefault(k, np.zeros(1 << (bits - part), bool))[slot[block == k] & ((1 << (bits - part)) - 1)] = True
+        if tables:
+            yield pa.RecordBatch.from_arrays([pa.array(list(tables), pa.int32()), pa.array([np.packbits(t).tobytes() for t in tables.values()], pa.binary())], names=["block", "bits"])
+
+    dealt = numbers.mapInArrow(tidied(deal), "block int, slot long").repartition("block")
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in dealt.mapInArrow(tidied(run), "block int, bits binary").collect():  # rows of 128 KB, 2**(most - 20) of them at most
+        out[r.block << (bits - part - 3) : (r.block + 1) << (bits - part - 3)] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def in_sieve(table: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    slot = numbers >> np.uint64(64 - (len(table).bit_length() + 2))
+    return (table[(slot >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (slot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+
 def one_row_each(docs: DataFrame, digest: Column, told: DataFrame) -> DataFrame:
     """docs without the rows that told names (doc_id, digest, stays): all of those that don't stay, and all but one of those that do.
 
-    Rows are known by doc_id, null for itself, and the digest of their text.
+    Rows are known by doc_id, null for itself, and the digest of their text. A sieve of the rows that are named lets most
+    others pass where they are; only what it holds back is moved and joined.
     """
-    key, mark = (f"inkwell_{uuid.uuid4().hex}" for _ in range(2))
-    marked = docs.withColumn(mark, digest)
-    named = lambda stays: written(told.filter(F.col("stays") == stays).select(F.col("doc_id").alias(key), F.col("digest").alias(f"{mark}_of")).distinct())
-    at = F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(mark) == F.col(f"{mark}_of"))
-    kept = marked.join(named(False), at, "left_anti")
-    twins = named(True)
+    row, mark, key, of = (f"inkwell_{uuid.uuid4().hex}" for _ in range(4))
+    named = written(told.select(F.col("doc_id").alias(key), F.col("digest").alias(of), "stays", F.xxhash64("doc_id", "digest").alias(row)).distinct())
+    table = docs.sparkSession.sparkContext.broadcast(sieve(named.select(row), 32))
+    marked = docs.withColumn(mark, digest).withColumn(row, F.xxhash64("doc_id", mark))
+    place = len(docs.columns) + 1
+
+    def held(inside: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(in_sieve(table.value, batch.column(place).to_numpy().view(np.uint64)) == inside))
+
+        return small_batches(marked).mapInArrow(tidied(run), marked.schema)
+
+    asked = written(held(True))
+    at = F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(mark) == F.col(of))
+    kept = asked.join(named.filter("NOT stays").select(key, of), at, "left_anti")
+    twins = named.filter("stays").select(key, of)
     if not twins.isEmpty():
         again = kept.join(twins, at, "left_semi").dropDuplicates(["doc_id", mark])
         kept = kept.join(twins, at, "left_anti").unionByName(again)
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+    return held(False).unionByName(kept).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = PASS_BYTES) -> Iterator[pa.RecordBatch]:

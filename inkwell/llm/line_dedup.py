@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import bits_for
-from .common import PASS_BYTES, shipped, slices, small_batches, tabled, tidied, totals, written
+from .common import PASS_BYTES, in_sieve, shipped, sieve, slices, small_batches, tabled, tidied, totals, written
 from .hashing import Words, distinct, mixed
 
 PERCENT = 75
@@ -295,36 +295,6 @@ def _met(sent: DataFrame, percent: int, crowd: int | None, best: int | None) ->
     return written(sent.repartition("block").sortWithinPartitions("block").mapInArrow(tidied(run), PAIRS), by="rest")
 
 
-def _sieve(numbers: DataFrame) -> np.ndarray:
-    """A bit table that has every number of a table of one column or more: 8 bits a number, 2**26 at most; where it is full, more pass than are asked for."""
-    bits = min(26, max(12, (8 * len(numbers.columns) * numbers.count()).bit_length()))
-    part = max(0, bits - 20)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slot = distinct(np.concatenate([c.to_numpy().view(np.uint64) for c in batch.columns]) >> np.uint64(64 - bits)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((slot >> (bits - part)).astype(np.int32)), pa.array(slot)], names=["block", "slot"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[int, np.ndarray] = {}
-        for batch in batches:
-            block, slot = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for k in np.unique(block).tolist():
-                tables.setdefault(k, np.zeros(1 << (bits - part), bool))[slot[block == k] & ((1 << (bits - part)) - 1)] = True
-        if tables:
-            yield pa.RecordBatch.from_arrays([pa.array(list(tables), pa.int32()), pa.array([np.packbits(t).tobytes() for t in tables.values()], pa.binary())], names=["block", "bits"])
-
-    dealt = numbers.mapInArrow(tidied(deal), "block int, slot long").repartition("block")
-    out = np.zeros(1 << bits, bool)
-    for r in dealt.mapInArrow(tidied(run), "block int, bits binary").collect():  # 64 rows of 128 KB at most
-        out[r.block << (bits - part) : (r.block + 1) << (bits - part)] = np.unpackbits(np.frombuffer(r.bits, np.uint8)).astype(bool)
-    return out
-
-
-def _in(table: np.ndarray, numbers: np.ndarray) -> np.ndarray:
-    return table[(numbers >> np.uint64(64 - (len(table).bit_length() - 1))).astype(np.int64)]
-
-
 def _listed(docs: DataFrame, levels, asked) -> DataFrame:
     """doc, line, name, set of each line with words, and its keys where it may be asked for; without `levels` no keys."""
 
@@ -332,7 +302,7 @@ def _listed(docs: DataFrame, levels, asked) -> DataFrame:
         for part in slices(batches):
             lines = Lines(part, levels.value)
             names = lines.numbers()
-            some = _in(asked.value, names)
+            some = in_sieve(asked.value, names)
             keys = lines.keys[np.repeat(some, lines.n)].view(np.int64)
             ends = np.concatenate([[0], np.cumsum(np.where(some, lines.n, 0))]).astype(np.int32)
             listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys), mask=pa.array(~some)) if len(some) else pa.array([], pa.list_(pa.int64()))
@@ -354,7 +324,7 @@ def _passing(pairs: DataFrame, asked) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(_in(asked.value, batch.column(0).to_numpy().view(np.uint64))))
+            yield batch.filter(pa.array(in_sieve(asked.value, batch.column(0).to_numpy().view(np.uint64))))
 
     return pairs.mapInArrow(tidied(run), "a long, b long")
 
@@ -365,12 +335,12 @@ def _gone(docs: DataFrame, levels, pairs: DataFrame, percent: int) -> tuple[Data
     Each line asks its likeliest partners first, the rest if these fail.
     """
     share = docs.sparkSession.sparkContext.broadcast
-    lines = _listed(docs, levels, share(_sieve(pairs.select("a", "b"))))
+    lines = _listed(docs, levels, share(sieve(pairs.select("a", "b"))))
     keys = lines.filter("keys IS NOT NULL").select("name", "keys").dropDuplicates(["name"])
     likely = written(pairs.filter("NOT rest").select("a", "b").distinct())
     gone = _similar(likely, keys, percent)
     waiting = written(likely.select("a").distinct().join(gone, "a", "left_anti"))
-    rest = _passing(pairs.filter("rest").select("a", "b"), share(_sieve(waiting)))
+    rest = _passing(pairs.filter("rest").select("a", "b"), share(sieve(waiting)))
     rest = written(rest.join(waiting, "a", "left_semi").distinct())
     if not rest.isEmpty():
         gone = gone.unionByName(_similar(rest, keys, percent))
@@ -393,8 +363,8 @@ def marks(docs: DataFrame, percent: int = PERCENT, crowd: int = CROWD, best: int
     gone, waiting, lines = _gone(docs, levels, pairs, percent)
     waiting = written(waiting.join(pairs.filter("more").select("a").distinct(), "a", "left_semi"))
     if not waiting.isEmpty():
-        ask = share(_sieve(waiting))
-        asked = lambda e: _in(ask.value, number(e["doc"], e["line"], e["mark"]))
+        ask = share(sieve(waiting))
+        asked = lambda e: in_sieve(ask.value, number(e["doc"], e["line"], e["mark"]))
 
         def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen = np.zeros(1 << ASKED_BITS, np.int64)
