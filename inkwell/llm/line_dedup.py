@@ -45,7 +45,7 @@ from .hashing import Words, distinct, mixed
 
 PERCENT = 75
 SLOT_BITS = 18
-CROWD, PIVOTS, BEST = 1024, 64, 256
+CROWD, PIVOTS, BEST = 1024, 64, 16
 #: Sets of up to this many words have 64-bit maps.
 FEW = 56
 #: Bits of a word's key: 6 of rarity, 42 of its hash.
@@ -253,8 +253,8 @@ class Block:
         names = number(self.doc, self.line, self.mark)
         a, b = names[i], names[j]
         order = np.lexsort((b, differ, a))
-        # Half of what two sets may differ in: such a partner fails next to never, and if it does, there is the second turn.
-        close = 2 * (100 + self.percent) * differ <= (100 - self.percent) * (self.n[i] + self.n[j])
+        # Well below half of what two sets may differ in: such a partner fails next to never, and if it does, there is the second turn.
+        close = (100 + self.percent) * (2 * differ + 4) <= (100 - self.percent) * (self.n[i] + self.n[j])
         a, b, differ, late, close = a[order], b[order], differ[order], deferred[i][order], close[order]
         if not len(a):
             return [np.zeros(0, t) for t in (bool, np.int64, np.int64, np.int32, bool)]
@@ -368,12 +368,15 @@ def marks(docs: DataFrame, percent: int = PERCENT, crowd: int = CROWD, best: int
 
         def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen = np.zeros(1 << ASKED_BITS, np.int64)
-            for part in slices(batches):
-                e = Lines(part, levels.value).entries(percent)
-                seen[e["word"][asked(e)] >> (32 - ASKED_BITS)] = 1
+            for batch in batches:
+                for keys in batch.column(0):
+                    keys = keys.values.to_numpy().view(np.uint64)
+                    prefix = mixed(keys[: len(keys) - -(-percent * len(keys) // 100) + 1])
+                    seen[(prefix >> np.uint64(64 - ASKED_BITS)).astype(np.int64)] = 1
             yield from tabled(seen)
 
-        wanted = share(totals(docs.mapInArrow(tidied(words), "block int, counts binary"), 1 << ASKED_BITS) > 0)
+        asking = lines.filter("keys IS NOT NULL").join(waiting.withColumnRenamed("a", "name"), "name", "left_semi").select("keys")
+        wanted = share(totals(asking.mapInArrow(tidied(words), "block int, counts binary"), 1 << ASKED_BITS) > 0)
 
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in slices(batches):
