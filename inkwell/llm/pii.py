@@ -345,6 +345,16 @@ def fit(spark: SparkSession) -> dict:
     return {"trees": model, "least": least}
 
 
+_FITTED: dict[str, dict] = {}
+
+
+def model_of(spark: SparkSession) -> dict:
+    """The model, fitted once a process: it depends on nothing but this module."""
+    if not _FITTED:
+        _FITTED["model"] = fit(spark)
+    return _FITTED["model"]
+
+
 def added_spans(text: Column, base: Column, model: dict) -> Column:
     """The wide proposals that the thresholds select, but for those within a base span."""
     cut = lambda p: F.element_at(F.array(*(F.lit(float(x)) for x in model["least"])), p["maker"] + 1)
@@ -374,7 +384,7 @@ def _line(spans: Column) -> Column:
 
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, n_<kind> (base spans), base_sha256, spans, n_added and n_spans of each row of docs (doc_id, text)."""
-    out = marked(docs.select("doc_id", "text"), fit(docs.sparkSession))
+    out = marked(docs.select("doc_id", "text"), model_of(docs.sparkSession))
     counts = [F.size(F.filter("__pii_base", _of(KINDS.index(kind)))).cast("long").alias(f"n_{kind}") for kind in BASE]
     sizes = (F.size("__pii_added").cast("long").alias("n_added"), (F.size("__pii_base") + F.size("__pii_added")).cast("long").alias("n_spans"))
     return out.select("doc_id", *counts, F.sha2(_line(F.col("__pii_base")), 256).alias("base_sha256"), _line(F.concat("__pii_base", "__pii_added")).alias("spans"), *sizes)
@@ -382,7 +392,7 @@ def find(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, model: dict | None = None) -> DataFrame:
     """docs with each selected span of text replaced by its kind in brackets; overlapping spans are replaced as one. Null stays null."""
-    spotted = marked(docs, model or fit(docs.sparkSession))
+    spotted = marked(docs, model or model_of(docs.sparkSession))
     base, added = F.col("__pii_base"), F.col("__pii_added")
     spans = F.array_sort(F.transform(F.concat(base, added), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     name = lambda s: F.element_at(F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS]), s["kind"] + 1)
