@@ -143,7 +143,8 @@ def _remove(chunks: DataFrame, length: int, window: int, digest: bool, bits: int
             yield _finished(row["chunk"], chunk, last, digest)
 
     answers = blocks.answered(chunks.mapInArrow(tidied(send), blocks.SENT))
-    return chunks.join(answers, "chunk", "left").mapInArrow(tidied(apply), f"{CHUNK}, doc_id long, n_words long, n_removed long, kept string")
+    # Answers grow with the corpus: sorted and merged at any size, rather than broadcast while they are few.
+    return chunks.join(answers.hint("merge"), "chunk", "left").mapInArrow(tidied(apply), f"{CHUNK}, doc_id long, n_words long, n_removed long, kept string")
 
 
 def _finished(number: int, chunk: Chunk, last: bool, digest: bool) -> pa.RecordBatch:
