@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, exact_dedup, line_dedup, ngram_jaccard, packing, pii, piece_codec, quality, sharding, substring
+from . import conversation_trie, embedding_dedup, exact_dedup, filter_audit, line_dedup, ngram_jaccard, packing, pii, piece_codec, quality, sharding, substring, token_files
 from .common import scratch
 
 
@@ -58,6 +58,21 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read().select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "shard", "shard_bytes")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as files of token ids, read back: doc_id, start, n_tokens, ids_crc32."""
+    path = scratch(spark)
+    token_files.write(_table(spark, sf_dir, "documents"), path)
+    return token_files.checksums(spark, path)
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_packing": op3_packing,
@@ -69,8 +84,13 @@ QUERIES = {
     "op10_sharding": op10_sharding,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_substring_dedup": op9_substring_dedup,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_token_files": op12_token_files,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.SQL,
+    "op11_filter_audit": filter_audit.SQL,
+    "op13_conversation_trie": conversation_trie.SQL,
 }
