@@ -1,8 +1,13 @@
 """Page images from files as rasters, one row a page: decoding, compositing on white, downscaling, luma.
 
 A raster is `origin, page_id, height, width, channels, data`: rows of pixels from the top, channels (1: gray, 3: red, green,
-blue) side by side. Page numbers are hashes of the file's path, so no order over all files is needed. Files are decoded by
-Spark's image source; those that it can't read are left out, or kept as empty rasters (height -1) on demand.
+blue) side by side. Page numbers are hashes of the file's path, so no order over all files is needed.
+
+PNG and TIFF files are read as bytes by Spark, from any store that it reads, and decoded in tasks (decoders.py). A TIFF is cut
+into its pages, still coded, by the task that reads it; these are dealt out over all tasks and decoded there, so a file of
+many pages doesn't keep one task busy. Its first page has the number that the file alone would have, the others those of
+the file's path with `#1`, `#2` and so on. Other files are decoded by Spark's image source. Files and pages that can't be read
+are left out, or kept as empty rasters (height -1) on demand.
 """
 
 from __future__ import annotations
@@ -17,11 +22,15 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PATTERN = "*.{png,jpg,jpeg,PNG,JPG,JPEG}"
+from .decoders import on_white, png, tiff, tiff_pages
+
+PATTERN = "*.{png,jpg,jpeg,tif,tiff,PNG,JPG,JPEG,TIF,TIFF}"
+#: Files that are decoded here, by name.
+OWN = r"(?i)\.(png|tiff?)$"
 MAX_DIM = 2000
 RASTER = "origin string, page_id long, height int, width int, channels int, data binary"
-#: Rows of Spark's image source.
-FILES = "image struct<origin: string, height: int, width: int, nChannels: int, mode: int, data: binary>"
+#: Rows of Spark's source of whole files.
+BINARY = "path string, modificationTime timestamp, length long, content binary"
 #: Luma weights of BT.601.
 LUMA = (0.299, 0.587, 0.114)
 
@@ -41,16 +50,57 @@ def mapped(rasters: DataFrame, f: Callable[[dict], dict | None]) -> DataFrame:
     return rasters.mapInArrow(run, rasters.schema)
 
 
-def scan(spark: SparkSession, path: str, pattern: str = PATTERN, keep_invalid: bool = False, recursive: bool = False) -> DataFrame:
-    """The image files under a path as RGB or gray rasters: transparency laid on white, blue-green-red order turned."""
-    read = spark.read.format("image").option("dropInvalid", str(not keep_invalid).lower()).option("pathGlobFilter", pattern)
-    if recursive:
-        read = read.option("recursiveFileLookup", "true")
-    return decoded(read.load(path), keep_invalid)
+def scan(spark: SparkSession, path: str | list[str], pattern: str = PATTERN, keep_invalid: bool = False, recursive: bool = False, first_page: bool = False) -> DataFrame:
+    """The image files under a path (or several) as RGB or gray rasters: transparency of colours laid on white. first_page: of a TIFF nothing but that."""
+    read = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower())
+    name = F.col("_metadata.file_path")
+    own = read.format("binaryFile").load(path).filter(name.rlike(OWN)).select(F.col("path").alias("origin"), "content")
+    rest = read.format("image").option("dropInvalid", str(not keep_invalid).lower()).load(path).filter(~name.rlike(OWN)).select("image")
+    return unpacked(own, keep_invalid, first_page).unionByName(decoded(rest, keep_invalid))
+
+
+def unpacked(files: DataFrame, keep_invalid: bool = False, first_page: bool = False) -> DataFrame:
+    """PNG and TIFF files (origin, content) as rasters."""
+    fields = "origin string, page int, tags string, data binary"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                origin, content = (batch.column(c)[i].as_py() for c in (0, 1))
+                k = 0
+                try:
+                    for k, (tags, data) in enumerate(tiff_pages(content)):
+                        if not k or not first_page:
+                            yield pa.RecordBatch.from_pylist([{"origin": origin, "page": k, "tags": tags, "data": data}], schema)
+                except ValueError:  # the pages so far stay; the rest is one that can't be read
+                    yield pa.RecordBatch.from_pylist([{"origin": origin, "page": k + 1 if k else 0, "tags": None, "data": b""}], schema)
+
+    schema = pa.schema([("origin", pa.string()), ("page", pa.int32()), ("tags", pa.string()), ("data", pa.binary())])
+    out = pa.schema([("origin", pa.string()), ("page", pa.int32()), *((c, pa.int32()) for c in ("height", "width", "channels")), ("data", pa.binary())])
+
+    def pixels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                origin, page, tags, data = (c[i].as_py() for c in batch.columns)
+                try:
+                    found = tiff(tags, data) if tags else png(data)
+                    row = {"height": found.shape[0], "width": found.shape[1], "channels": found.shape[2], "data": np.ascontiguousarray(found).tobytes()}
+                except ValueError:
+                    row = {"height": -1, "width": -1, "channels": -1, "data": b""}
+                if keep_invalid or row["height"] > 0:
+                    yield pa.RecordBatch.from_pylist([{"origin": origin, "page": page, **row}], out)
+
+    tiffs = F.col("origin").rlike(r"(?i)\.tiff?$")
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pages = files.filter(tiffs).mapInArrow(cut, fields).repartition(parts, "origin", "page")
+    single = files.filter(~tiffs).select("origin", F.lit(0).alias("page"), F.lit(None).cast("string").alias("tags"), F.col("content").alias("data"))
+    read = single.unionByName(pages).mapInArrow(pixels, "origin string, page int, height int, width int, channels int, data binary")
+    origin = F.when(F.col("page") == 0, F.col("origin")).otherwise(F.concat("origin", F.lit("#"), "page"))
+    return read.select(origin.alias("origin"), F.xxhash64(origin).alias("page_id"), "height", "width", "channels", "data")
 
 
 def decoded(files: DataFrame, keep_invalid: bool = False) -> DataFrame:
-    """The rows of Spark's image source as rasters."""
+    """The rows of Spark's image source as rasters: blue-green-red order turned; the colours of GIF files, which have palettes, stay where they are transparent."""
     i = F.col("image")
     rows = files.select(i["origin"].alias("origin"), F.xxhash64(i["origin"]).alias("page_id"), i["height"].alias("height"), i["width"].alias("width"), i["nChannels"].alias("channels"), i["data"].alias("data"))
     out = mapped(rows.filter("height > 0"), _normalised)
@@ -62,11 +112,7 @@ def _normalised(page: dict) -> np.ndarray:
     if page["channels"] == 1:
         return pixels
     colours = pixels[:, :, 2::-1]
-    if page["channels"] == 3:
-        return colours
-    alpha = pixels[:, :, 3:].astype(np.int32)
-    laid = colours.astype(np.int32) * alpha + 255 * (255 - alpha) + 128
-    return ((laid >> 8) + laid) >> 8
+    return colours if page["channels"] == 3 or page["origin"].lower().endswith(".gif") else on_white(colours, pixels[:, :, 3:])
 
 
 def _lanczos(n: int, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -5,13 +5,16 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _KNOWN: dict[tuple, object] = {}
 _OWN: list[str] = []
+_HERE = threading.local()
 
 
 def folder(spark: SparkSession) -> str:
@@ -38,10 +41,22 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def kept_while(spark: SparkSession) -> Iterator[None]:
+    """What is stored meanwhile by this thread is deleted at the end."""
+    before, _HERE.place = getattr(_HERE, "place", None), f"{folder(spark)}/while-{uuid.uuid4().hex}"
+    try:
+        yield
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_HERE.place)
+        _HERE.place = before
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows as a table under spark.checkpoint.dir: later steps read it instead of planning and computing all before it again, and it survives lost executors."""
     spark = df.sparkSession
-    path = f"{folder(spark)}/{uuid.uuid4().hex}"
+    path = f"{getattr(_HERE, 'place', None) or folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -6,25 +6,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from inkwell.plans import analysis
-from inkwell.sources import images
+from inkwell.sources import images, shared
 
 
 def watch(spark: SparkSession, path: str, out: str, checkpoint: str, max_dim: int | None = images.MAX_DIM, pattern: str = images.PATTERN, once: bool = False, per_batch: int = 1000, **options) -> StreamingQuery:
     """Starts a query that adds the detections and densities of new files under a path to out/detections and out/density.
 
-    Each micro-batch of at most `per_batch` files is analysed like a folder of files and lies in a folder of its own number,
-    which a repeated batch replaces: files count once whatever fails between. `once`: ends when all files there are done.
-    Options as of analysis.from_rasters.
+    The stream itself reads names alone, at most `per_batch` of them a micro-batch, which is then analysed like a folder of these
+    files and lies in a folder of its own number, which a repeated batch replaces: files count once whatever fails between. What a batch
+    stores on the way is deleted when its results are written, so a long stream doesn't fill the shared folder. `once`: ends when all
+    files there are done. Options as of analysis.from_rasters.
     """
-    files = spark.readStream.format("image").schema(images.FILES).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", per_batch).load(path)
+    stream = spark.readStream.format("binaryFile").schema(images.BINARY).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", per_batch)
 
     def batch(rows: DataFrame, number: int) -> None:
-        rasters = images.to_gray(images.downscale(images.decoded(rows), max_dim))
-        found = analysis.from_rasters(rasters, **options)
-        for name, table in (("detections", found.detections), ("density", found.density)):
-            table.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
-
-    writer = files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+        names = [r.path for r in rows.collect()]  # at most per_batch
+        with shared.kept_while(spark):
+            rasters = images.to_gray(images.downscale(images.scan(spark, names), max_dim)) if names else spark.createDataFrame([], images.RASTER)
+            found = analysis.from_rasters(rasters, **options)
+            for name, table in (("detections", found.detections), ("density", found.density)):
+                table.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+
+    writer = stream.load(path).select("path").writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
