@@ -3,6 +3,9 @@
 Statistics (histograms, percentiles, Otsu thresholds) are aggregations over (page_id, gray, n) tables, counted from pixels or
 from rasters. What moves pixels (blur, thresholds by place, morphology) works on rasters, one row a page, without a shuffle;
 for tables of pixels (page_id, r, c, value) these gather a page's pixels once and spread the result again.
+
+Wherever rasters are taken, pages may come in strips (images.strips) as well, with the same result: histograms are added up,
+and what looks around a pixel gets the rows around its strip from the strips beside it. So no task holds more than a strip.
 """
 
 from __future__ import annotations
@@ -18,7 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from inkwell.sources.images import exploded, gathered, mapped
+from inkwell.sources.images import exploded, gathered, mapped, stenciled
+from inkwell.sources.shared import stored
 
 LOW_CONTRAST = 120
 #: Luma weights of BT.601.
@@ -46,9 +50,17 @@ def counted(pixels: DataFrame, *keys: str) -> DataFrame:
     return pixels.groupBy(*keys, "gray").agg(F.count("*").alias("n"))
 
 
+def _edge(rasters: DataFrame, tile: int | None) -> Column:
+    return F.lit(tile) if tile is not None else tile_size(F.col("page_height" if "strip" in rasters.columns else "height"))
+
+
+def _top(rasters: DataFrame) -> Column:
+    """The first row's place in the page."""
+    return F.col("top") if "strip" in rasters.columns else F.lit(0).alias("top")
+
+
 def tile_counts(rasters: DataFrame, tile: int | None = None) -> DataFrame:
     """page_id, tr, tc, gray, n of gray rasters: at most 256 rows a tile, however many pixels it has."""
-    edge = tile_size(F.col("height")) if tile is None else F.lit(tile)
     page = rasters.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,13 +69,14 @@ def tile_counts(rasters: DataFrame, tile: int | None = None) -> DataFrame:
                 row = batch.slice(i, 1).to_pylist()[0]
                 gray = np.frombuffer(row["data"], np.uint8).astype(np.int64).reshape(row["height"], row["width"])
                 across = -(-row["width"] // row["edge"])
-                of = (np.arange(row["height"]) // row["edge"] * across)[:, None] + np.arange(row["width"]) // row["edge"]
+                of = ((row["top"] + np.arange(row["height"])) // row["edge"] * across)[:, None] + np.arange(row["width"]) // row["edge"]
                 counts = np.bincount(((of << 8) | gray).ravel())
                 at = np.flatnonzero(counts)
                 of, gray = at >> 8, at & 255
                 yield pa.RecordBatch.from_arrays([pa.array([row["page_id"]] * len(at), batch.schema.field("page_id").type), *(pa.array(x.astype(np.int32)) for x in (of // across, of % across, gray)), pa.array(counts[at])], names=["page_id", "tr", "tc", "gray", "n"])
 
-    return rasters.filter("height > 0").select("page_id", "height", "width", edge.alias("edge"), "data").mapInArrow(run, f"page_id {page}, tr int, tc int, gray int, n long")
+    found = rasters.filter("height > 0").select("page_id", "height", "width", _edge(rasters, tile).alias("edge"), _top(rasters), "data").mapInArrow(run, f"page_id {page}, tr int, tc int, gray int, n long")
+    return found.groupBy("page_id", "tr", "tc", "gray").agg(F.sum("n").alias("n")) if "strip" in rasters.columns else found
 
 
 def _page_counts(tiles: DataFrame) -> DataFrame:
@@ -115,8 +128,8 @@ def _convolved(values: np.ndarray, weights: list[float], axis: int) -> np.ndarra
     return sum(moved[1:], moved[0])
 
 
-def blurred(rasters: DataFrame, radius: Column | int) -> DataFrame:
-    """Gray rasters through a separable Gaussian, rounded half to even; the radius may differ by page."""
+def blurred(rasters: DataFrame, radius: Column | int, most: int = 2) -> DataFrame:
+    """Gray rasters through a separable Gaussian, rounded half to even; the radius may differ by page, then it is at most `most`."""
 
     def soft(page: dict) -> np.ndarray:
         if not page["blur_radius"]:
@@ -124,7 +137,8 @@ def blurred(rasters: DataFrame, radius: Column | int) -> DataFrame:
         weights = kernel(page["blur_radius"])
         return np.rint(_convolved(_convolved(page["pixels"].astype(np.float64), weights, 1), weights, 0))
 
-    return mapped(rasters.withColumn("blur_radius", radius if isinstance(radius, Column) else F.lit(radius)), soft).drop("blur_radius")
+    fixed = not isinstance(radius, Column)
+    return stenciled(rasters.withColumn("blur_radius", F.lit(radius) if fixed else radius), soft, radius if fixed else most).drop("blur_radius")
 
 
 def blur(pixels: DataFrame, radius: int) -> DataFrame:
@@ -184,30 +198,29 @@ def binarized(rasters: DataFrame, tile: int | None = None) -> DataFrame:
     """Gray rasters as ink (0 or 1): below the threshold that tiles give when interpolated, or extrapolated towards the edges."""
     tiles = _tiles(tile_counts(rasters, tile))
     grid = tiles.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("tr", "tc", "threshold"))).alias("grid"))
-    edge = tile_size(F.col("height")) if tile is None else F.lit(tile)
 
     def ink(page: dict) -> np.ndarray:
         cells, gray = page["grid"], page["pixels"][:, :, 0]
         last = cells[-1]["tr"], cells[-1]["tc"]
         cuts = np.array([c["threshold"] for c in cells], np.int64).reshape(last[0] + 1, last[1] + 1)
 
-        def place(n: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            t = (np.arange(n) + 0.5) / page["edge"] - 0.5
+        def place(n: int, most: int, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            t = (start + np.arange(n) + 0.5) / page["edge"] - 0.5
             low = np.maximum(0, np.minimum(most - 1, np.floor(t).astype(np.int64)))
             return low, np.minimum(low + 1, most), t - low
 
-        r0, r1, dr = place(gray.shape[0], last[0])
-        c0, c1, dc = place(gray.shape[1], last[1])
+        r0, r1, dr = place(gray.shape[0], last[0], page.get("top", 0))
+        c0, c1, dc = place(gray.shape[1], last[1], 0)
         dr, at = dr[:, None], lambda r, c: cuts[r[:, None], c]
         cut = at(r0, c0) * (1 - dr) * (1 - dc) + at(r0, c1) * (1 - dr) * dc + at(r1, c0) * dr * (1 - dc) + at(r1, c1) * dr * dc
         return (gray < cut + INK_BIAS)[:, :, None]
 
-    return mapped(rasters.join(grid, "page_id").withColumn("edge", edge), ink).drop("grid", "edge")
+    return mapped(rasters.join(grid, "page_id").withColumn("edge", _edge(rasters, tile)), ink).drop("grid", "edge")
 
 
 def adaptive_binarize(pixels: DataFrame) -> DataFrame:
     """page_id, r, c, ink: below the threshold that tiles give when interpolated, or extrapolated towards the edges."""
-    return exploded(binarized(gathered(pixels)), "ink")
+    return exploded(binarized(stored(gathered(pixels))), "ink")
 
 
 def _eroded(ink: np.ndarray, least: int) -> np.ndarray:
@@ -229,7 +242,7 @@ def morphed(rasters: DataFrame, steps: str) -> DataFrame:
             ink = _eroded(ink, 9 if step == "e" else 1)
         return ink[:, :, None]
 
-    return mapped(rasters, run) if steps else rasters
+    return stenciled(rasters, run, len(steps)) if steps else rasters
 
 
 def erode(pixels: DataFrame) -> DataFrame:
@@ -257,7 +270,8 @@ def preprocess(rasters: DataFrame, noise: bool = False, open_: bool = False, clo
     gray = stretched(rasters, _page_counts(tile_counts(rasters, tile)))
     if noise:
         gray = blurred(gray, F.when(F.col("was_stretched"), 2).otherwise(1))
-    told = gray.select("page_id", "was_stretched").join(_otsu(_page_counts(tile_counts(gray, tile)), "page_id").select("page_id", F.col("threshold").alias("global_threshold")), "page_id")
+    gray = stored(gray)  # its histogram, its ink and crops all read it
+    told = gray.select("page_id", "was_stretched").distinct().join(_otsu(_page_counts(tile_counts(gray, tile)), "page_id").select("page_id", F.col("threshold").alias("global_threshold")), "page_id")
     gray = gray.drop("was_stretched")
     ink = morphed(binarized(gray, tile), ("ed" if open_ else "") + ("de" if close else ""))
     return gray, ink, told.select("page_id", "global_threshold", "was_stretched")

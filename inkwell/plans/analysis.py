@@ -108,6 +108,14 @@ def from_rasters(rasters: DataFrame, limits: regions.Limits = regions.Limits(),
     return Pages(stored(found), sizes, limits, detector, gray, ink, told)
 
 
+def from_strips(strips: DataFrame, limits: regions.Limits = regions.Limits(), detector: str = "blob", **options) -> Analysis:
+    """Gray pages in strips (images.strips), for pages of any size: binarized and labelled strip by strip; options as of raster.preprocess."""
+    _, ink, _ = raster.preprocess(stored(strips), **options)
+    ink = stored(ink)
+    sizes = ink.select("page_id", F.col("width").alias("img_w"), F.col("page_height").alias("img_h")).distinct()
+    return Analysis(stored(components.strip_blobs(ink)), sizes, limits, detector)
+
+
 def from_pixels(gray: DataFrame, **options) -> Pages:
     """Gray pixels (page_id, r, c, gray) through binarization and components."""
     return from_rasters(images.gathered(gray), **options)

@@ -115,6 +115,61 @@ def _normalised(page: dict) -> np.ndarray:
     return colours if page["channels"] == 3 or page["origin"].lower().endswith(".gif") else on_white(colours, pixels[:, :, 3:])
 
 
+def strips(rasters: DataFrame, rows: int) -> DataFrame:
+    """Rasters cut into strips of `rows` rows: rasters with strip (its place in the page), top (its first row) and page_height.
+
+    What works on strips never gathers a page. A page without rows has no strips.
+    """
+    schema = rasters.withColumns({c: F.lit(0) for c in ("strip", "top", "page_height")}).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                page = batch.slice(i, 1)
+                height, line = page.column("height")[0].as_py(), page.column("width")[0].as_py() * page.column("channels")[0].as_py()
+                data = page.column("data")[0].as_buffer()
+                for k, top in enumerate(range(0, height, rows)):
+                    n = min(rows, height - top)
+                    own = {"height": pa.array([n], pa.int32()), "data": pa.array([data.slice(top * line, n * line).to_pybytes()], pa.binary())}
+                    place = (pa.array([x], pa.int32()) for x in (k, top, height))
+                    yield pa.RecordBatch.from_arrays([*(own.get(c, page.column(c)) for c in batch.schema.names), *place], names=schema.names)
+
+    return rasters.mapInArrow(run, schema)
+
+
+def stenciled(rasters: DataFrame, f: Callable[[dict], np.ndarray], reach: int) -> DataFrame:
+    """f of each raster, where a pixel of f's result needs those of `reach` rows around it.
+
+    Of pages in strips each strip gets the rows around it from its neighbours, which send nothing else, and f sees it with them:
+    a page's own edges are edges for f, those between strips aren't. Strips but a page's last must have `reach` rows.
+    """
+    if "strip" not in rasters.columns:
+        return mapped(rasters, f)
+    page = rasters.schema["page_id"].dataType.simpleString()
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                n, line = min(reach, row["height"]), row["width"] * row["channels"]
+                last = row["top"] + row["height"] >= row["page_height"]
+                if n < reach and not last:
+                    raise ValueError(f"a strip of {row['height']} rows, but {reach} are needed around each")
+                sent = ([] if last else [(row["strip"] + 1, 0, row["data"][len(row["data"]) - n * line :])]) + ([(row["strip"] - 1, 1, row["data"][: n * line])] if row["top"] else [])
+                if sent:
+                    yield pa.RecordBatch.from_arrays([pa.array([row["page_id"]] * len(sent), batch.schema.field("page_id").type), *(pa.array(c, t) for c, t in zip(zip(*sent, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True))], names=["page_id", "strip", "below", "rows"])
+
+    near = rasters.select("page_id", "strip", "top", "page_height", "height", "width", "channels", "data").mapInArrow(edges, f"page_id {page}, strip int, below int, rows binary")
+    around = near.groupBy("page_id", "strip").agg(*(F.max(F.when(F.col("below") == k, F.col("rows"))).alias(name) for k, name in enumerate(("halo_above", "halo_below"))))
+
+    def run(row: dict) -> np.ndarray:
+        rows = [np.frombuffer(row.pop(c) or b"", np.uint8).reshape(-1, row["width"], row["channels"]) for c in ("halo_above", "halo_below")]
+        n = len(rows[0])
+        return f({**row, "pixels": np.concatenate([rows[0], row["pixels"], rows[1]])})[n : n + row["height"]]
+
+    return mapped(rasters.join(around, ["page_id", "strip"], "left").select(*rasters.columns, "halo_above", "halo_below"), run).drop("halo_above", "halo_below")
+
+
 def _lanczos(n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """For each of `size` places the source places and weights, 3 lobes wide in the scale of the smaller picture."""
     scale = n / size
