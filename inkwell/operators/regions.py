@@ -19,23 +19,27 @@ def by_class(values: tuple, kind: str = "density_class") -> Column:
     return F.element_at(F.array(*map(F.lit, values)), F.col(kind) + 1)
 
 
-#: Height of the bands by which boxes meet.
-BAND = 64
+#: Least height and width of the cells in which boxes meet.
+CELL = 4.0
 
 
 def proximity_edges(boxes: DataFrame) -> DataFrame:
     """page_id, a, b of pairs of boxes (page_id, rank, x1, y1, x2, y2, v_gap, h_gap) within the gaps; a is the lower rank.
 
-    Ranks follow y1. So b's top lies between a's top and a's bottom plus gap: a takes part in the bands of that stretch, b in
-    the band of its top alone, and each pair meets once.
+    A page's cells are as large as its mean box with its gap, so boxes of one cell are mostly near each other, and a page of any
+    size is many small groups. Ranks follow y1: b's top lies between a's top and a's bottom plus gap. So a takes part in the
+    cells of that stretch, b in those of its top; a pair counts in the first column of cells that both have.
     """
-    band = lambda y: F.floor(y / F.lit(float(BAND))).cast("int")
-    reach = F.greatest(F.col("y1").cast("double"), F.col("y2") + F.col("v_gap"))
-    spread = boxes.withColumn("band", F.explode(F.sequence(band(F.col("y1")), band(reach))))
-    other = boxes.select("page_id", band(F.col("y1")).alias("band"), F.col("rank").alias("b"), *(F.col(c).alias(f"o{c}") for c in ("x1", "y1", "x2", "y2")))
-    near = (F.col("rank") < F.col("b")) & (F.col("oy1") - F.col("y2") <= F.col("v_gap"))
+    cells = boxes.groupBy("page_id").agg(F.greatest(F.lit(CELL), F.avg(F.col("y2") - F.col("y1") + F.col("v_gap"))).alias("tall"), F.greatest(F.lit(CELL), F.avg(F.col("x2") - F.col("x1") + F.col("h_gap"))).alias("wide"))
+    at = lambda x, size: F.floor(x / F.col(size)).cast("int")
+    spread = lambda a, b, size: F.explode(F.sequence(at(a, size), at(b, size)))
+    placed = boxes.join(cells, "page_id")
+    left, reach = F.col("x1") - F.col("h_gap"), F.greatest(F.col("y1").cast("double"), F.col("y2") + F.col("v_gap"))
+    first = placed.withColumn("cy", spread(F.col("y1"), reach, "tall")).withColumn("begin", at(left, "wide")).withColumn("cx", spread(left, F.col("x2") + F.col("h_gap"), "wide"))
+    other = placed.select("page_id", at(F.col("y1"), "tall").alias("cy"), spread(F.col("x1"), F.col("x2"), "wide").alias("cx"), at(F.col("x1"), "wide").alias("obegin"), F.col("rank").alias("b"), *(F.col(c).alias(f"o{c}") for c in ("x1", "y1", "x2", "y2")))
+    near = (F.col("rank") < F.col("b")) & (F.col("oy1") - F.col("y2") <= F.col("v_gap")) & (F.col("cx") == F.greatest("begin", "obegin"))
     near &= F.greatest("x1", "ox1") - F.least("x2", "ox2") <= F.col("h_gap")
-    return spread.join(other, ["page_id", "band"]).filter(near).select("page_id", F.col("rank").alias("a"), "b")
+    return first.join(other, ["page_id", "cy", "cx"]).filter(near).select("page_id", F.col("rank").alias("a"), "b")
 
 
 def _bounds() -> list[Column]:

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import sys
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from inkwell.sources.shared import stored
+
 from .regions import by_class
 
 # Fixed values by density class (sparse, medium, dense).
@@ -45,6 +52,11 @@ def config(spark) -> DataFrame:
     return spark.createDataFrame([(k, *(float(v[k]) for v in CONFIG.values())) for k in range(3)], ["density_class", *CONFIG])
 
 
+def configured(classes: DataFrame) -> DataFrame:
+    """The rows, which have a density_class, with its parameters as columns; three rows of these are broadcast."""
+    return classes.join(F.broadcast(config(classes.sparkSession)), "density_class")
+
+
 def features(parts: DataFrame, regions: DataFrame, top_margin: float = 0.05) -> DataFrame:
     """Each region (below the top margin, with two blobs or more) with the statistics of its members."""
     fs, w, h = F.col("font_size"), F.col("rx2") - F.col("rx1"), F.col("ry2") - F.col("ry1")
@@ -155,27 +167,96 @@ def candidates(rated: DataFrame) -> DataFrame:
     return kept.select(*KEYS, *box, F.round("confidence", 3).alias("confidence"), F.lit(0).alias("class"))
 
 
+#: Pages of at most so many boxes are judged as one array each; with more in any page all go by pairs.
+FOLD = 512
+#: Pairs of a page that one task may judge in turn.
+PAIRS = 100_000
+
+
 def suppress_nested(boxes: DataFrame, order: list[str], share: float = 0.7) -> DataFrame:
-    """Greedy: larger boxes first, then by `order`; a box of which `share` lies in one kept before goes. Adds rank, the place in that order.
+    """Greedy: larger boxes first, then by `order`; a box of which `share` lies in one kept before goes. Adds rank, the place in that order."""
+    most = boxes.groupBy("page_id").count().agg(F.max("count")).first()[0] or 0
+    return by_pairs(boxes, order, share) if most > FOLD and share > 0.5 else by_fold(boxes, order, share)
+
+
+def _inside(d: Column, k: Column, share: float) -> Column:
+    """Whether `share` of box d lies in k; `less` is its area below zero."""
+    w = F.least(d["x2"], k["x2"]) - F.greatest(d["x1"], k["x1"])
+    h = F.least(d["y2"], k["y2"]) - F.greatest(d["y1"], k["y1"])
+    return (w > 0) & (h > 0) & (d["less"] < 0) & ((w * h) / (-d["less"]) >= share)
 
-    A page's boxes are one array, as the greedy choice needs them in turn; a page has few.
-    """
-    area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
-    item = F.struct((-area).alias("less"), *order, *[c for c in boxes.columns if c not in ("page_id", *order)])
-    kind = boxes.select(item.alias("b")).schema["b"].dataType.simpleString()
-    pages = boxes.groupBy("page_id").agg(F.array_sort(F.collect_list(item)).alias("all"))
 
-    def inside(d: Column, k: Column) -> Column:
-        w = F.least(d["x2"], k["x2"]) - F.greatest(d["x1"], k["x1"])
-        h = F.least(d["y2"], k["y2"]) - F.greatest(d["y1"], k["y1"])
-        return (w > 0) & (h > 0) & (d["less"] < 0) & ((w * h) / (-d["less"]) >= share)
+def _less() -> Column:
+    return (-((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")))).alias("less")
 
-    keep = F.aggregate("all", F.array().cast(f"array<{kind}>"), lambda kept, d: F.when(F.exists(kept, lambda k: inside(d, k)), kept).otherwise(F.concat(kept, F.array(d))))
+
+def by_fold(boxes: DataFrame, order: list[str], share: float = 0.7) -> DataFrame:
+    """suppress_nested with each page's boxes as one array, which suits pages of few."""
+    item = F.struct(_less(), *order, *[c for c in boxes.columns if c not in ("page_id", *order)])
+    kind = boxes.select(item.alias("b")).schema["b"].dataType.simpleString()
+    pages = boxes.groupBy("page_id").agg(F.array_sort(F.collect_list(item)).alias("all"))
+    keep = F.aggregate("all", F.array().cast(f"array<{kind}>"), lambda kept, d: F.when(F.exists(kept, lambda k: _inside(d, k, share)), kept).otherwise(F.concat(kept, F.array(d))))
     out = pages.select("page_id", F.posexplode(keep).alias("rank", "b"))
     return out.select("page_id", (F.col("rank") + 1).alias("rank"), *[F.col(f"b.{c}").alias(c) for c in boxes.columns if c != "page_id"])
 
 
+def nested_pairs(boxes: DataFrame, share: float) -> DataFrame:
+    """page_id, i, j of boxes (page_id, turn, less, x1, y1, x2, y2) of which `share` (over a half) of the later, j, lies in the earlier, i.
+
+    The middle of j then lies in i. So i stands in the few cells, of the power of two next above its longer side, that it covers, and
+    j in the cell of its middle, at each size of cell that the page has and that a box holding it can have.
+    """
+    size = lambda side: F.ceil(F.log2(F.greatest(F.lit(1.0), side.cast("double")))).cast("int")
+    cell = lambda x, level: F.floor(x / F.pow(F.lit(2.0), level)).cast("int")
+    side, level = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")), F.col("level")
+    sized = boxes.filter("less < 0").withColumn("level", size(side))
+    across = lambda a, b: F.explode(F.sequence(cell(F.least(a, b), level), cell(F.greatest(a, b), level)))
+    holders = sized.withColumn("cx", across(F.col("x1"), F.col("x2"))).withColumn("cy", across(F.col("y1"), F.col("y2")))
+    levels = sized.groupBy("page_id").agg(F.collect_set("level").alias("levels"))  # 32 at most
+    held = sized.drop("level").join(levels, "page_id").withColumn("level", F.explode(F.filter("levels", lambda x: x >= F.floor(F.log2(F.greatest(F.lit(1.0), side * F.lit(share)))))))
+    held = held.withColumn("cx", cell((F.col("x1") + F.col("x2")) / 2.0, level)).withColumn("cy", cell((F.col("y1") + F.col("y2")) / 2.0, level))
+    box = ("less", "x1", "y1", "x2", "y2")
+    k = holders.select("page_id", "level", "cx", "cy", F.col("turn").alias("i"), F.struct(*box).alias("k"))
+    d = held.select("page_id", "level", "cx", "cy", F.col("turn").alias("j"), F.struct(*box).alias("d"))
+    return k.join(d, ["page_id", "level", "cx", "cy"]).filter(F.col("i") < F.col("j")).filter(_inside(F.col("d"), F.col("k"), share)).select("page_id", "i", "j")
+
+
+def _in_turn(pairs: pd.DataFrame) -> pd.DataFrame:
+    """Of one page's pairs the boxes that go."""
+    pairs = pairs.sort_values(["j", "i"])
+    gone: set[int] = set()
+    for i, j in zip(pairs["i"].tolist(), pairs["j"].tolist(), strict=True):
+        if i not in gone:
+            gone.add(j)
+    out = sorted(gone)
+    return pd.DataFrame({"page_id": np.repeat(pairs["page_id"].to_numpy()[:1], len(out)), "j": np.array(out, np.int64)})
+
+
+def by_pairs(boxes: DataFrame, order: list[str], share: float = 0.7, most: int = PAIRS) -> DataFrame:
+    """suppress_nested by rounds over pairs (nested_pairs): boxes that no other may remove stay, what lies in them goes, with all its pairs.
+
+    Each round settles at least the first of every chain of pairs; as soon as no page has more than `most` pairs left, these
+    are gone through in turn, page by page.
+    """
+    page = boxes.schema["page_id"].dataType.simpleString()
+    place = F.row_number().over(W.partitionBy("page_id").orderBy("less", *order))
+    turned = stored(boxes.withColumn("less", _less()).withColumn("turn", place.cast("long")))
+    pairs, gone = stored(nested_pairs(turned.select("page_id", "turn", "less", "x1", "y1", "x2", "y2"), share)), []
+    while (pairs.groupBy("page_id").count().agg(F.max("count")).first()[0] or 0) > most:
+        firm = pairs.select("page_id", "i").distinct().join(pairs.select("page_id", F.col("j").alias("i")), ["page_id", "i"], "left_anti")
+        out = stored(pairs.join(firm, ["page_id", "i"]).select("page_id", "j").distinct())
+        pairs = stored(pairs.join(out, ["page_id", "j"], "left_anti").join(out.select("page_id", F.col("j").alias("i")), ["page_id", "i"], "left_anti").select("page_id", "i", "j"))
+        gone.append(out)
+    gone.append(pairs.groupBy("page_id").applyInPandas(_in_turn, f"page_id {page}, j long"))
+    kept = turned.join(reduce(DataFrame.unionByName, gone).withColumnRenamed("j", "turn"), ["page_id", "turn"], "left_anti")
+    rank = F.row_number().over(W.partitionBy("page_id").orderBy("turn"))
+    return kept.select("page_id", rank.alias("rank"), *(c for c in boxes.columns if c != "page_id"))
+
+
 def text_regions(regions: DataFrame, detections: DataFrame) -> DataFrame:
     """Regions whose box is no detection's."""
     box = ["page_id", "x1", "y1", "x2", "y2"]
     return regions.select(*box).join(detections.select(*box), box, "left_anti")
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have the package installed

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.operators import components, layout, raster, regions, report, score
+from inkwell.sources import exports, images
 from inkwell.sources import fixtures as fx
-
-from inkwell.sources.shared import fingerprint, remembered
+from inkwell.sources.shared import fingerprint, remembered, stored
 
 from . import oracle
 from .analysis import Analysis, from_pixels
@@ -28,6 +28,23 @@ def _round(names) -> str:
     return ", ".join(f"round({n}, 6) AS {n}" for n in names)
 
 
+def _pixels(spark: SparkSession, d: str) -> Analysis:
+    """The analysis of the raster pages, kept as that of the laid-out ones."""
+    return remembered(spark, ("pixels", fingerprint(spark, f"{d}/embeddings.parquet")), lambda: from_pixels(fx.gray(spark, d)))
+
+
+def _of_strips(strips: DataFrame, value: str) -> DataFrame:
+    cells = images.exploded(strips, value, ("page_id", "top"))
+    return cells.select("page_id", (F.col("r") + F.col("top")).alias("r"), "c", value)
+
+
+def _png_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The coloured pages written as PNG files, decoded again, and turned to gray."""
+    files = exports.png_files(images.gathered(fx.rgb(spark, d), ("red", "green", "blue"))).select(F.col("page_id").cast("string").alias("origin"), F.col("png").alias("content"))
+    read = images.to_gray(images.unpacked(files.withColumn("origin", F.concat("origin", F.lit(".png")))))
+    return images.exploded(read, "gray", ("origin",)).select(F.split("origin", "\\.")[0].cast("int").alias("page_id"), "r", "c", "gray")
+
+
 SIGNALS = ["ink_density", "body_ratio", "estimated_lines", "blobs_per_line"]
 VOTES = ["vote_ink", "vote_body", "vote_bpl", "vote_sum"]
 BOX = ["x1", "y1", "x2", "y2"]
@@ -88,6 +105,13 @@ QUERIES = {
     "pixel_runs": lambda s, d: components.pixel_runs(fx.ink(s, d)),
     "blobs_from_pixels": lambda s, d: _rounded(components.blobs(fx.ink(s, d)), *SHAPES),
     "pages_from_pixels": lambda s, d: from_pixels(fx.gray(s, d)).density.select("page_id", "total_blobs", "font_size", "density_class"),
+    "regions_from_pixels": lambda s, d: _rounded(_pixels(s, d).regions.select(*REGION, "split"), "density"),
+    "texts_from_pixels": lambda s, d: _pixels(s, d).texts,
+    "ink_with_flags": lambda s, d: images.exploded(raster.preprocess(stored(images.gathered(fx.low_contrast(s, d))), noise=True, open_=True, close=True, tile=20)[1], "ink"),
+    "blobs_from_strips": lambda s, d: _rounded(components.strip_blobs(images.strips(images.gathered(fx.ink(s, d), "ink"), 8)), *SHAPES),
+    "blur_in_strips": lambda s, d: _of_strips(raster.blurred(images.strips(images.gathered(fx.gray(s, d)), 8), 2), "gray"),
+    "opening_closing_in_strips": lambda s, d: _of_strips(raster.morphed(images.strips(images.gathered(fx.ink(s, d), "ink"), 8), "edde"), "ink"),
+    "pages_from_png": _png_pages,
     "otsu_ink": lambda s, d: raster.otsu_binarize(fx.gray(s, d)),
     "height_marks": lambda s, d: _rounded(report.height_marks(fx.blobs(s, d), layout.font_size(fx.blobs(s, d))), "tall_px", "tiny_px"),
     "diagnostic_height_hist": lambda s, d: report.histogram(fx.blobs(s, d), "height", 55, "page_id"),
@@ -104,11 +128,12 @@ QUERIES = {
     "para_regions": lambda s, d: _rounded(regions.para_regions(_all(s, d).paras).select("page_id", "para", *BOX, "width", "height", "blob_count", "density"), "density"),
     "region_splits": lambda s, d: _all(s, d).parts.select("page_id", "blob_seq", "para", "split", "part", "pos"),
     "final_regions": lambda s, d: _rounded(_all(s, d).regions.select(*REGION, "split"), "density"),
-    "density_config": lambda s, d: score.config(s),
+    "density_config": lambda s, d: score.configured(_all(s, d).density).select("page_id", "density_class", *score.CONFIG),
     "region_features": lambda s, d: _rounded(_all(s, d).rated.select("page_id", "para", "part", "n", "frac_bars", "centered", *score.FEATURES), *score.FEATURES),
     "region_scores": lambda s, d: _all(s, d).rated.select("page_id", "para", "part", "base_score", "guarded", "score", "tag"),
     "detections_pre_nms": lambda s, d: _all(s, d).candidates,
     "nms_boxes": lambda s, d: score.suppress_nested(fx.boxes(s, d), ["det_seq"]),
+    "nms_boxes_by_rounds": lambda s, d: score.by_pairs(fx.boxes(s, d), ["det_seq"], most=100),
     "detections": lambda s, d: _all(s, d).detections,
     "text_regions": lambda s, d: _all(s, d).texts,
     "crop_boxes": lambda s, d: _all(s, d).crops,
@@ -147,7 +172,14 @@ ORACLE_SQL = {
     "gaussian_blur_r2": oracle.blur(2),
     "otsu_global": GRAY + f"SELECT page_id, threshold, threshold - 5 AS cut FROM ({oracle._otsu('fx_gray', 'page_id')})",
     "otsu_ink": GRAY + f"SELECT g.page_id, r, c, CAST(gray < threshold - 5 AS INT) AS ink FROM fx_gray g JOIN ({oracle._otsu('fx_gray', 'page_id')}) o ON g.page_id = o.page_id",
-    "pages_from_pixels": oracle.PAGES + " SELECT page_id, coalesce(total_blobs, 0) AS total_blobs, coalesce(font_size, 20) AS font_size, coalesce(density_class, 0) AS density_class FROM (SELECT DISTINCT page_id FROM fx_bin) LEFT JOIN density USING (page_id)",
+    "pages_from_pixels": oracle.from_pixels("density", "SELECT page_id, coalesce(total_blobs, 0) AS total_blobs, coalesce(font_size, 20) AS font_size, coalesce(density_class, 0) AS density_class FROM (SELECT DISTINCT page_id FROM fx_bin) LEFT JOIN density USING (page_id)"),
+    "regions_from_pixels": oracle.from_pixels("region_", f"SELECT {_cols(REGION[:-1])}, round(density, 6) AS density, split FROM region_"),
+    "texts_from_pixels": oracle.from_pixels("texts", "SELECT * FROM texts"),
+    "ink_with_flags": oracle.flagged(2, 20, "edde"),
+    "blobs_from_strips": f"SELECT page_id, blob_seq, img_w, img_h, {_cols(BOX)}, width, height, area, {_round(SHAPES)} FROM ({oracle.BLOBS})",
+    "blur_in_strips": oracle.blur(2),
+    "opening_closing_in_strips": oracle.morph("edde"),
+    "pages_from_png": GRAY + "SELECT page_id, r, c, CAST(trunc(0.299::DOUBLE * gray + 0.587::DOUBLE * ((gray * 7 + c) % 256) + 0.114::DOUBLE * ((gray * 13 + r) % 256)) AS INT) AS gray FROM fx_gray",
     "otsu_tile": oracle.TILES + " SELECT page_id, tr, tc, threshold FROM tiles",
     "adaptive_binarize": oracle.ADAPTIVE,
     "tile_size_auto": "SELECT o_orderkey, greatest(32, least(128, CAST(trunc((o_orderkey % 4000 + 1) / 74.0::DOUBLE * 3) AS INT))) AS tile FROM orders",
@@ -172,11 +204,12 @@ ORACLE_SQL = {
     "para_regions": steps("para", f"SELECT page_id, para, {_cols(BOX)}, width, height, blob_count, round(density, 6) AS density FROM para"),
     "region_splits": steps("parts", "SELECT page_id, blob_seq, para, split, part, pos FROM parts"),
     "final_regions": steps("region_", f"SELECT {_cols(REGION[:-1])}, round(density, 6) AS density, split FROM region_"),
-    "density_config": f"SELECT cfg_class AS density_class, * EXCLUDE (cfg_class) FROM ({STEPS['cfg']})",
+    "density_config": steps("density", f"SELECT page_id, density_class, {_cols(score.CONFIG)} FROM density JOIN ({STEPS['cfg']}) ON cfg_class = density_class"),
     "region_features": steps("feat", f"SELECT page_id, para, part, n, frac_bars, centered, {_round(score.FEATURES)} FROM feat"),
     "region_scores": steps("rated", "SELECT page_id, para, part, CAST(base_score AS INT) AS base_score, guarded, score, CASE WHEN score >= score_threshold THEN 'EQ' ELSE 'TEXT' END AS tag FROM rated"),
     "detections_pre_nms": steps("cand", "SELECT * FROM cand"),
     "nms_boxes": NMS_BOX,
+    "nms_boxes_by_rounds": NMS_BOX,
     "detections": steps("det", "SELECT * FROM det"),
     "text_regions": steps("texts", "SELECT * FROM texts"),
     "crop_boxes": steps("crop", "SELECT * FROM crop"),

@@ -194,6 +194,19 @@ BLOBS = RUNS + """, size AS (SELECT page_id, max(r) + 1 AS img_h, max(c) + 1 AS
 
 _RAW = STEPS["fx_gray"]
 _SPREAD = f"SELECT g.page_id, r, c, CASE WHEN low_contrast AND hi > lo THEN greatest(0, least(255, CAST(trunc((gray - lo) * (255.0::DOUBLE / (hi - lo))) AS INT))) ELSE gray END AS gray FROM ({_RAW}) g JOIN ({limits(f'({_RAW})')}) l ON g.page_id = l.page_id"
-_HEAD, _SHAPES = BLOBS.rsplit("\n  SELECT *, area", 1)
-#: From gray pixels, spread where contrast is low, over ink and blobs to density.
-PAGES = _HEAD.replace(STEPS["fx_bin"], ADAPTIVE.replace(_RAW, _SPREAD)) + f", fx_blob AS MATERIALIZED (SELECT *, area{_SHAPES}), " + ", ".join(f"{s} AS MATERIALIZED ({STEPS[s]})" for s in ("font", "den1", "den2", "density"))
+_HEAD, _SHAPES = BLOBS.replace("reach", "tied").rsplit("\n  SELECT *, area", 1)
+
+
+def from_pixels(upto: str, final: str) -> str:
+    """From gray pixels, spread where contrast is low, over ink and blobs to a step."""
+    order = [s for s in STEPS if not s.startswith("fx_")]
+    more = ", ".join(f"{s} AS {'' if s in RECURSIVE else 'MATERIALIZED '}({STEPS[s]})" for s in order[: order.index(upto) + 1])
+    return _HEAD.replace(STEPS["fx_bin"], ADAPTIVE.replace(_RAW, _SPREAD)) + f", fx_blob AS MATERIALIZED (SELECT *, area{_SHAPES}), {more} {final}"
+
+
+def flagged(radius: int, tile: int, kinds: str) -> str:
+    """Ink of the pages of low contrast: spread, blurred, with tiles of one size, then eroded and dilated."""
+    spread = _SPREAD.replace(_RAW, f"SELECT page_id, r, c, CAST(80 + gray // 4 AS INT) AS gray FROM ({_RAW}) z")
+    soft = blur(radius).replace(_RAW, spread)
+    own = ADAPTIVE.replace("greatest(32, least(128, trunc((max(r) + 1) / 74.0::DOUBLE * 3)::INT)) AS tile", f"{tile} AS tile")
+    return morph(kinds).replace(STEPS["fx_bin"], own.replace(_RAW, soft))

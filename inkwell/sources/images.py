@@ -235,21 +235,21 @@ def exploded(rasters: DataFrame, value: str = "gray", keys: tuple[str, ...] = ("
     return rasters.select(*keys, "width", "data").mapInArrow(run, f"{fields}, r int, c int, {value} int")
 
 
-def gathered(pixels: DataFrame, value: str = "gray") -> DataFrame:
-    """Pixels (page_id, r, c, value) as rasters of one channel; origin is null. A page is one row: it is bounded by its pixels."""
-    page = pixels.schema["page_id"].dataType.simpleString()
-    lists = (F.collect_list(F.struct(F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.col(value).cast("int").alias("v"))).alias("cells"),)
+def gathered(pixels: DataFrame, value: str | tuple[str, ...] = "gray") -> DataFrame:
+    """Pixels (page_id, r, c, and a value for each channel) as rasters; origin is null. A page is one row: it is bounded by its pixels."""
+    page, values = pixels.schema["page_id"].dataType.simpleString(), (value,) if isinstance(value, str) else value
+    cell = F.struct(*(F.col(c).cast("int").alias(c) for c in ("r", "c")), *(F.col(v).cast("int").alias(f"v{i}") for i, v in enumerate(values)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 line = batch.slice(i, 1)
-                r, c, v = (x.to_numpy() for x in line.column(1).flatten().flatten())
-                out = np.zeros((int(r.max()) + 1, int(c.max()) + 1), np.uint8)
-                out[r, c] = v
-                yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), line.column(0), *(pa.array([n], pa.int32()) for n in (*out.shape, 1)), pa.array([out.tobytes()], pa.binary())], names=["origin", "page_id", "height", "width", "channels", "data"])
+                r, c, *v = (x.to_numpy() for x in line.column(1).flatten().flatten())
+                out = np.zeros((int(r.max()) + 1, int(c.max()) + 1, len(v)), np.uint8)
+                out[r, c] = np.stack(v, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), line.column(0), *(pa.array([n], pa.int32()) for n in out.shape), pa.array([out.tobytes()], pa.binary())], names=["origin", "page_id", "height", "width", "channels", "data"])
 
-    return pixels.groupBy("page_id").agg(*lists).mapInArrow(run, RASTER.replace("page_id long", f"page_id {page}"))
+    return pixels.groupBy("page_id").agg(F.collect_list(cell).alias("cells")).mapInArrow(run, RASTER.replace("page_id long", f"page_id {page}"))
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have the package installed
