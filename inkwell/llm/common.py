@@ -9,6 +9,7 @@ import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +72,20 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(i, 1).to_pylist()[0]
 
 
+def plain_names(*own: str):
+    """For functions from a table to the same columns: all but its own go under plain names meanwhile, so whatever they are called, they clash with nothing."""
+
+    def dressed(f: Callable[..., DataFrame]):
+        @wraps(f)
+        def run(docs: DataFrame, *args, **options) -> DataFrame:
+            plain = [c if c in own else f"inkwell_c{i}" for i, c in enumerate(docs.columns)]
+            return f(docs.toDF(*plain), *args, **options).toDF(*docs.columns)
+
+        return run
+
+    return dressed
+
+
 def tidied(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """f, giving back what memory it has freed when a partition ends: Spark keeps the worker for further tasks."""
 
@@ -129,6 +144,17 @@ def in_sieve(table: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     return (table[(slot >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (slot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
 
 
+def sifted(rows: DataFrame, column: str, numbers: DataFrame) -> DataFrame:
+    """The rows whose 64-bit number in `column` may be among numbers (of one column): all of those that are, and few others. No row is moved."""
+    table, place = rows.sparkSession.sparkContext.broadcast(sieve(numbers, 32)), rows.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_sieve(table.value, batch.column(place).to_numpy().view(np.uint64))))
+
+    return small_batches(rows).mapInArrow(tidied(run), rows.schema)
+
+
 def one_row_each(docs: DataFrame, digest: Column, told: DataFrame) -> DataFrame:
     """docs without the rows that told names (doc_id, digest, stays): all of those that don't stay, and all but one of those that do.
 

@@ -85,7 +85,7 @@ def rebuilt(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     The turns' rows: conv_id, depth, h1, h2 (the prefix that ends here), q1, q2 (the one before), size, last.
     """
-    turns = written(_numbered(_turns(conversations)))
+    turns = written(_numbered(written(_turns(conversations))))
     shared = F.crc32(F.col("conv_id").cast("string")) % SHARED
     brief = F.struct("pos", "s1", "s2", "q1", "q2", "size")
     each = turns.groupBy("conv_id").agg(F.max("pos").alias("n_own"), F.array_sort(F.collect_list(F.when(F.col("pos") < SHARED, brief))).alias("own"))
@@ -186,7 +186,7 @@ def _paths(rows: DataFrame, nodes: DataFrame) -> DataFrame:
         return {"level": values["level"] + carry["level"]} | {k: np.where(none, np.int64(carry[k]), values[k]) for k in PATH}
 
     known = nodes.withColumnRenamed("conv_id", "least")
-    along = rows.select("conv_id", *NODE).join(known, NODE)
+    along = written(rows.select("conv_id", *NODE).join(known, NODE))
     return running(along, ["conv_id"], [F.col("depth")], ["level", *PATH], local, join).filter("conv_id = least").drop("least", "light")
 
 

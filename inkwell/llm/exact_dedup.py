@@ -7,7 +7,8 @@ candidates go to the verification, which groups them by their whole normalised t
 
 Texts are equal when identical after deleting every blank of [\\x20\\x09-\\x0D]; null counts as empty. Of equal texts
 the row with the most code points, then the smallest doc_id (null last) stays. Rows that repeat a doc_id with equal
-texts share one verdict. Further columns don't take part.
+texts share one verdict. Texts may have any length: fingerprints, digests and groups take them whole. An empty table gives an empty
+result. Further columns don't take part; `dedupe` keeps them whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import one_row_each, shipped, tidied, written
+from .common import one_row_each, plain_names, shipped, sifted, tidied, written
 
 #: The quotient's bits: filters are dealt out in 2**bits blocks, of about 2**BLOCK_SIZE_BITS rows each in a large corpus.
 LEAST_BITS, BLOCK_SIZE_BITS = 12, 13
@@ -88,7 +89,8 @@ def verdicts(docs: DataFrame) -> DataFrame:
     prepared = docs.select("doc_id", normalised().alias("plain"), F.length(F.coalesce("text", F.lit(""))).alias("points"))
     narrow = written(prepared.select("doc_id", "points", F.xxhash64("plain").alias("fp"), F.sha2("plain", 256).alias("text_sha256")))
     candidates = written(repeated_fingerprints(narrow))  # a table, so that its size decides how it is joined
-    again = prepared.withColumn("fp", F.xxhash64("plain")).join(candidates.select("fp"), "fp", "left_semi")
+    # A sieve holds back most other texts where they are: joined at once, all of them would be moved.
+    again = sifted(prepared.select("doc_id", "plain", "points", F.xxhash64("plain").alias("fp")), "fp", candidates.select("fp")).join(candidates.select("fp"), "fp", "left_semi")
     # The key is the whole normalised text: equal fingerprints alone don't make a group. The first pass folds the copies of a
     # task, so a hot group sends a row per task and length.
     longest = again.groupBy("plain", "points").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
@@ -99,6 +101,7 @@ def verdicts(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
 
+@plain_names("doc_id", "text")
 def dedupe(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns; of rows that repeat a kept doc_id and its text one stays."""
     told = written(verdicts(docs).withColumnRenamed("text_sha256", "digest"))

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import bits_for
-from .common import PASS_BYTES, in_sieve, shipped, sieve, slices, small_batches, tabled, tidied, totals, written
+from .common import in_sieve, PASS_BYTES, plain_names, shipped, sieve, slices, small_batches, tabled, tidied, totals, written
 from .hashing import Words, distinct, mixed
 
 PERCENT = 75
@@ -411,6 +411,7 @@ def summary(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return out.select("doc_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_lines", "n_removed")), F.concat_ws(",", F.transform("numbers", lambda x: x.cast("string"))).alias("removed"))
 
 
+@plain_names("doc_id", "text")
 def clean(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs with the removed lines cut from text; null stays null."""
     gone = marks(docs, percent).filter("removed").groupBy(F.col("doc_id").alias("__of")).agg(F.collect_set("line").alias("__gone"))

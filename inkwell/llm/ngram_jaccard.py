@@ -18,7 +18,8 @@ lower case. Sets link where 100 * intersection >= percent * union. Equal sets ar
 
 An R-tree over all points at once would prune next to nothing, as unrelated texts have much the same counts, hence step 2.
 Null texts count as empty; empty sets link with nothing. Rows that repeat a text, or a doc_id, each get a row. Sets are
-known by hashes of 64 bits. Further columns don't take part.
+known by hashes of 64 bits: n different ones hold a false match with a chance of about n*n / 2**65. Texts may have any length. An
+empty table gives an empty result. Further columns don't take part; `one_of_each` keeps them whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import one_row_each, rows_of, shipped, tidied, written
+from .common import one_row_each, plain_names, rows_of, shipped, tidied, written
 from .components import components
 from .hashing import Runs, Words, distinct, mixed
 from .substring import chunked
@@ -361,6 +362,7 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
+@plain_names("doc_id", "text")
 def one_of_each(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """The rows of docs that stay, with all their columns: one of each component, that with the least doc_id (null last), then the least digest of its text. Rows without words stay."""
     narrow, labels, _ = members(docs, n, percent)

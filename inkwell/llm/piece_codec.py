@@ -87,13 +87,16 @@ def _codec(model: str) -> Codec:
 def encode(docs: DataFrame, text: str = "text", model: str | None = None) -> DataFrame:
     """The input's columns with ids array<int> and decoded string, the text that these ids give back."""
     model = model or default_model()
-    keep = [c for c in docs.columns if c.lower() not in ("ids", "decoded")]
-    schema = docs.select(*keep).schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", T.StringType())
+    keep = [i for i, c in enumerate(docs.columns) if c.lower() not in ("ids", "decoded")]
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    given = small_batches(docs).toDF(*plain).select(*(plain[i] for i in keep))
+    at = keep.index(docs.columns.index(text))
+    schema = T.StructType([*given.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model)
-        for part in slices(batches, text):
-            values = pc.replace_substring(part.column(part.schema.get_field_index(text)), MARKER, " ")
+        for part in slices(batches, f"c{keep[at]}"):
+            values = pc.replace_substring(part.column(at), MARKER, " ")
             if codec.by_chunk:
                 found, rows = codec.entries(values)
                 found = found.tolist()
@@ -102,25 +105,28 @@ def encode(docs: DataFrame, text: str = "text", model: str | None = None) -> Dat
             else:
                 ids = codec.sp.encode(values.to_pylist(), num_threads=1)
                 back = codec.sp.decode(ids) if ids else []
-            columns = [part.column(part.schema.get_field_index(c)) for c in keep]
-            columns = [c.cast(pa.string()) if pa.types.is_large_string(c.type) else c for c in columns]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string())], names=[*keep, "ids", "decoded"])
+            columns = [c.cast(pa.string()) if pa.types.is_large_string(c.type) else c for c in part.columns]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string())], names=schema.names)
 
-    return small_batches(docs).select(*keep).mapInArrow(tidied(run), schema)
+    return given.mapInArrow(tidied(run), schema).toDF(*(docs.columns[i] for i in keep), "ids", "decoded")
 
 
 def decode(tokens: DataFrame, ids: str = "ids", model: str | None = None) -> DataFrame:
     """The input's columns with decoded string; null ids give null."""
     model = model or default_model()
-    keep = [c for c in tokens.columns if c.lower() != "decoded"]
+    keep = [i for i, c in enumerate(tokens.columns) if c.lower() != "decoded"]
+    plain = [f"c{i}" for i in range(len(tokens.columns))]
+    given = tokens.toDF(*plain).select(*(plain[i] for i in keep))
+    at = keep.index(tokens.columns.index(ids))
+    schema = T.StructType([*given.schema.fields, T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model)
         for part in batches:
-            back = [None if x is None else codec.sp.decode([int(i) for i in x]) for x in part.column(part.schema.get_field_index(ids)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(back, pa.string())], names=[*keep, "decoded"])
+            back = [None if x is None else codec.sp.decode([int(i) for i in x]) for x in part.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(back, pa.string())], names=schema.names)
 
-    return tokens.select(*keep).mapInArrow(run, tokens.select(*keep).schema.add("decoded", T.StringType()))
+    return given.mapInArrow(run, schema).toDF(*(tokens.columns[i] for i in keep), "decoded")
 
 
 def digests(docs: DataFrame, model: str | None = None) -> DataFrame:

@@ -28,6 +28,8 @@ from functools import partial, reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import plain_names
+
 KINDS = ("email", "ip", "card", "phone", "secret", "iban", "id", "account")
 # The contract's base patterns, written so that java.util.regex needs neither recursion nor a new start inside a run.
 BASE = {
@@ -314,20 +316,20 @@ def margin_of(model: tuple[float, list], values: list[int]) -> float:
     return bias
 
 
-def _margin(model: tuple[float, list], cell: Column) -> Column:
-    """The same as an expression on a cell's number."""
+def _margin(model: tuple[float, list], cell: str) -> str:
+    """The same as SQL on a cell's number: one text, since a Column of 80 trees is thousands of calls to the JVM."""
     below, unit = {}, 1
     for f in reversed(range(len(LEVELS))):
         below[f] = (unit, list(LEVELS.values())[f])
         unit *= below[f][1]
-    is_ = lambda t: F.floor(cell / F.lit(below[t[0]][0])).cast("int") % below[t[0]][1] == t[1]
-    side = lambda s: F.when(is_(s[0]), F.lit(s[1])).otherwise(F.lit(s[2])) if s[0] else F.lit(s[2])
-    return reduce(lambda a, b: a + b, [F.when(is_(top), side(a)).otherwise(side(b)) for top, (a, b) in model[1]], F.lit(float(model[0])))
+    is_ = lambda t: f"{cell} div {below[t[0]][0]} % {below[t[0]][1]} = {t[1]}"
+    side = lambda s: f"CASE WHEN {is_(s[0])} THEN {s[1]!r}D ELSE {s[2]!r}D END" if s[0] else f"{s[2]!r}D"
+    return " + ".join([f"{float(model[0])!r}D", *(f"CASE WHEN {is_(top)} THEN {side(a)} ELSE {side(b)} END" for top, (a, b) in model[1])])
 
 
 def fit(spark: SparkSession) -> dict:
     """Trees and each generator's least margin, from the examples made by rule."""
-    made = spark.createDataFrame(examples(), "number long, text string, kind string, start int, end int").select("number", "kind", "start", "end", F.explode(wide_spans(F.col("text"))).alias("p"))
+    made = spark.createDataFrame(examples(), "number long, text string, kind string, start int, end int").select("number", "kind", "start", "end", F.explode(_built("wide", lambda: wide_spans(F.coalesce("text", F.lit(""))))).alias("p"))
     right = (F.element_at(F.array(*map(F.lit, KINDS)), F.col("p.kind") + 1) == F.col("kind")) & (F.col("p.start") <= F.col("start") + 1) & (F.col("p.end") >= F.col("end") - 1)
     counted = made.groupBy((F.xxhash64("number") % 2 == 0).alias("half"), F.col("p.cell").alias("cell")).agg(F.count("*").alias("n"), F.sum(F.coalesce(right, F.lit(False)).cast("long")).alias("good"))
     rows = counted.collect()  # EXAMPLES rows at most, whatever the corpus
@@ -346,6 +348,17 @@ def fit(spark: SparkSession) -> dict:
 
 
 _FITTED: dict[str, dict] = {}
+_BUILT: dict[tuple, Column] = {}
+
+
+def _built(name: str, make) -> Column:
+    """An expression over fixed column names, built once for each JVM: that takes many calls to it, and seconds."""
+    from pyspark import SparkContext
+
+    key = (name, id(SparkContext._gateway))
+    if key not in _BUILT:
+        _BUILT[key] = make()
+    return _BUILT[key]
 
 
 def model_of(spark: SparkSession) -> dict:
@@ -355,11 +368,11 @@ def model_of(spark: SparkSession) -> dict:
     return _FITTED["model"]
 
 
-def added_spans(text: Column, base: Column, model: dict) -> Column:
-    """The wide proposals that the thresholds select, but for those within a base span."""
-    cut = lambda p: F.element_at(F.array(*(F.lit(float(x)) for x in model["least"])), p["maker"] + 1)
-    chosen = F.filter(wide_spans(text), lambda p: _margin(model["trees"], p["cell"]) >= cut(p) - 1e-9)
-    return F.array_distinct(F.transform(F.filter(chosen, lambda p: ~F.exists(base, lambda b: (b["start"] <= p["start"]) & (p["end"] <= b["end"]))), _place))
+def chosen_spans(model: dict) -> Column:
+    """Of the column pii_wide the proposals that the thresholds select, but for those within a span of pii_base."""
+    cuts = ", ".join(f"{float(x)!r}D" for x in model["least"])
+    return F.expr(f"""array_distinct(transform(filter(pii_wide, p -> NOT exists(pii_base, b -> b.start <= p.start AND p.end <= b.end)
+      AND {_margin(model["trees"], "p.cell")} >= get(array({cuts}), p.maker) - 1e-9D), p -> struct(p.kind AS kind, p.start AS start, p.end AS end)))""")
 
 
 def _place(s: Column) -> Column:
@@ -367,10 +380,10 @@ def _place(s: Column) -> Column:
 
 
 def marked(docs: DataFrame, model: dict) -> DataFrame:
-    """docs with __pii_base and __pii_added, arrays of (kind, start, end)."""
-    text = F.coalesce("text", F.lit(""))
-    out = docs.withColumn("__pii_base", F.transform(base_spans(text), _place))
-    return out.withColumn("__pii_added", added_spans(text, F.col("__pii_base"), model))
+    """docs (with a text column, and none of these names) with pii_base and pii_added, arrays of (kind, start, end)."""
+    text = lambda: F.coalesce("text", F.lit(""))
+    out = docs.withColumn("pii_base", _built("base", lambda: F.transform(base_spans(text()), _place))).withColumn("pii_wide", _built("wide", lambda: wide_spans(text())))
+    return out.withColumn("pii_added", chosen_spans(model)).drop("pii_wide")
 
 
 def _of(k: int):
@@ -385,15 +398,16 @@ def _line(spans: Column) -> Column:
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, n_<kind> (base spans), base_sha256, spans, n_added and n_spans of each row of docs (doc_id, text)."""
     out = marked(docs.select("doc_id", "text"), model_of(docs.sparkSession))
-    counts = [F.size(F.filter("__pii_base", _of(KINDS.index(kind)))).cast("long").alias(f"n_{kind}") for kind in BASE]
-    sizes = (F.size("__pii_added").cast("long").alias("n_added"), (F.size("__pii_base") + F.size("__pii_added")).cast("long").alias("n_spans"))
-    return out.select("doc_id", *counts, F.sha2(_line(F.col("__pii_base")), 256).alias("base_sha256"), _line(F.concat("__pii_base", "__pii_added")).alias("spans"), *sizes)
+    counts = [F.size(F.filter("pii_base", _of(KINDS.index(kind)))).cast("long").alias(f"n_{kind}") for kind in BASE]
+    sizes = (F.size("pii_added").cast("long").alias("n_added"), (F.size("pii_base") + F.size("pii_added")).cast("long").alias("n_spans"))
+    return out.select("doc_id", *counts, F.sha2(_line(F.col("pii_base")), 256).alias("base_sha256"), _line(F.concat("pii_base", "pii_added")).alias("spans"), *sizes)
 
 
+@plain_names("text")
 def redact(docs: DataFrame, model: dict | None = None) -> DataFrame:
     """docs with each selected span of text replaced by its kind in brackets; overlapping spans are replaced as one. Null stays null."""
     spotted = marked(docs, model or model_of(docs.sparkSession))
-    base, added = F.col("__pii_base"), F.col("__pii_added")
+    base, added = F.col("pii_base"), F.col("pii_added")
     spans = F.array_sort(F.transform(F.concat(base, added), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     name = lambda s: F.element_at(F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS]), s["kind"] + 1)
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
@@ -403,5 +417,5 @@ def redact(docs: DataFrame, model: dict | None = None) -> DataFrame:
         ahead = F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), name(s))
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], ahead).otherwise(a["out"]).alias("out"))
 
-    clean = F.aggregate("__pii_spans", first, put, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return spotted.withColumn("__pii_spans", spans).withColumn("text", F.when(F.size("__pii_spans") > 0, clean).otherwise(text)).select(*docs.columns)
+    clean = F.aggregate("pii_spans", first, put, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    return spotted.withColumn("pii_spans", spans).withColumn("text", F.when(F.size("pii_spans") > 0, clean).otherwise(text)).select(*docs.columns)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shipped, slices, small_batches, tabled, tidied, totals, written
+from .common import plain_names, shipped, slices, small_batches, tabled, tidied, totals, written
 from .hashing import Words, distinct, mixed
 
 FEATURE_BITS = 18
@@ -207,6 +207,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
+@plain_names("doc_id", "text")
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs with a score of CUT or more, with all their columns.
 

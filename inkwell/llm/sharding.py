@@ -7,7 +7,8 @@ changed: each step writes new files and then commits the list of those alive as
 
 Commit. The list is written to a folder of its own under a hidden name, then renamed to its version. A rename to a name that
 is free is one atomic step of the file system; where the name is taken, file systems put the folder inside the other one
-(or refuse), where readers don't see it. So a writer holds the version if, and only if, its own file then lies directly under
+(or refuse), where readers don't see it. That holds for the file systems in ATOMIC; object stores copy instead, and a store on
+one of them is refused. So a writer holds the version if, and only if, its own file then lies directly under
 it. One that was too late takes the newest version and tries again; a compaction whose inputs are gone gives up its files.
 A writer that dies on the way leaves a hidden folder that nobody reads. Readers see a version whole or not at all.
 Superseded shards stay for readers of older versions until someone deletes them.
@@ -27,6 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: File systems whose rename is one step, by the scheme of their paths.
+ATOMIC = ("file", "hdfs", "webhdfs", "viewfs", "ofs", "abfs", "abfss")
 TARGET_BYTES = 64 << 20
 FAN_IN = 4
 SHARDS = "path string, rows long, bytes long, tier int"
@@ -38,6 +41,8 @@ class ShardStore:
 
     def __init__(self, spark: SparkSession, root: str, schema: T.StructType, target_bytes: int = TARGET_BYTES, fan_in: int = FAN_IN):
         self.spark, self.root, self.schema, self.target, self.fan_in = spark, root.rstrip("/"), schema, target_bytes, fan_in
+        if (scheme := self._files()[0].getScheme()) not in ATOMIC:
+            raise ValueError(f"{root}: a rename on {scheme} isn't one step, so versions can't be committed there")
 
     @classmethod
     def create(cls, spark: SparkSession, root: str, schema: T.StructType, **options) -> ShardStore:
@@ -116,13 +121,16 @@ class ShardStore:
         return [rows[f"`{name}`"] for name in self.schema.names]
 
     def append_arrivals(self, rows: DataFrame, arrival: F.Column, n: int) -> int:
-        """Arrivals 0 to n-1 that stand in one table: all are written in one pass, then committed one after the other."""
+        """Arrivals 0 to n-1 that stand in one table: all are written in one pass, then committed one after the other. Rows with another arrival, or none, are committed last, together; returns the latest version."""
         run, key = f"{self.root}/shards/{uuid.uuid4().hex}", "arrival_" + uuid.uuid4().hex
-        rows.select(*self._own(rows), arrival.alias(key)).write.partitionBy(key).parquet(run)
+        own = F.coalesce(F.when(arrival.between(0, n - 1), arrival.cast("int")), F.lit(n))
+        rows.select(*self._own(rows), own.alias(key)).write.partitionBy(key).parquet(run)
         listed = self._listed(run, deep=True).collect()
-        for k in range(n):
-            mine = self.spark.createDataFrame([r for r in listed if f"{key}={k}/" in r.path], SHARDS)
-            version = self._add(mine)
+        version = self.version()
+        for k in range(n + 1):
+            mine = [r for r in listed if f"{key}={k}/" in r.path]
+            if mine or k < n:
+                version = self._add(self.spark.createDataFrame(mine, SHARDS))
         return version
 
     def compact(self) -> int:
