@@ -90,9 +90,9 @@ def zip_files(named: DataFrame) -> DataFrame:
     return files.mapInArrow(run, f"page_id {named.schema['page_id'].dataType.simpleString()}, zip binary")
 
 
-def write_csv(rows: DataFrame, path: str, single: bool = False) -> None:
-    """CSV with a header in a folder; `single`: as one file, for results that one task can write."""
-    (rows.coalesce(1) if single else rows).write.mode("overwrite").option("header", "true").csv(path)
+def write_csv(rows: DataFrame, path: str, single: bool = False, overwrite: bool = False) -> None:
+    """CSV with a header in a folder; `single`: as one file, for results that one task can write. A folder that is there is an error, unless it may be overwritten."""
+    (rows.coalesce(1) if single else rows).write.mode("overwrite" if overwrite else "errorifexists").option("header", "true").csv(path)
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have the package installed

@@ -187,3 +187,12 @@ def test_release(spark):
     shared.release(spark)
     with pytest.raises(Exception):  # noqa: B017
         spark.read.parquet(kept.inputFiles()[0])
+
+
+def test_csv_over_a_folder(spark, tmp_path):
+    at = f"file://{tmp_path}/csv"
+    exports.write_csv(spark.range(3), at)
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        exports.write_csv(spark.range(5), at)
+    exports.write_csv(spark.range(5), at, overwrite=True)
+    assert spark.read.option("header", "true").csv(at).count() == 5
