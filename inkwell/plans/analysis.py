@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from inkwell.operators import components, detectors, layout, raster, regions, report, score
 from inkwell.sources import exports, images
-from inkwell.sources.shared import fingerprint, remembered, stored
+from inkwell.sources.results import ResultStore, contents
+from inkwell.sources.shared import fingerprint, kept_while, remembered, stored
 
 
 @dataclass
@@ -121,11 +122,32 @@ def from_pixels(gray: DataFrame, **options) -> Pages:
     return from_rasters(images.gathered(gray), **options)
 
 
-def from_files(spark: SparkSession, path: str, max_dim: int | None = images.MAX_DIM, pattern: str = images.PATTERN, **options) -> Pages:
-    """Image files under a path: decoded, downscaled, turned to gray and analysed. Results of the same files and options are kept for the session."""
+#: What a store keeps of an analysis of files: its inputs, and the steps that aren't read off others.
+INPUTS = ("blobs", "pages", "gray", "ink", "told")
+STEPS = ("density", "members", "paras", "parts", "regions", "rated", "detections")
+
+
+def from_files(spark: SparkSession, path: str, max_dim: int | None = images.MAX_DIM, pattern: str = images.PATTERN, store: ResultStore | None = None, **options) -> Pages:
+    """Image files under a path: decoded, downscaled, turned to gray and analysed.
+
+    Results of the same files and options are kept for the session; with a store, for all sessions that share it, under a key of
+    names, bytes and options. `held` of the result is then the store's lease, to be released when it is no longer read.
+    """
 
     def run() -> Pages:
         rasters = images.to_gray(images.downscale(images.scan(spark, path, pattern), max_dim))
         return from_rasters(rasters, **options)
 
-    return remembered(spark, ("files", fingerprint(spark, path), max_dim, pattern, repr(sorted(options.items()))), run)
+    told = (max_dim, pattern, repr(sorted(options.items())))
+    if store is None:
+        return remembered(spark, ("files", fingerprint(spark, path), *told), run)
+    key = store.key(contents(spark, path, pattern), *told)
+    held = store.open(key)
+    if held is None:
+        with kept_while(spark):
+            found = run()
+            held = store.publish(key, {name: getattr(found, name) for name in (*INPUTS, *STEPS)})
+    known = {k: v for k, v in options.items() if k in ("limits", "detector")}
+    out = Pages(**{name: held.tables[name] for name in INPUTS}, **known)
+    out.__dict__.update({name: held.tables[name] for name in STEPS}, held=held)
+    return out
