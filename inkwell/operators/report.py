@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from inkwell.operators import ranks
 from inkwell.sources import exports
 from inkwell.sources.images import exploded, gathered
 
@@ -35,10 +36,17 @@ def crop_names(crops: DataFrame) -> DataFrame:
 
 
 def describe(rows: DataFrame, value: str) -> DataFrame:
-    v, q = F.col(value), F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = rows.agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), q.alias("q"), F.max(v).alias("max"))
-    parts = [F.round(e, 3).alias(n) for n, e in (("mean", F.col("mean")), ("std", F.col("std")), ("min", F.col("min")), ("p25", F.col("q")[0]), ("p50", F.col("q")[1]), ("p75", F.col("q")[2]), ("max", F.col("max")))]
-    return out.select("count", *parts)
+    """count, mean, std, min, p25, p50, p75, max of a numeric column, rounded; the quartiles are exact and found in bounded memory when this is called."""
+    v = F.col(value)
+    quartiles = zip(("p25", "p50", "p75"), ranks.percentiles(rows, value, (0.25, 0.5, 0.75)), strict=True)
+    found = {"mean": F.avg(v), "std": F.stddev_samp(v), "min": F.min(v), **{n: F.lit(q).cast("double") for n, q in quartiles}, "max": F.max(v)}
+    return rows.agg(F.count(v).alias("count"), *(F.round(e, 3).alias(n) for n, e in found.items()))
+
+
+def percentiles(rows: DataFrame, value: str, *shares: float) -> DataFrame:
+    """share, value of exact percentiles, for as many values as there may be."""
+    found = zip(shares, ranks.percentiles(rows, value, shares), strict=True)
+    return rows.sparkSession.createDataFrame(list(found), "share double, value double")
 
 
 def histogram(rows: DataFrame, value: str, bins: int, *keys: str) -> DataFrame:

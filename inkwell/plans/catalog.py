@@ -49,6 +49,7 @@ SIGNALS = ["ink_density", "body_ratio", "estimated_lines", "blobs_per_line"]
 VOTES = ["vote_ink", "vote_body", "vote_bpl", "vote_sum"]
 BOX = ["x1", "y1", "x2", "y2"]
 SHAPES = ["fill_ratio", "aspect_ratio", "center_r", "center_c"]
+SHARES = (0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0)
 REGION = ["page_id", "para", "part", *BOX, "width", "height", "blob_count", "density"]
 
 
@@ -142,6 +143,7 @@ QUERIES = {
     "gallery_grid": lambda s, d: report.gallery(_all(s, d).crops),
     "report_rows": lambda s, d: report.report_rows(_all(s, d).detections),
     "confidence_describe": lambda s, d: report.describe(_all(s, d).detections, "confidence"),
+    "price_percentiles": lambda s, d: _rounded(report.percentiles(s.read.parquet(f"{d}/lineitem.parquet"), "l_extendedprice", *SHARES), "value"),
     "confidence_hist": lambda s, d: report.histogram(_all(s, d).detections, "confidence", 20),
     "blob_height_hist": lambda s, d: report.histogram(fx.blobs(s, d), "height", 60, "page_id"),
     "blob_outlier_map": lambda s, d: report.blob_map(_all(s, d).lines),
@@ -221,6 +223,7 @@ ORACLE_SQL = {
     "gallery_grid": steps("crop", "SELECT page_id, index, CAST((index - 1) // 3 AS INT) AS grid_row, CAST((index - 1) % 3 AS INT) AS grid_col FROM crop"),
     "report_rows": steps("det", "SELECT page_id, x1, y1, x2, y2, confidence, x2 - x1 AS width_px, y2 - y1 AS height_px FROM det"),
     "confidence_describe": steps("det", "SELECT count(*) AS count, round(avg(confidence), 3) AS mean, round(stddev_samp(confidence), 3) AS std, round(min(confidence), 3) AS min, round(quantile_cont(confidence, 0.25), 3) AS p25, round(quantile_cont(confidence, 0.5), 3) AS p50, round(quantile_cont(confidence, 0.75), 3) AS p75, round(max(confidence), 3) AS max FROM det"),
+    "price_percentiles": " UNION ALL ".join(f"SELECT {x}::DOUBLE AS share, round(quantile_cont(l_extendedprice, {x}), 6) AS value FROM lineitem" for x in SHARES),
     "confidence_hist": steps("det", _hist("det", "confidence", 20)),
     "diagnostic_height_hist": steps("fx_blob", _hist("fx_blob", "height", 55, "page_id")),
     "height_marks": steps("font", "SELECT b.page_id, font_size, round(font_size * 1.9::DOUBLE, 6) AS tall_px, round(font_size * 0.42::DOUBLE, 6) AS tiny_px, count(*) AS total, count(*) FILTER (height > font_size * 1.9::DOUBLE) AS tall_count, count(*) FILTER (height < font_size * 0.42::DOUBLE) AS tiny_count FROM fx_blob b JOIN font f ON b.page_id = f.page_id GROUP BY ALL"),
