@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.operators import components, detectors, layout, raster, regions, report, score
+from inkwell.operators import components, detectors, layout, paint, raster, regions, report, score
 from inkwell.sources import exports, images
 from inkwell.sources.results import ResultStore, contents
 from inkwell.sources.shared import fingerprint, kept_while, remembered, stored
@@ -95,6 +95,11 @@ class Pages(Analysis):
         both = self.gray.withColumn("kind", F.lit("gray")).unionByName(ink.withColumn("kind", F.lit("ink")))
         return exports.png_files(both).select("page_id", "kind", "png")
 
+    @cached_property
+    def overlay_images(self) -> DataFrame:
+        """page_id, png of each gray page with its text boxes and detections painted on."""
+        return exports.png_files(paint.painted(self.gray, report.overlays(self.texts, self.detections))).select("page_id", "png")
+
     @cached_property
     def zips(self) -> DataFrame:
         return exports.zip_files(self.crop_images)

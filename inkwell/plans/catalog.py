@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.operators import components, layout, raster, regions, report, score
+from inkwell.operators import components, layout, paint, raster, regions, report, score
 from inkwell.sources import exports, images
 from inkwell.sources import fixtures as fx
 from inkwell.sources.shared import fingerprint, remembered, stored
@@ -84,6 +84,14 @@ def _overlays(spark: SparkSession, d: str) -> DataFrame:
     return report.overlays(a.texts, a.detections)
 
 
+def _painted(spark: SparkSession, d: str, rows: int = 0) -> DataFrame:
+    """The raster pages with the boxes of the same number burned in, whole or in strips."""
+    role = F.element_at(F.array(*map(F.lit, paint.STYLES)), F.col("z") + 1)
+    boxes = fx.boxes(spark, d).withColumn("z", F.col("det_seq") % 3).withColumn("role", role)
+    pages = images.gathered(fx.gray(spark, d))
+    return paint.channels(paint.painted(images.strips(pages, rows) if rows else pages, boxes))
+
+
 def _summary(spark: SparkSession, d: str) -> DataFrame:
     a = _all(spark, d)
     return report.page_summary(a.density, a.texts, a.detections)
@@ -150,6 +158,8 @@ QUERIES = {
     "edge_hist": _edge_hist,
     "edge_threshold_counts": lambda s, d: report.threshold_counts(s.read.parquet(f"{d}/events.parquet"), "value", 50.0),
     "overlay_layers": _overlays,
+    "overlay_pixels": _painted,
+    "overlay_pixels_in_strips": lambda s, d: _painted(s, d, 8),
     "page_summary": _summary,
 }
 
@@ -166,6 +176,19 @@ NMS_BOX = f"""WITH RECURSIVE fx_box AS MATERIALIZED ({STEPS['fx_box']}), ranked
   JOIN (SELECT page_id, arg_max(kept, turn) AS kept FROM nms GROUP BY page_id) n ON r.page_id = n.page_id AND list_contains(kept, rk)"""
 _cols = ", ".join
 
+
+def _painting() -> str:
+    """Each pixel's boxes as a list in order of painting, folded channel by channel."""
+    styles = " UNION ALL ".join(f"SELECT {z} AS z, '{role}' AS role, {list(colour)} AS colour, {share} AS share, {line} AS line" for z, (role, (colour, share, line)) in enumerate(paint.STYLES.items()))
+    fold = "list_reduce(list_prepend(struct_pack(v := [gray, gray, gray], a := 0), coalesce(layers, [])), lambda seen, next: struct_pack(v := list_transform([1, 2, 3], lambda k: (seen.v[k] * (256 - next.a) + next.v[k] * next.a) // 256), a := 0)).v"
+    edge = "x1 + line > c OR x2 - line <= c OR y1 + line > r OR y2 - line <= r"
+    return f"""WITH fx_gray AS MATERIALIZED ({STEPS['fx_gray']}), fx_box AS ({STEPS['fx_box']}), styles AS ({styles}),
+      layers AS (SELECT g.page_id, r, c, list(struct_pack(v := colour, a := CASE WHEN {edge} THEN 256 ELSE share END) ORDER BY z, y1, x1, y2, x2) AS layers
+        FROM fx_gray g JOIN fx_box b ON g.page_id = b.page_id AND c >= x1 AND c < x2 AND r >= y1 AND r < y2 JOIN styles ON z = det_seq % 3 GROUP BY ALL)
+      SELECT page_id, r, c, CAST(v[1] AS INT) AS red, CAST(v[2] AS INT) AS green, CAST(v[3] AS INT) AS blue FROM (SELECT page_id, r, c, {fold} AS v FROM fx_gray LEFT JOIN layers USING (page_id, r, c))"""
+
+
+
 ORACLE_SQL = {
     "gray_luma": GRAY + "SELECT page_id, r, c, CAST(trunc(0.299::DOUBLE * gray + 0.587::DOUBLE * ((gray * 7 + c) % 256) + 0.114::DOUBLE * ((gray * 13 + r) % 256)) AS INT) AS gray FROM fx_gray",
     "contrast_percentiles": GRAY + oracle.limits("fx_gray"),
@@ -232,6 +255,8 @@ ORACLE_SQL = {
     "edge_hist": _hist("events", "value", 80),
     "edge_threshold_counts": "SELECT count(*) FILTER (value >= 50) AS above, count(*) FILTER (value < 50) AS below, round(count(*) FILTER (value >= 50) * 100.0::DOUBLE / count(value), 3) AS above_pct FROM events",
     "overlay_layers": steps("texts", "SELECT page_id, 0 AS z, 'text' AS role, x1, y1, x2, y2, NULL::DOUBLE AS confidence FROM texts UNION ALL SELECT page_id, class + 1, CASE WHEN class = 0 THEN 'standalone' ELSE 'inline' END, x1, y1, x2, y2, confidence FROM det"),
+    "overlay_pixels": _painting(),
+    "overlay_pixels_in_strips": _painting(),
     "page_summary": steps("texts", "SELECT d.page_id, (SELECT count(*) FROM det x WHERE x.page_id = d.page_id) AS equations, (SELECT count(*) FROM texts x WHERE x.page_id = d.page_id) AS text_regions, density_class, font_size FROM density d"),
 }
 
