@@ -8,7 +8,7 @@ import pytest
 from inkwell.plans import analysis
 from inkwell.plans.incremental import TABLES, Collection
 from inkwell.sources import exports, shared
-from inkwell.sources.results import Files, ResultStore, contents
+from inkwell.sources.results import Files, ResultStore, chunked, contents
 from inkwell.streaming import pages
 
 from .test_files import page
