@@ -18,8 +18,8 @@ lower case. Sets link where 100 * intersection >= percent * union. Equal sets ar
 
 An R-tree over all points at once would prune next to nothing, as unrelated texts have much the same counts, hence step 2.
 Null texts count as empty; empty sets link with nothing. Rows that repeat a text, or a doc_id, each get a row. Sets are
-known by hashes of 64 bits: n different ones hold a false match with a chance of about n*n / 2**65. Texts may have any length. An
-empty table gives an empty result. Further columns don't take part; `one_of_each` keeps them whatever their names.
+known by ids of 64 bits and told apart by 64 more: ids that different sets share are found and those sets given others, so
+that 128 bits have to agree by chance. Texts may have any length. An empty table gives an empty result. Further columns don't take part; `one_of_each` keeps them whatever their names.
 """
 
 from __future__ import annotations
@@ -47,6 +47,10 @@ LEAF = 32
 FINE = 256
 #: A set carries its least cell shingles, so that a pair can be left to the least cell that both are seen to share.
 LOWS = 8
+#: What makes a set's check differ from its id.
+CHECK = np.uint64(0xA5A5A5A55A5A5A5A)
+#: Rounds of finding ids that different sets share. Sets that the first leaves are so few that a second is hardly ever needed.
+MAX_ROUNDS = 8
 #: In cells of so many sets the pivots meet all others.
 COVERED = 3
 
@@ -78,6 +82,19 @@ def set_ids(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mixed(_sums(mixed(hashes), ends) + np.diff(ends).astype(np.uint64)).view(np.int64)
 
 
+def checks(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits of each set that don't depend on its id's."""
+    return mixed(_sums(mixed(hashes ^ CHECK), ends) + np.diff(ends).astype(np.uint64)).view(np.int64)
+
+
+def told_apart(sid: np.ndarray, check: np.ndarray, clashes: list[np.ndarray]) -> np.ndarray:
+    """The ids; those that different sets share, by rounds, made anew from id and check."""
+    for shared in clashes:
+        anew = mixed(mixed(sid.view(np.uint64)) + check.view(np.uint64)).view(np.int64)
+        sid = np.where(np.isin(sid, shared), anew, sid)
+    return sid
+
+
 def _unit(size: np.ndarray) -> np.ndarray:
     """A coordinate's unit for sets of a size, so that it fits in a byte."""
     return np.int64(1) << np.maximum(np.frexp(size.astype(np.float64))[1] - 8, 0).astype(np.int64)
@@ -108,8 +125,8 @@ def _coordinates(point: np.ndarray, size: np.ndarray) -> np.ndarray:
     return ((point.view(np.uint64)[:, None] >> (np.arange(GROUPS, dtype=np.uint64) * np.uint64(8))) & np.uint64(255)).astype(np.int64) * _unit(size)[:, None]
 
 
-#: A row for each document (doc_id, digest, n, sid), for each set with cells (near: sid, n, fine, size, packed) and for each of its cells.
-SIGNED = "kind string, doc_id long, digest binary, sid long, n int, token long, place int, point long, fine binary, lows binary, size long, packed binary"
+#: A row for each document (doc_id, digest, n, sid, check), for each set with cells (near: sid, n, fine, size, packed) and for each of its cells.
+SIGNED = "kind string, doc_id long, digest binary, sid long, check long, n int, token long, place int, point long, fine binary, lows binary, size long, packed binary"
 
 
 def _prefix(size: np.ndarray, percent: int) -> np.ndarray:
@@ -130,8 +147,8 @@ def _ask(batches: Iterator[pa.RecordBatch], n: int, bits: int) -> Iterator[pa.Re
         yield blocks.sent_short(row["chunk"], distinct(blocks.short(hashes, bits)), bits)
 
 
-def _sign(batches: Iterator[pa.RecordBatch], n: int, percent: int, bits: int) -> Iterator[pa.RecordBatch]:
-    """Rows as in SIGNED of each chunk; rank: how common a shingle is, by the chunks that have it, or by sets if one has."""
+def _sign(batches: Iterator[pa.RecordBatch], n: int, percent: int, bits: int, clashes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Rows as in SIGNED of each chunk; rank: how common a shingle is, by the chunks that have it, or by sets if one has. clashes: as in told_apart."""
     kinds = dict(x.split() for x in SIGNED.split(", "))
     types = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
 
@@ -141,8 +158,9 @@ def _sign(batches: Iterator[pa.RecordBatch], n: int, percent: int, bits: int) ->
 
     for row in rows_of(batches):
         texts, hashes, ends = _chunk(row, n)
-        size, sid, point = np.diff(ends), set_ids(hashes, ends), points(hashes, ends)
-        yield told("doc", len(size), doc_id=row["ids"], digest=[hashlib.md5(t).digest() for t in texts], n=size.astype(np.int32), sid=sid)
+        size, check, point = np.diff(ends), checks(hashes, ends), points(hashes, ends)
+        sid = told_apart(set_ids(hashes, ends), check, clashes)
+        yield told("doc", len(size), doc_id=row["ids"], digest=[hashlib.md5(t).digest() for t in texts], n=size.astype(np.int32), sid=sid, check=check)
         _, once = np.unique(sid, return_index=True)
         once = once[size[once] > 0]
         first = np.zeros(len(size), bool)
@@ -308,7 +326,17 @@ def members(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFr
     chunks = chunked(docs)
     bits = blocks.bits_for(chunks.count())
     answers = blocks.counted(chunks.mapInArrow(tidied(lambda b: _ask(b, n, bits)), blocks.SENT))
-    signed = written(chunks.join(answers, "chunk", "left").mapInArrow(tidied(lambda b: _sign(b, n, percent, bits)), SIGNED), by="kind")
+    answered, clashes = chunks.join(answers, "chunk", "left"), []
+    for _ in range(MAX_ROUNDS):
+        signed = written(answered.mapInArrow(tidied(lambda b: _sign(b, n, percent, bits, clashes)), SIGNED), by="kind")
+        shared = signed.filter("kind = 'doc'").groupBy("sid").agg(F.min("check").alias("low"), F.max("check").alias("high")).filter("low < high")
+        # By chance n sets share about n*n / 2**65 ids: 3 of 10**10 sets, 27,000 of 10**12.
+        clash = np.array([r.sid for r in shared.select("sid").collect()], np.int64)
+        if not len(clash):
+            break
+        clashes = [*clashes, clash]
+    else:
+        raise RuntimeError(f"different sets still share ids after {MAX_ROUNDS} rounds")
     narrow = signed.filter("kind = 'doc'").select("doc_id", "digest", F.col("n").cast("long").alias("n"), "sid")
     cells = signed.filter("kind = 'cell'").select("token", "sid", "n", "place", "point")
     near = signed.filter("kind = 'near'").select("sid", "n", "fine", "lows", "size", "packed")

@@ -38,6 +38,21 @@ def test_exact_dedup(docs):
 
 
 def test_ngram_jaccard(docs):
+    jaccard_is_right(docs)
+
+
+def test_ngram_jaccard_with_shared_ids(docs, monkeypatch):
+    """Ids of two bits: nearly all of them are shared by different sets, which have to be told apart."""
+    whole = ngram_jaccard.set_ids
+    monkeypatch.setattr(ngram_jaccard, "set_ids", lambda hashes, ends: whole(hashes, ends) & 3)
+    jaccard_is_right(docs)
+    assert sorted(r.doc_id for r in ngram_jaccard.one_of_each(docs).collect()) == [1, 5, 6, 7, 8, 10, 11, 12]
+    monkeypatch.setattr(ngram_jaccard, "MAX_ROUNDS", 1)
+    with pytest.raises(RuntimeError):
+        ngram_jaccard.join(docs)
+
+
+def jaccard_is_right(docs):
     sets, texts = {}, {r[0]: r[1] for r in rows()}
     for k, t in texts.items():
         w = split(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
