@@ -193,4 +193,19 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
+#: What the search finds where it misses no pair.
+SQL = """
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS v,
+         coalesce(len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS good
+  FROM embeddings),
+g AS MATERIALIZED (SELECT r, v, len(v) AS n FROM d WHERE good),
+links AS MATERIALIZED (SELECT x.r AS a, y.r AS b FROM g AS x JOIN g AS y ON x.n = y.n AND x.r <> y.r WHERE CASE WHEN x.n = y.n THEN list_cosine_similarity(x.v, y.v) >= 0.9 END),
+degree AS (SELECT a AS r, count(*) AS n FROM links GROUP BY a),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+named AS (SELECT a AS r, min(vec_id) AS vec_id FROM reach JOIN d ON d.r = reach.b GROUP BY a),
+told AS (SELECT d.vec_id, coalesce(degree.n, 0) AS n_links, least(d.vec_id, named.vec_id) AS component_id FROM d LEFT JOIN degree USING (r) LEFT JOIN named USING (r))
+SELECT vec_id, n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM told
+"""
+
 shipped(__name__)

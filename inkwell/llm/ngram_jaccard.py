@@ -405,4 +405,20 @@ def one_of_each(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFram
     return one_row_each(docs, F.unhex(F.md5(F.coalesce("text", F.lit("")))), written(told))
 
 
+SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents),
+w AS (SELECT r, len(words) AS n, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM d),
+runs AS (SELECT r, place, n, string_agg(word, ' ') OVER (PARTITION BY r ORDER BY place ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS shingle FROM w),
+s AS MATERIALIZED (SELECT DISTINCT r, shingle FROM runs WHERE place <= greatest(n - 4, 1)),
+size AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+shared AS (SELECT x.r AS a, y.r AS b, count(*) AS n FROM s AS x JOIN s AS y ON x.shingle = y.shingle AND x.r <> y.r GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM shared JOIN size AS p ON p.r = a JOIN size AS q ON q.r = b WHERE 100 * shared.n >= 75 * (p.n + q.n - shared.n)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+named AS (SELECT a AS r, min(doc_id) AS doc_id FROM reach JOIN d ON d.r = reach.b GROUP BY a)
+SELECT d.doc_id, coalesce(size.n, 0) AS n_shingles, least(d.doc_id, named.doc_id) AS component_id FROM d LEFT JOIN size USING (r) LEFT JOIN named USING (r)
+"""
+
 shipped(__name__)

@@ -91,6 +91,9 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.SQL,
+    "op5_ngram_jaccard": ngram_jaccard.SQL,
+    "op8_embedding_dedup": embedding_dedup.SQL,
+    "op9_substring_dedup": substring.SQL,
     "op11_filter_audit": filter_audit.SQL,
     "op13_conversation_trie": conversation_trie.SQL,
 }

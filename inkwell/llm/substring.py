@@ -11,7 +11,8 @@ to the blocks of the hash space, which answer with one bit for each: does anothe
 thus one hash per chunk, however many documents hold it. Documents without living windows are finished at once.
 
 Words are `[^\\x20\\x09-\\x0D]+`; null texts have none. Windows don't cross documents. Rows that repeat a text remove each
-other's windows. Hashes have 64 bits, those of two levels must meet for a false match. Further columns don't take part.
+other's windows. Hashes have 64 bits, those of two levels must meet for a false match. Texts may have
+any length, an empty table gives an empty result. Further columns don't take part.
 """
 
 from __future__ import annotations
@@ -191,4 +192,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False)
     return finished
 
 
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+w AS (SELECT r, len(words) AS n, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM d),
+runs AS (SELECT r, place, word, CASE WHEN place <= n - 34 THEN string_agg(word, ' ') OVER (PARTITION BY r ORDER BY place ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING) END AS run FROM w),
+told AS (SELECT r, place, word, run IS NOT NULL AND count(*) OVER (PARTITION BY run) > 1 AS twice FROM runs),
+gone AS (SELECT r, place, word, bool_or(twice) OVER (PARTITION BY r ORDER BY place ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS removed FROM told),
+kept AS (SELECT r, count(*) AS n_words, count(*) FILTER (removed) AS n_removed, string_agg(word, ' ' ORDER BY place) FILTER (NOT removed) AS text FROM gone GROUP BY r)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""
+
 shipped(__name__)
