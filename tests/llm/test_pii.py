@@ -60,6 +60,50 @@ def test_added_spans(spark):
     assert hit >= 0.95 * spans and wrong <= 0.03 * alike
 
 
+#: Sentences written by hand, with what is to be redacted in brackets.
+BY_HAND = (
+    "Please write to [anna.meier (at) firma (dot) de] before noon.",
+    "our old address was [jsmith [at] example.org], it bounces now",
+    "Dial [(212) 555-0187] and ask for the night desk.",
+    "phone: [0171/5559283], evenings only",
+    "the box answers on [2001:0db8:85a3:0000:0000:8a2e:0370:7334] again",
+    'password = "[Tr0ub4dor&3xyz]"',
+    "export API_KEY=[sk-9fK2mQ7xLw0ZbV4tYc8RdJ1e]",
+    "Authorization: [d41d8cd98f00b204e9800998ecf8427e]",
+    "Transfer the deposit to [DE89 3704 0044 0532 0130 00] by Friday.",
+    "Her SSN [219-09-9999] was on the form.",
+    "account no. [4929173300518264] is overdrawn",
+    "Konto [532013000] bei der Sparkasse",
+    "Paid with [4539.1488.0343.6467] last week.",
+    "token: [eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9]",
+    "The sum of 1219538112535716 and 9807915762804490 is not a card.",
+    "It ran for 86400 seconds on 2023-11-05 at 14:25:59.",
+    "See chapter 12, pages 340-355, ISBN 978-3-16-148410-0.",
+    "Release 10.4.2 fixes issue 20481 in module io_utils_test_helpers.",
+    "Population rose from 1,204,331 to 1,350,009 within 15 years.",
+    "The score was 3:2:1 in sets, 120 minutes in all.",
+    "build 20240117 of the tool lives in /usr/local/share/toolkit/bin",
+    "Donaudampfschifffahrtsgesellschaftskapitaen is one word.",
+    "================ SECTION FOUR ================",
+    "order 10023344 shipped, tracking to follow",
+    "the key: patience",
+    "pi is about 3.14159265358979 and e 2.718281828",
+)
+
+
+def test_by_hand(spark):
+    rows = [(k, t.replace("[at]", "\0").replace("[", "").replace("]", "").replace("\0", "[at]")) for k, t in enumerate(BY_HAND)]
+    got = {r.doc_id: [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    wrong, missed = [], []
+    for k, text in rows:
+        marked = re.search(r"\[(?!at\])(.*)\]", BY_HAND[k])
+        want = text.find(marked[1]) if marked else -1
+        covered = [a <= want + 1 and b >= want + len(marked[1]) - 1 for a, b in got[k]] if marked else []
+        missed += [text] if marked and not any(covered) else []
+        wrong += [(text, text[a:b]) for a, b in got[k] if not marked or b <= want or a >= want + len(marked[1])]
+    assert not missed and not wrong
+
+
 def test_thresholds_are_finite(spark):
     model = pii.fit(spark)
     assert len(model["least"]) == len(pii.WIDE) and all(abs(x) < 50 for x in model["least"])
