@@ -3,34 +3,88 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from inkwell.sources.shared import stored
 
 
-def _settle(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-    """Each node's least connected node, by pointer jumping over one page's arrays."""
-    nodes = nodes.sort_values("node")
-    names = nodes["node"].to_numpy()
-    a, b = np.searchsorted(names, edges["a"].to_numpy()), np.searchsorted(names, edges["b"].to_numpy())
-    label = _settled(len(names), a, b)
-    return pd.DataFrame({"page_id": nodes["page_id"].to_numpy(), "node": names, "component": names[label]})
+#: Rows whose pages are handled together.
+ROWS = 1 << 17
+
+
+def by_pages(rows: DataFrame, order: list[str], f: Callable[[pa.Table], pa.Table], schema: StructType | str) -> DataFrame:
+    """f of whole pages' rows, each page's in this order: one shuffle, and one call for many small pages. A task holds no more than some rows and the page they end in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n, want = 0, ROWS
+        for batch in (b for b in batches if b.num_rows):
+            held.append(batch)
+            n += batch.num_rows
+            if n < want:
+                continue
+            table = pa.Table.from_batches(held)
+            ids = table.column("page_id").to_numpy()
+            end = int(np.searchsorted(ids, ids[-1]))  # where the last page begins
+            if end:
+                yield from f(table.slice(0, end)).to_batches()
+            held, n = table.slice(end).combine_chunks().to_batches(), len(ids) - end
+            want = max(ROWS, 2 * n)
+        if held:
+            yield from f(pa.Table.from_batches(held)).to_batches()
+
+    return rows.repartition("page_id").sortWithinPartitions("page_id", *order).mapInArrow(run, schema)
+
+
+def page_turns(page: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each page begins in ascending page numbers, and the place of each row's page among them."""
+    cuts = np.flatnonzero(np.append(True, page[1:] != page[:-1]))
+    return cuts, np.repeat(np.arange(len(cuts)), np.diff(np.append(cuts, len(page))))
+
+
+def _settle(page: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """page, node, component of whole pages' edges, by pointer jumping over all of them at once; page is ascending, a node that may have no edge has one to itself."""
+    cuts, turn = page_turns(page)
+    loops = a == b
+    order = np.lexsort((a[loops], turn[loops]))
+    nodes, of = a[loops][order], turn[loops][order]
+    first, last = (int(f(nodes)) if len(nodes) else 0 for f in (np.min, np.max))
+    if (last - first + 1) * len(cuts) >= 1 << 62:  # numbers far apart: their places among all
+        known, first = np.unique(nodes), 0
+        names, a, b, last = (*(np.searchsorted(known, x) for x in (nodes, a, b)), len(known))
+    else:
+        names = nodes
+    span = last - first + 1
+    at = lambda t, x: t * span + (x - first)  # noqa: E731 (a page and a node as one number)
+    u, v = (np.searchsorted(at(of, names), at(turn[~loops], x[~loops])) for x in (a, b))
+    label = _settled(len(nodes), u, v)
+    return page[cuts][of], nodes, nodes[label]
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """page_id, node, component (its least node) from nodes (page_id, node) and edges (page_id, a, b). A page is one group: it is bounded by its pixels."""
+    """page_id, node, component (its least node) from nodes (page_id, node) and edges (page_id, a, b).
+
+    Nodes (as edges to themselves) and edges meet page by page in one shuffle; a task settles many small pages at once and holds no
+    more than some rows and the page they end in: a page is bounded by its pixels.
+    """
     page = nodes.schema["page_id"].dataType
-    nodes = nodes.select("page_id", F.col("node").cast("long").alias("node"))
+    node = F.col("node").cast("long")
+    nodes = nodes.select("page_id", node.alias("a"), node.alias("b"))
     edges = edges.select(F.col("page_id").cast(page).alias("page_id"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
-    return nodes.groupBy("page_id").cogroup(edges.groupBy("page_id")).applyInPandas(_settle, f"page_id {page.simpleString()}, node long, component long")
+
+    def settled(table: pa.Table) -> pa.Table:
+        found = _settle(*(c.to_numpy() for c in table.columns))
+        return pa.table([pa.array(found[0], table.schema.field(0).type), *map(pa.array, found[1:])], names=["page_id", "node", "component"])
+
+    return by_pages(nodes.unionByName(edges), [], settled, f"page_id {page.simpleString()}, node long, component long")
 
 
 def pixel_runs(pixels: DataFrame) -> DataFrame:

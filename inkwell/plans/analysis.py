@@ -47,7 +47,8 @@ class Analysis:
 
     @cached_property
     def parts(self) -> DataFrame:
-        return stored(regions.split_members(self.paras, self.limits))
+        paras = self.__dict__["paras"] if "paras" in self.__dict__ else regions.para_members(self.members, self.limits.para_factor)
+        return stored(regions.split_members(paras, self.limits))  # both are windows over the same groups
 
     @cached_property
     def regions(self) -> DataFrame:
