@@ -2,7 +2,7 @@
 
 Statistics (histograms, percentiles, Otsu thresholds) are aggregations over (page_id, gray, n) tables, counted from pixels or
 from rasters. What moves pixels (blur, thresholds by place, morphology) works on rasters, one row a page, without a shuffle;
-for tables of pixels (page_id, r, c, value) these gather a page's pixels once and spread the result again.
+for tables of pixels (page_id, r, c, value) these gather a page's pixels once, in strips, and spread the result again.
 
 Wherever rasters are taken, pages may come in strips (images.strips) as well, with the same result: histograms are added up,
 and what looks around a pixel gets the rows around its strip from the strips beside it. So no task holds more than a strip.
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from inkwell.sources.images import exploded, gathered, mapped, stenciled
+from inkwell.sources.images import STRIP, exploded, gathered, mapped, stenciled
 from inkwell.sources.shared import stored
 
 LOW_CONTRAST = 120
@@ -143,7 +143,7 @@ def blurred(rasters: DataFrame, radius: Column | int, most: int = 2) -> DataFram
 
 def blur(pixels: DataFrame, radius: int) -> DataFrame:
     """Separable Gaussian, rounded half to even."""
-    return exploded(blurred(gathered(pixels), radius)) if radius else pixels.select("page_id", "r", "c", "gray")
+    return exploded(blurred(gathered(pixels, rows=STRIP), radius)) if radius else pixels.select("page_id", "r", "c", "gray")
 
 
 def _otsu(counts: DataFrame, *keys: str) -> DataFrame:
@@ -220,7 +220,7 @@ def binarized(rasters: DataFrame, tile: int | None = None) -> DataFrame:
 
 def adaptive_binarize(pixels: DataFrame) -> DataFrame:
     """page_id, r, c, ink: below the threshold that tiles give when interpolated, or extrapolated towards the edges."""
-    return exploded(binarized(stored(gathered(pixels))), "ink")
+    return exploded(binarized(stored(gathered(pixels, rows=STRIP))), "ink")
 
 
 def _eroded(ink: np.ndarray, least: int) -> np.ndarray:
@@ -246,20 +246,20 @@ def morphed(rasters: DataFrame, steps: str) -> DataFrame:
 
 
 def erode(pixels: DataFrame) -> DataFrame:
-    return exploded(morphed(gathered(pixels, "ink"), "e"), "ink")
+    return exploded(morphed(gathered(pixels, "ink", STRIP), "e"), "ink")
 
 
 def dilate(pixels: DataFrame) -> DataFrame:
     """As erode, leaves the outermost pixels blank."""
-    return exploded(morphed(gathered(pixels, "ink"), "d"), "ink")
+    return exploded(morphed(gathered(pixels, "ink", STRIP), "d"), "ink")
 
 
 def opening(pixels: DataFrame) -> DataFrame:
-    return exploded(morphed(gathered(pixels, "ink"), "ed"), "ink")
+    return exploded(morphed(gathered(pixels, "ink", STRIP), "ed"), "ink")
 
 
 def closing(pixels: DataFrame) -> DataFrame:
-    return exploded(morphed(gathered(pixels, "ink"), "de"), "ink")
+    return exploded(morphed(gathered(pixels, "ink", STRIP), "de"), "ink")
 
 
 def preprocess(rasters: DataFrame, noise: bool = False, open_: bool = False, close: bool = False, tile: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
