@@ -20,8 +20,8 @@ from inkwell.sources.shared import stored
 ROWS = 1 << 17
 
 
-def by_pages(rows: DataFrame, order: list[str], f: Callable[[pa.Table], pa.Table], schema: StructType | str) -> DataFrame:
-    """f of whole pages' rows, each page's in this order: one shuffle, and one call for many small pages. A task holds no more than some rows and the page they end in."""
+def by_pages(rows: DataFrame, order: list[str], f: Callable[[pa.Table], pa.Table], schema: StructType | str, key: str = "page_id") -> DataFrame:
+    """f of whole pages' (or another key's) rows, each page's in this order: one shuffle, and one call for many small pages. A task holds no more than some rows and the page they end in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -32,7 +32,7 @@ def by_pages(rows: DataFrame, order: list[str], f: Callable[[pa.Table], pa.Table
             if n < want:
                 continue
             table = pa.Table.from_batches(held)
-            ids = table.column("page_id").to_numpy()
+            ids = table.column(key).to_numpy()
             end = int(np.searchsorted(ids, ids[-1]))  # where the last page begins
             if end:
                 yield from f(table.slice(0, end)).to_batches()
@@ -41,7 +41,7 @@ def by_pages(rows: DataFrame, order: list[str], f: Callable[[pa.Table], pa.Table
         if held:
             yield from f(pa.Table.from_batches(held)).to_batches()
 
-    return rows.repartition("page_id").sortWithinPartitions("page_id", *order).mapInArrow(run, schema)
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
 def page_turns(page: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

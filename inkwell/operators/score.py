@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from inkwell.sources.shared import stored
 
+from .components import by_pages
 from .regions import by_class
 
 # Fixed values by density class (sparse, medium, dense).
@@ -200,25 +202,84 @@ def by_fold(boxes: DataFrame, order: list[str], share: float = 0.7) -> DataFrame
     return out.select("page_id", (F.col("rank") + 1).alias("rank"), *[F.col(f"b.{c}").alias(c) for c in boxes.columns if c != "page_id"])
 
 
-def nested_pairs(boxes: DataFrame, share: float) -> DataFrame:
-    """page_id, i, j of boxes (page_id, turn, less, x1, y1, x2, y2) of which `share` (over a half) of the later, j, lies in the earlier, i.
+#: Pairs that a task compares at a time.
+STEP = 1 << 20
+#: Rounds that a task goes through within its tiles for so many pairs; what is open then is left to the rounds between tiles.
+ROUNDS = 256
+TILE = ["page_id", "tx", "ty"]
 
-    The middle of j then lies in i. So i stands in the few cells, of the power of two next above its longer side, that it covers, and
-    j in the cell of its middle, at each size of cell that the page has and that a box holding it can have.
+
+def _tiles(boxes: DataFrame, whole: int) -> DataFrame:
+    """boxes (page_id, turn, less, x1, y1, x2, y2) once for each tile that they cover: tile, a number of page_id, tx, ty; own, whether their middle lies there.
+
+    A page of up to `whole` boxes is one tile. Else a tile's side is the power of two above twice the root of the mean square of
+    the longer sides, so boxes cover few tiles on average, whatever their sizes.
     """
-    size = lambda side: F.ceil(F.log2(F.greatest(F.lit(1.0), side.cast("double")))).cast("int")
-    cell = lambda x, level: F.floor(x / F.pow(F.lit(2.0), level)).cast("int")
-    side, level = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")), F.col("level")
-    sized = boxes.filter("less < 0").withColumn("level", size(side))
-    across = lambda a, b: F.explode(F.sequence(cell(F.least(a, b), level), cell(F.greatest(a, b), level)))
-    holders = sized.withColumn("cx", across(F.col("x1"), F.col("x2"))).withColumn("cy", across(F.col("y1"), F.col("y2")))
-    levels = sized.groupBy("page_id").agg(F.collect_set("level").alias("levels"))  # 32 at most
-    held = sized.drop("level").join(levels, "page_id").withColumn("level", F.explode(F.filter("levels", lambda x: x >= F.floor(F.log2(F.greatest(F.lit(1.0), side * F.lit(share)))))))
-    held = held.withColumn("cx", cell((F.col("x1") + F.col("x2")) / 2.0, level)).withColumn("cy", cell((F.col("y1") + F.col("y2")) / 2.0, level))
-    box = ("less", "x1", "y1", "x2", "y2")
-    k = holders.select("page_id", "level", "cx", "cy", F.col("turn").alias("i"), F.struct(*box).alias("k"))
-    d = held.select("page_id", "level", "cx", "cy", F.col("turn").alias("j"), F.struct(*box).alias("d"))
-    return k.join(d, ["page_id", "level", "cx", "cy"]).filter(F.col("i") < F.col("j")).filter(_inside(F.col("d"), F.col("k"), share)).select("page_id", "i", "j")
+    side = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).cast("double")
+    page = W.partitionBy("page_id")
+    level = F.ceil(F.log2(F.greatest(F.lit(1.0), F.sqrt(F.avg(side * side).over(page))))) + 1
+    wide = F.when(F.count("*").over(page) > whole, F.pow(F.lit(2.0), level))
+    cell = lambda x: F.coalesce(F.floor(x / F.col("wide")), F.lit(0)).cast("long")
+    across = lambda a, b: F.explode(F.sequence(cell(F.least(a, b)), cell(F.greatest(a, b))))
+    middle = lambda a, b: cell((F.col(a).cast("double") + F.col(b)) / 2.0)
+    sized = boxes.select("page_id", "turn", "less", "x1", "y1", "x2", "y2", wide.alias("wide")).filter("less < 0")
+    dealt = sized.withColumn("tx", across(F.col("x1"), F.col("x2"))).withColumn("ty", across(F.col("y1"), F.col("y2")))
+    own = (F.col("tx") == middle("x1", "x2")) & (F.col("ty") == middle("y1", "y2"))
+    return dealt.select(F.xxhash64(*TILE).alias("tile"), *TILE, "turn", own.alias("own"), "x1", "y1", "x2", "y2")
+
+
+def _open(i: np.ndarray, j: np.ndarray, mine: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Settles of the boxes `mine` what their pairs tell, in state (0: open, 1: stays, 2: goes); returns the pairs of those left open."""
+    for _ in range(ROUNDS):
+        waits = np.zeros(len(state), bool)
+        waits[j] = True
+        state[mine[~waits[mine] & (state[mine] == 0)]] = 1
+        state[j[state[i] == 1]] = 2
+        live = (state[i] != 2) & (state[j] != 2)
+        if live.all():
+            break
+        i, j = i[live], j[live]
+    return i, j
+
+
+def _judged(boxes: DataFrame, share: float, whole: int, settle: bool) -> DataFrame:
+    """page_id, i, j of boxes of which `share` (over a half) of the later, j, lies in the earlier, i; where a tile settles boxes by itself only those that go, with 0 for i, and the pairs that are left.
+
+    The middle of j then lies in i, so the tile of j's middle has all that may hold it. Within a tile boxes go in turn, some at a
+    time, and meet those alone that haven't gone.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        page, tx, ty, turn, own, *box = (table.column(c).to_numpy() for c in (*TILE, "turn", "own", "x1", "y1", "x2", "y2"))
+        x1, y1, x2, y2 = (x.astype(np.int64) if x.dtype.kind in "iu" else x for x in box)
+        fresh = np.append(True, (page[1:] != page[:-1]) | (tx[1:] != tx[:-1]) | (ty[1:] != ty[:-1]))
+        start = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+        area, state = (x2 - x1) * (y2 - y1), np.zeros(len(turn), np.int8)
+        asking, at, found = np.flatnonzero(own), 0, [(np.zeros(0, np.int64),) * 2]
+        while at < len(asking):
+            here = np.flatnonzero(state != 2)
+            first = np.searchsorted(here, start[asking[at:]])
+            many = np.searchsorted(here, asking[at:]) - first
+            n = max(1, int(np.searchsorted(np.cumsum(many), STEP, "right")))
+            mine, first, many = asking[at : at + n], first[:n], many[:n]
+            j = np.repeat(mine, many)
+            i = here[np.arange(len(j)) + np.repeat(first - (np.cumsum(many) - many), many)]
+            w, h = np.minimum(x2[i], x2[j]) - np.maximum(x1[i], x1[j]), np.minimum(y2[i], y2[j]) - np.maximum(y1[i], y1[j])
+            inside = (w > 0) & (h > 0) & (w * h / area[j] >= share)
+            i, j = i[inside], j[inside]
+            found.append(_open(i, j, mine, state) if settle else (i, j))
+            at += n
+        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+        gone = np.flatnonzero(state == 2)
+        return pa.table({"page_id": table.column("page_id").take(pa.array(np.append(gone, j))), "i": np.append(np.zeros(len(gone), np.int64), turn[i]), "j": turn[np.append(gone, j)]})
+
+    page = boxes.schema["page_id"].dataType.simpleString()
+    return by_pages(_tiles(boxes, whole), [*TILE, "turn"], run, f"page_id {page}, i long, j long", "tile")
+
+
+def nested_pairs(boxes: DataFrame, share: float, whole: int = FOLD) -> DataFrame:
+    """page_id, i, j of boxes (page_id, turn, less, x1, y1, x2, y2) of which `share` (over a half) of the later, j, lies in the earlier, i."""
+    return _judged(boxes, share, whole, False)
 
 
 def _in_turn(pairs: pd.DataFrame) -> pd.DataFrame:
@@ -233,15 +294,18 @@ def _in_turn(pairs: pd.DataFrame) -> pd.DataFrame:
 
 
 def by_pairs(boxes: DataFrame, order: list[str], share: float = 0.7, most: int = PAIRS) -> DataFrame:
-    """suppress_nested by rounds over pairs (nested_pairs): boxes that no other may remove stay, what lies in them goes, with all its pairs.
+    """suppress_nested by rounds over pairs: boxes that no other may remove stay, what lies in them goes, with all its pairs.
 
-    Each round settles at least the first of every chain of pairs; as soon as no page has more than `most` pairs left, these
-    are gone through in turn, page by page.
+    Tiles of a page (_judged) go through the rounds where their boxes lie; pairs that hang on other tiles are settled in rounds
+    over all. Each round settles at least the first of every chain of pairs; as soon as no page has more than `most` pairs left,
+    these are gone through in turn, page by page. A page of more than `most` boxes, or FOLD, is never one tile.
     """
     page = boxes.schema["page_id"].dataType.simpleString()
     place = F.row_number().over(W.partitionBy("page_id").orderBy("less", *order))
     turned = stored(boxes.withColumn("less", _less()).withColumn("turn", place.cast("long")))
-    pairs, gone = stored(nested_pairs(turned.select("page_id", "turn", "less", "x1", "y1", "x2", "y2"), share)), []
+    found = stored(_judged(turned, share, min(FOLD, most), True))
+    gone = [found.filter("i = 0").select("page_id", "j")]
+    pairs = stored(found.filter("i > 0").join(gone[0].withColumnRenamed("j", "i"), ["page_id", "i"], "left_anti").select("page_id", "i", "j"))
     while (pairs.groupBy("page_id").count().agg(F.max("count")).first()[0] or 0) > most:
         firm = pairs.select("page_id", "i").distinct().join(pairs.select("page_id", F.col("j").alias("i")), ["page_id", "i"], "left_anti")
         out = stored(pairs.join(firm, ["page_id", "i"]).select("page_id", "j").distinct())

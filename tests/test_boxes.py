@@ -86,3 +86,24 @@ def test_near_boxes(spark, seed):
     assert sorted(map(tuple, edges.collect())) == sorted(want)
     plan = edges._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize(("seed", "spread", "most", "turns"), [(6, 60, 60, 256), (8, 60, 100000, 2)])
+def test_tiles(spark, seed, spread, most, turns, monkeypatch):
+    """Boxes that meet across tiles, few at a time, and chains longer than a task's rounds."""
+    rows = boxes(seed, 300, spread) + [(9, 0, -5000, -5000, 5000, 5000, "frame"), (9, 1, -4999, -4999, 4999, 0, "half"), (9, 2, 40, 40, 48, 48, "dot")]
+    table = spark.createDataFrame(rows, BOX).repartition(3)
+    monkeypatch.setattr(score, "STEP", 50)
+    monkeypatch.setattr(score, "ROUNDS", turns)
+    assert sorted(map(tuple, score.by_pairs(table, ["seq"], most=most).collect())) == greedy(rows)
+
+
+def test_rounds_send_few_pairs(spark, monkeypatch):
+    """What boxes of a tile settle among themselves isn't sent as pairs."""
+    rows = [(p, k, 3 * (k % 40), 5 * (k // 40), 3 * (k % 40) + 40, 5 * (k // 40) + 60, "n") for p in range(4) for k in range(240)]
+    table, sent = spark.createDataFrame(rows, BOX), []
+    keep = score.stored
+    monkeypatch.setattr(score, "stored", lambda df: sent.append(keep(df)) or sent[-1])
+    assert sorted(map(tuple, score.by_pairs(table, ["seq"], most=100).collect())) == greedy(rows)
+    turned = sent[0].select("page_id", "turn", "less", "x1", "y1", "x2", "y2")
+    assert 4 * sum(df.filter("i > 0").count() for df in sent if "i" in df.columns) < score.nested_pairs(turned, 0.7).count()
