@@ -15,7 +15,8 @@ is left, one line a set, is joined:
    among the `PIVOTS` earliest looks no further: a crowd of similar lines makes one pair a member.
 5. Pairs are verified on whole sets of word hashes, which are made once more for the lines that pairs name.
 6. Sets that have looked at less than all, and found nothing, meet all earlier sets of their words in a second turn, to
-   which only their words' entries are sent. So no link is lost.
+   which only their words' entries are sent. These tell the first words of their sets, so that of the words which two sets
+   share the first alone makes a pair. So no link is lost.
 
 A word stands for 42 bits of its hash besides its rarity, a line's place and set for 64: a pair of lines is misjudged with a
 chance of about 2**-30.
@@ -56,6 +57,9 @@ STEP = 400_000
 ASKED_BITS = 20
 NO_ID = -(2**63)
 ENTRY = np.dtype([("word", "<u4"), ("n", "<u4"), ("place", "<u4"), ("line", "<u4"), ("probe", "<u4"), ("mark", "<u4"), ("doc", "<i8"), ("fold", "<u8"), ("second", "<u8"), ("third", "<u8")])
+#: Words of its prefix that an entry tells in the second turn; sets that share later words alone may be paired by several.
+TOLD = 32
+TOLD_ENTRY = np.dtype([*ENTRY.descr, ("told", "<u4", (TOLD,))])
 ENTRIES = "block int, n int, entries binary"
 #: a, b: lines, b earlier, by number(); rest: not the likeliest partner; differ: bits; more: a has looked at less than all.
 PAIRS = "rest boolean, a long, b long, differ int, more boolean"
@@ -112,10 +116,11 @@ class Lines:
         parts = (np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == k, one, np.uint64(0)), self.starts) for k in (1, 2))
         return fold, *(np.where(self.n > FEW, part, np.uint64(0)) for part in parts)
 
-    def entries(self, percent: int) -> np.ndarray:
-        """The prefixes of the batch's sets, each at its first place."""
+    def entries(self, percent: int, wanted: np.ndarray | None = None) -> np.ndarray:
+        """The prefixes of the batch's sets, each at its first place; with `wanted` those of wanted words (by their first ASKED_BITS), with the words told."""
+        kind = ENTRY if wanted is None else TOLD_ENTRY
         if not len(self.n):
-            return np.zeros(0, ENTRY)
+            return np.zeros(0, kind)
         order = np.lexsort((self.line, self.doc, self.set))
         here = self.set[order]
         chosen = order[np.append(True, here[1:] != here[:-1])]
@@ -123,10 +128,17 @@ class Lines:
         prefix = n - -(-percent * n // 100) + 1
         place = np.arange(prefix.sum()) - np.repeat(np.cumsum(prefix) - prefix, prefix)
         fold, second, third = self.maps()
-        out = np.zeros(len(place), ENTRY)
         of = np.repeat(chosen, prefix)
-        out["word"] = self.finished[self.starts[of] + place] >> np.uint64(32)
+        word = self.finished[self.starts[of] + place] >> np.uint64(32)
+        if wanted is not None:
+            some = wanted[word >> np.uint64(32 - ASKED_BITS)]
+            of, place, word = of[some], place[some], word[some]
+        out = np.zeros(len(place), kind)
+        out["word"] = word
         out["place"] = place
+        for k in range(TOLD if wanted is not None else 0):
+            more = np.flatnonzero(place > k)
+            out["told"][more, k] = self.finished[self.starts[of[more]] + k] >> np.uint64(32)
         for name, values in (("n", self.n), ("line", self.line), ("doc", self.doc), ("mark", self.marks()), ("fold", fold), ("second", second), ("third", third)):
             out[name] = values[of]
         return out
@@ -134,12 +146,12 @@ class Lines:
 
 def packed(entries: np.ndarray) -> bytes:
     """Byte by byte: the bytes that seldom change shrink to next to nothing."""
-    return pa.compress(np.ascontiguousarray(entries.view(np.uint8).reshape(len(entries), ENTRY.itemsize).T).tobytes(), codec="zstd", asbytes=True)
+    return pa.compress(np.ascontiguousarray(entries.view(np.uint8).reshape(len(entries), entries.itemsize).T).tobytes(), codec="zstd", asbytes=True)
 
 
-def unpacked(n: int, data: bytes) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(data, decompressed_size=n * ENTRY.itemsize, codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(ENTRY.itemsize, n).T).reshape(-1).view(ENTRY)
+def unpacked(n: int, data: bytes, kind: np.dtype) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=n * kind.itemsize, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(kind.itemsize, n).T).reshape(-1).view(kind)
 
 
 def _dealt(entries: np.ndarray, bits: int) -> pa.RecordBatch:
@@ -179,6 +191,7 @@ class Block:
         e = e[np.argsort((e["word"].astype(np.uint64) << np.uint64(32)) | e["n"], kind="stable")]
         self.percent, self.word, self.n = percent, e["word"], e["n"].astype(np.int64)
         self.doc, self.line, self.mark, self.probe, self.fold, self.second, self.third = (e[c].copy() for c in ("doc", "line", "mark", "probe", "fold", "second", "third"))
+        self.told = e["told"].copy() if "told" in e.dtype.names else None
         self.place = e["place"].astype(np.int64)
         word = self.word.astype(np.uint64) << np.uint64(32)
         key = word | e["n"]
@@ -210,8 +223,25 @@ class Block:
             i, j, differ = np.concatenate([i[late], j[soon]]), np.concatenate([j[late], i[soon]]), np.concatenate([differ[late], differ[soon]])
         else:
             i, j, differ = i[late], j[late], differ[late]
+        if self.told is not None:
+            new = ~self.told_before(i, j)
+            i, j, differ = i[new], j[new], differ[new]
         self.found.append((i, j, differ))
 
+    def told_before(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether a word before, at which the pair passes too, makes this pair."""
+        out = np.zeros(len(i), bool)
+        for a in range(0, len(i), STEP // TOLD):
+            x, y = i[a : a + STEP // TOLD], j[a : a + STEP // TOLD]
+            n, m, both = self.n[x], self.n[y], self.percent * (self.n[x] + self.n[y])
+            his = self.told[y]
+            his_own = np.arange(TOLD) < self.place[y][:, None]
+            for k in range(min(TOLD, int(self.place[x].max()))):
+                at, l = np.nonzero((his == self.told[x, k][:, None]) & his_own & (self.place[x] > k)[:, None])
+                passes = (100 + self.percent) * (np.minimum(k, l) + np.minimum(n[at] - k, m[at] - l)) >= both[at]
+                out[a + at[passes]] = True
+        return out
+
     def ranges(self, asking: np.ndarray, low: np.ndarray, high: np.ndarray, turned: bool) -> None:
         """Compares each of asking with its places low to high, STEP pairs at a time."""
         counts = high - low
@@ -288,7 +318,7 @@ def _met(sent: DataFrame, percent: int, crowd: int | None, best: int | None) ->
                     yield met(held)
                     held = []
                 now = block
-                held.append(unpacked(n, data))
+                held.append(unpacked(n, data, ENTRY if crowd else TOLD_ENTRY))
         if held:
             yield met(held)
 
@@ -380,9 +410,9 @@ def marks(docs: DataFrame, percent: int = PERCENT, crowd: int = CROWD, best: int
 
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in slices(batches):
-                e = Lines(part, levels.value).entries(percent)
+                e = Lines(part, levels.value).entries(percent, wanted.value)
                 e["probe"] = asked(e)
-                yield _dealt(e[wanted.value[e["word"] >> (32 - ASKED_BITS)]], bits)
+                yield _dealt(e, bits)
 
         met = _met(docs.mapInArrow(tidied(probe), ENTRIES), percent, None, None)
         gone = gone.unionByName(_gone(docs, levels, met, percent)[0]).distinct()

@@ -74,3 +74,15 @@ def test_summary_and_clean(spark):
 def test_empty(spark):
     table = spark.createDataFrame([], "doc_id long, text string, mark long")
     assert line_dedup.summary(table).count() == 0 and line_dedup.clean(table).columns == table.columns
+
+
+def test_pairs_once_over_blocks(spark, monkeypatch):
+    """In the second turn lines that share words of many blocks make one pair, and none is lost."""
+    docs, met = lines(12, 300, 24, 6), []
+    keep = line_dedup._met
+    monkeypatch.setattr(line_dedup, "bits_for", lambda n: 5)
+    monkeypatch.setattr(line_dedup, "_met", lambda *args: met.append(keep(*args)) or met[-1])
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.line, r.removed) for r in line_dedup.marks(table, crowd=4, best=1).collect()), key=str)
+    assert got == brute(docs) and len(met) == 2
+    assert met[1].count() == met[1].select("a", "b").distinct().count() > 100
