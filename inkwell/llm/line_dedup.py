@@ -21,9 +21,8 @@ is left, one line a set, is joined:
 A word stands for 42 bits of its hash besides its rarity, a line's place and set for 64: a pair of lines is misjudged with a
 chance of about 2**-30.
 
-Style: free. The operator is dealt as native; three native versions, all in DataFrame expressions, took 923 to 1127 CPU
-seconds a GB against 400 allowed, and more disk than allowed (README). So words, hashes and the join of a block are numpy
-under mapInArrow; folding, pairs, verification and results are DataFrame operations.
+`summary` and `clean` go by line_join, which does the same in DataFrame operations alone; `marks`, here, is the form whose words,
+hashes and join of a block are numpy under mapInArrow.
 
 Words are `[^\\x20\\x09-\\x0D]+`; lines end at \\n. Lines without words and null texts lose nothing; an empty table gives an
 empty result. Null doc_ids come first. Rows that repeat a doc_id share their places: lines at equal places aren't earlier
@@ -40,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import line_join
 from .blocks import bits_for
 from .common import in_sieve, PASS_BYTES, plain_names, shipped, sieve, slices, small_batches, tabled, tidied, totals, written
 from .hashing import Words, distinct, mixed
@@ -435,7 +435,7 @@ def _id() -> Column:
 
 def summary(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_lines (with words), n_removed, removed (their numbers, joined by commas); documents without words have 0, 0 and an empty string. Rows that repeat a doc_id each tell of all their lines together."""
-    counted = marks(docs, percent).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.col("removed").cast("long")).alias("n_removed"), F.array_sort(F.collect_set(F.when(F.col("removed"), F.col("line")))).alias("numbers"))
+    counted = line_join.removed(docs, percent).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.col("removed").cast("long")).alias("n_removed"), F.array_sort(F.collect_set(F.when(F.col("removed"), F.col("line")))).alias("numbers"))
     counted = counted.withColumnRenamed("doc_id", "of")
     out = docs.select("doc_id").join(counted, F.col("doc_id").eqNullSafe(F.col("of")), "left")
     return out.select("doc_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_lines", "n_removed")), F.concat_ws(",", F.transform("numbers", lambda x: x.cast("string"))).alias("removed"))
@@ -444,7 +444,7 @@ def summary(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 @plain_names("doc_id", "text")
 def clean(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs with the removed lines cut from text; null stays null."""
-    gone = marks(docs, percent).filter("removed").groupBy(F.col("doc_id").alias("__of")).agg(F.collect_set("line").alias("__gone"))
+    gone = line_join.removed(docs, percent).filter("removed").groupBy(F.col("doc_id").alias("__of")).agg(F.collect_set("line").alias("__gone"))
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
     out = docs.join(written(gone), F.col("doc_id").eqNullSafe(F.col("__of")), "left")
     return out.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
