@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from inkwell.sources.shared import stored
+from inkwell.sources.shared import stored, together
 
 
 #: Rows whose pages are handled together.
@@ -41,7 +41,7 @@ def by_pages(rows: DataFrame, order: list[str], f: Callable[[pa.Table], pa.Table
         if held:
             yield from f(pa.Table.from_batches(held)).to_batches()
 
-    return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+    return together(rows, key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
 def page_turns(page: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

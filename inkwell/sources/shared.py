@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _KNOWN: dict[tuple, object] = {}
 _OWN: list[str] = []
@@ -61,6 +62,15 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def together(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt so that those of equal keys lie in one task.
+
+    By a hash, as Spark leaves out a repartition by the very keys that a join beneath has shuffled by, and may then still turn that
+    join into a broadcast one, whose rows stay where they were read.
+    """
+    return rows.repartition(F.xxhash64(*keys))
+
+
 def fingerprint(spark: SparkSession, *paths: str) -> tuple:
     """What tells one content of files from another without reading them: names, sizes and times of change."""
     jvm, found = spark._jvm, []

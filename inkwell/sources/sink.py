@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from .shared import together
+
 #: About how many bytes of a file are one part.
 PART = 1 << 22
 
@@ -178,7 +180,7 @@ def zip_parts(named: DataFrame) -> DataFrame:
             archive.close()
             yield part()
 
-    ordered = named.select("page_id", "name", "png").repartition("page_id").sortWithinPartitions("page_id", "name")
+    ordered = named.select("page_id", "name", "png").transform(together, "page_id").sortWithinPartitions("page_id", "name")
     out = ordered.mapInArrow(run, "file string, task long, seq long, data binary")
     return out.select(F.col("file").alias("name"), F.struct("task", "seq").alias("part"), "data")
 

@@ -43,6 +43,25 @@ def test_tied(spark, monkeypatch, seed, rows, at_once):
     assert "Join" not in plan and "InPandas" not in plan and plan.count("Exchange") - plan.count("ReusedExchange") <= 2
 
 
+def test_pages_stay_whole_above_a_join(spark):
+    """A page's boxes lie in several tasks and come from a join by page, which Spark turns into a broadcast one while it runs."""
+    rows = [(page, k, 30 * (k % 9), 20 * (k // 9), 30 * (k % 9) + 20, 20 * (k // 9) + 12) for k in range(45) for page in range(12)]
+    table = spark.createDataFrame(spark.sparkContext.parallelize(rows, 6), "page_id int, seq int, x1 int, y1 int, x2 int, y2 int")
+    gaps = spark.createDataFrame([(page, 9.0, 12.0) for page in range(12)], "page_id int, v_gap double, h_gap double")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "1k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        got = spark.createDataFrame(regions.tied(table.join(gaps, "page_id"), ["y1", "x1", "seq"], "rank", "line").toPandas())
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+    assert sorted((r.page_id, r.seq, r.rank, r.line) for r in got.collect()) == sorted((page, k, k + 1, 1) for page, k, *_ in rows)
+    edges = regions.proximity_edges(got)
+    near = [(a[1] + 1, b[1] + 1) for a in rows[::12] for b in rows[::12] if a[1] < b[1] and b[3] - a[5] <= 9 and max(a[2], b[2]) - min(a[4], b[4]) <= 12]
+    assert sorted((r.page_id, r.a, r.b) for r in edges.collect()) == sorted((page, *pair) for page in range(12) for pair in near)
+
+
 @pytest.mark.parametrize("scale", [1, 1 << 55])
 def test_components(spark, monkeypatch, scale):
     monkeypatch.setattr(components, "ROWS", 60)
