@@ -42,6 +42,25 @@ def test_crowd_makes_a_row_an_entry(spark, monkeypatch):
     assert not any(x in summary for x in ("InArrow", "ArrowEvalPython", "InPandas"))
 
 
+def test_a_common_word_makes_no_entries(spark, monkeypatch):
+    """Lines that share a long word of their prefix, and copies, but no two similar sets: none is compared with another."""
+    docs = [(d, "uncommonlycommon " + " ".join(f"own{d}x{i}" for i in range(3 + d % 9))) for d in range(200)]
+    docs += [(d + 200, docs[d][1]) for d in range(40)]
+    met, keep = [], line_join._gone
+    monkeypatch.setattr(line_join, "_gone", lambda docs, entries, percent: met.append(entries.count()) or keep(docs, entries, percent))
+    got = line_join.removed(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), 75)
+    assert sorted(((r.doc_id, r.line, r.removed) for r in got.collect()), key=str) == brute(docs)
+    assert met == [0]
+
+
+def test_letters_beyond_ascii(spark):
+    """A-Z alone are lowered, also beside letters whose first bytes are letters of Latin-1."""
+    letters = ["\u00c0", "\u00e0", "\u00c9", "\u00e9", "\u00df", "\u1e9e", "\u0178", "\u00ff", "\u00d7", "\u212a", "k", "\u0130", "\u3040", "\u00e3", "\u00c3", "\U0001f600", "\u00b5", "\u00a0", "\u0085"]
+    docs = [(d, f"A{x}B {x} C\tD\r") for d, x in enumerate(letters)] + [(d + 50, f"a{x}b {x}\x0bc\x0cd") for d, x in enumerate(letters)]
+    got = line_join.removed(spark.createDataFrame(docs, "doc_id long, text string"), 75)
+    assert sorted(((r.doc_id, r.line, r.removed) for r in got.collect()), key=str) == brute(docs)
+
+
 def line_join_folder(spark):
     from inkwell.llm.common import scratch
 
